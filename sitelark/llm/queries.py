@@ -5,17 +5,64 @@ Each callable takes (spark, sf_dir), reads its whole tables and derives the dige
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_digests
 from .decontaminate import decontaminate, items_digest
 from .line_dedup import line_dedup
+from .near_dedup import near_duplicates
+from .token_files import token_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The vocabularies are installed with every Python; the end id closes each document of the token files.
+WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 1
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, k=5)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE ws AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM ws WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n a ON a.doc_id = p.a JOIN n b ON b.doc_id = p.b
+  WHERE 100 * both >= 85 * (a.n + b.n - both)
+), reach AS (
+  SELECT doc_id, doc_id AS root FROM documents
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON r.doc_id = l.a
+), comp AS (
+  SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept
+FROM comp c LEFT JOIN n ON n.doc_id = c.doc_id
+"""
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
@@ -72,10 +119,14 @@ FROM decided GROUP BY doc_id
 """
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op4_near_dedup": op4_near_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES = {
+    "op4_near_dedup": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
 }
