@@ -14,6 +14,7 @@ from .decontaminate import decontaminate, items_digest
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .token_files import token_index
+from .toxicity import fit_toxicity, held_out, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +45,9 @@ WITH RECURSIVE ws AS (
   SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
 ), links AS (
   SELECT a.doc_id AS a, b.doc_id AS b
-  FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
   JOIN n a ON a.doc_id = p.a JOIN n b ON b.doc_id = p.b
-  WHERE 100 * both >= 85 * (a.n + b.n - both)
+  WHERE 100 * inter >= 85 * (a.n + b.n - inter)
 ), reach AS (
   SELECT doc_id, doc_id AS root FROM documents
   UNION
@@ -63,6 +64,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
@@ -122,6 +129,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_near_dedup": op4_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
 }
