@@ -13,8 +13,10 @@ from .bpe import encode_digests
 from .decontaminate import decontaminate, items_digest
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
+from .pii import KINDS, count_of, find_personal_data, listed
 from .token_files import token_index
 from .toxicity import fit_toxicity, held_out, score_toxicity
+from .url_filter import LIMIT, RHO, Z, judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +28,74 @@ WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 1
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    counts = (count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS)
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER), END_ID)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")  # of the page with the same number: bad if toxic or of low quality
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.greatest("toxic", 1 - F.col("quality")).alias("bad"))
+    return judge_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = rf"""
+WITH rest AS (
+  SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS r FROM pages
+), own AS (
+  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+), hosts AS (
+  SELECT host, regexp_extract(host, '([^.]*\.?[^.]*)$', 1) AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix,
+         CAST(count(*) AS DOUBLE) AS n, CAST(sum(greatest(toxic, 1 - quality)) AS DOUBLE) AS bad
+  FROM own JOIN labels ON doc_id = page_id WHERE greatest(toxic, 1 - quality) IS NOT NULL GROUP BY host
+), domains AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix
+), suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
+), whole AS (
+  SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM suffixes
+), sk AS (
+  SELECT 1 / least(greatest(coalesce(round(sum(n * pow(bad / n - m, 2) - m * (1 - m)) / nullif(sum(m * (1 - m) * (n - 1)), 0), 9), {RHO[1]}), {RHO[0]}), {RHO[1]}) - 1 AS k
+  FROM suffixes, whole
+), sp AS (
+  SELECT suffix, (bad + k * m) / (n + k) AS mean, n + k AS size FROM suffixes, whole, sk
+), dk AS (
+  SELECT 1 / least(greatest(coalesce(round(sum(n * pow(bad / n - mean, 2) - mean * (1 - mean)) / nullif(sum(mean * (1 - mean) * (n - 1)), 0), 9), {RHO[1]}), {RHO[0]}), {RHO[1]}) - 1 AS k
+  FROM domains JOIN sp USING (suffix)
+), dp AS (
+  SELECT domain, (bad + k * mean) / (n + k) AS mean, n + k AS size FROM domains JOIN sp USING (suffix), dk
+), hk AS (
+  SELECT 1 / least(greatest(coalesce(round(sum(n * pow(bad / n - mean, 2) - mean * (1 - mean)) / nullif(sum(mean * (1 - mean) * (n - 1)), 0), 9), {RHO[1]}), {RHO[0]}), {RHO[1]}) - 1 AS k
+  FROM hosts JOIN dp USING (domain)
+), hp AS (
+  SELECT host, (bad + k * mean) / (n + k) AS mean, n + k AS size FROM hosts JOIN dp USING (domain), hk
+), judged AS (
+  SELECT o.page_id, o.host, o.path,
+         coalesce(hp.mean, dp.mean, sp.mean, whole.m) AS mean, coalesce(hp.size, dp.size, sp.size, 0) AS size
+  FROM own o CROSS JOIN whole
+  LEFT JOIN hp ON hp.host = o.host
+  LEFT JOIN dp ON dp.domain = regexp_extract(o.host, '([^.]*\.?[^.]*)$', 1)
+  LEFT JOIN sp ON sp.suffix = regexp_extract(o.host, '([^.]*)$', 1)
+), rules(v, h, p) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fit AS (
+  SELECT DISTINCT j.host, j.path, max_by(h || p, len(h || p)) AS rule, max_by(v, len(h || p)) AS v
+  FROM (SELECT DISTINCT host, path FROM judged) j JOIN rules ON (j.host = h OR ends_with(j.host, '.' || h)) AND starts_with(j.path, p)
+  GROUP BY j.host, j.path
+)
+SELECT j.page_id, j.host, j.path, f.rule,
+       coalesce(f.v, CASE WHEN round(mean - {Z} * sqrt(mean * (1 - mean) / (size + 1)), 9) > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN fit f ON f.host = j.host AND f.path = j.path
+"""
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, k=5)
 
@@ -126,7 +192,9 @@ FROM decided GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_token_files": op2_token_files,
+    "op3_url_filter": op3_url_filter,
     "op4_near_dedup": op4_near_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
@@ -134,6 +202,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES = {
+    "op3_url_filter": OP3_SQL,
     "op4_near_dedup": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
