@@ -19,9 +19,10 @@ from pyspark.sql import types as T
 from .textblocks import LOWERED, U64, blocks, mixed, prefix_sums, span_hashes, word_table
 
 #: Labelled texts that the model is fitted on at most, toxic and other, taken in the order of a hash of doc_id.
-MOST_TOXIC, MOST_OTHER = 2500, 5000
-BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
-EPOCHS, BATCH, RATE, SCALE, SEED = 8, 64, 0.3, 32.0, 5
+MOST_TOXIC, MOST_OTHER = 2000, 4000
+BUCKETS, DIM, GRAMS = 1 << 18, 4, (3, 4, 5)
+#: Passes over the sample: EPOCHS, or more of a small one so that there are STEPS batches.
+EPOCHS, STEPS, BATCH, RATE, SCALE, SEED = 5, 600, 64, 0.5, 32.0, 5
 #: Features of weight 0 that each average holds besides a text's own: a few words alone decide little.
 PRIOR = 40
 #: Letters of words: a-z and everything from 0x80 (A-Z are lower-cased before).
@@ -75,8 +76,9 @@ class SubwordSoftmax:
         emb = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
         layer, bias = rng.random((DIM, 2), np.float32) - 0.5, np.log(np.array([1 - share, share], np.float32))
         g_emb, g_layer, g_bias = np.full((BUCKETS, DIM), 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-        for epoch in range(EPOCHS):
-            rate = np.float32(RATE * (1 - epoch / EPOCHS))
+        epochs = max(EPOCHS, -(-STEPS * BATCH // len(labels)))
+        for epoch in range(epochs):
+            rate = np.float32(RATE * (1 - epoch / epochs))
             order = rng.permutation(len(labels))
             for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]
