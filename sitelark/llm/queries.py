@@ -14,6 +14,7 @@ from .decontaminate import decontaminate, items_digest
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .pii import KINDS, count_of, find_personal_data, listed
+from .suffix_dedup import substring_dedup
 from .token_files import token_index
 from .toxicity import fit_toxicity, held_out, score_toxicity
 from .url_filter import LIMIT, RHO, Z, judge_urls
@@ -126,6 +127,38 @@ FROM comp c LEFT JOIN n ON n.doc_id = c.doc_id
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents"), digest=True)
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
+    return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH b AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM b WHERE n >= 100)
+), dup AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM w) WHERE r > 1
+), runs AS (
+  SELECT doc_id, min(p) AS s, max(p) + 100 AS e
+  FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g
+        FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM dup))
+  GROUP BY doc_id, g
+), edges AS (
+  SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM runs GROUP BY doc_id
+), pieces AS (
+  SELECT b.doc_id, j, substr(h, 2 * CASE WHEN j = 1 THEN 0 ELSE es[j - 1] END + 1, 2 * (coalesce(ss[j], n) - CASE WHEN j = 1 THEN 0 ELSE es[j - 1] END)) AS x
+  FROM b JOIN edges ON b.doc_id = edges.doc_id, unnest(range(1, n_spans + 2)) AS t(j)
+), kept AS (
+  SELECT doc_id, sha256(unhex(string_agg(x, '' ORDER BY j))) AS d FROM pieces GROUP BY doc_id
+)
+SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       coalesce(kept.d, sha256(unhex(b.h))) AS kept_sha256
+FROM b LEFT JOIN edges ON edges.doc_id = b.doc_id LEFT JOIN kept ON kept.doc_id = b.doc_id
+"""
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
@@ -196,6 +229,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_url_filter": op3_url_filter,
     "op4_near_dedup": op4_near_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
@@ -204,6 +238,7 @@ QUERIES = {
 ORACLES = {
     "op3_url_filter": OP3_SQL,
     "op4_near_dedup": OP4_SQL,
+    "op5_suffix_dedup": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
 }
