@@ -14,6 +14,7 @@ from .decontaminate import decontaminate, items_digest
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .pii import KINDS, count_of, find_personal_data, listed
+from .search import B, K1, UNIT, top_k
 from .suffix_dedup import substring_dedup
 from .token_files import token_index
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -224,6 +225,39 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone)
 FROM decided GROUP BY doc_id
 """
 
+#: Every row with such an id is a query.
+QUERY_STEP, TOP = 20, 10
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return top_k(docs, queries, TOP)
+
+
+OP10_SQL = rf"""
+WITH tf AS (
+  SELECT doc_id, t, count(*) AS tf
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS t FROM documents)
+  GROUP BY doc_id, t
+), len AS (
+  SELECT d.doc_id, coalesce(sum(tf), 0) AS n FROM documents d LEFT JOIN tf ON tf.doc_id = d.doc_id GROUP BY d.doc_id
+), whole AS (
+  SELECT CAST(count(*) AS DOUBLE) AS docs, CAST(sum(n) AS DOUBLE) / count(*) AS average FROM len
+), idf AS (
+  SELECT t, ln(1 + (max(docs) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, whole GROUP BY t
+), scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+         sum(CAST(round(idf * d.tf * {K1 + 1}::DOUBLE / (d.tf + {K1}::DOUBLE * ({1 - B}::DOUBLE + {B}::DOUBLE * n / average)) * {UNIT}) AS BIGINT)) AS points
+  FROM tf q JOIN tf d ON d.t = q.t JOIN idf ON idf.t = q.t JOIN len ON len.doc_id = d.doc_id, whole
+  WHERE q.doc_id % {QUERY_STEP} = 0
+  GROUP BY 1, 2
+)
+SELECT query_id, rank, doc_id, CAST(points AS DOUBLE) / {UNIT} AS score
+FROM (SELECT query_id, doc_id, points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, doc_id) AS rank FROM scored WHERE points > 0)
+WHERE rank <= {TOP}
+"""
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_token_files": op2_token_files,
@@ -234,6 +268,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
+    "op10_topk_search": op10_topk_search,
 }
 ORACLES = {
     "op3_url_filter": OP3_SQL,
@@ -241,4 +276,5 @@ ORACLES = {
     "op5_suffix_dedup": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op10_topk_search": OP10_SQL,
 }
