@@ -323,3 +323,17 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(cuts)), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(digests, DIGESTS)
+
+
+def encode_verified(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded_sha256 (of the bytes that the ids decode to), a row for each row of docs."""
+    schema = "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = loaded(path, pattern)
+        for part, texts in text_slices(batches, 1):
+            ids, cuts = coder.encode_all(texts)
+            whole = [hashlib.sha256(coder.decode(ids[x:y])).hexdigest() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.view(np.int32))), pa.array(whole, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(encode, schema)

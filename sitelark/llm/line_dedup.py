@@ -89,16 +89,18 @@ class LineRuns:
         return self.spark.read.parquet(*self.batches)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: bool = False) -> DataFrame:
     """Drops lines that repeat across documents; keeps them in the largest doc_id that holds them.
 
-    docs: doc_id, text; other columns are ignored. Returns doc_id, text (the lines that stay, joined by ``\\n``), n_lines
-    and n_dropped, a row for each row of docs. A null or empty text is one empty line. Rows that share a doc_id
+    docs: doc_id, text; other columns are ignored, or with carry kept in a struct ``rest``. Returns doc_id, text (the lines that
+    stay, joined by ``\\n``), n_lines and n_dropped, a row for each row of docs. A null or empty text is one empty line. Rows that share a doc_id
     count as one document for the number of documents; a null doc_id counts as one document that never keeps a key
     for itself. Ties cannot arise: a key has one largest doc_id, and all its lines there stay. No rows in, no rows out.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.struct(*others).alias("rest")] if carry and others else []
+    own = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *rest)
     runs = LineRuns(spark)
     pairs = (
         own.select("doc_id", F.explode(F.array_distinct(F.filter(line_hashes(F.col("text"), min_chars), lambda h: h.isNotNull()))).alias("h"))
@@ -116,7 +118,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         repeated = runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
         hits = runs.pairs().join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
         gone = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    joined = own.alias("d").join(gone.hint("shuffle_hash").alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select(F.col("d.doc_id"), F.col("d.text"), F.col("g.gone"))
+    joined = own.alias("d").join(gone.hint("shuffle_hash").alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select("d.*", F.col("g.gone"))
     lines = F.split("text", "\n", -1)
     kept = F.transform(
         F.filter(F.arrays_zip(lines.alias("line"), line_hashes(F.col("text"), min_chars).alias("h")), lambda z: z["h"].isNull() | ~F.array_contains(F.col("gone"), z["h"])),
@@ -128,6 +130,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
         F.col("n_lines").cast("long"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        *(["rest"] if rest else []),
     )
 
 
