@@ -7,8 +7,9 @@
    bucket every member is tried with the bucket's smallest member only, not with all others.
 4. The collision-corrected Jaccard estimate of the registers drops candidates that are far below the threshold; the rest
    are confirmed on the full shingle sets.
-5. Buckets whose members are still in different components get their remaining pairs compared by registers, in blocks of
-   bounded size, and those near the threshold are confirmed too: no link is lost to the star of step 3.
+5. In buckets whose members are still in different components these are compared by their sets, cut to 32-bit hashes, in
+   blocks of bounded size. A block gives one link for each two components it joins, not all pairs, and these are
+   confirmed too: no connection is lost to the star of step 3.
 6. Components by large-star and small-star steps.
 """
 
@@ -36,7 +37,7 @@ EMPTY = 0xFFFF
 #: A candidate is dropped unread if its estimate is this far below the threshold: about six standard deviations.
 SLACK = 0.25
 #: Members of a bucket in one comparison block, members of a hub in one confirmation group.
-CHUNK, FAN = 1024, 500
+CHUNK, FAN = 1024, 200
 #: Rows of (document, group) up to which they are sent to all executors rather than shuffled with the texts.
 SEND_ROWS = 200_000
 
@@ -148,23 +149,53 @@ def _close(threshold: float):
     return close
 
 
-def _across(threshold: float):
-    """Within a block of a bucket: pairs of different components whose registers allow the threshold."""
+def _short_sets(k: int):
+    """Each text's shingle set with hashes cut to 32 bits, repeats kept."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offs in blocks(batches):
+            sets = shingle_sets(part.num_rows, data, offs, k)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(x >> U64(32)).astype(np.uint32).tobytes() for x in sets], pa.binary())], ["rep", "short"])
+
+    return short
+
+
+def _across(percent: int):
+    """Within a block of a bucket: a link for each two components that some pair of their members joins.
+
+    Sets are compared by their 32-bit hashes, which can only make an intersection larger; what is found is confirmed on full sets
+    afterwards. Members of the block's largest component need not be tried with each other, nor members of any one component.
+    """
 
     def across(group: pa.Table) -> pa.Table:
-        rep, comp, n = (group.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        side = group.column("side").to_numpy()
-        regs = np.frombuffer(b"".join(x.as_py() for x in group.column("regs")), np.uint16).reshape(-1, REGISTERS)
-        left, right = (np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)) if (side != 0).any() else (np.arange(len(rep)),) * 2
+        rep, comp, side = (group.column(c).to_numpy() for c in ("rep", "comp", "side"))
+        comp = np.unique(comp, return_inverse=True)[1]
+        lists = [np.frombuffer(x.as_py(), np.uint32) for x in group.column("short")]
+        size = np.array([len(x) for x in lists])
+        token, owner = np.unique(np.concatenate(lists), return_inverse=True)[1], np.repeat(np.arange(len(rep)), size)
+        order = np.argsort(token, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(token))]
+        owner = owner[order]
+        begin = np.cumsum(size) - size
+        if (side != 0).any():
+            tried, against = np.flatnonzero(side < 0), side > 0
+        else:
+            tried, against = np.flatnonzero(comp != np.argmax(np.bincount(comp))), np.ones(len(rep), bool)
         a, b = [], []
-        for i in left:
-            ok = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))]
-            if (side == 0).all():
-                ok = ok[rep[ok] > rep[i]]
-            ok = ok[estimates(regs[ok], regs[i], n[ok], n[i]) >= threshold - SLACK] if len(ok) else ok
-            a += [rep[i]] * len(ok)
-            b += rep[ok].tolist()
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())}) if a else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        for i in tried:
+            own = token[begin[i] : begin[i] + size[i]]
+            shared = cuts[own + 1] - cuts[own] > 1
+            own = own[shared]
+            length = cuts[own + 1] - cuts[own]
+            flat = np.repeat(cuts[own] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            both = np.minimum(np.bincount(owner[flat], minlength=len(rep)), np.minimum(size, size[i]))
+            hits = np.flatnonzero(against & (comp != comp[i]) & (100 * both >= percent * (size + size[i] - both)))
+            for j in hits:
+                if comp[j] != comp[i]:
+                    a.append(min(rep[i], rep[j]))
+                    b.append(max(rep[i], rep[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return across
 
@@ -193,6 +224,12 @@ def _confirm(k: int, percent: int):
     return confirm
 
 
+def _sent_if_small(df: DataFrame) -> DataFrame:
+    """Rows of ids, computed once: sent to all executors up to SEND_ROWS of them, else shuffled, as the smaller side of a hash join."""
+    df = written(df, "ids")
+    return F.broadcast(df) if df.count() <= SEND_ROWS else df.hint("shuffle_hash")
+
+
 def _confirmed(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that meet the threshold on full sets. A hub a with many partners is split by partner."""
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
@@ -200,9 +237,7 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> Data
     roles = salted.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), "salt", F.lit(1).alias("role")).unionByName(
         salted.select("a", "salt").distinct().select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), "salt", F.lit(0).alias("role"))
     )
-    roles = written(roles, "roles")
-    roles = F.broadcast(roles) if roles.count() <= SEND_ROWS else roles.hint("shuffle_hash")
-    met = texts.join(roles, "doc_id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+    met = texts.join(_sent_if_small(roles), "doc_id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
     return met.select("doc_id", "hub", "salt", "role", "text").mapInArrow(_confirm(k, percent), "a bigint, b bigint")
 
 
@@ -235,12 +270,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     comps = connected_components(links)
     placed = members.join(comps, members["rep"] == comps["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size")).where("c1 <> c2").select("key", "size")
-    rest = placed.join(split, "key").join(r, "rep").withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int"))
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rest = placed.join(split, "key").withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int"))
+    rest = written(rest.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "rest")
+    open_ = rest.select(F.col("rep").alias("doc_id")).distinct()
+    short = texts.join(_sent_if_small(open_), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_short_sets(k), "rep bigint, short binary")
     # in a bucket of several parts, a member meets its own part and each other part: block (i, j) with i <= j
     block = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j"), F.when(F.col("part") < j, -1).when(F.col("part") > j, 1).otherwise(0).alias("side")))
-    rest = rest.withColumn("at", F.explode(block)).select("key", "at.i", "at.j", "at.side", "rep", "comp", "n", "regs")
-    second = written(rest.groupBy("key", "i", "j").applyInArrow(_across(threshold), "a bigint, b bigint").distinct(), "pairs")
+    rest = rest.withColumn("at", F.explode(block)).select("key", "at.i", "at.j", "at.side", "rep", "comp").join(short, "rep")
+    second = written(rest.groupBy("key", "i", "j").applyInArrow(_across(percent), "a bigint, b bigint").distinct(), "pairs")
     if second.count():
         more = written(_confirmed(texts, second, k, percent), "links")
         links = links.unionByName(more)
