@@ -69,8 +69,11 @@ def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of word bytes, none across texts, and the text that each is in."""
+def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of word bytes, none across texts, and the text that each is in.
+
+    cuts: flags of the bytes before which a run is cut in two.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     flag = table[data]
@@ -82,6 +85,9 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.nda
     last = flag.copy()
     last[:-1] &= ~flag[1:]
     last[edges - 1] = flag[edges - 1]
+    if cuts is not None:
+        first |= cuts & flag
+        last[:-1] |= cuts[1:] & flag[:-1]
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offs, starts, side="right") - 1
 

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .idpool import IdPool
 from .shared import fresh_path, written
-from .textblocks import NOT_SPACE, blocks, word_hashes, words
+from .textblocks import LOWERED, NOT_SPACE, blocks, word_hashes, word_table, words
 
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
 TABLE_MAGIC = 0x184D2A5E
@@ -36,7 +36,7 @@ FRAME_ENTRY, DOC_ENTRY, TAIL = struct.Struct("<QIIQQ"), struct.Struct("<qBII"),
 #: Ids of a frame before it is closed, and bytes of text that are tokenized at once.
 FRAME_IDS, TEXT_BYTES = 131_072, 4 << 20
 #: Words and their ids that a Python worker keeps; beyond that it starts anew.
-CACHE = 700_000
+CACHE = 1_000_000
 
 
 class FileWriter:
@@ -113,11 +113,28 @@ def open_bytes(content: bytes) -> FileReader | None:
     return FileReader(lambda at, n: bytes(view[at : at + n]), len(content)) if len(content) else None
 
 
+ASCII_LETTER = word_table(inside=bytes(range(97, 123)))
+#: ASCII punctuation without the apostrophe, which can begin a token with the letters after it.
+PUNCTUATION = word_table(inside=bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39))
+#: Second bytes of the letters U+00C0 to U+00FF (all but the two signs among them).
+LATIN_TAIL = word_table(inside=bytes(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)))
+
+
+def sure_cuts(low: np.ndarray) -> np.ndarray:
+    """Bytes before which the tokenizer always splits: punctuation after a letter, an ASCII letter after punctuation."""
+    ascii_letter, mark = ASCII_LETTER[low], PUNCTUATION[low]
+    letter = ascii_letter.copy()
+    letter[1:] |= LATIN_TAIL[low[1:]] & (low[:-1] == 0xC3)
+    cuts = np.zeros(len(low), bool)
+    cuts[1:] = letter[:-1] & mark[1:] | mark[:-1] & ascii_letter[1:]
+    return cuts
+
+
 class WordTokenizer:
-    """Ids of texts by a word tokenizer that drops white space: each stretch between ASCII white space is tokenized once.
+    """Ids of texts by a word tokenizer that drops white space and case: each stretch between sure splits is tokenized once.
 
-    White space never joins a token nor reaches across in this tokenizer's splitting, so a text's ids are those of its stretches
-    in order; tests hold that against the library on whole texts.
+    White space, and the punctuation of sure_cuts(), never joins a token nor reaches across in this tokenizer's splitting, so a text's ids
+    are those of its stretches in order; tests hold that against the library on whole texts.
     """
 
     def __init__(self, path: str):
@@ -131,7 +148,8 @@ class WordTokenizer:
 
     def encode_block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's texts, and the number of ids before each text and at the end."""
-        s, e, doc = words(data, offs, NOT_SPACE)
+        data = LOWERED[data]
+        s, e, doc = words(data, offs, NOT_SPACE, sure_cuts(data))
         raw = data.tobytes()
 
         def learn(pieces: list[int]) -> tuple[np.ndarray, np.ndarray]:
