@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import sigmoid
 from .mixture import gram_sums, newton, solve
+from .quantiles import quantile_values
 
 
 @dataclass
@@ -102,8 +103,7 @@ def fit_gamma(df: DataFrame, column: str) -> tuple[float, float]:
 
 def fit_student(df: DataFrame, column: str, steps: int = 60) -> tuple[float, float, float]:
     """Degrees of freedom, location and scale by EM: weights (nu + 1) / (nu + z**2), one aggregation a step."""
-    r = df.agg(F.percentile(column, 0.5), F.stddev_pop(column)).first()
-    mu, sigma, nu = r[0], max(r[1] or 0.0, 1e-6), 10.0
+    mu, sigma, nu = quantile_values(df, column, [0.5])[0], max(df.agg(F.stddev_pop(column)).first()[0] or 0.0, 1e-6), 10.0
     for _ in range(steps):
         z2 = F.pow((F.col(column) - mu) / sigma, 2)
         w = (nu + 1) / (nu + z2)
@@ -142,6 +142,6 @@ def qq_normal(df: DataFrame, column: str, points: int = 200) -> dict[str, float]
     """
     mu, sigma = fit_normal(df, column)
     at = (np.arange(points) + 0.5) / points
-    own = np.array(df.agg(F.percentile(column, at.tolist())).first()[0], float)
+    own = np.array(quantile_values(df, column, at.tolist()), float)
     theory = mu + sigma * normal_quantile(at)
     return {"r2": float(np.corrcoef(theory, own)[0, 1] ** 2), "qq_deviation": float(np.abs(own - theory).mean())}

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantile_values
+
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
     missing = [n for n in names if n not in df.columns]
@@ -55,10 +57,9 @@ def zscored_to_unit(df: DataFrame, columns: Sequence[str], suffix: str = "_norm"
 
 
 def percentiles(df: DataFrame, column: str, points: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact percentiles with linear interpolation, as rows p, value."""
-    whole = df.agg(F.percentile(column, [float(p) for p in points]).alias("v"))
-    rows = F.arrays_zip(F.array(*(F.lit(float(p)) for p in points)).alias("p"), F.col("v").alias("value"))
-    return whole.select(F.explode(rows).alias("r")).select("r.p", "r.value")
+    """Exact percentiles with linear interpolation, as rows p, value; no rows without a value."""
+    found = quantile_values(df, column, points)
+    return df.sparkSession.createDataFrame(list(zip(map(float, points), found or [], strict=False)), "p double, value double")
 
 
 def label_sites(sites: DataFrame, bound: DataFrame, structured: DataFrame, key: str, conservation: str, limit: float = 1.0) -> DataFrame:

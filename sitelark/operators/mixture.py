@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import normal_pdf, sigmoid
+from .quantiles import few_distinct, quantile_values
 
 EPS = 1e-10
 
@@ -115,8 +117,16 @@ def fit_local(s: np.ndarray, features: np.ndarray, steps: int = 900, tol: float
 
 def initial_table(df: DataFrame, s: str, group: Sequence[str] = ()) -> DataFrame:
     """Exact median, and mean and deviation of the halves, by group."""
-    median = df.groupBy(*group).agg(F.percentile(s, 0.5).alias("q50"))
-    both = df.join(F.broadcast(median), list(group)) if group else df.crossJoin(F.broadcast(median))
+    if not group:
+        found = quantile_values(df, s, [0.5])
+        both = df.withColumn("q50", F.lit(found[0] if found else None).cast("double"))
+    elif few_distinct(df, s, group):
+        both = df.join(F.broadcast(df.groupBy(*group).agg(F.percentile(s, 0.5).alias("q50"))), list(group))
+    else:  # a group at a time; there are as many groups as models
+        keys = [tuple(r) for r in df.select(*group).distinct().collect()]
+        mine = lambda k: df.where(reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(v) for g, v in zip(group, k, strict=True))))
+        medians = df.sparkSession.createDataFrame([(*k, *(quantile_values(mine(k), s, [0.5]) or [None])) for k in keys], df.select(*group).withColumn("q50", F.lit(0.0)).schema)
+        both = df.join(F.broadcast(medians), list(group))
     low, high = F.when(F.col(s) <= F.col("q50"), F.col(s)), F.when(F.col(s) > F.col("q50"), F.col(s))
     return both.groupBy(*group).agg(
         F.max("q50").alias("q50"),

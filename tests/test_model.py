@@ -87,3 +87,21 @@ def test_unknown_mode_is_an_error(spark, mode):
 
     with pytest.raises(ValueError):
         pipeline.model(spark.range(1), mode=mode)
+
+
+def test_quantiles_by_brackets_are_exact(spark, monkeypatch):
+    from sitelark.operators import quantiles
+
+    rng = np.random.default_rng(8)
+    values = np.r_[rng.normal(size=3000), np.zeros(500), rng.exponential(5, 1500)]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    points = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    want = np.quantile(values, points)
+    assert np.allclose(quantiles.quantile_values(df, "v", points), want)
+    monkeypatch.setattr(quantiles, "MOST_DISTINCT", 10)
+    monkeypatch.setattr(quantiles, "MOST_LEFT", 60)
+    assert np.allclose(quantiles.quantile_values(df, "v", points), want)
+    assert quantiles.quantile_values(df.limit(0), "v", points) is None
+    grouped = df.where("v is not null").withColumn("g", df["v"] > 0)
+    got = {r["g"]: r["q50"] for r in mixture.initial_table(grouped.where("not isnan(v)"), "v", ["g"]).collect()}
+    assert abs(got[True] - np.median(values[values > 0])) < 1e-12
