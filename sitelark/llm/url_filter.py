@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import LOWER, UPPER
+from .shared import written
 
 #: Rules (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -47,9 +48,10 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("m"))
-    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(whole)).withColumnRenamed("m", "prior"))  # whole is one row
-    domains = _shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix"))
-    hosts = _shrunk(hosts.join(domains.select("domain", F.col("mean").alias("prior")), "domain"))
+    # each level is written, so that the next one's plan starts from its rows
+    suffixes = written(_shrunk(suffixes.crossJoin(F.broadcast(whole)).withColumnRenamed("m", "prior")), "suffixes")  # whole is one row
+    domains = written(_shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix")), "domains")
+    hosts = written(_shrunk(hosts.join(domains.select("domain", F.col("mean").alias("prior")), "domain")), "hosts")
     return whole, suffixes, domains, hosts
 
 
@@ -81,7 +83,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     host, path = host_and_path(F.col("url"))
     own = pages.select(F.col("page_id"), F.col("url").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.select(F.col("page_id").alias("page_id"), F.col("bad").cast("int").alias("bad")).where("bad is not null")
-    counted = own.join(known, "page_id").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    counted = written(own.join(known, "page_id").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")), "outcomes")
     whole, suffixes, domains, hosts = reputation(counted)
     # one row for each host that occurs, so that pages of a hot host are joined to one small row and never gathered
     seen = own.select("host").distinct().withColumn("domain", F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1)).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
