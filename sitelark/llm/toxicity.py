@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .textblocks import LOWERED, U64, blocks, mixed, prefix_sums, span_hashes, word_table
 
 #: Labelled texts that the model is fitted on at most, toxic and other, taken in the order of a hash of doc_id.
-MOST_TOXIC, MOST_OTHER = 2000, 4000
+MOST_TOXIC, MOST_OTHER = 1500, 3000
 BUCKETS, DIM, GRAMS = 1 << 18, 4, (3, 4, 5)
 #: Passes over the sample: EPOCHS, or more of a small one so that there are STEPS batches.
 EPOCHS, STEPS, BATCH, RATE, SCALE, SEED = 5, 600, 64, 0.5, 32.0, 5
@@ -84,7 +84,7 @@ class SubwordSoftmax:
                 rows = order[at : at + BATCH]
                 size = cuts[rows + 1] - cuts[rows]
                 flat = np.repeat(cuts[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                bucket, share_of, owner = index[flat], value[flat], np.repeat(np.arange(len(rows)), size)
+                bucket, share_of, owner = index[flat], value[flat].astype(np.float32) / np.float32(1024), np.repeat(np.arange(len(rows)), size)
                 near = emb[bucket]
                 mean = np.stack([np.bincount(owner, share_of * near[:, k], minlength=len(rows)) for k in range(DIM)], axis=1).astype(np.float32) * np.float32(SCALE)
                 z = mean @ layer + bias
@@ -108,17 +108,19 @@ class SubwordSoftmax:
 
     @staticmethod
     def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each text's distinct buckets with their shares, one text behind the other."""
+        """Each text's distinct buckets with their shares, one text behind the other; in small blocks, as this is the driver's memory."""
         index, value, cuts = [], [], [0]
-        for _, data, offs in blocks(iter([pa.RecordBatch.from_arrays([pa.array([t or "" for t in texts], pa.large_string())], ["text"])])):
+        for _, data, offs in blocks(iter([pa.RecordBatch.from_arrays([pa.array([t or "" for t in texts], pa.large_string())], ["text"])]), most=1 << 18):
             bucket, doc = features(data, offs)
             keys, n = np.unique(doc.astype(np.int64) * BUCKETS + bucket, return_counts=True)
             owner = keys // BUCKETS
             total = np.bincount(doc, minlength=len(offs) - 1)
             index.append((keys % BUCKETS).astype(np.int32))
-            value.append((n / (total[owner] + PRIOR)).astype(np.float32))
+            value.append((1024 * n / (total[owner] + PRIOR)).astype(np.float16))  # shares of a few in ten thousand, out of its subnormal range
             cuts += (cuts[-1] + np.cumsum(np.bincount(owner, minlength=len(offs) - 1))).tolist()
-        return np.concatenate(index), np.concatenate(value), np.array(cuts)
+        flat = np.concatenate(index)
+        index.clear()
+        return flat, np.concatenate(value), np.array(cuts)
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         bucket, doc = features(data, offs)
