@@ -76,7 +76,7 @@ class SubwordSoftmax:
         emb = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
         layer, bias = rng.random((DIM, 2), np.float32) - 0.5, np.log(np.array([1 - share, share], np.float32))
         g_emb, g_layer, g_bias = np.full((BUCKETS, DIM), 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-        epochs = max(EPOCHS, -(-STEPS * BATCH // len(labels)))
+        epochs = max(EPOCHS, -(-STEPS // -(-len(labels) // BATCH)))
         for epoch in range(epochs):
             rate = np.float32(RATE * (1 - epoch / epochs))
             order = rng.permutation(len(labels))
