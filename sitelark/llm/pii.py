@@ -32,7 +32,8 @@ LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63})++",
     "phone": r"(?<![0-9+.() -])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: A part up to 255 with any zeros before it, which may be all of it.
+OCTET = "(?=[0-9])0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
 #: Fixed values of the labelers.
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "us", "ca", "jp", "cn", "in", "br", "ru")
 CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "91")

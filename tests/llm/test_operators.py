@@ -57,6 +57,16 @@ def test_pii_base_spans(spark):
         assert set(base) <= {tuple(s) for s in got[i]["spans"]}
 
 
+def test_pii_addresses_with_zero_parts(spark):
+    rng = random.Random(6)
+    known = ["10.0.0.1", "192.168.0.1", "127.0.0.1", "0.0.0.0", "000.1.2.3", "00.000.0.00255", "0.0.0.256", "0256.0.0.0", "1.2.3.", "1.2.3.4"]
+    noise = ["".join(rng.choice("0012.5. ") for _ in range(60)) for _ in range(100)]
+    rows = list(enumerate([*(f"host {a} up" for a in known), *noise]))
+    got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in pii.find_personal_data(edge.frame(spark, rows)).collect()}
+    assert got == {i: brute_pii(t) for i, t in rows}
+    assert [len(got[i]) for i in range(len(known))] == [1, 1, 1, 1, 1, 1, 0, 0, 0, 1]
+
+
 def test_pii_nulls_and_empty(spark):
     assert pii.find_personal_data(edge.with_nulls(spark)).count() == edge.with_nulls(spark).count()
     assert pii.find_personal_data(edge.empty(spark)).collect() == []
