@@ -130,11 +130,20 @@ def sure_cuts(low: np.ndarray) -> np.ndarray:
     return cuts
 
 
+def inside(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Flags of the n bytes that lie in one of the spans, which do not overlap."""
+    step = np.zeros(n + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8) > 0
+
+
 class WordTokenizer:
     """Ids of texts by a word tokenizer that drops white space and case: each stretch between sure splits is tokenized once.
 
     White space, and the punctuation of sure_cuts(), never joins a token nor reaches across in this tokenizer's splitting, so a text's ids
-    are those of its stretches in order; tests hold that against the library on whole texts.
+    are those of its stretches in order; tests hold that against the library on whole texts. A text that may hold one of the file's
+    added tokens, in any case, is one stretch and goes to the library whole and with its own case.
     """
 
     def __init__(self, path: str):
@@ -142,14 +151,32 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.encode().lower() for t in self.library.get_added_tokens_decoder().values()]
         self.id_bytes = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.known = IdPool(CACHE)
 
+    def with_added(self, low: bytes, offs: np.ndarray) -> np.ndarray:
+        """The texts of a block, in lower case, in which an added token may stand."""
+        at = []
+        for token in self.added:
+            found = low.find(token)
+            while found >= 0:
+                at.append(found)
+                found = low.find(token, found + 1)
+        return np.unique(np.searchsorted(offs, np.array(at, np.int64), side="right") - 1)
+
     def encode_block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's texts, and the number of ids before each text and at the end."""
-        data = LOWERED[data]
-        s, e, doc = words(data, offs, NOT_SPACE, sure_cuts(data))
+        low = LOWERED[data]
+        s, e, doc = words(low, offs, NOT_SPACE, sure_cuts(low))
+        whole = self.with_added(low.tobytes(), offs)
+        if len(whole):
+            rest = ~np.isin(doc, whole)
+            s, e, doc = np.r_[s[rest], offs[whole]], np.r_[e[rest], offs[whole + 1]], np.r_[doc[rest], whole]
+            order = np.argsort(s)
+            s, e, doc = s[order], e[order], doc[order]
+        own_case = np.isin(doc, whole)
+        data = np.where(inside(s[own_case], e[own_case], len(data)), data, low) if own_case.any() else low
         raw = data.tobytes()
 
         def learn(pieces: list[int]) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sitelark.llm import bpe, components, decontaminate, line_dedup, near_dedup, pii, search, suffix_dedup, token_files, toxicity, url_filter
 
@@ -145,6 +146,22 @@ def test_word_tokenizer_equals_the_library():
     assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == want
 
 
+def encoded(texts: list[str]) -> tuple[list, list]:
+    """The ids of texts by the operator's tokenizer, and by the library with the file as it is."""
+    offs = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    ids, cuts = token_files.WordTokenizer(WORDS).encode_block(np.frombuffer("".join(texts).encode(), np.uint8), offs)
+    want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    return [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], want
+
+
+def test_word_tokenizer_keeps_the_added_tokens():
+    rng = random.Random(12)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", *"ab É.,'\n\t<|", "", " x y ", "Don't"]
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "", "<|endof", "text|>", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(800))]
+    got, want = encoded(texts)
+    assert got == want and want[0] == [343, 49407, 344]
+
+
 # ---- 3
 
 
