@@ -104,7 +104,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: b
     runs = LineRuns(spark)
     pairs = (
         own.select("doc_id", F.explode(F.array_distinct(F.filter(line_hashes(F.col("text"), min_chars), lambda h: h.isNotNull()))).alias("h"))
-        .select("h.h1", "h.h2", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(FAN_OUT)).cast("int").alias("batch"))
+        .select("h.h1", "h.h2", "doc_id")
+        .dropDuplicates()  # rows may share a doc_id
+        .withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(FAN_OUT)).cast("int"))
     )
     staged = f"{runs.path}/arrivals"  # one pass over the texts; batch b is the folder batch=b, a sorted run already
     pairs.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").option("compression", "zstd").parquet(staged)

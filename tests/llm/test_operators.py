@@ -457,6 +457,22 @@ def test_line_dedup_nulls_and_empty(spark):
     assert line_dedup.line_dedup(edge.empty(spark)).collect() == []
 
 
+def test_line_dedup_counts_rows_of_one_id_once(spark):
+    two, three, of_null = ("a line that stands in two documents", "a line that stands in three documents", "a line of rows without an id and one more")
+    rows = [(8, two), (8, two), (9, two), (20, three), (20, f"{three}\nand more"), (21, three), (22, three), (None, of_null), (None, of_null), (30, of_null)]
+    key = lambda r: (str(r[0]), r[1])
+    got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.line_dedup(edge.frame(spark, rows)).collect()), key=key)
+    holders = defaultdict(set)
+    for i, t in rows:
+        for s in t.split("\n"):
+            holders[s].add(i)
+    want = []
+    for i, t in rows:
+        kept = [s for s in t.split("\n") if len(s) < 20 or len(holders[s]) < 3 or max(x for x in holders[s] if x is not None) == i]
+        want.append((i, "\n".join(kept), t.count("\n") + 1, t.count("\n") + 1 - len(kept)))
+    assert got == sorted(want, key=key) and sum(w[3] for w in want) == 3
+
+
 def test_line_runs_compact_by_levels(spark):
     runs = line_dedup.LineRuns(spark)
     for b in range(9):
