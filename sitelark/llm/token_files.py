@@ -143,7 +143,8 @@ class WordTokenizer:
 
     White space, and the punctuation of sure_cuts(), never joins a token nor reaches across in this tokenizer's splitting, so a text's ids
     are those of its stretches in order; tests hold that against the library on whole texts. A text that may hold one of the file's
-    added tokens, in any case, is one stretch and goes to the library whole and with its own case.
+    added tokens, in any case, is one stretch and goes to the library whole and with its own case. Of other stretches only those of ASCII
+    alone are folded beforehand: the library composes before it folds, and some small letters compose where their capitals do not.
     """
 
     def __init__(self, path: str):
@@ -175,7 +176,8 @@ class WordTokenizer:
             s, e, doc = np.r_[s[rest], offs[whole]], np.r_[e[rest], offs[whole + 1]], np.r_[doc[rest], whole]
             order = np.argsort(s)
             s, e, doc = s[order], e[order], doc[order]
-        own_case = np.isin(doc, whole)
+        high = np.r_[0, np.cumsum(data >= 0x80)]
+        own_case = (high[e] > high[s]) | np.isin(doc, whole)
         data = np.where(inside(s[own_case], e[own_case], len(data)), data, low) if own_case.any() else low
         raw = data.tobytes()
 

@@ -162,6 +162,14 @@ def test_word_tokenizer_keeps_the_added_tokens():
     assert got == want and want[0] == [343, 49407, 344]
 
 
+def test_word_tokenizer_composes_before_it_folds():
+    rng = random.Random(13)
+    pairs = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    parts = [*pairs, *(p.lower() for p in pairs), *"JHTWYjhtwy\u030c\u0331\u0308\u030a .,'é", "\u0323", "İ", "\u212a"]
+    got, want = encoded([*pairs, *("x" + p + "x" for p in pairs), *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1500))])
+    assert got == want
+
+
 # ---- 3
 
 
