@@ -2,9 +2,10 @@
 
 A run is a Parquet table sorted by a 128-bit line hash. Level 0 has one run for each batch of documents, with a row
 ``(h1, h2, doc_id)`` for each document and key. When ``FAN_OUT`` runs stand on level 0 they are compacted: equal hashes
-merge into one row ``(h1, h2, n_docs, max_doc)`` of a level-1 run, and so on upwards. A batch is decided by a sorted
-merge against the runs: lines that are in no repeated key pass (the anti-join), the others are dropped unless their
-document is the one that keeps the key. Only hashes are shuffled by line; texts are shuffled once, by document.
+merge into one row ``(h1, h2, n_docs, max_doc)`` of a level-1 run, and so on upwards. Batches are decided together, by a sorted
+merge against the repeated keys of all runs: a later batch can still bring a key's third document or its largest doc_id,
+so none can be decided against earlier runs alone. Lines that are in no repeated key stay, the others are dropped unless
+their document is the one that keeps the key. Only hashes are shuffled by line; texts are shuffled once, by document.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ def line_key(line: Column) -> Column:
 
 
 def line_hashes(text: Column, min_chars: int) -> Column:
-    """For each line of a text its 128-bit hash, null where the key has fewer than min_chars code points."""
+    """For each line of a text its 128-bit hash, null where the key has fewer than min_chars code points.
+
+    xxhash64 passes a column's hash on as the seed of the next, so the key comes last in both, under two seeds.
+    """
     keys = F.transform(F.split(text, "\n", -1), line_key)
-    return F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit(1)).alias("h2"))))
+    return F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))))
 
 
 class LineRuns:

@@ -481,6 +481,36 @@ def test_line_dedup_counts_rows_of_one_id_once(spark):
     assert got == sorted(want, key=key) and sum(w[3] for w in want) == 3
 
 
+def lines_of_one_hash() -> tuple[str, str]:
+    """Two lines of 24 bytes with the same xxhash64 under Spark's seed: the last 8 bytes make up for the others."""
+    p1, p2, p4, p5, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, (1 << 64) - 1
+    turn = lambda x, n: (x << n | x >> (64 - n)) & full
+    mix = lambda x: turn(x * p2 & full, 31) * p1 & full
+    undo = lambda y: turn(y * pow(p1, -1, 1 << 64) & full, 33) * pow(p2, -1, 1 << 64) & full
+
+    def state(head: bytes) -> int:
+        h = 42 + p5 + 24
+        for k in (0, 8):
+            h = (turn((h ^ mix(int.from_bytes(head[k : k + 8], "little"))) & full, 27) * p1 + p4) & full
+        return h
+
+    first, k = b"the first line of twenty", 0
+    while True:
+        head = b"the other %06d" % k
+        last = undo(state(first[:16]) ^ state(head.ljust(16, b"-")) ^ mix(int.from_bytes(first[16:], "little"))).to_bytes(8, "little")
+        if all(32 < c < 127 and not 65 <= c <= 90 for c in last):
+            return first.decode(), (head.ljust(16, b"-") + last).decode()
+        k += 1
+
+
+def test_line_dedup_tells_lines_of_one_hash_apart(spark):
+    one, other = lines_of_one_hash()
+    a, b = spark.createDataFrame([(one,), (other,)], "t string").select(F.xxhash64("t").alias("h1"), line_dedup.line_hashes(F.col("t"), 20)[0]["h2"].alias("h2")).collect()
+    assert a["h1"] == b["h1"] and a["h2"] != b["h2"]
+    got = line_dedup.line_dedup(edge.frame(spark, [(1, one), (2, one), (3, other)])).collect()
+    assert sum(r["n_dropped"] for r in got) == 0
+
+
 def test_line_runs_compact_by_levels(spark):
     runs = line_dedup.LineRuns(spark)
     for b in range(9):
