@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +136,127 @@ def normal_quantile(p: np.ndarray) -> np.ndarray:
     return x
 
 
+def _gamma_cdf(x: np.ndarray, k: float) -> np.ndarray:
+    """Of shape k and scale 1: a series below k + 1, a continued fraction above."""
+    out, low = np.zeros(len(x)), (x > 0) & (x < k + 1)
+    high = x >= k + 1
+    front = np.exp(k * np.log(np.where(x > 0, x, 1.0)) - x - math.lgamma(k))
+    a = x[low]
+    term = total = np.full(len(a), 1 / k)
+    n = k
+    while len(a) and (term > 1e-17 * total).any():
+        n += 1
+        term = term * a / n
+        total = total + term
+    out[low] = front[low] * total
+    b = x[high] + 1 - k
+    c, d = np.full(len(b), 1e300), 1 / b
+    h, n = d, 0
+    while len(b):
+        n += 1
+        b = b + 2
+        an = -n * (n - k)
+        d, c = an * d + b, b + an / c
+        d = 1 / np.where(d == 0, 1e-300, d)
+        c = np.where(c == 0, 1e-300, c)
+        h = h * d * c
+        if (np.abs(d * c - 1) < 1e-15).all() or n > 100_000:
+            break
+    out[high] = 1 - front[high] * h
+    return out
+
+
+def _beta_tail(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """The regularized incomplete beta function, by its continued fraction on the side where that converges fast."""
+    swap = x > (a + 1) / (a + b + 2)
+    y, p, q = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    inner = (y > 0) & (y < 1)
+    front = np.where(inner, np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * np.log(np.where(inner, y, 0.5)) + q * np.log1p(-np.where(inner, y, 0.5))) / p, 0.0)
+    tiny = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    c, d = np.ones(len(y)), 1 / tiny(1 - (p + q) * y / (p + 1))
+    h = d
+    for m in range(1, 100_000):
+        e = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
+        d, c = 1 / tiny(1 + e * d), tiny(1 + e / c)
+        h = h * d * c
+        e = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        d, c = 1 / tiny(1 + e * d), tiny(1 + e / c)
+        h = h * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
+            break
+    return np.where(swap, 1 - front * h, front * h)
+
+
+def _inverse(cdf, p: np.ndarray, high: float) -> np.ndarray:
+    """Of a continuous distribution on the positive axis, by halving; high is doubled until it is above all of p."""
+    while len(p) and cdf(np.array([high]))[0] < p.max() and high < 1e300:
+        high *= 2
+    low, top = np.zeros(len(p)), np.full(len(p), high)
+    for _ in range(200):
+        mid = (low + top) / 2
+        under = cdf(mid) < p
+        low, top = np.where(under, mid, low), np.where(under, top, mid)
+        if (top - low <= 1e-13 * top).all():
+            break
+    return (low + top) / 2
+
+
+def gamma_quantile(p: np.ndarray, k: float, scale: float) -> np.ndarray:
+    """Inverse of the gamma distribution at location 0."""
+    return scale * _inverse(lambda x: _gamma_cdf(x, k), np.asarray(p, float), k + 1)
+
+
+def student_quantile(p: np.ndarray, nu: float, mu: float = 0.0, sigma: float = 1.0) -> np.ndarray:
+    """Inverse of Student's t distribution."""
+    p = np.asarray(p, float)
+    size = _inverse(lambda t: 1 - _beta_tail(nu / (nu + t * t), nu / 2, 0.5), np.abs(2 * p - 1), 4.0)
+    return mu + sigma * np.where(p < 0.5, -size, size)
+
+
+def qq_deviations(df: DataFrame, column: str) -> dict[str, float | None]:
+    """Mean distance of all values from the quantiles of their fitted gamma, normal and student distributions.
+
+    The gamma distribution is fitted to the positive values. Ranks have the median positions of order statistics. Values are sorted in
+    ranges side by side, and only the ranges' sizes and sums reach the driver. NaN without a fit.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col(column).isNotNull() & ~F.isnan(column)).persist()
+    n = values.count()
+    if not n:
+        values.unpersist()
+        return dict.fromkeys(("gamma", "normal", "student"))
+    (k, scale), (mu, sigma), (nu, mid, spread) = fit_gamma(values, "v"), fit_normal(values, "v"), fit_student(values, "v")
+    mean = values.where("v > 0").agg(F.avg("v")).first()[0]
+
+    def theory(p: np.ndarray) -> list[np.ndarray]:
+        gamma = np.full(len(p), math.nan if mean is None else mean) if not math.isfinite(k) else gamma_quantile(p, k, scale)
+        return [gamma, mu + sigma * normal_quantile(p), student_quantile(p, nu, mid, spread)]
+
+    ordered = values.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()).persist()
+    before, sizes = 0, {r["part"]: r["count"] for r in ordered.groupBy("part").count().collect()}
+    start = {}
+    for part in sorted(sizes):
+        start[part] = before
+        before += sizes[part]
+    edge = 0.5 ** (1 / n)
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("v").to_numpy()
+            at = start[batch.column("part")[0].as_py()] if at is None else at
+            rank = at + np.arange(1, len(own) + 1)
+            at += len(own)
+            p = np.where(rank == n, edge, np.where(rank == 1, 1 - edge, (rank - 0.3175) / (n + 0.365)))
+            yield pa.RecordBatch.from_arrays([pa.array([float(np.abs(own - t).sum())]) for t in theory(p)], ["gamma", "normal", "student"])
+
+    sums = ordered.mapInArrow(distances, "gamma double, normal double, student double").agg(*(F.sum(c) for c in ("gamma", "normal", "student"))).first()
+    ordered.unpersist()
+    values.unpersist()
+    return {name: s / n for name, s in zip(("gamma", "normal", "student"), sums, strict=True)}
+
+
 def qq_normal(df: DataFrame, column: str, points: int = 200) -> dict[str, float]:
     """Agreement of a column's quantiles with its fitted normal: r2 of the points and their mean distance.
 

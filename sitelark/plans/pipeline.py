@@ -118,8 +118,7 @@ def evaluation(modelled: DataFrame, peaks: DataFrame, structured: DataFrame, fit
     row |= {f"n_{k}_out_df": v for k, v in counts.items()} | {f"n_{k}_motif_df": v for k, v in counts.items()}
     for k in ("clip_bound", "clip_unbound"):
         part = labelled.where(F.col("label") == k).select(F.ln(F.col("s_l") + 1).alias("v"))
-        row[f"qq_{k}_gamma"], row[f"qq_{k}_student"] = None, None  # fitted on request by operators.baselines
-        row[f"qq_{k}_normal"] = baselines.qq_normal(part, "v")["qq_deviation"] if counts[k] > 1 else None
+        row |= {f"qq_{k}_{name}": v for name, v in (baselines.qq_deviations(part, "v") if counts[k] > 1 else dict.fromkeys(("gamma", "normal", "student"))).items()}
     kinds = ", ".join(f"{k} {'string' if k == 'file_title' else 'bigint' if k.startswith('n_') else 'double'}" for k in row)
     beta = fitted.beta if fitted else [math.nan] * (len(feature_columns) + 1)
     coefficients = spark.createDataFrame([(n, float(b), float(c)) for n, b, c in zip(["intercept", *feature_columns], beta, [plain.intercept, *plain.coefficients], strict=True)], "feature string, beta_em double, beta_lr double")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sitelark.operators import baselines, metrics, mixture
+from sitelark.plans import pipeline
 
 
 def test_ranking_metrics(spark):
@@ -81,6 +82,38 @@ def test_distribution_fits(spark):
     assert np.allclose(baselines.normal_quantile(np.array([0.025, 0.5, 0.975])), [-1.959964, 0, 1.959964], atol=1e-5)
 
 
+def test_gamma_and_student_quantiles():
+    p = np.array([0.025, 0.5, 0.975])
+    assert np.allclose(baselines.gamma_quantile(p, 1.0, 2.0), -2 * np.log1p(-p))  # exponential
+    assert np.allclose(baselines.gamma_quantile(p, 0.5, 2.0), [0.000982069, 0.454936, 5.023886], rtol=1e-5)  # chi-square of 1
+    assert np.allclose(baselines.gamma_quantile(p, 10.0, 2.0), [9.590777, 19.337429, 34.169607], rtol=1e-6)  # of 20
+    assert np.allclose(baselines.student_quantile(p, 1.0, 1.0, 3.0), 1 + 3 * np.tan(np.pi * (p - 0.5)))  # Cauchy
+    assert np.allclose(baselines.student_quantile(p, 5.0), [-2.570582, 0, 2.570582], atol=1e-6)
+    assert np.allclose(baselines.student_quantile(p, 1e6), baselines.normal_quantile(p), atol=1e-5)
+
+
+def test_qq_deviations_use_all_points(spark):
+    v = np.sort(np.random.default_rng(17).gamma(3.0, 2.0, 3000))
+    df = spark.createDataFrame([(float(x),) for x in np.random.default_rng(1).permutation(v)], "v double")
+    got, n = baselines.qq_deviations(df, "v"), len(v)
+    p = (np.arange(1, n + 1) - 0.3175) / (n + 0.365)
+    p[-1] = 0.5 ** (1 / n)
+    p[0] = 1 - p[-1]
+    theory = {"gamma": baselines.gamma_quantile(p, *baselines.fit_gamma(df, "v")), "normal": v.mean() + v.std() * baselines.normal_quantile(p), "student": baselines.student_quantile(p, *baselines.fit_student(df, "v"))}
+    assert set(got) == set(theory) and all(abs(got[k] - np.abs(v - t).mean()) < 1e-9 for k, t in theory.items())
+    assert got["gamma"] < 0.2 < got["normal"]
+
+
+def test_evaluation_fills_all_metrics(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"c_{100 * (k + 1)}_+", float(rng.random()), float(rng.random()), float(rng.gamma(2.0, 3.0)), float(rng.normal()), float(rng.random()), float(rng.random())) for k in range(200)]
+    modelled = spark.createDataFrame(rows, "id string, posterior_r double, prior_p double, s_l double, inner_mean_logPWM double, score_phastcons100 double, PhastCons100_percent double")
+    peaks = spark.createDataFrame([("c", "+", 0, 8000)], "chrom string, strand string, start long, end long")
+    row = pipeline.evaluation(modelled, peaks, peaks.limit(0), feature_columns=("inner_mean_logPWM", "PhastCons100_percent"))["metrics"].first().asDict()
+    qq = {k: v for k, v in row.items() if k.startswith("qq_")}
+    assert len(qq) == 6 and all(v is not None and v >= 0 for v in qq.values())
+
+
 @pytest.mark.parametrize("mode", ["vb", ""])
 def test_unknown_mode_is_an_error(spark, mode):
     from sitelark.plans import pipeline
