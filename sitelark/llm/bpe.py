@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .idpool import IdPool
-from .textblocks import prefix_sums, span_hashes
 
 #: Pre-tokens whose ids a Python worker keeps; beyond that it starts anew. Characters of text split at once.
 CACHE, BLOCK_CHARS = 1_200_000, 2 << 20
@@ -230,8 +229,7 @@ class BytePairs:
         else:
             starts = np.array([m.start() + o for t, o in zip(texts, offs, strict=False) for m in regex.finditer(self.pattern, t)], np.int64)
         ends = np.r_[starts[1:], len(points)]
-        hashes = span_hashes(prefix_sums(points), starts, ends)
-        ids, total = self.known.ids(hashes, lambda new: self.merge([whole[starts[i] : ends[i]].encode() for i in new]))
+        ids, total = self.known.ids(points, 4 * starts, 4 * ends, lambda new: self.merge([whole[starts[i] : ends[i]].encode() for i in new]))
         return ids, np.r_[0, total][np.searchsorted(starts, offs)]
 
     def encode(self, text: str) -> np.ndarray:

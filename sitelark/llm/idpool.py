@@ -1,4 +1,4 @@
-"""A worker's bounded memory of pieces already tokenized: 64-bit hash of a piece -> its ids."""
+"""A worker's bounded memory of pieces already tokenized: a piece's hash leads to its bytes, which are compared, and to its ids."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .textblocks import same_spans, span_hashes, wide
+
 
 class IdPool:
     """learn(indices) gives for the pieces at these indices all ids and the number of ids of each piece."""
@@ -16,33 +18,58 @@ class IdPool:
 
     def clear(self) -> None:
         self.place: dict[int, int] = {}
+        self.slots = 0
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.text, self.text_used = np.zeros(1 << 18, np.uint8), 0
+        self.begin, self.count, self.text_begin, self.size = (np.zeros(1 << 14, np.int64) for _ in range(4))
 
-    def _add(self, keys: list[int], ids: np.ndarray, size: np.ndarray) -> None:
-        n = len(self.place)
+    def _add(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The slots of new pieces, given by their bytes and their ids."""
+        n, total = self.slots, int(size.sum())
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(keys) > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        while self.text_used + total + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        while n + len(size) > len(self.begin):
+            self.begin, self.count, self.text_begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.text_begin, self.size))
+        before, each = np.cumsum(size) - size, slice(n, n + len(size))
+        self.text[self.text_used : self.text_used + total] = raw[np.repeat(starts - before, size) + np.arange(total)]
         self.pool[self.used : self.used + len(ids)] = ids
-        self.begin[n : n + len(keys)] = self.used + np.cumsum(size) - size
-        self.count[n : n + len(keys)] = size
-        self.used += len(ids)
-        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.begin[each], self.count[each] = self.used + np.cumsum(count) - count, count
+        self.text_begin[each], self.size[each] = self.text_used + before, size
+        self.used, self.text_used, self.slots = self.used + len(ids), self.text_used + total, n + len(size)
+        return np.arange(n, self.slots)
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn: Callable[[list[int]], tuple[np.ndarray, np.ndarray]], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces of data, given by their first and last bytes, in order, and the number of ids up to and with each.
 
-    def ids(self, hashes: np.ndarray, learn: Callable[[list[int]], tuple[np.ndarray, np.ndarray]], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the pieces with these hashes, in order, and the number of ids up to and with each piece."""
+        Pieces share ids only if their bytes are equal; one whose hash is another's is learned by itself and not kept.
+        """
         if len(self.place) > self.most:
             self.clear()
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        view = wide(data)
+        raw, size = view.base, ends - starts
+        keys, first, back = np.unique(span_hashes(view, starts, ends), return_index=True, return_inverse=True)
         keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
+        odd = size != size[first][back]
+        odd[~odd] = ~same_spans(view, starts[~odd], view, starts[first][back][~odd], size[~odd])
+        slot = np.array([self.place.get(k, -1) for k in keys], np.int64)
+        old = np.flatnonzero(slot >= 0)
+        alike = self.size[slot[old]] == size[first[old]]
+        known = np.ndarray((len(self.text) - 7,), np.dtype("<u8"), self.text, 0, (1,))
+        alike[alike] = same_spans(view, starts[first[old[alike]]], known, self.text_begin[slot[old[alike]]], size[first[old[alike]]])
+        strange = np.zeros(len(keys), bool)
+        strange[old[~alike]] = True
+        new = np.flatnonzero(slot < 0)
         for at in range(0, len(new), at_once):
             part = new[at : at + at_once]
-            self._add([keys[i] for i in part], *learn(first[part].tolist()))
-        where = np.array([self.place[k] for k in keys], np.int64)[back]
-        size = self.count[where]
-        total = np.cumsum(size)
+            slot[part] = self._add(raw, starts[first[part]], size[first[part]], *learn(first[part].tolist()))
+            self.place.update(zip([keys[i] for i in part.tolist()], slot[part].tolist(), strict=True))
+        where = slot[back]
+        alone = np.flatnonzero(odd | strange[back])
+        if len(alone):
+            where[alone] = self._add(raw, starts[alone], size[alone], *learn(alone.tolist()))
+        count = self.count[where]
+        total = np.cumsum(count)
         every = int(total[-1]) if len(total) else 0
-        return self.pool[np.repeat(self.begin[where] - (total - size), size) + np.arange(every)], total
+        return self.pool[np.repeat(self.begin[where] - (total - count), count) + np.arange(every)], total

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textblocks import U64, _power_tables, blocks, mixed, prefix_sums
+from .textblocks import U64, blocks, mixed
 
 #: Bytes of a repeated string and of the substring whose hash makes an anchor.
 SPAN, GRAM = 100, 24
@@ -38,15 +38,38 @@ HELD, SAMPLE = 120_000, 2000
 FIRST = -(1 << 63)
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = max(1 << 16, 1 << (n - 1).bit_length() if n else 1)
+    if size not in _powers:
+        _powers.clear()
+        ups, downs = np.full(size, _BASE, U64), np.full(size, _INVERSE, U64)
+        ups[0] = downs[0] = 1
+        _powers[size] = np.cumprod(ups), np.cumprod(downs)
+    return _powers[size]
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of each GRAM bytes, from running sums of powers. They choose anchors and pass on which may repeat: a collision costs
+    a comparison of bytes and never a result."""
+    ups, downs = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum((data.astype(U64) + U64(1)) * ups[: len(data)], out=sums[1:])
+    return mixed((sums[GRAM:] - sums[:-GRAM]) * downs[: len(data) - GRAM + 1])
+
+
 def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Position and hash of each anchor of a block, and the first and last start of the strings that it is the anchor of."""
     size = np.maximum(np.diff(offs) - SPAN + 1, 0)
     none = np.zeros(0, np.int64)
     if not size.sum():
         return none, none.astype(U64), none, none
-    sums = prefix_sums(data)
-    grams = mixed((sums[GRAM:] - sums[:-GRAM]) * _power_tables(len(sums))[1][: len(data) - GRAM + 1])
-    bits = U64(len(grams).bit_length())
+    grams = gram_hashes(data)
+    bits = U64(32)  # the same in every block, so that equal strings have equal anchors: by half the hash, then by place
     keys = (grams >> bits) << bits | np.arange(len(grams), dtype=U64)
     rows = -(-len(keys) // WIDTH)
     padded = np.full(rows * WIDTH, np.iinfo(np.uint64).max, U64)
@@ -295,7 +318,8 @@ def repeated_offsets(known: np.ndarray, left: np.ndarray, ends: np.ndarray, leas
     for o in range(int(most.max(initial=-1)) + 1):
         if o:
             longer = np.flatnonzero(most >= o)
-            hashes[longer] = (hashes[longer] + left[ends[longer] - o].astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
+            h = (hashes[longer] + left[ends[longer] - o].astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
+            hashes[longer] = h ^ (h >> U64(29))  # not linear in the bytes
         share = SPAN - o
         live = (least <= o) & (o <= most) & ((known >= share) | (following >= share))
         i = by_place[live[by_place]]

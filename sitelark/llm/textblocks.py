@@ -10,13 +10,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of a span that are taken eight at a time, all spans side by side.
+LONG_SPAN = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def word_table(inside: bytes | None = None, outside: bytes | None = None) -> np.ndarray:
@@ -92,29 +93,53 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray, cuts: np.ndarra
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offs, starts, side="right") - 1
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << (n - 1).bit_length() if n else 1)
-    if size not in _powers:
-        _powers.clear()
-        ups, downs = np.full(size, _BASE, U64), np.full(size, _INVERSE, U64)
-        ups[0] = downs[0] = 1
-        _powers[size] = np.cumprod(ups), np.cumprod(downs)
-    return _powers[size]
+def wide(data: np.ndarray) -> np.ndarray:
+    """At each byte of data, and at its end, the eight bytes from there on as one integer; zeros follow the end."""
+    padded = np.zeros(data.nbytes + 8, np.uint8)
+    padded[:-8] = data.view(np.uint8)
+    return np.ndarray((data.nbytes + 1,), np.dtype("<u8"), padded, 0, (1,))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums of byte times a power of the base, modulo 2**64; span_hashes() reads the hash of any span from them."""
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * _power_tables(len(data) + 1)[0][: len(data)], out=sums[1:])
-    return sums
+def span_hashes(view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes, of which view is wide(): its length and each eight bytes go through the finalizer in turn.
 
-
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mixed((sums[ends] - sums[starts]) * _power_tables(len(sums))[1][starts])
+    Unlike sums of powers this is not linear in the bytes, so that no pair of words is known to collide; from LONG_SPAN bytes on
+    the rest of a span goes through xxhash.
+    """
+    size = ends - starts
+    h = mixed((view[starts] & _MASKS[np.minimum(size, 8)]) ^ (size.astype(U64) * U64(0x9E3779B97F4A7C15)))
+    at, live = 8, np.flatnonzero(size > 8)
+    while len(live):
+        if at == LONG_SPAN:
+            raw = view.base
+            rest = [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip((starts[live] + at).tolist(), ends[live].tolist(), strict=True)]
+            h[live] = mixed(h[live] + np.array(rest, U64))
+            break
+        h[live] = mixed(h[live] ^ (view[starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]))
+        at += 8
+        live = live[size[live] > at]
+    return h
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of equal length hold equal bytes; a and b are wide()."""
+    same = ((a[a_starts] ^ b[b_starts]) & _MASKS[np.minimum(size, 8)]) == 0
+    at, live = 8, np.flatnonzero(same & (size > 8))
+    while len(live):
+        if at == LONG_SPAN:
+            x, y = a.base, b.base
+            for i in live.tolist():
+                same[i] = np.array_equal(x[a_starts[i] + at : a_starts[i] + size[i]], y[b_starts[i] + at : b_starts[i] + size[i]])
+            break
+        good = ((a[a_starts[live] + at] ^ b[b_starts[live] + at]) & _MASKS[np.minimum(size[live] - at, 8)]) == 0
+        same[live] = good
+        at += 8
+        live = live[good & (size[live] > at)]
+    return same
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix_sums(data), starts, ends)
+    return span_hashes(wide(data), starts, ends)
 
 
 def shingle_hashes(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

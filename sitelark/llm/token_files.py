@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .idpool import IdPool
 from .shared import fresh_path, written
-from .textblocks import LOWERED, NOT_SPACE, blocks, word_hashes, word_table, words
+from .textblocks import LOWERED, NOT_SPACE, blocks, word_table, words
 
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
 TABLE_MAGIC = 0x184D2A5E
@@ -185,7 +185,7 @@ class WordTokenizer:
             found = self.library.encode([raw[s[i] : e[i]].decode() for i in pieces], is_pretokenized=True, add_special_tokens=False)
             return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces))
 
-        ids, total = self.known.ids(word_hashes(data, s, e), learn) if len(s) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ids, total = self.known.ids(data, s, e, learn) if len(s) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         return ids, np.r_[0, total][np.searchsorted(doc, np.arange(len(offs)))]
 
 

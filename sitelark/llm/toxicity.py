@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textblocks import LOWERED, U64, blocks, mixed, prefix_sums, span_hashes, word_table
+from .textblocks import LOWERED, U64, blocks, mixed, span_hashes, wide, word_table
 
 #: Labelled texts that the model is fitted on at most, toxic and other, taken in the order of a hash of doc_id.
 MOST_TOXIC, MOST_OTHER = 1500, 3000
@@ -40,17 +40,17 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     spaced[~letter] = 32
     owner = np.zeros(len(spaced), np.int64)
     owner[1:] = np.repeat(np.arange(n_docs), size + 1)
-    sums = prefix_sums(spaced)
+    view = wide(spaced)
     marks = np.r_[0, np.cumsum(~letter)]
     found, docs = [], []
     for n in GRAMS:
         i = np.arange(max(0, len(spaced) - n + 1))
         i = i[(marks[i + n - 1] == marks[i + 1]) & letter[i + 1]]
-        found.append(span_hashes(sums, i, i + n))
+        found.append(span_hashes(view, i, i + n))
         docs.append(owner[i + 1])
     first = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
     last = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
-    found.append(mixed(span_hashes(sums, first, last)))
+    found.append(mixed(span_hashes(view, first, last)))
     docs.append(owner[first])
     return (np.concatenate(found) & U64(BUCKETS - 1)).astype(np.int32), np.concatenate(docs).astype(np.int32)
 
