@@ -1,22 +1,26 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame operations only).
 
-A run is a Parquet table sorted by a 128-bit line hash. Level 0 has one run for each batch of documents, with a row
-``(h1, h2, doc_id)`` for each document and key. When ``FAN_OUT`` runs stand on level 0 they are compacted: equal hashes
-merge into one row ``(h1, h2, n_docs, max_doc)`` of a level-1 run, and so on upwards. Batches are decided together, by a sorted
-merge against the repeated keys of all runs: a later batch can still bring a key's third document or its largest doc_id,
-so none can be decided against earlier runs alone. Lines that are in no repeated key stay, the others are dropped unless
-their document is the one that keeps the key. Only hashes are shuffled by line; texts are shuffled once, by document.
+A run is a Parquet table bucketed and sorted by a 128-bit line hash, with a row ``(h1, h2, n_docs, max_doc)`` for each key. When
+``fan_out`` runs stand on a level they are compacted into one run of the next level, and so on upwards.
+
+Documents arrive in batches from the largest doc_ids down. A batch's keys are merge-joined with the runs: keys that are settled there, as
+they have their min_docs documents, are anti-joined away; a key that the batch brings up to min_docs is settled now, and the largest
+doc_id seen so far keeps it, as no later batch can hold a larger one; all keys not settled before are added as the batch's own run.
+At the end the lines of settled keys go, except in the document that keeps the key. Keys are counted before they are shuffled, so a very
+common line is one row a task; texts are shuffled once, by document and text.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path
+from .shared import deleted, fresh_path, written
 
-#: Runs of a level that are compacted into one run of the next level.
-FAN_OUT = 4
+#: Runs of a level that are compacted into one run of the next level: by default, and in line_dedup(); batches of documents.
+FAN_OUT, DEDUP_FAN_OUT, BATCHES = 4, 2, 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,61 +40,56 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """The levels of one store of runs, under one folder."""
+    """The levels of one store of runs, under one folder of the shared directory. Buckets make merges of runs free of shuffles."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or fresh_path(spark, "line-runs")
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_out: int = FAN_OUT):
+        self.spark, self.path, self.fan_out = spark, path or fresh_path(spark, "line-runs"), fan_out
         self.levels: list[list[str]] = []
-        self.batches: list[str] = []
+        self.made: list[str] = []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _put(self, level: int, df: DataFrame) -> None:
+    def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        name = f"{self.path}/L{level}-{len(self.batches)}-{len(self.levels[level])}"
-        df.write.option("compression", "zstd").parquet(name)
+        name = f"line_run_{uuid.uuid4().hex}"
+        run.select("h1", "h2", "n_docs", "max_doc").write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.made.append(name)
         self.levels[level].append(name)
 
-    def _merged(self, names: list[str], level: int) -> DataFrame:
-        runs = self.spark.read.parquet(*names)
-        merged = runs.groupBy("h1", "h2")
-        if level == 0:
-            return merged.agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        return merged.agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
-
     def add(self, pairs: DataFrame) -> None:
-        """Adds a batch of distinct ``(h1, h2, doc_id)``, each batch with documents of its own, as a sorted run."""
-        name = f"{self.path}/batch-{len(self.batches)}"
-        pairs.select("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(name)
-        self.adopt(name)
+        """Adds a batch of distinct ``(h1, h2, doc_id)``, each batch with documents of its own, as a run of its keys."""
+        self.add_keys(pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc")))
 
-    def adopt(self, name: str) -> None:
-        while not self.levels:
-            self.levels.append([])
-        self.batches.append(name)
-        self.levels[0].append(name)
-        self.compact()
-
-    def compact(self) -> None:
+    def add_keys(self, keys: DataFrame) -> None:
+        self._put(0, keys)
         level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= FAN_OUT:
-            merged = self._merged(self.levels[level], level).sortWithinPartitions("h1", "h2")
+        while len(self.levels[level]) >= self.fan_out:
+            whole = self._merged(self.levels[level])
             self.levels[level] = []
-            self._put(level + 1, merged)
+            self._put(level + 1, whole)
             level += 1
 
+    def _merged(self, names: list[str]) -> DataFrame:
+        whole = self.spark.read.parquet(*(f"{self.path}/{name}" for name in names))  # by path, as a union of bucketed tables need not be dealt out as they are
+        return whole.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+
     def totals(self) -> DataFrame:
         """h1, h2, n_docs, max_doc over all runs of all levels."""
-        parts = [self._merged(names, k) for k, names in enumerate(self.levels) if names]
-        if len(parts) == 1:
-            (level,) = [k for k, names in enumerate(self.levels) if names]
-            return self.spark.read.parquet(self.levels[level][0]) if level and len(self.levels[level]) == 1 else parts[0]
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        return whole.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        return self._merged([name for level in self.levels for name in level])
 
-    def pairs(self) -> DataFrame:
-        return self.spark.read.parquet(*self.batches)
+    def met(self, keys: DataFrame) -> DataFrame:
+        """keys with n_before and max_before: what the runs of all levels hold of each key (0 and null if nothing), a merge join a run."""
+        out = keys.withColumn("n_before", F.lit(0).cast("long")).withColumn("max_before", F.lit(None).cast(keys.schema["max_doc"].dataType))
+        for name in (name for level in self.levels for name in level):
+            run = self.spark.table(name).select("h1", "h2", F.col("n_docs").alias("n_run"), F.col("max_doc").alias("max_run"))
+            out = out.join(run.hint("merge"), ["h1", "h2"], "left").withColumn("n_before", F.col("n_before") + F.coalesce("n_run", F.lit(0))).withColumn("max_before", F.greatest("max_before", "max_run")).drop("n_run", "max_run")
+        return out
+
+    def forget(self) -> None:
+        """Takes the runs off the catalogue and deletes them, once nothing reads them any more."""
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        deleted(self.spark, self.path)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: bool = False) -> DataFrame:
@@ -104,27 +103,35 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: b
     spark = docs.sparkSession
     others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
     rest = [F.struct(*others).alias("rest")] if carry and others else []
-    own = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *rest)
-    runs = LineRuns(spark)
-    pairs = (
-        own.select("doc_id", F.explode(F.array_distinct(F.filter(line_hashes(F.col("text"), min_chars), lambda h: h.isNotNull()))).alias("h"))
-        .select("h.h1", "h.h2", "doc_id")
-        .dropDuplicates()  # rows may share a doc_id
-        .withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(FAN_OUT)).cast("int"))
-    )
-    staged = f"{runs.path}/arrivals"  # one pass over the texts; batch b is the folder batch=b, a sorted run already
-    pairs.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").option("compression", "zstd").parquet(staged)
-    for b in range(FAN_OUT):
-        name = f"{staged}/batch={b}"
-        if _exists(spark, name):
-            runs.adopt(name)
-    if not runs.batches:
-        gone = spark.createDataFrame([], "doc_id bigint, gone array<struct<h1:bigint,h2:bigint>>").withColumn("doc_id", F.col("doc_id").cast(own.schema["doc_id"].dataType))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("sub"), *rest)  # sub keeps rows of one id apart
+    cuts = own.agg(F.percentile_approx("doc_id", [k / BATCHES for k in range(BATCHES - 1, 0, -1)])).first()[0] or []  # for balance only
+    batch = F.when(F.col("doc_id").isNull(), BATCHES - 1).otherwise(sum((F.when(F.col("doc_id") <= c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    hashes = F.array_distinct(F.filter(line_hashes(F.col("text"), min_chars), lambda h: h.isNotNull()))
+    folder = fresh_path(spark, "line-arrivals")  # one pass over the texts; batch b is the folder batch=b
+    own.select("doc_id", "sub", batch.alias("batch"), F.explode(hashes).alias("h")).select("doc_id", "sub", "batch", "h.h1", "h.h2").write.partitionBy("batch").option("compression", "zstd").parquet(folder)
+    kind = own.schema["doc_id"].dataType.simpleString()
+    arrivals = spark.read.schema(f"doc_id {kind}, sub bigint, h1 bigint, h2 bigint, batch int").parquet(folder)
+    runs = LineRuns(spark, fan_out=DEDUP_FAN_OUT)
+    settled = f"{fresh_path(spark, 'line-settled')}"
+    for b in range(BATCHES):
+        if not _exists(spark, f"{folder}/batch={b}"):
+            continue
+        # rows may share a doc_id: distinct by document first, which spreads a common line, then counted before the shuffle by line
+        keys = arrivals.where(F.col("batch") == b).select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        met = written(runs.met(keys).where(F.col("n_before") < min_docs), "line-batch")
+        met.where(F.col("n_before") + F.col("n_docs") >= min_docs).select("h1", "h2", F.greatest("max_before", "max_doc").alias("keeper")).write.mode("append").option("compression", "zstd").parquet(settled)
+        if b < BATCHES - 1:
+            runs.add_keys(met)
+    runs.forget()
+    if not _exists(spark, settled):
+        gone = spark.createDataFrame([], f"doc_id {kind}, sub bigint, gone array<struct<h1:bigint,h2:bigint>>")
     else:
-        repeated = runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
-        hits = runs.pairs().join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-        gone = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    joined = own.alias("d").join(gone.hint("shuffle_hash").alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select("d.*", F.col("g.gone"))
+        found = spark.read.schema(f"h1 bigint, h2 bigint, keeper {kind}").parquet(settled)
+        hits = arrivals.join(found, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        gone = hits.groupBy("doc_id", "sub").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.sub") == F.col("g.sub"))
+    joined = own.alias("d").join(gone.hint("shuffle_hash").alias("g"), same, "left").select("d.*", F.col("g.gone"))
     lines = F.split("text", "\n", -1)
     kept = F.transform(
         F.filter(F.arrays_zip(lines.alias("line"), line_hashes(F.col("text"), min_chars).alias("h")), lambda z: z["h"].isNull() | ~F.array_contains(F.col("gone"), z["h"])),
