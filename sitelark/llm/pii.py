@@ -1,10 +1,11 @@
 """Personal data by weak supervision (DataFrame operations only).
 
-Patterns give candidate spans of four kinds. Four labelers vote on each (1 for, -1 against, 0 abstains): the strict pattern with
-its validity test, gazetteers (top-level domains, calling codes, issuer digits, address ranges), cue words before
-the span, and the characters at its edges. Expectation-maximisation over the counts of vote patterns (at most
-``4 * 3**4 * 3`` rows, whatever the input) estimates how reliable each labeler is; a logistic span classifier is then
-trained on the posteriors and decides on the loose candidates. Strict spans that pass their test always stay.
+Texts are cut into segments where no span can cross, and patterns give candidate spans of four kinds in each: what a strict pattern
+matches, whether or not it passes its test, and looser forms. Labelers vote on each (1 for, -1 against, 0 abstains): the form, the test,
+gazetteers (top-level domains, calling codes, issuer digits, address ranges), cue words before the span, and the
+characters at its edges. Expectation-maximisation over the counts of vote patterns (at most ``4 * 3**5 * 9`` rows, whatever
+the input) estimates how reliable each labeler is; a logistic span classifier of votes and shape is then trained on the posteriors and decides on
+all candidates that did not pass a strict test. Those that did always stay.
 """
 
 from __future__ import annotations
@@ -39,45 +40,43 @@ TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es"
 CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "91")
 CUES = {"email": "mail|contact|write|reach", "ip": r"\bip\b|host|server|address|login", "card": "card|visa|credit|payment|account", "phone": r"phone|call|tel|mobile|fax|\bcell"}
 COUNTER_CUES = "version|isbn|order|invoice|serial|sha|figure|section"
-#: Code points before a span in which cues are sought; matches that one step of the running sum takes.
-REACH, CHUNK = 32, 256
-LABELERS = ("strict", "gazetteer", "context", "edges")
+#: Code points before a span in which cues are sought; code points from which a segment may end.
+REACH, SEGMENT = 32, 2048
+LABELERS = ("form", "test", "gazetteer", "context", "edges")
+#: A segment ends before a character that no pattern has, or after a letter before a space and a letter.
+CUT = r"(?s).{%d,}?(?:(?=[^A-Za-z0-9._%%+@ ()\[\]-])|(?<=[A-Za-z])(?= [A-Za-z]))|(?s).+" % SEGMENT
+CANDIDATE = "array<struct<kind:int,loose:boolean,s:int,e:int,t:string,before:string,after:string>>"
 
 
 def _spans(name: str, kind: str, pattern: str, gate: Column, loose: bool) -> list[tuple[str, Column]]:
-    """Columns, one built on the other, that end in ``name``: the matches of a pattern with their positions in code points."""
-    text, m, g, p, b = F.col("text"), f"{name}_m", f"{name}_g", f"{name}_p", f"{name}_b"
+    """Columns, one built on the other, that end in ``name``: the matches of a pattern in a segment, with positions in code points of the text."""
+    text, m, g = F.col("segment"), f"{name}_m", f"{name}_g"
     n = F.size(m)
     piece = F.transform(
         F.arrays_zip(F.col(m).alias("t"), F.slice(F.col(g), 1, n).alias("l"), F.slice(F.col(g), 2, n).alias("r")),
-        lambda x: F.struct(F.length(x["l"]).alias("gap"), F.length(x["t"]).alias("len"), x["t"].alias("t"), F.right(x["l"], F.lit(REACH)).alias("before"), F.left(x["r"], F.lit(1)).alias("after")),
+        lambda x, i: F.struct(F.length(x["l"]).alias("gap"), x["t"].alias("t"), F.right(F.when(i == 0, F.concat(F.col("lead"), x["l"])).otherwise(x["l"]), F.lit(REACH)).alias("before"), F.left(x["r"], F.lit(1)).alias("after")),
     )
-    empty = F.array().cast("array<struct<s:int,e:int,t:string,before:string,after:string>>")
-
-    def local(chunk: Column) -> Column:
-        return F.aggregate(
-            chunk,
-            F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            lambda a, x: F.struct(
-                (a["at"] + x["gap"] + x["len"]).alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + x["len"]).alias("e"), x["t"], x["before"], x["after"]))).alias("out"),
-            ),
-        )
-
-    return [
-        (m, F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))),
-        (g, F.when(F.size(m) > 0, F.split(text, pattern, -1))),
-        (f"{name}_x", F.when(F.size(m) > 0, piece)),
-        (p, F.when(F.size(m) > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: local(F.slice(F.col(f"{name}_x"), c * CHUNK + 1, CHUNK))))),
-        (b, F.when(F.size(m) > 0, F.aggregate(F.col(p), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"])),
-        (
-            name,
-            F.when(
-                F.size(m) > 0,
-                F.flatten(F.zip_with(p, b, lambda x, base: F.transform(x["out"], lambda c: F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.lit(loose).alias("loose"), (c["s"] + base).alias("s"), (c["e"] + base).alias("e"), c["t"].alias("t"), c["before"].alias("before"), c["after"].alias("after"))))),
-            ),
+    placed = F.aggregate(
+        piece,
+        F.struct(F.col("offset").alias("at"), F.array().cast(CANDIDATE).alias("out")),
+        lambda a, x: F.struct(
+            (a["at"] + x["gap"] + F.length(x["t"])).alias("at"),
+            F.concat(a["out"], F.array(F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.lit(loose).alias("loose"), (a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + F.length(x["t"])).alias("e"), x["t"], x["before"], x["after"]))).alias("out"),
         ),
-    ]
+    )["out"]
+    return [(m, F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))), (g, F.when(F.size(m) > 0, F.split(text, pattern, -1))), (name, F.when(F.size(m) > 0, placed))]
+
+
+def segments(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n_segments, offset, lead (what stands before the segment) and segment, a row for each segment of each text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    cut = F.when(F.length(text) <= 2 * SEGMENT, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(CUT), F.lit(0)))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), cut.alias("cut")).withColumn("n_segments", F.size("cut"))
+    ends = F.aggregate("cut", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+    begins = F.when(F.col("n_segments") == 1, F.array(F.lit(0))).otherwise(ends)
+    leads = F.transform("cut", lambda x, i: F.when(i > 0, F.right(F.get("cut", i - 1), F.lit(REACH))).otherwise(""))
+    each = own.select("row", "doc_id", "n_segments", F.explode(F.arrays_zip(begins.alias("offset"), leads.alias("lead"), F.col("cut").alias("segment"))).alias("x"))
+    return each.select("row", "doc_id", "n_segments", "x.offset", "x.lead", "x.segment")
 
 
 def luhn(digits: Column) -> Column:
@@ -90,27 +89,45 @@ def luhn(digits: Column) -> Column:
     return total["sum"] % 10 == 0
 
 
+def _digits(c: Column) -> Column:
+    return F.length(F.regexp_replace(c["t"], "[^0-9]", ""))
+
+
 def valid(c: Column) -> Column:
     """The strict test of a candidate of each kind."""
-    digits = F.regexp_replace(c["t"], "[^0-9]", "")
-    n = F.length(digits)
+    n = _digits(c)
     return (
         F.when(c["loose"], F.lit(False))
         .when(c["kind"] == 0, F.lit(True))
         .when(c["kind"] == 1, c["t"].rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"))
-        .when(c["kind"] == 2, F.when(n.between(12, 19), luhn(digits)).otherwise(False))
+        .when(c["kind"] == 2, F.when(n.between(12, 19), luhn(F.regexp_replace(c["t"], "[^0-9]", ""))).otherwise(False))
         .otherwise(n.between(9, 15))
     )
 
 
+def plausible(c: Column) -> Column:
+    """Numbers too short or too long for their kind are no candidates at all."""
+    n = _digits(c)
+    return F.when(c["kind"] == 2, n.between(12, 19)).when(c["kind"] == 3, n.between(7, 16)).when(c["kind"] == 1, F.length(c["t"]) <= 23).otherwise(True)
+
+
 def _votes(c: Column) -> Column:
-    """strict, gazetteer, context, edges: each -1, 0 or 1; and a length class."""
-    top = F.lower(F.regexp_extract(c["t"], r"([A-Za-z0-9-]+)$", 1))
-    code = F.regexp_extract(c["t"], r"^\+([0-9]{1,2})", 1)
+    """form, test, gazetteer, context, edges: each -1, 0 or 1; and the shape: a length class and a class of separators."""
+    t = c["t"]
+    canonical = (
+        F.when(c["kind"] == 0, t.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9]"))
+        .when(c["kind"] == 1, t.rlike(r"^(?:[1-9]?[0-9]{1,2}\.){3}[0-9]{1,3}$"))
+        .when(c["kind"] == 2, t.rlike(r"^(?:[0-9]{13,16}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$"))
+        .otherwise(t.rlike(r"^\+[0-9]{1,3}[ .-]?(?:\([0-9]+\)|[0-9])[0-9 .-]+$"))
+    )
+    form = F.when(c["loose"], 0).when(canonical, 1).otherwise(-1)
+    test = F.when(c["ok"], 1).when(c["loose"] | (c["kind"] == 0), 0).otherwise(-1)
+    top = F.lower(F.regexp_extract(t, r"([A-Za-z0-9-]+)$", 1))
+    code = F.regexp_extract(t, r"^\+([0-9]{1,2})", 1)
     gazetteer = (
         F.when(c["kind"] == 0, F.when(top.isin(*TOP_DOMAINS), 1).otherwise(-1))
-        .when(c["kind"] == 1, F.when(c["t"].rlike(r"^0*+(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\."), 1).otherwise(-1))
-        .when(c["kind"] == 2, F.when(c["t"].rlike("^[3-6]"), 1).otherwise(-1))
+        .when(c["kind"] == 1, F.when(t.rlike(r"^0*+(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\."), 1).otherwise(-1))
+        .when(c["kind"] == 2, F.when(t.rlike("^[3-6]"), 1).otherwise(-1))
         .otherwise(F.when(c["loose"], 0).when(code.isin(*CALLING_CODES) | F.left(code, F.lit(1)).isin(*CALLING_CODES), 1).otherwise(-1))
     )
     before = F.lower(c["before"])
@@ -119,22 +136,18 @@ def _votes(c: Column) -> Column:
         cue = F.when(c["kind"] == i, before.rlike(CUES[kind])).otherwise(cue)
     context = F.when(cue, 1).when(before.rlike(COUNTER_CUES), -1).otherwise(0)
     edges = F.when(F.right(c["before"], F.lit(1)).rlike("[A-Za-z0-9]") | c["after"].rlike("[A-Za-z0-9]"), -1).otherwise(1)
-    size = F.length(c["t"])
-    return F.struct(
-        F.when(c["ok"], 1).when(c["loose"], 0).otherwise(-1).alias("strict"),
-        gazetteer.alias("gazetteer"),
-        context.alias("context"),
-        edges.alias("edges"),
-        F.when(size < 12, 0).when(size < 24, 1).otherwise(2).alias("size"),
-    )
+    size = F.length(t)
+    marks = F.regexp_replace(t, "[A-Za-z0-9]", "")
+    shape = 3 * F.when(size < 12, 0).when(size < 24, 1).otherwise(2) + F.when(marks == "", 0).when(F.length(F.regexp_replace(marks, F.lit(r"(.)\1+"), F.lit("$1"))) == 1, 1).otherwise(2)
+    return F.struct(form.alias("form"), test.alias("test"), gazetteer.alias("gazetteer"), context.alias("context"), edges.alias("edges"), shape.alias("shape"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and cands, all candidate spans of the whole text with their votes, in one pass over the texts."""
-    out = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    digit = F.col("text").rlike("[0-9]")
-    gates = {"email": F.col("text").contains("@"), "ip": digit, "card": digit, "phone": F.col("text").contains("+")}
-    loose_gates = {"email": F.col("text").rlike(r"[\[(]at[\])]"), "phone": digit}
+    """row, doc_id, n_segments and cands: all candidate spans of a segment with their votes, in one pass over the whole texts."""
+    out, seg = segments(docs), F.col("segment")
+    digit = seg.rlike("[0-9]")
+    gates = {"email": seg.contains("@"), "ip": digit, "card": digit, "phone": seg.contains("+")}
+    loose_gates = {"email": seg.rlike(r"[\[(]at[\])]"), "phone": digit}
     names = []
     for loose, patterns, when in ((False, STRICT, gates), (True, LOOSE, loose_gates)):
         for kind, pattern in patterns.items():
@@ -142,17 +155,17 @@ def candidates(docs: DataFrame) -> DataFrame:
             for column, value in _spans(name, kind, pattern, when[kind], loose):
                 out = out.withColumn(column, value)
             names.append(name)
-    none = F.array().cast("array<struct<kind:int,loose:boolean,s:int,e:int,t:string,before:string,after:string>>")
-    found = F.flatten(F.array(*(F.coalesce(F.col(n), none) for n in names)))
-    tested = F.transform(found, lambda c: c.withField("ok", valid(c)))
-    out = out.select("doc_id", tested.alias("found"))
-    return out.select("doc_id", F.transform("found", lambda c: F.struct(c["kind"], c["loose"], c["s"], c["e"], c["ok"], _votes(c).alias("votes"))).alias("cands"))
+    none = F.array().cast(CANDIDATE)
+    found = F.filter(F.flatten(F.array(*(F.coalesce(F.col(n), none) for n in names))), plausible)
+    out = out.select("row", "doc_id", "n_segments", F.transform(found, lambda c: c.withField("ok", valid(c))).alias("found"))
+    return out.select("row", "doc_id", "n_segments", F.transform("found", lambda c: F.struct(c["kind"], c["s"], c["e"], c["ok"], _votes(c).alias("votes"))).alias("cands"))
 
 
 def estimate(patterns: Sequence[tuple[int, tuple[int, ...], int, int]], steps: int = 40) -> dict[tuple[int, tuple[int, ...]], float]:
-    """Expectation-maximisation over (kind, votes, size, count): the posterior that a candidate with these votes is personal data.
+    """Expectation-maximisation over (kind, votes, shape, count): the posterior that a candidate with these votes is personal data.
 
-    Each kind has a share of true candidates, and each labeler a distribution of its votes for true and for false ones.
+    Each kind has a share of true candidates, and each labeler a rate of votes for among its votes on true and on false ones; an
+    abstention says nothing.
     """
     posterior: dict[tuple[int, tuple[int, ...]], float] = {}
     for kind in sorted({p[0] for p in patterns}):
@@ -161,35 +174,40 @@ def estimate(patterns: Sequence[tuple[int, tuple[int, ...], int, int]], steps: i
             if k == kind:
                 counts[votes] = counts.get(votes, 0) + n
         r = {v: 1 / (1 + math.exp(-sum(v) * 0.8)) for v in counts}
+        labelers = range(len(next(iter(counts))))
         for _ in range(steps):
             total = {1: sum(n * r[v] for v, n in counts.items()), 0: sum(n * (1 - r[v]) for v, n in counts.items())}
             share = (total[1] + 1) / (total[0] + total[1] + 2)
             logs: dict[tuple[int, int, int], float] = {}
-            for labeler in range(len(LABELERS)):
+            for labeler in labelers:
                 for truth in (0, 1):
-                    for vote in (-1, 0, 1):
-                        mass = sum(n * (r[v] if truth else 1 - r[v]) for v, n in counts.items() if v[labeler] == vote)
+                    mass = {vote: sum(n * (r[v] if truth else 1 - r[v]) for v, n in counts.items() if v[labeler] == vote) for vote in (-1, 1)}
+                    for vote in (-1, 1):
                         toward = 1.0 if vote == (1 if truth else -1) else 0.5  # a weak belief that labelers are better than chance
-                        logs[labeler, truth, vote] = math.log((mass + toward) / (total[truth] + 2.0))
+                        logs[labeler, truth, vote] = math.log((mass[vote] + toward) / (mass[-1] + mass[1] + 1.5))
             for v in counts:
-                gap = math.log(share / (1 - share)) + sum(logs[k, 1, x] - logs[k, 0, x] for k, x in enumerate(v))
+                gap = math.log(share / (1 - share)) + sum(logs[k, 1, x] - logs[k, 0, x] for k, x in enumerate(v) if x)
                 r[v] = 1 / (1 + math.exp(-max(-40.0, min(40.0, gap))))
         posterior |= {(kind, v): x for v, x in r.items()}
     return posterior
 
 
-def _features(kind: int, votes: tuple[int, ...], size: int) -> list[int]:
-    """Indices of a candidate's features that are 1: its kind, each labeler's vote, its length class."""
-    return [kind, *(len(KINDS) + 3 * k + v + 1 for k, v in enumerate(votes)), len(KINDS) + 3 * len(LABELERS) + size]
+#: Shape classes, and the classifier's weights of one kind: a level, each labeler's three votes, the shapes.
+SHAPES = 9
+PER_KIND = 1 + 3 * len(LABELERS) + SHAPES
 
 
-N_FEATURES = len(KINDS) + 3 * len(LABELERS) + 3
+def _features(kind: int, votes: tuple[int, ...], shape: int) -> list[int]:
+    """Indices of a candidate's features that are 1, all of its kind."""
+    base = PER_KIND * kind
+    return [base, *(base + 2 + 3 * k + v for k, v in enumerate(votes)), base + 1 + 3 * len(LABELERS) + shape]
 
 
 def train_classifier(patterns: Sequence[tuple[int, tuple[int, ...], int, int]], posterior: dict, rounds: int = 300) -> list[float]:
-    """Logistic regression of the posteriors on the features, by gradient steps on the counted patterns."""
-    weights, scale = [0.0] * N_FEATURES, sum(p[3] for p in patterns) or 1
-    rows = [(_features(k, v, s), posterior[k, v], n / scale) for k, v, s, n in patterns]
+    """Logistic regression of the posteriors on the features, by gradient steps on the counted patterns; each kind counts alike."""
+    weights = [0.0] * (PER_KIND * len(KINDS))
+    scale = {kind: sum(p[3] for p in patterns if p[0] == kind) for kind in range(len(KINDS))}
+    rows = [(_features(k, v, s), posterior[k, v], n / scale[k]) for k, v, s, n in patterns]
     for _ in range(rounds):
         slope = [0.002 * w for w in weights]
         for active, target, share in rows:
@@ -197,19 +215,16 @@ def train_classifier(patterns: Sequence[tuple[int, tuple[int, ...], int, int]],
             gap = share * (1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) - target)
             for i in active:
                 slope[i] += gap
-        weights = [w - 1.5 * s for w, s in zip(weights, slope, strict=True)]
+        weights = [w - 0.5 * s for w, s in zip(weights, slope, strict=True)]
     return weights
 
 
 def _probability(c: Column, weights: list[float]) -> Column:
-    z = F.lit(0.0)
-    for kind in range(len(KINDS)):
-        z = z + F.when(c["kind"] == kind, weights[kind]).otherwise(0.0)
+    known = F.array(*(F.lit(float(w)) for w in weights))
+    base = c["kind"] * PER_KIND
+    z = F.get(known, base) + F.get(known, base + 1 + 3 * len(LABELERS) + c["votes"]["shape"])
     for k, name in enumerate(LABELERS):
-        for vote in (-1, 0, 1):
-            z = z + F.when(c["votes"][name] == vote, weights[len(KINDS) + 3 * k + vote + 1]).otherwise(0.0)
-    for size in range(3):
-        z = z + F.when(c["votes"]["size"] == size, weights[len(KINDS) + 3 * len(LABELERS) + size]).otherwise(0.0)
+        z = z + F.get(known, base + 2 + 3 * k + c["votes"][name])
     return 1 / (1 + F.exp(-z))
 
 
@@ -218,20 +233,25 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. Returns a row for each row of docs: doc_id, base and spans, arrays of
     struct(start, kind, end) in code points, end exclusive, by start and then kind (0 email, 1 ip, 2 card, 3 phone). base has the
-    strict spans that pass their test; spans has these and the loose candidates that the classifier takes and that overlap
-    no strict span of their kind. A null or empty text has none. Without any candidate nothing is trained and nothing is added.
+    strict spans that pass their test; spans has these and the other candidates (loose forms, and strict forms that fail the test) that
+    the classifier takes and that overlap no base span of their kind nor, among themselves, an earlier loose or failed one. A null or empty
+    text has none. Without any candidate nothing is trained and nothing is added. Equal rows each get their spans.
     """
     found = written(candidates(docs), "candidates")
-    votes = found.select(F.explode("cands").alias("c")).select("c.kind", "c.votes.*").groupBy("kind", *LABELERS, "size").count()
-    rows: list[Row] = votes.collect()  # bounded: kinds, votes and length classes
-    patterns = sorted((r["kind"], tuple(r[k] for k in LABELERS), r["size"], r["count"]) for r in rows)
+    votes = found.select(F.explode("cands").alias("c")).select("c.kind", "c.votes.*").groupBy("kind", *LABELERS, "shape").count()
+    rows: list[Row] = votes.collect()  # bounded: kinds, votes and shapes
+    patterns = sorted((r["kind"], tuple(r[k] for k in LABELERS), r["shape"], r["count"]) for r in rows)
     weights = train_classifier(patterns, estimate(patterns))
     brief = lambda c: F.struct(c["s"].alias("start"), c["kind"].alias("kind"), c["e"].alias("end"))
     base = F.array_sort(F.transform(F.filter("cands", lambda c: c["ok"]), brief))
-    extra = F.transform(F.filter("cands", lambda c: c["loose"] & (_probability(c, weights) >= 0.5)), brief)
-    out = found.select("doc_id", base.alias("base"), extra.alias("extra"))
-    free = F.filter("extra", lambda x: ~F.exists("base", lambda y: (y["kind"] == x["kind"]) & (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return out.select("doc_id", "base", F.when(F.size("extra") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", free))).alias("spans"))
+    extra = F.array_sort(F.transform(F.filter("cands", lambda c: ~c["ok"] & (_probability(c, weights) >= 0.5)), brief))
+    out = found.select("row", "doc_id", "n_segments", base.alias("base"), extra.alias("extra"))
+    touch = lambda x, y: (y["kind"] == x["kind"]) & (y["start"] < x["end"]) & (x["start"] < y["end"])
+    free = F.filter("extra", lambda x: ~F.exists("base", lambda y: touch(x, y)) & ~F.exists("extra", lambda y: touch(x, y) & (y < x)))
+    out = out.select("row", "doc_id", "n_segments", "base", F.when(F.size("extra") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", free))).alias("spans"))
+    whole = out.where(F.col("n_segments") == 1).select("doc_id", "base", "spans")
+    joined = out.where(F.col("n_segments") > 1).groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("base", "spans")))
+    return whole.unionByName(joined.select("doc_id", "base", "spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -33,7 +33,7 @@ BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     counts = (count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS)
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
