@@ -87,41 +87,54 @@ def kmer_score(spark, sf):
 
 @query(f"WITH {DUCK_SCAN} SELECT contig_order, strand, count(*) AS n, round(sum(inner_mean), 3) AS total, round(max(inner_mean), 6) AS best, CAST(sum(kin) AS BIGINT) AS kmers FROM scan GROUP BY ALL")
 def window_mean_inner(spark, sf):
-    s = V.scan_table(spark, sf)
+    s = V.scan_table(spark, sf, "contig_order", "strand", "inner_mean", "kmer_count_inner")
     return s.groupBy("contig_order", "strand").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("inner_mean"), 3).alias("total"), F.round(F.max("inner_mean"), 6).alias("best"), F.sum(F.col("kmer_count_inner").cast("bigint")).alias("kmers"))
 
 
 @query(f"WITH {DUCK_SCAN} SELECT contig_order, strand, count(outer_mean) AS n, round(sum(outer_mean), 3) AS total, round(max(outer_mean), 6) AS best, CAST(sum(kout) AS BIGINT) AS kmers FROM scan GROUP BY ALL")
 def window_mean_outer(spark, sf):
-    s = V.scan_table(spark, sf).withColumn("outer_mean", F.nanvl("outer_mean", F.lit(None).cast("double")))
+    s = V.scan_table(spark, sf, "contig_order", "strand", "outer_mean", "kmer_count_outer").withColumn("outer_mean", F.nanvl("outer_mean", F.lit(None).cast("double")))
     return s.groupBy("contig_order", "strand").agg(F.count("outer_mean").alias("n"), F.round(F.sum("outer_mean"), 3).alias("total"), F.round(F.max("outer_mean"), 6).alias("best"), F.sum(F.col("kmer_count_outer").cast("bigint")).alias("kmers"))
 
 
 @query(f"WITH {DUCK_SCAN} SELECT contig_order, round(sum(gc_in), 3) AS gc_in, round(sum(gc_out), 3) AS gc_out, round(min(gc_in), 6) AS least, round(max(gc_out), 6) AS most FROM scan WHERE strand = '+' GROUP BY contig_order")
 def gc_windows(spark, sf):
-    s = V.scan_table(spark, sf).where("strand = '+'")
+    s = V.scan_table(spark, sf, "contig_order", "strand", "gc_inner_pct", "gc_outer_pct").where("strand = '+'")
     return s.groupBy("contig_order").agg(F.round(F.sum("gc_inner_pct"), 3).alias("gc_in"), F.round(F.sum("gc_outer_pct"), 3).alias("gc_out"), F.round(F.min("gc_inner_pct"), 6).alias("least"), F.round(F.max("gc_outer_pct"), 6).alias("most"))
 
 
 @query(f"WITH {DUCK_SCAN} SELECT contig_order, strand, CAST(min(pos1) AS BIGINT) AS first, CAST(max(pos1) AS BIGINT) AS last, CAST(sum(pos1 * (kin + 1)) AS BIGINT) AS mix FROM scan GROUP BY ALL")
 def strand_union_remap(spark, sf):
-    s = V.scan_table(spark, sf)
+    s = V.scan_table(spark, sf, "contig_order", "strand", "pos1", "kmer_count_inner")
     return s.groupBy("contig_order", "strand").agg(F.min("pos1").alias("first"), F.max("pos1").alias("last"), F.sum(F.col("pos1") * (F.col("kmer_count_inner") + 1)).alias("mix"))
 
 
+@query(f"""WITH {DUCK_SCAN} SELECT contig_order, strand, CAST(sum(pos1 * CAST(round(inner_mean * 10000) AS BIGINT)) AS BIGINT) AS inner_mix, CAST(sum(pos1 * CAST(round(coalesce(outer_mean, 0) * 10000) AS BIGINT)) AS BIGINT) AS outer_mix,
+CAST(sum(pos1 * kin) AS BIGINT) AS kin_mix, CAST(sum(pos1 * kout) AS BIGINT) AS kout_mix, CAST(sum(pos1 * CAST(round(gc_in * 1000) AS BIGINT)) AS BIGINT) AS gc_in_mix, CAST(sum(pos1 * CAST(round(coalesce(gc_out, 0) * 1000) AS BIGINT)) AS BIGINT) AS gc_out_mix
+FROM scan WHERE contig_order IS NOT NULL GROUP BY ALL""")
+def scan_by_position(spark, sf):
+    """All window columns, each value weighted by its position, so that no two positions can be exchanged unseen."""
+    s = V.scan_table(spark, sf).where("contig_order is not null")
+    mix = lambda c, k: F.sum(F.col("pos1") * F.round(F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), F.lit(0.0)) * k).cast("bigint"))
+    n = lambda c: F.sum(F.col("pos1") * F.col(c).cast("bigint"))
+    return s.groupBy("contig_order", "strand").agg(
+        mix("inner_mean", 10_000).alias("inner_mix"), mix("outer_mean", 10_000).alias("outer_mix"), n("kmer_count_inner").alias("kin_mix"), n("kmer_count_outer").alias("kout_mix"), mix("gc_inner_pct", 1000).alias("gc_in_mix"), mix("gc_outer_pct", 1000).alias("gc_out_mix")
+    )
+
+
 def _ends(best: str) -> str:
     return f"WITH {DUCK_SCAN} SELECT contig_order, CAST(pos1 AS BIGINT) AS pos1, strand, round(inner_mean, 5) AS inner_mean FROM (SELECT * FROM scan ORDER BY round(inner_mean, 5) {best}, contig_order, pos1, strand LIMIT 200)"
 
 
 @query(_ends("DESC"))
 def topk_sites(spark, sf):
-    s = V.scan_table(spark, sf).withColumn("inner_mean", F.round("inner_mean", 5))
+    s = V.scan_table(spark, sf, "contig_order", "pos1", "strand", "inner_mean", keep=(200, 0)).withColumn("inner_mean", F.round("inner_mean", 5))
     return sequence.top_sites(s, 200).select("contig_order", "pos1", "strand", "inner_mean")
 
 
 @query(_ends("ASC"))
 def bottomk_sites(spark, sf):
-    s = V.scan_table(spark, sf).withColumn("inner_mean", F.round("inner_mean", 5))
+    s = V.scan_table(spark, sf, "contig_order", "pos1", "strand", "inner_mean", keep=(0, 200)).withColumn("inner_mean", F.round("inner_mean", 5))
     return sequence.bottom_sites(s, 200).select("contig_order", "pos1", "strand", "inner_mean")
 
 
@@ -468,8 +481,8 @@ def irls_step(spark, sf):
 
 @query()
 def em_fit(spark, sf):
-    """A mixture for each return flag, all fitted side by side; rows only, held against fit_local in the tests."""
-    models = mixture.fit_groups(_scores(spark, sf), "l_returnflag", "s", ["x"], steps=12)
+    """A mixture for each return flag, all fitted side by side until they stop; rows only, held against fit_local in the tests."""
+    models = mixture.fit_groups(_scores(spark, sf), "l_returnflag", "s", ["x"])
     rows = [(g, m.mu0, m.sigma0, m.mu1, m.sigma1, m.beta, m.iters, m.converged, m.final_log_likelihood, m.mean_p, m.mean_r) for g, m in sorted(models.items())]
     return spark.createDataFrame(rows, "grp string, mu0 double, sigma0 double, mu1 double, sigma1 double, beta array<double>, iters int, converged boolean, log_likelihood double, mean_p double, mean_r double")
 
@@ -554,11 +567,12 @@ n AS (SELECT count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FROM x
 SELECT round(auc, 6) AS auc, round(ap, 6) AS ap, round(f1, 6) AS f1, b.score AS f1_threshold, round(tp / (tp + fp + 1e-12), 6) AS precision_at_10pct_fpr, n1 AS n_bound, n0 AS n_unbound FROM a, b, t, n""")
 def metrics_row(spark, sf):
     df = V.ranked(spark, sf)
+    run = metrics.running_by_score(df, "score", "y")  # one table for all; its counts by score are what is left of the rows
     parts = [
-        metrics.roc_auc(df, "score", "y"),
-        metrics.average_precision(df, "score", "y"),
-        metrics.best_f1(df, "score", "y").withColumnRenamed("threshold", "f1_threshold"),
-        metrics.precision_at_fpr(df, "score", "y", 0.1).select(F.col("precision").alias("precision_at_10pct_fpr")),
+        metrics.roc_auc_of(run),
+        metrics.average_precision_of(run),
+        metrics.best_f1_of(run).withColumnRenamed("threshold", "f1_threshold"),
+        metrics.precision_at_fpr_of(run, 0.1).select(F.col("precision").alias("precision_at_10pct_fpr")),
         df.agg(F.count_if(F.col("y") == 1).alias("n_bound"), F.count_if(F.col("y") == 0).alias("n_unbound")),
     ]
     row = parts[0]
@@ -609,6 +623,18 @@ def report_recode(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", c.alias("label"), "n")
 
 
+@query("SELECT p_partkey, split_part(p_name, ' ', 2) AS second, regexp_replace(p_name, '[aeiou]+', '', 'g') AS bare FROM part")
+def report_words(spark, sf):
+    """Words and patterns taken out of names."""
+    return table(spark, sf, "part").select("p_partkey", X.word(F.col("p_name"), 2, " ").alias("second"), X.without(F.col("p_name"), "[aeiou]+").alias("bare"))
+
+
+@query("SELECT c_custkey, coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON n_nationkey = c_nationkey")
+def lookup_or_key(spark, sf):
+    names = table(spark, sf, "nation").where("n_regionkey <> 1").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name"))
+    return features.lookup_or_key(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), names, "c_nationkey", "name").select("c_custkey", "name")
+
+
 @query(f"WITH {_DUCK_LONG} SELECT model, feature, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(stddev_samp(value) / sqrt(count(*)), 6) AS sem FROM long GROUP BY model, feature")
 def report_summary(spark, sf):
     return rounded(report.summary(_long(spark, sf), ["model", "feature"], "value"), "mean", "sd", "sem")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import argparse
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .plans import pipeline
+from .plans import batch, pipeline
 from .sources import text
 from .sources.bigwig import per_base, read_bigwig
 
@@ -59,6 +58,21 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument(a)
     s.add_argument("--limit", type=float, default=1.0)
     s.add_argument("--title", default="")
+    many = lambda s: [s.add_argument(x) for x in ("motifs", "names", "peaks", "out")] and (s.add_argument("--suffix", default=".parquet"), s.add_argument("--peaks-suffix", default="_HeLa.bed"))
+    s = sub.add_parser("batch-fit", help="fit all motif files of a folder, past failures")
+    many(s)
+    s.add_argument("--legacy", action="store_true")
+    s = sub.add_parser("batch-evaluate", help="evaluate all fitted models of a folder, past failures")
+    many(s)
+    s.add_argument("structured")
+    s.add_argument("--limit", type=float, default=1.0)
+    s = sub.add_parser("workflow", help="from scanned tables to metrics for all motif files of a folder")
+    many(s)
+    for x in ("structured", "native", "fixed", "exons", "regions", "expression", "phastcons", "phylop"):
+        s.add_argument(x)
+    window(s)
+    s.add_argument("--threshold", type=int, default=8)
+    s.set_defaults(suffix=".tsv.gz")
     return p
 
 
@@ -83,12 +97,23 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         rows, fitted = pipeline.model(spark.read.parquet(a.sites), a.features.split(","), a.score, a.mode, legacy=a.legacy)
         text.write_parquet(rows, f"{a.out}.model.parquet")
         text.write_json(spark, pipeline.model_record(fitted), f"{a.out}.model.json")
-    else:
-        record = "\n".join(r[0] for r in spark.read.text(a.model.replace(".model.parquet", ".model.json"), wholetext=True).collect())
-        fitted = pipeline.mixture.Mixture(**json.loads(record))
+    elif a.stage == "evaluate":
+        fitted = pipeline.model_of_record(text.read_json(spark, a.model.replace(".model.parquet", ".model.json")))
         tables = pipeline.evaluation(spark.read.parquet(a.model), text.read_peaks(spark, a.peaks), spark.read.parquet(a.structured), fitted, limit=a.limit, title=a.title)
         for name in ("metrics", "coefficients", "coefficients_sl"):
             text.write_table(tables[name].coalesce(1), f"{a.out}/{name}", compress=False)
+    elif a.stage == "workflow":
+        (native, dense), (fixed, _) = _signal(spark, a.native), _signal(spark, a.fixed)
+        resources = {n: spark.read.parquet(getattr(a, n)) for n in ("exons", "expression", "phastcons", "phylop")} | {"regions": text.read_regions(spark, a.regions)}
+        done = batch.workflow(spark, a.motifs, a.names, a.peaks, a.structured, native, fixed, resources, a.out, dense, a.suffix, a.peaks_suffix, a.inner, a.outer, a.threshold)
+        text.write_table(done.coalesce(1), f"{a.out}/status", compress=False)
+    else:
+        jobs = batch.jobs_table(text.discover(spark, f"{a.motifs}/*{a.suffix}", a.suffix), text.read_motif_map(spark, a.names), text.discover(spark, f"{a.peaks}/*{a.peaks_suffix}", a.peaks_suffix)).collect()
+        if a.stage == "batch-fit":
+            done = batch.batch_fit(spark, [(r["title"], r["path"]) for r in jobs], a.out, legacy=a.legacy)
+        else:
+            done = batch.batch_evaluate(spark, [(r["title"], r["peaks_path"]) for r in jobs], a.structured, a.out, limit=a.limit)
+        text.write_table(done.coalesce(1), f"{a.out}/{a.stage}-status", compress=False)
 
 
 if __name__ == "__main__":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,3 +87,26 @@ def erf(x: Column) -> Column:
 
 def normal_cdf(x: Column, mu: Column, sigma: Column) -> Column:
     return 0.5 * (1 + erf((x - mu) / (sigma * math.sqrt(2))))
+
+
+def places(c: Column, cuts: Sequence[float]) -> Column:
+    """How many of the ascending cuts are not above c, by halving a constant array; null counts none."""
+    known = F.array(*(F.lit(float(x)) for x in cuts)).cast("array<double>")
+
+    def step(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        open_ = a["lo"] < a["hi"]
+        up = open_ & F.coalesce(F.get(known, mid) <= c, F.lit(False))
+        return F.struct(F.when(up, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~up, mid).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), step)["lo"]
+
+
+def word(c: Column, k: int, separator: str) -> Column:
+    """The k-th word, from 1, of a text cut at a separator; empty if there are fewer."""
+    return F.split_part(c, F.lit(separator), F.lit(k))
+
+
+def without(c: Column, pattern: str) -> Column:
+    """A text without all that a pattern matches."""
+    return F.regexp_replace(c, pattern, "")

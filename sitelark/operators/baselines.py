@@ -267,3 +267,17 @@ def qq_normal(df: DataFrame, column: str, points: int = 200) -> dict[str, float]
     own = np.array(quantile_values(df, column, at.tolist()), float)
     theory = mu + sigma * normal_quantile(at)
     return {"r2": float(np.corrcoef(theory, own)[0, 1] ** 2), "qq_deviation": float(np.abs(own - theory).mean())}
+
+
+def qq_points(df: DataFrame, column: str, points: int = 200) -> DataFrame:
+    """The table behind a quantile plot: p, observed, gamma, normal, student at evenly spaced ranks; no rows without a value."""
+    schema = "p double, observed double, gamma double, normal double, student double"
+    at = (np.arange(points) + 0.5) / points
+    own = quantile_values(df, column, at.tolist())
+    if own is None:
+        return df.sparkSession.createDataFrame([], schema)
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col(column).isNotNull() & ~F.isnan(column))
+    (k, scale), (mu, sigma), (nu, mid, spread) = fit_gamma(values, "v"), fit_normal(values, "v"), fit_student(values, "v")
+    gamma = gamma_quantile(at, k, scale) if math.isfinite(k) else np.full(points, math.nan)
+    rows = np.column_stack([at, own, gamma, mu + sigma * normal_quantile(at), student_quantile(at, nu, mid, spread)])
+    return df.sparkSession.createDataFrame([tuple(map(float, r)) for r in rows], schema)

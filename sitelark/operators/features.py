@@ -22,6 +22,17 @@ def lookup_or(left: DataFrame, right: DataFrame, key: str, column: str, default:
     return left.join(right.select(key, column), key, "left").withColumn(column, F.coalesce(F.col(column), F.lit(default)))
 
 
+def lookup_or_key(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:
+    """Left lookup of one column of names; the key itself where it is missing."""
+    return left.join(right.select(key, column), key, "left").withColumn(column, F.coalesce(F.col(column), F.col(key).cast("string")))
+
+
+def lookup_strict(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:
+    """Left lookup of one column; a key that is missing is an error when the rows are read."""
+    found = left.join(right.select(key, column), key, "left")
+    return found.withColumn(column, F.coalesce(F.col(column), F.raise_error(F.concat(F.lit(f"no {column} for "), F.col(key).cast("string")))))
+
+
 def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)
 
@@ -36,12 +47,15 @@ def model_input(df: DataFrame, features: Sequence[str], score: str, legacy: bool
     return df.where(keep)
 
 
-def zscored(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
-    """(x - mean) / population standard deviation; a constant column becomes 0. One aggregation gives all statistics."""
-    stats = df.agg(*(x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))))  # one row
-    out = df.crossJoin(F.broadcast(stats))
+def zscored(df: DataFrame, columns: Sequence[str], suffix: str = "_z", by: Sequence[str] = ()) -> DataFrame:
+    """(x - mean) / population standard deviation; a constant column becomes 0. One aggregation gives all statistics.
+
+    by: columns of groups that are scaled each by itself; their statistics, a row a group, are joined back. Null groups are left out.
+    """
+    stats = df.groupBy(*by).agg(*(x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))))
+    out = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))  # without groups it is one row
     scaled = {f"{c}{suffix}": F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0))).otherwise(0.0) for c in columns}
-    return out.withColumns(scaled).drop(*stats.columns)
+    return out.withColumns(scaled).drop(*(c for c in stats.columns if c not in by))
 
 
 def zscored_to_unit(df: DataFrame, columns: Sequence[str], suffix: str = "_norm") -> DataFrame:

@@ -1,7 +1,8 @@
-"""Interval joins by equi-join on bins, nearest-preceding joins by one window pass, and mapping of sites to transcripts.
+"""Interval joins by equi-join on bins, nearest-preceding joins by bins of positions, and mapping of sites to transcripts.
 
 Intervals are half-open [start, end). The key columns (chromosome, and strand where it counts) and the bin make the join key, so
-a long chromosome spreads over many tasks. A pair that shares several bins is taken in the last of their first bins only.
+a long chromosome spreads over many tasks. Wide intervals have bins of a wider level, so that none is copied to many bins. A pair that
+shares several bins is taken in the last of their first bins only.
 """
 
 from __future__ import annotations
@@ -12,28 +13,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Intervals that span more bins than this are joined by key and range instead of being copied to each bin.
-MOST_BINS = 64
+#: Bins that an interval is copied to at most; each level's bins are STEP times as wide as those of the level below.
+MOST_BINS, STEP = 64, 8
 
 
 def _bins(start: Column, end: Column, width: int) -> tuple[Column, Column]:
     return F.floor(start / width), F.floor((F.greatest(end, start + 1) - 1) / width)
 
 
+def _level(start: Column, end: Column, width: int) -> Column:
+    n = (F.greatest(end, start + 1) - start) / (width * MOST_BINS) + F.lit(2.0 / MOST_BINS)
+    return F.when(n <= 1, 0).otherwise(F.ceil(F.ln(n) / F.ln(F.lit(float(STEP))))).cast("int")
+
+
+def _binned(df: DataFrame, levels: DataFrame, span: tuple[str, str], width: int, own: str) -> DataFrame:
+    """df at its own level and at all higher ones that occur, once for each of its bins there; own names the columns for them."""
+    s, e = F.col(span[0]).cast("bigint"), F.col(span[1]).cast("bigint")
+    each = df.withColumn(f"{own}_level", _level(s, e, width)).join(F.broadcast(levels), F.col("_level") >= F.col(f"{own}_level"))  # a row a level: at most about 20
+    wide = F.pow(F.lit(float(STEP)), F.col("_level")).cast("bigint") * width
+    first, last = F.floor(s / wide), F.floor((F.greatest(e, s + 1) - 1) / wide)
+    return each.withColumn(f"{own}_first", first).withColumn("_bin", F.explode(F.sequence(first, last)))
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int = 1000) -> DataFrame:
-    """All pairs that overlap: columns of left, then those of right that are not in ``on``. Other column names must differ."""
+    """All pairs that overlap: columns of left, then those of right that are not in ``on``. Other column names must differ.
+
+    An interval that spans more than MOST_BINS bins has a higher level. A pair meets at the higher of its two levels, in one bin.
+    """
     (ls, le), (rs, re_) = left_span, right_span
-    l0, l1 = _bins(F.col(ls), F.col(le), width)
-    r0, r1 = _bins(F.col(rs), F.col(re_), width)
+    of = lambda df, s, e: df.select(_level(F.col(s).cast("bigint"), F.col(e).cast("bigint"), width).alias("_level"))
+    levels = of(left, ls, le).unionByName(of(right, rs, re_)).distinct()
+    a, b = _binned(left, levels, left_span, width, "_l"), _binned(right, levels, right_span, width, "_r")
     touch = (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le))
-    narrow_l, narrow_r = (l1 - l0) < MOST_BINS, (r1 - r0) < MOST_BINS
-    a = left.where(narrow_l).withColumn("_first_l", l0).withColumn("_bin", F.explode(F.sequence(l0, l1)))
-    b = right.where(narrow_r).withColumn("_first_r", r0).withColumn("_bin", F.explode(F.sequence(r0, r1)))
-    binned = a.join(b, [*on, "_bin"]).where(touch & (F.col("_bin") == F.greatest("_first_l", "_first_r"))).drop("_bin", "_first_l", "_first_r")
-    wide_r = left.join(right.where(~narrow_r), list(on)).where(touch)
-    wide_l = left.where(~narrow_l).join(right.where(narrow_r), list(on)).where(touch)
+    once = (F.col("_bin") == F.greatest("_l_first", "_r_first")) & (F.col("_level") == F.greatest("_l_level", "_r_level"))
     columns = [*left.columns, *(c for c in right.columns if c not in on)]
-    return binned.select(columns).unionByName(wide_r.select(columns)).unionByName(wide_l.select(columns))
+    return a.join(b, [*on, "_level", "_bin"]).where(touch & once).select(columns)
 
 
 def point_pairs(left: DataFrame, points: DataFrame, on: Sequence[str], span: tuple[str, str], point: str, width: int) -> DataFrame:
@@ -61,17 +75,25 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_span
     return left.join(pairs.select(*key).distinct(), list(key), "left_semi" if how == "semi" else "left_anti").select(*left.columns)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str, take: Sequence[str]) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str, take: Sequence[str], width: int = 1 << 16) -> DataFrame:
     """For each row of left the latest row of right that starts at or before it (null without one).
 
-    One union, one sort by key and position, one running last(): no join, and no pair is ever made. Of right rows at one position the
+    One union, one sort by key, bin and position, one running last(): no join, and no pair is ever made. Each bin of positions begins with
+    the last hit of the bins before it, which runs over a row a bin; so a chromosome spreads over its bins. Of right rows at one position the
     greatest by the taken columns counts.
     """
     names = list(left.columns)
-    l = left.select(F.struct(*names).alias("_row"), *on, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*take)).schema[0].dataType).alias("_hit"))  # noqa: E741
-    r = right.groupBy(*on, F.col(right_at).alias("_at")).agg(F.max(F.struct(*take)).alias("_hit")).select(F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), *on, "_at", F.lit(0).alias("_side"), "_hit")
-    w = Window.partitionBy(*on).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = l.unionByName(r).withColumn("_last", F.last("_hit", ignorenulls=True).over(w)).where(F.col("_side") == 1)
+    hit_type = right.select(F.struct(*take)).schema[0].dataType
+    none = F.lit(None).cast(hit_type)
+    l = left.select(F.struct(*names).alias("_row"), *on, F.col(left_at).cast("bigint").alias("_at"), F.lit(1).alias("_side"), none.alias("_hit"))  # noqa: E741
+    r = right.groupBy(*on, F.col(right_at).cast("bigint").alias("_at")).agg(F.max(F.struct(*take)).alias("_hit")).select(F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), *on, "_at", F.lit(0).alias("_side"), "_hit")
+    both = l.unionByName(r).withColumn("_bin", F.floor(F.col("_at") / width))
+    ends = both.groupBy(*on, "_bin").agg(F.max(F.when(F.col("_side") == 0, F.struct("_at", "_hit"))).alias("_end"))
+    earlier = Window.partitionBy(*on).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_hit", F.last(F.col("_end._hit"), ignorenulls=True).over(earlier)).where(F.col("_hit").isNotNull())
+    carried = carried.select(F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), *on, F.lit(None).cast("bigint").alias("_at"), F.lit(-1).alias("_side"), "_hit", "_bin")
+    w = Window.partitionBy(*on, "_bin").orderBy(F.asc_nulls_first("_at"), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = both.unionByName(carried).withColumn("_last", F.last("_hit", ignorenulls=True).over(w)).where(F.col("_side") == 1)
     return joined.select("_row.*", *(F.col(f"_last.{c}").alias(c) for c in take))
 
 

@@ -6,26 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Score ranges that running totals are taken in side by side.
-RANGES = 32
+from ..functions.expressions import places
 
+#: Distinct scores of a range that running totals are taken in, one task a range; ranges at least and at most.
+RANGE_ROWS, RANGES = 1_000_000, (8, 20_000)
 
-def running_by_score(df: DataFrame, score: str, y: str, ranges: int = RANGES) -> DataFrame:
+
+def running_by_score(df: DataFrame, score: str, y: str, ranges: int | None = None) -> DataFrame:
     """score, pos, neg, tp, fp, n_pos, n_neg: counts at each distinct score, and from it upwards.
 
     Distinct scores are dealt into ranges by sampled boundaries; each range runs its own totals, and the totals of the ranges above, a
     row a range, are added. No window spans the whole table.
     """
     counts = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.sum((1 - F.col(y)).cast("bigint")).alias("neg"))
-    cuts = df.where(F.col(score).isNotNull()).stat.approxQuantile(score, [k / ranges for k in range(1, ranges)], 0.01)
+    if ranges is None:
+        distinct = df.agg(F.approx_count_distinct(score)).first()[0]
+        ranges = min(max(RANGES[0], -(-distinct // RANGE_ROWS)), RANGES[1])
+    cuts = df.where(F.col(score).isNotNull()).stat.approxQuantile(score, [k / ranges for k in range(1, ranges)], min(0.01, 0.5 / ranges))
     cuts = sorted(set(cuts))
-    ranged = counts.withColumn("_range", sum((F.when(F.col("score") >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    ranged = counts.withColumn("_range", places(F.col("score"), cuts))
     totals = ranged.groupBy("_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     totals = totals.select("_range", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_pa"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_na"), F.sum("_p").over(every).alias("n_pos"), F.sum("_n").over(every).alias("n_neg"))
     own = Window.partitionBy("_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = ranged.join(F.broadcast(totals), "_range")  # at most `ranges` rows
+    run = ranged.join(F.broadcast(totals), "_range")  # at most a row a range
     return run.select("score", "pos", "neg", (F.sum("pos").over(own) + F.col("_pa")).alias("tp"), (F.sum("neg").over(own) + F.col("_na")).alias("fp"), "n_pos", "n_neg")
 
 
@@ -35,7 +40,11 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def roc_auc(df: DataFrame, score: str, y: str) -> DataFrame:
     """One row auc, by ranks with ties counted half; null with one class only."""
-    r = running_by_score(df, score, y)
+    return roc_auc_of(running_by_score(df, score, y))
+
+
+def roc_auc_of(r: DataFrame) -> DataFrame:
+    """roc_auc() of a table that running_by_score() made."""
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / F.lit(2.0)))
     return r.agg(_ratio(area, F.max(F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
@@ -46,20 +55,31 @@ def roc_curve(df: DataFrame, score: str, y: str) -> DataFrame:
 
 
 def pr_curve(df: DataFrame, score: str, y: str) -> DataFrame:
-    return running_by_score(df, score, y).select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), _ratio(F.col("tp"), F.col("n_pos")).alias("recall"))
+    return _pr_points(running_by_score(df, score, y))
+
+
+def _pr_points(r: DataFrame) -> DataFrame:
+    return r.select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), _ratio(F.col("tp"), F.col("n_pos")).alias("recall"))
 
 
 def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
     """One row ap: the sum of precision over the steps in recall."""
-    r = running_by_score(df, score, y)
+    return average_precision_of(running_by_score(df, score, y))
+
+
+def average_precision_of(r: DataFrame) -> DataFrame:
     return r.agg(F.sum(_ratio(F.col("pos"), F.col("n_pos")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
 
 
 def best_f1(df: DataFrame, score: str, y: str) -> DataFrame:
     """One row f1, threshold: the greatest F1 and, of ties, the lowest threshold that has it."""
+    return best_f1_of(running_by_score(df, score, y))
+
+
+def best_f1_of(run: DataFrame) -> DataFrame:
     p, r = F.col("precision"), F.col("recall")
     f1 = 2 * p * r / (p + r + 1e-12)
-    return pr_curve(df, score, y).agg(F.max(F.struct(F.round(f1, 12).alias("f1"), (-F.col("threshold")).alias("t"))).alias("b")).select(F.col("b.f1").alias("f1"), (-F.col("b.t")).alias("threshold"))
+    return _pr_points(run).agg(F.max(F.struct(F.round(f1, 12).alias("f1"), (-F.col("threshold")).alias("t"))).alias("b")).select(F.col("b.f1").alias("f1"), (-F.col("b.t")).alias("threshold"))
 
 
 def precision_at_fpr(df: DataFrame, score: str, y: str, target: float) -> DataFrame:
@@ -67,7 +87,10 @@ def precision_at_fpr(df: DataFrame, score: str, y: str, target: float) -> DataFr
 
     The point above all scores (nothing predicted) counts, with precision 0 and an infinite threshold.
     """
-    r = running_by_score(df, score, y)
+    return precision_at_fpr_of(running_by_score(df, score, y), target)
+
+
+def precision_at_fpr_of(r: DataFrame, target: float) -> DataFrame:
     top = r.agg(F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg")).select(F.lit(float("inf")).alias("score"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"), "n_pos", "n_neg")
     points = r.select("score", "tp", "fp", "n_pos", "n_neg").unionByName(top).where(_ratio(F.col("fp"), F.col("n_neg")) <= target)
     best = points.agg(F.max(F.struct("tp", "score", "fp", "n_pos", "n_neg")).alias("b")).select("b.*")

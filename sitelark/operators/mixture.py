@@ -1,8 +1,8 @@
 """Two-Gaussian mixture whose prior is a logistic function of features, fitted by expectation-maximisation.
 
-``fit_local`` runs on arrays, one model at a time. ``fit_groups`` fits any number of groups side by side: each pass is one aggregation
-of sums by group over a cached table, and only the parameters (a few numbers a group) come back to the driver, so no group is ever
-gathered anywhere, however large.
+``fit_local`` runs on arrays, one model at a time. ``fit_groups`` fits any number of groups: those of at most ``LOCAL_ROWS`` rows, which
+are counted first, by fit_local in a task each; larger ones side by side, where each pass is one aggregation of sums by group over a
+cached table and only the parameters (a few numbers a group) come back to the driver, so that no large group is ever gathered.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ from ..functions.expressions import normal_pdf, sigmoid
 from .quantiles import few_distinct, quantile_values
 
 EPS = 1e-10
+#: Rows of a group that one task fits by itself: about 100 bytes a row with ten features, and some five times that while it works.
+LOCAL_ROWS = 1_000_000
+FITTED_ARROW = pa.schema([("_g", pa.string()), ("beta", pa.list_(pa.float64())), *((n, pa.float64()) for n in ("mu0", "sigma0", "mu1", "sigma1")), ("iters", pa.int32()), ("converged", pa.bool_()), *((n, pa.float64()) for n in ("ll", "mp", "mr"))])
+FITTED = "_g string, beta array<double>, mu0 double, sigma0 double, mu1 double, sigma1 double, iters int, converged boolean, ll double, mp double, mr double"
 
 
 @dataclass
@@ -110,9 +115,14 @@ def fit_local(s: np.ndarray, features: np.ndarray, steps: int = 900, tol: float
     n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
     r = p * n1 / ((1 - p) * n0 + p * n1 + EPS)
     model = Mixture(beta.tolist(), mu0, sigma0, mu1, sigma1, it, converged, before, float(p.mean()), float(r.mean()))
-    if np.abs(beta).max() > 50:
+    return warned(model), p, r
+
+
+def warned(model: Mixture) -> Mixture:
+    """Notes coefficients that have run away, which a converged likelihood does not show."""
+    if max(map(abs, model.beta)) > 50:
         model.warnings.append("a coefficient is above 50: the prior may separate the classes")
-    return model, p, r
+    return model
 
 
 def initial_table(df: DataFrame, s: str, group: Sequence[str] = ()) -> DataFrame:
@@ -160,6 +170,7 @@ def newton(row: dict, beta: list[float]) -> list[float]:
 
 
 def moment_sums(s: Column, r: Column) -> list[Column]:
+    """Sums for means and variances of both parts; s should be centred, so that squares do not cancel."""
     return [F.sum(r).alias("r1"), F.sum(1 - r).alias("r0"), F.sum(r * s).alias("s1"), F.sum((1 - r) * s).alias("s0"), F.sum(r * s * s).alias("q1"), F.sum((1 - r) * s * s).alias("q0")]
 
 
@@ -174,12 +185,34 @@ def log_likelihood(s: Column, p: Column, mu0: Column, sigma0: Column, mu1: Colum
 def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps: int = 900, tol: float = 1e-5, newton_steps: int = 2) -> dict[str, Mixture]:
     """One model for each value of group (null groups are left out); s is ln(score + 1).
 
-    Deviation from fit_local: the logistic part starts each step from its last value and takes newton_steps steps, which reach the
-    same fixed point in fewer passes. Every pass covers all groups that have not stopped.
+    Deviation from fit_local in groups of more than LOCAL_ROWS rows: the logistic part starts each step from its last value and takes
+    newton_steps steps, which reach the same fixed point in fewer passes. Every pass covers all such groups that have not stopped.
     """
     spark = df.sparkSession
+    whole = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("_g"), F.col(s).cast("double").alias("_s"), *(F.col(f).cast("double").alias(f) for f in features))
+    sizes = {r["_g"]: r["count"] for r in whole.groupBy("_g").count().collect()}  # a row a model
+    large = [g for g, n in sizes.items() if n > LOCAL_ROWS]
+
+    def fit_one(part: pa.Table) -> pa.Table:
+        x = np.column_stack([part.column(f).to_numpy() for f in features]) if features else np.zeros((part.num_rows, 0))
+        m, _, _ = fit_local(part.column("_s").to_numpy(), x, steps, tol)
+        return pa.Table.from_pylist([{"_g": part.column("_g")[0].as_py(), "beta": m.beta, **{n: getattr(m, n) for n in ("mu0", "sigma0", "mu1", "sigma1", "iters", "converged")}, "ll": m.final_log_likelihood, "mp": m.mean_p, "mr": m.mean_r}], schema=FITTED_ARROW)
+
+    models: dict[str, Mixture] = {}
+    if len(large) < len(sizes):
+        small = whole.where(~F.col("_g").isin(large)) if large else whole
+        for r in small.groupBy("_g").applyInArrow(fit_one, FITTED).collect():
+            models[r["_g"]] = Mixture(list(r["beta"]), r["mu0"], r["sigma0"], r["mu1"], r["sigma1"], r["iters"], r["converged"], r["ll"], r["mp"], r["mr"])
+    if large:
+        models |= _fit_large(whole.where(F.col("_g").isin(large)), features, steps, tol, newton_steps)
+    return {g: warned(m) for g, m in sorted(models.items())}
+
+
+def _fit_large(df: DataFrame, features: Sequence[str], steps: int, tol: float, newton_steps: int) -> dict[str, Mixture]:
+    """df: _g, _s and the features."""
+    spark = df.sparkSession
     x = [F.lit(1.0), *(F.col(f) for f in features)]
-    data = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("_g"), F.col(s).alias("_s"), *features).persist()
+    data = df.persist()
     try:
         start = {r["_g"]: r for r in initial_table(data, "_s", ["_g"]).collect()}
         models = {g: Mixture([0.0] * len(x), r["mu0"], r["sigma0"], r["mu1"], r["sigma1"]) for g, r in start.items()}
@@ -196,13 +229,13 @@ def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps
                 break
             old = {g: list(models[g].beta) for g in live}
             for k in range(20 if first else newton_steps):
-                rows = data.join(table({g: [*old[g], *models[g].beta, *(getattr(models[g], n) for n in names)] for g in live}, [*b0, *b1, *names]), "_g")
+                rows = data.join(table({g: [*old[g], *models[g].beta, *(getattr(models[g], n) for n in names), start[g]["q50"]] for g in live}, [*b0, *b1, *names, "_mid"]), "_g")
                 p_old = sigmoid(sum((F.col(b) * v for b, v in zip(b0, x, strict=True)), F.lit(0.0)))
                 p_new = sigmoid(sum((F.col(b) * v for b, v in zip(b1, x, strict=True)), F.lit(0.0)))
                 base = F.lit(0.5) if first else p_old
                 r = posterior(F.col("_s"), base, *(F.col(n) for n in names))
                 r = F.least(F.greatest(r, F.lit(0.01 if first else EPS)), F.lit(0.99 if first else 1 - EPS))
-                sums = {q["_g"]: q.asDict() for q in rows.groupBy("_g").agg(*gram_sums(x, p_new, r), *moment_sums(F.col("_s"), r)).collect()}
+                sums = {q["_g"]: q.asDict() for q in rows.groupBy("_g").agg(*gram_sums(x, p_new, r), *moment_sums(F.col("_s") - F.col("_mid"), r)).collect()}
                 moved = 0.0
                 for g, q in sums.items():
                     new = newton(q, models[g].beta)
@@ -215,9 +248,10 @@ def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps
                 continue
             for g, q in sums.items():
                 m = models[g]
-                m.mu0, m.mu1 = q["s0"] / (q["r0"] + EPS), q["s1"] / (q["r1"] + EPS)
-                m.sigma0 = math.sqrt(max((q["q0"] - 2 * m.mu0 * q["s0"] + m.mu0**2 * q["r0"]) / (q["r0"] + EPS), EPS))
-                m.sigma1 = math.sqrt(max((q["q1"] - 2 * m.mu1 * q["s1"] + m.mu1**2 * q["r1"]) / (q["r1"] + EPS), EPS))
+                d0, d1 = q["s0"] / (q["r0"] + EPS), q["s1"] / (q["r1"] + EPS)  # from the group's median
+                m.sigma0 = math.sqrt(max((q["q0"] - 2 * d0 * q["s0"] + d0**2 * q["r0"]) / (q["r0"] + EPS), EPS))
+                m.sigma1 = math.sqrt(max((q["q1"] - 2 * d1 * q["s1"] + d1**2 * q["r1"]) / (q["r1"] + EPS), EPS))
+                m.mu0, m.mu1 = start[g]["q50"] + d0, start[g]["q50"] + d1
             rows = data.join(table({g: [*models[g].beta, *(getattr(models[g], n) for n in names)] for g in live}, [*b1, *names]), "_g")
             p = sigmoid(sum((F.col(b) * v for b, v in zip(b1, x, strict=True)), F.lit(0.0)))
             par = [F.col(n) for n in names]
@@ -239,3 +273,14 @@ def with_posterior(df: DataFrame, model: Mixture, s: str, features: Sequence[str
     z = sum((b * F.col(f) for b, f in zip(model.beta[1:], features, strict=True)), F.lit(model.beta[0]))
     out = df.withColumn("prior_p", sigmoid(z))
     return out.withColumn("posterior_r", posterior(F.col(s), F.col("prior_p"), model.mu0, model.sigma0, model.mu1, model.sigma1))
+
+
+def with_posteriors(df: DataFrame, models: dict[str, Mixture], group: str, s: str, features: Sequence[str]) -> DataFrame:
+    """Adds prior_p and posterior_r by the model of each row's group; rows of groups without a model are left out."""
+    names = [*(f"_b{k}" for k in range(len(features) + 1)), "_mu0", "_sigma0", "_mu1", "_sigma1"]
+    rows = [(g, *map(float, (*m.beta, m.mu0, m.sigma0, m.mu1, m.sigma1))) for g, m in models.items()]
+    table = df.sparkSession.createDataFrame(rows, "_g string, " + ", ".join(f"{c} double" for c in names))
+    out = df.join(F.broadcast(table), F.col(group).cast("string") == F.col("_g"))  # a row a model
+    z = sum((F.col(f"_b{k + 1}") * F.col(f) for k, f in enumerate(features)), F.col("_b0"))
+    out = out.withColumn("prior_p", sigmoid(z))
+    return out.withColumn("posterior_r", posterior(F.col(s), F.col("prior_p"), *(F.col(c) for c in names[-4:]))).drop("_g", *names)

@@ -1,7 +1,7 @@
 """Exact quantiles of columns of any size.
 
 Spark's exact percentile keeps every distinct value in one place, so it is used only where there are at most ``MOST_DISTINCT`` of
-them. Beyond that a rank is bracketed by sampled quantiles, counted, and bracketed again, until few values are left.
+them. Beyond that all wanted ranks are bracketed by sampled quantiles, counted, and bracketed again, until few values are left.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_DISTINCT, MOST_LEFT = 1_000_000, 100_000
+from ..functions.expressions import places
+
+MOST_DISTINCT, MOST_LEFT, CUTS = 1_000_000, 100_000, 2000
 
 
 def few_distinct(df: DataFrame, column: str, group: Sequence[str] = ()) -> bool:
@@ -20,22 +22,36 @@ def few_distinct(df: DataFrame, column: str, group: Sequence[str] = ()) -> bool:
     return (counts.agg(F.max("d")).first()[0] or 0) <= MOST_DISTINCT
 
 
-def value_at(df: DataFrame, column: str, rank: int, size: int) -> float:
-    """The value at a 0-based rank among size values. What is left of df shrinks some hundredfold in each round."""
-    below = 0
-    while size > MOST_LEFT:
-        share = (rank - below) / size
-        width = 0.002
-        while True:
-            a, b = df.stat.approxQuantile(column, [max(share - width, 0.0), min(share + width, 1.0)], 0.0005)
-            under, inside = df.agg(F.count_if(F.col(column) < a), F.count_if(F.col(column).between(a, b))).first()
-            if below + under <= rank < below + under + inside:
-                break
-            width *= 4
-        if a == b:
-            return a
-        df, below, size = df.where(F.col(column).between(a, b)), below + under, inside
-    return sorted(r[0] for r in df.select(column).toLocalIterator())[rank - below]  # at most MOST_LEFT values
+def values_at(df: DataFrame, column: str, ranks: Sequence[int], size: int) -> list[float]:
+    """The values at 0-based ranks among size values, all in the same few passes.
+
+    Each round cuts the values by CUTS sampled quantiles, counts what lies on and between the cuts, and goes on with the pieces that hold a
+    wanted rank. Values that equal a cut are a piece of their own and settle their ranks.
+    """
+    wanted = sorted(set(ranks))
+    if size <= MOST_LEFT:
+        found = sorted(r[0] for r in df.select(column).toLocalIterator())  # at most MOST_LEFT values
+        return [found[r] for r in ranks]
+    cuts = sorted(set(df.stat.approxQuantile(column, [k / CUTS for k in range(CUTS + 1)], 0.5 / CUTS)))
+    v = F.col(column)
+    at = places(v, cuts)
+    on_cut = F.coalesce(F.get(F.array(*(F.lit(float(c)) for c in cuts)), at - 1) == v, F.lit(False))
+    df = df.withColumn("_piece", 2 * at - F.when(on_cut, 1).otherwise(0))  # odd: the cut itself
+    counts = {r["_piece"]: r["count"] for r in df.groupBy("_piece").count().collect()}  # at most 2 * CUTS + 3 rows
+    begin, kept, left, settled, moved = 0, [], 0, {}, {}
+    for piece in sorted(counts):
+        inside = [r for r in wanted if begin <= r < begin + counts[piece]]
+        if piece % 2:
+            settled |= {r: cuts[piece // 2] for r in inside}
+        elif inside:
+            moved |= {r: left + r - begin for r in inside}
+            kept.append(piece)
+            left += counts[piece]
+        begin += counts[piece]
+    if moved:
+        deeper = values_at(df.where(F.col("_piece").isin(kept)).select(column), column, list(moved.values()), left)
+        settled |= dict(zip(moved, deeper, strict=True))
+    return [settled[r] for r in ranks]
 
 
 def quantile_values(df: DataFrame, column: str, points: Sequence[float]) -> list[float] | None:
@@ -44,10 +60,7 @@ def quantile_values(df: DataFrame, column: str, points: Sequence[float]) -> list
     if few_distinct(df, column):
         found = df.agg(F.percentile(column, [float(p) for p in points])).first()[0]
         return None if found is None else list(found)
-    n, out = df.count(), []
-    for p in points:
-        low = math.floor(p * (n - 1))
-        a = value_at(df, column, low, n)
-        b = a if low + 1 >= n else value_at(df, column, low + 1, n)
-        out.append(a + (p * (n - 1) - low) * (b - a))
-    return out
+    n = df.count()
+    low = [math.floor(p * (n - 1)) for p in points]
+    found = values_at(df, column, [*low, *(min(k + 1, n - 1) for k in low)], n)
+    return [a + (p * (n - 1) - k) * (b - a) for p, k, a, b in zip(points, low, found, found[len(low) :], strict=True)]

@@ -1,26 +1,27 @@
 """Scoring of sequence windows with a position-weight matrix.
 
-Contigs are cut into tiles with a halo on both sides, so that a chromosome spreads over tasks; tiles are scored in numpy by Arrow
-batches, with prefix sums for all windows, and the tile size never changes a result. Near a contig's end a score window keeps its
+Contigs are cut into tiles with a halo on both sides, and the tiles are dealt out anew, so that a chromosome spreads over tasks; a tile
+is scored on both strands in numpy, with prefix sums for all windows, and the tile size never changes a result. Near a contig's end a score window keeps its
 width and stays where it last fitted; GC windows are cut off there instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import reverse_complement
-
-TILE = 1 << 20
+TILE = 1 << 18
 CODES = np.full(256, 255, np.uint8)
 for _k, _letters in enumerate((b"A", b"C", b"G", b"TU")):
     for _b in _letters:
         CODES[_b] = _k
+#: The code of the base that pairs with each; a letter that is none stays so.
+PAIRED = np.full(256, 255, np.uint8)
+PAIRED[:4] = (3, 2, 1, 0)
 SCAN = (
     "chrom string, contig_order bigint, pos1 bigint, strand string, inner_mean double, outer_mean double, "
     "gc_inner_pct double, gc_outer_pct double, kmer_count_inner int, kmer_count_outer int"
@@ -57,13 +58,21 @@ def kmer_scores(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.
 
 def scan_tile(codes: np.ndarray, at: int, first: int, last: int, n: int, weights: np.ndarray, inner: int, outer: int) -> dict[str, np.ndarray]:
     """All windows of the centres first..last-1 (0-based) of a contig of n bases; codes is its part that starts at ``at``."""
+    return scan_centres(codes, np.arange(first, last), -at, n, weights, inner, outer)
+
+
+def scan_centres(codes: np.ndarray, i: np.ndarray, off: np.ndarray | int, n: np.ndarray | int, weights: np.ndarray, inner: int, outer: int) -> dict[str, np.ndarray]:
+    """All windows of the centres i (0-based in their contigs of n bases), where base b of a centre's contig stands at codes[off + b].
+
+    Parts of many contigs may stand behind each other in codes: no window leaves its contig.
+    """
     size = len(weights)
     score, valid = kmer_scores(codes, weights)
     sums, counts, gc = (np.r_[0, np.cumsum(x)] for x in (score, valid, (codes == 1) | (codes == 2)))
-    i = np.arange(first, last)
 
     def over(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return sums[end + 1 - at] - sums[start - at], counts[end + 1 - at] - counts[start - at]
+        start, end = start + off, end + 1 + off
+        return sums[end] - sums[start], counts[end] - counts[start]
 
     none = np.zeros(len(i)), np.zeros(len(i), np.int64)
     w_in, w_out = 2 * inner - size + 2, outer - inner - size + 1
@@ -77,7 +86,7 @@ def scan_tile(codes: np.ndarray, at: int, first: int, last: int, n: int, weights
 
     def bases(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end = np.clip(start, 0, n), np.clip(end, 0, n)
-        return gc[np.maximum(end, start) - at] - gc[start - at], np.maximum(end - start, 0)
+        return gc[np.maximum(end, start) + off] - gc[start + off], np.maximum(end - start, 0)
 
     g_in, l_in = bases(i - inner, i + inner + 1)
     g_left, l_left = bases(i - outer, i - inner)
@@ -94,52 +103,81 @@ def scan_tile(codes: np.ndarray, at: int, first: int, last: int, n: int, weights
         }
 
 
-def _tiles(tile: int, halo: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = len(row["seq"])
-                rows = [{"chrom": row["chrom"], "contig_order": row["contig_order"], "strand": row["strand"], "n": n, "first": a, "last": min(a + tile, n), "start": max(0, a - halo), "part": row["seq"][max(0, a - halo) : a + tile + halo]} for a in range(0, n, tile)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=TILES)
-
-    return cut
-
+TILES = "chrom string, contig_order bigint, n bigint, first bigint, last bigint, start bigint, part string"
 
-TILES = pa.schema([("chrom", pa.string()), ("contig_order", pa.int64()), ("strand", pa.string()), ("n", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("part", pa.string())])
 
+def tiles(seqs: DataFrame, tile: int, halo: int) -> DataFrame:
+    """Pieces of ``tile`` bases with a halo on both sides, dealt out anew by contig and place: a contig's tiles lie in many partitions."""
+    names = [c.strip().split()[0] for c in TILES.split(",")]
 
-def scan_windows(seqs: DataFrame, weights: np.ndarray, inner: int = 50, outer: int = 500, strands: bool = True, tile: int = TILE) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                seq = batch.column(2)[k].as_py()
+                n, first = len(seq), np.arange(0, len(seq), tile)
+                start, last = np.maximum(first - halo, 0), np.minimum(first + tile, n)
+                for at in range(0, len(first), 64):  # a batch holds a bounded part of a contig
+                    f, s, e = first[at : at + 64], start[at : at + 64], last[at : at + 64]
+                    part = pa.array([seq[a : b + halo] for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.string())
+                    same = [pa.repeat(batch.column(c)[k], len(f)) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(f), n)), pa.array(f), pa.array(e), pa.array(s), part], names)
+
+    whole = seqs.select(F.col("chrom").cast("string").alias("chrom"), F.col("contig_order").cast("bigint").alias("contig_order"), F.col("seq").cast("string").alias("seq"))
+    return whole.mapInArrow(cut, TILES).repartition("chrom", "first")
+
+
+def _ends(score: np.ndarray, keep: tuple[int, int], slack: float) -> np.ndarray:
+    """Which scores may be among the keep[0] highest or the keep[1] lowest of all; ties with the last one stay."""
+    chosen = np.zeros(len(score), bool)
+    for n, x in zip(keep, (-score, score), strict=True):
+        if n >= len(score):
+            return np.ones(len(score), bool)
+        if n > 0:
+            chosen |= x <= np.partition(x, n - 1)[n - 1] + slack
+    return chosen
+
+
+def scan_windows(seqs: DataFrame, weights: np.ndarray, inner: int = 50, outer: int = 500, strands: bool = True, tile: int = TILE, columns: Sequence[str] | None = None, keep: tuple[int, int] | None = None, slack: float = 0.0) -> DataFrame:
     """Every centre of every contig with at least one valid inner k-mer, on one or both strands.
 
     seqs: chrom, seq (upper case), contig_order. weights: log ratios [L, 4]. Contigs shorter than max(2*inner+1, 2*outer+1, L) are
-    skipped. pos1 is 1-based and always counted on the forward strand.
+    skipped. pos1 is 1-based and always counted on the forward strand. columns: those of SCAN that are wanted. keep: the numbers of
+    highest and lowest inner means that are wanted, of which each tile gives its own, with what is within ``slack`` of the last one.
     """
     if outer <= inner:
         raise ValueError("outer must be greater than inner")
     size = len(weights)
-    whole = seqs.select(F.col("chrom").cast("string").alias("chrom"), F.col("contig_order").cast("bigint").alias("contig_order"), F.col("seq"), F.lit("+").alias("strand"))
-    whole = whole.where(F.length("seq") >= max(2 * inner + 1, 2 * outer + 1, size))
-    if strands:
-        whole = whole.unionByName(whole.withColumn("seq", reverse_complement(F.col("seq"))).withColumn("strand", F.lit("-")))
-    names = [c.strip().split()[0] for c in SCAN.split(",")]
+    whole = seqs.where(F.length("seq") >= max(2 * inner + 1, 2 * outer + 1, size))
+    kinds = dict(c.strip().split() for c in SCAN.split(","))
+    names = list(columns or kinds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                codes = CODES[np.frombuffer(r["part"].encode("latin-1", "replace"), np.uint8)]
-                x = scan_tile(codes, r["start"], r["first"], r["last"], r["n"], weights, inner, outer)
-                keep = x["kmer_count_inner"] > 0
-                x = {k: v[keep] for k, v in x.items()}
-                if r["strand"] == "-":
-                    x["pos1"] = r["n"] - x["pos1"] + 1
-                m = len(x["pos1"])
-                x |= {"chrom": np.full(m, r["chrom"], object), "strand": np.full(m, r["strand"], object), "contig_order": np.full(m, r["contig_order"]), "kmer_count_inner": x["kmer_count_inner"].astype(np.int32), "kmer_count_outer": x["kmer_count_outer"].astype(np.int32)}
-                yield pa.RecordBatch.from_arrays([pa.array(x[c], pa.string()) if c in ("chrom", "strand") else pa.array(x[c]) for c in names], names)
-
-    halo = outer + 2 * inner + size
-    tiles = whole.mapInArrow(_tiles(tile, halo), "chrom string, contig_order bigint, strand string, n bigint, first bigint, last bigint, start bigint, part string")
-    return tiles.mapInArrow(score, SCAN)
+            n, first, last, start = (batch.column(c).to_numpy() for c in ("n", "first", "last", "start"))
+            parts = [CODES[np.frombuffer(x.encode("latin-1", "replace"), np.uint8)] for x in batch.column("part").to_pylist()]
+            groups = np.cumsum([len(x) for x in parts]) // tile if parts else np.zeros(0, np.int64)
+            for g in np.unique(groups):  # short contigs are scored together
+                at = np.flatnonzero(groups == g)
+                codes = np.concatenate([parts[k] for k in at])
+                length, count = np.array([len(parts[k]) for k in at]), last[at] - first[at]
+                before, owner = np.cumsum(length) - length, np.repeat(at, count)
+                ahead = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                for strand in "+-" if strands else "+":
+                    if strand == "+":
+                        x = scan_centres(codes, first[owner] + ahead, np.repeat(before - start[at], count), n[owner], weights, inner, outer)
+                    else:
+                        turned = len(codes) - before - length - (n[at] - start[at] - length)
+                        x = scan_centres(PAIRED[codes[::-1]], n[owner] - last[owner] + ahead, np.repeat(turned, count), n[owner], weights, inner, outer)
+                        x["pos1"] = n[owner] - x["pos1"] + 1
+                    kept = np.flatnonzero(x["kmer_count_inner"] > 0)
+                    if keep is not None:
+                        kept = kept[_ends(x["inner_mean"][kept], keep, slack)]
+                    rows = pa.array(owner[kept])
+                    own = {"chrom": lambda: batch.column("chrom").take(rows), "contig_order": lambda: batch.column("contig_order").take(rows), "strand": lambda: pa.repeat(pa.scalar(strand), len(kept))}  # noqa: B023
+                    out = [own[c]() if c in own else pa.array(x[c][kept].astype(np.int32) if kinds[c] == "int" else x[c][kept]) for c in names]
+                    yield pa.RecordBatch.from_arrays(out, names)
+
+    return tiles(whole, tile, outer + 2 * inner + size).mapInArrow(score, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 TIE = ("contig_order", "pos1", "strand")

@@ -18,6 +18,7 @@ FEATURES = ("inner_mean_logPWM", "outer_mean_logPWM", "GC_inner_pct", "GC_outer_
 #: In legacy mode the columns are scaled with their indices off by one: these are scaled, the rest stay raw.
 LEGACY_SCALED = (0, 1, 2, 5, 7)
 FIXED_SCALED = (0, 1, 2, 3, 6, 8)
+RAW = ("TSS_proximity", "PhastCons100_percent", "score_phastcons100")
 
 
 def scan(seqs: DataFrame, logp: np.ndarray, inner: int = 50, outer: int = 500, top: int = 2_000_000, bottom: int = 2_000_000, background: Sequence[float] | None = None, background_from_seqs: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -26,9 +27,14 @@ def scan(seqs: DataFrame, logp: np.ndarray, inner: int = 50, outer: int = 500, t
         share = {r["base"]: r["share"] for r in sequence.base_composition(seqs).collect()}  # four rows
         background = [share[b] for b in "ACGT"]
     weights = sequence.log_ratios(logp, np.full(4, 0.25) if background is None else np.asarray(background))
-    table = sequence.scan_windows(seqs, weights, inner, outer).persist()
     names = {"inner_mean": "inner_mean_logPWM", "outer_mean": "outer_mean_logPWM", "gc_inner_pct": "GC_inner_pct", "gc_outer_pct": "GC_outer_pct"}
-    return tuple(sequence.in_output_order(t).withColumnsRenamed(names) for t in (sequence.top_sites(table, top), sequence.bottom_sites(table, bottom)))
+
+    def best(keep: tuple[int, int]) -> DataFrame:
+        table = sequence.scan_windows(seqs, weights, inner, outer, keep=keep)  # each task hands on its own best alone
+        return sequence.in_output_order(sequence.top_sites(table, keep[0]) if keep[0] else sequence.bottom_sites(table, keep[1])).withColumnsRenamed(names)
+
+    empty = sequence.scan_windows(seqs, weights, inner, outer).where("false").withColumnsRenamed(names)
+    return best((top, 0)) if top else empty, best((0, bottom)) if bottom else empty
 
 
 def accessibility(sites: DataFrame, native: DataFrame, fixed: DataFrame, inner: int = 50, outer: int = 500, threshold: int = sig.THRESHOLD, dense: bool = False) -> DataFrame:
@@ -61,64 +67,98 @@ def annotation(sites: DataFrame, exons: DataFrame, regions: DataFrame, expressio
         names = [c for c in joined.columns if c not in ("id", "PhastCons100_percent")]
         joined = joined.groupBy("id").agg(*(F.first(c).alias(c) for c in names), F.max("PhastCons100_percent").alias("PhastCons100_percent"))
     filled = features.lookup_or(joined, expression, "transcript_id", "TPM")
+    near = filled.agg(F.min("_s").alias("a"), F.max("_s").alias("b")).first()  # two numbers: only scores within reach of some site are read
     for table, name in ((phastcons, "score_phastcons100"), (phylop, "score_phylop100")):
+        if near["a"] is not None:
+            table = table.where((F.col("start") <= near["b"]) & (F.col("end") >= near["a"]))
         scores = table.select("chrom", F.col("start").alias("_c0"), F.col("end").alias("_c1"), F.col("score").alias(name))
         filled = intervals.asof_contains(filled, scores, ("chrom",), "_s", "_c0", "_c1", (name,)).drop("_c0", "_c1")
     return filled.drop("_s", "_e")
 
 
+def scaled_columns(feature_columns: Sequence[str], legacy: bool = False) -> list[str]:
+    """The features that are z-scored; the others of FEATURES are ratios and stay raw. Other lists are scaled whole."""
+    which = LEGACY_SCALED if legacy else FIXED_SCALED if tuple(feature_columns) == FEATURES else [k for k, c in enumerate(feature_columns) if c not in RAW]
+    return [feature_columns[k] for k in which if k < len(feature_columns)]
+
+
 def model(sites: DataFrame, feature_columns: Sequence[str] = FEATURES, score: str = "s_l", mode: str = "em", steps: int = 900, tol: float = 1e-5, legacy: bool = False) -> tuple[DataFrame, mixture.Mixture]:
     """Fits the mixture on all rows as one group; returns the usable rows with prior_p and posterior_r, and the model."""
+    rows, fitted = model_groups(sites.withColumn("_one", F.lit("all")), "_one", feature_columns, score, mode, steps, tol, legacy)
+    if "all" not in fitted:
+        raise ValueError("no row has a finite score and finite features")
+    return rows.drop("_one"), fitted["all"]
+
+
+def model_groups(sites: DataFrame, group: str, feature_columns: Sequence[str] = FEATURES, score: str = "s_l", mode: str = "em", steps: int = 900, tol: float = 1e-5, legacy: bool = False) -> tuple[DataFrame, dict[str, mixture.Mixture]]:
+    """A mixture for each value of group, all fitted side by side; features are scaled within their group.
+
+    Returns the usable rows with prior_p and posterior_r, and the models. Groups without a usable row, and rows without a group, are left out.
+    """
     if mode != "em":
         raise ValueError(f"no such mode: {mode}")
-    clean = features.model_input(sites, feature_columns, score, legacy)
-    which = LEGACY_SCALED if legacy else FIXED_SCALED if tuple(feature_columns) == FEATURES else range(len(feature_columns))
-    scaled_names = [feature_columns[k] for k in which if k < len(feature_columns)]
-    scaled = features.zscored(clean, scaled_names)
+    clean = features.model_input(sites, feature_columns, score, legacy).where(F.col(group).isNotNull())
+    scaled_names = scaled_columns(feature_columns, legacy)
+    scaled = features.zscored(clean, scaled_names, by=(group,))
     used = [f"{c}_z" if c in scaled_names else c for c in feature_columns]
-    ready = scaled.withColumn("_one", F.lit("all")).withColumn("_log", F.ln(F.col(score) + 1))
-    fitted = mixture.fit_groups(ready, "_one", "_log", used, steps, tol)["all"]
-    out = mixture.with_posterior(ready, fitted, "_log", used)
-    return out.drop("_one", "_log", *(f"{c}_z" for c in scaled_names)), fitted
+    ready = scaled.withColumn("_log", F.ln(F.col(score) + 1))
+    fitted = mixture.fit_groups(ready, group, "_log", used, steps, tol)
+    out = mixture.with_posteriors(ready, fitted, group, "_log", used)
+    return out.drop("_log", *(f"{c}_z" for c in scaled_names)), fitted
 
 
-def evaluation(modelled: DataFrame, peaks: DataFrame, structured: DataFrame, fitted: mixture.Mixture | None = None, feature_columns: Sequence[str] = FEATURES, limit: float = 1.0, half: int = 50, title: str = "") -> dict[str, DataFrame]:
+def evaluation(modelled: DataFrame, peaks: DataFrame, structured: DataFrame, fitted: mixture.Mixture | None = None, feature_columns: Sequence[str] = FEATURES, limit: float = 1.0, half: int = 50, title: str = "", legacy: bool = False) -> dict[str, DataFrame]:
     """Labels sites by overlap and measures the posterior and two supervised baselines: tables labelled, metrics, coefficients, coefficients_sl.
 
-    modelled: id, posterior_r, prior_p, s_l and the features. peaks and structured: chrom, strand, start, end.
+    modelled: id, posterior_r, prior_p, s_l, score_phastcons100 and the features. peaks and structured: chrom, strand, start, end. All sites are
+    labelled and counted (``motif_df``); those with a finite score and finite features are measured (``out_df``), as the model saw them: of
+    the features only scaled_columns() are z-scored, over all these sites and before the undetermined ones are left out.
     """
     spark = modelled.sparkSession
+    features.require_columns(modelled, ["id", "posterior_r", "prior_p", "s_l", "score_phastcons100", "PhastCons100_percent", *feature_columns])
+    for table in (peaks, structured):
+        features.require_columns(table, ["chrom", "strand", "start", "end"])
     chrom, pos, strand = X.parsed_site_id(F.col("id"))
     placed = modelled.withColumn("chrom", chrom).withColumn("_p", pos).withColumn("strand", strand)
     spans = placed.select("id", "chrom", "strand", (F.col("_p") - half).alias("_s"), (F.col("_p") + half).alias("_e"))
     hit = lambda t: intervals.overlap_pairs(spans, t.select("chrom", "strand", F.col("start").alias("_a"), F.col("end").alias("_b")), ("chrom", "strand"), ("_s", "_e"), ("_a", "_b")).select("id")
-    labelled = features.label_sites(modelled, hit(peaks), hit(structured), "id", "score_phastcons100", limit)
-    labelled = features.oriented(labelled, "posterior_r", "PhastCons100_percent", ["posterior_r", "prior_p"]).persist()
-    known = labelled.where("label <> 'non_determined'").withColumn("y", F.when(F.col("label") == "clip_bound", 1).otherwise(0))
-    scaled = features.zscored(known.withColumn("log_s", F.ln(F.col("s_l") + 1)), [*feature_columns, "log_s"])
-    zs = [f"{c}_z" for c in feature_columns]
-    plain, with_s = baselines.fit_logistic(scaled, zs, "y"), baselines.fit_logistic(scaled, ["log_s_z", *zs], "y")
-    auc = lambda df, c: (metrics.roc_auc(df, c, "y").first() or [None])[0]
-    counts = {r["label"]: r["n"] for r in features.label_counts(labelled, "label", ["clip_bound", "clip_unbound", "non_determined"]).collect()}
-    f1 = metrics.best_f1(known, "posterior_r", "y").first()
-    at = {t: metrics.precision_at_fpr(known, "posterior_r", "y", t).first() for t in (0.1, 0.01)}
-    row: dict[str, object] = {
-        "file_title": title,
-        "auc_control": auc(known, "inner_mean_logPWM"),
-        "auc_em": auc(known, "posterior_r"),
-        "ap_em": metrics.average_precision(known, "posterior_r", "y").first()[0],
-        "f1_best_em": f1["f1"] if f1 else None,
-        "f1_best_threshold_em": f1["threshold"] if f1 else None,
-    }
-    for t, name in ((0.1, "10pct"), (0.01, "1pct")):
-        r = at[t] or {"precision": None, "fpr": None, "tpr": None, "threshold": None}
-        row |= {f"precision_at_{name}_fpr_em": r["precision"], f"actual_fpr_at_{name}_target": r["fpr"], f"tpr_at_{name}_fpr_em": r["tpr"], f"threshold_at_{name}_fpr_em": r["threshold"]}
-    row["auc_lr"] = math.nan if plain.one_class else auc(baselines.with_probability(scaled, plain, zs), "probability")
-    row["auc_lr_sl"] = math.nan if with_s.one_class else auc(baselines.with_probability(scaled, with_s, ["log_s_z", *zs]), "probability")
-    row |= {f"n_{k}_out_df": v for k, v in counts.items()} | {f"n_{k}_motif_df": v for k, v in counts.items()}
-    for k in ("clip_bound", "clip_unbound"):
-        part = labelled.where(F.col("label") == k).select(F.ln(F.col("s_l") + 1).alias("v"))
-        row |= {f"qq_{k}_{name}": v for name, v in (baselines.qq_deviations(part, "v") if counts[k] > 1 else dict.fromkeys(("gamma", "normal", "student"))).items()}
+    every = features.label_sites(modelled, hit(peaks), hit(structured), "id", "score_phastcons100", limit).persist()
+    clean = features.model_input(every, feature_columns, "s_l", legacy)
+    labelled = features.oriented(clean, "posterior_r", "PhastCons100_percent", ["posterior_r", "prior_p"]).persist()
+    try:
+        names = ["clip_bound", "clip_unbound", "non_determined"]
+        numbers = lambda df: {r["label"]: r["n"] for r in features.label_counts(df, "label", names).collect()}
+        counts, all_counts = numbers(labelled), numbers(every)
+        scaled_names = scaled_columns(feature_columns, legacy)
+        scaled = features.zscored(labelled.withColumn("log_s", F.ln(F.col("s_l") + 1)), [*scaled_names, "log_s"])
+        scaled = scaled.where("label <> 'non_determined'").withColumn("y", F.when(F.col("label") == "clip_bound", 1).otherwise(0)).persist()
+        zs = [f"{c}_z" if c in scaled_names else c for c in feature_columns]
+        plain, with_s = baselines.fit_logistic(scaled, zs, "y"), baselines.fit_logistic(scaled, ["log_s_z", *zs], "y")
+        auc = lambda df, c: (metrics.roc_auc(df, c, "y").first() or [None])[0]
+        run = metrics.running_by_score(scaled, "posterior_r", "y").persist()
+        f1 = metrics.best_f1_of(run).first()
+        row: dict[str, object] = {
+            "file_title": title,
+            "auc_control": auc(scaled, "inner_mean_logPWM") if "inner_mean_logPWM" in modelled.columns else None,
+            "auc_em": metrics.roc_auc_of(run).first()[0],
+            "ap_em": metrics.average_precision_of(run).first()[0],
+            "f1_best_em": f1["f1"] if f1 else None,
+            "f1_best_threshold_em": f1["threshold"] if f1 else None,
+        }
+        for t, name in ((0.1, "10pct"), (0.01, "1pct")):
+            r = metrics.precision_at_fpr_of(run, t).first() or {"precision": None, "fpr": None, "tpr": None, "threshold": None}
+            row |= {f"precision_at_{name}_fpr_em": r["precision"], f"actual_fpr_at_{name}_target": r["fpr"], f"tpr_at_{name}_fpr_em": r["tpr"], f"threshold_at_{name}_fpr_em": r["threshold"]}
+        run.unpersist()
+        row["auc_lr"] = math.nan if plain.one_class else auc(baselines.with_probability(scaled, plain, zs), "probability")
+        row["auc_lr_sl"] = math.nan if with_s.one_class else auc(baselines.with_probability(scaled, with_s, ["log_s_z", *zs]), "probability")
+        scaled.unpersist()
+        row |= {f"n_{k}_out_df": v for k, v in counts.items()} | {f"n_{k}_motif_df": v for k, v in all_counts.items()}
+        for k in ("clip_bound", "clip_unbound"):
+            part = labelled.where(F.col("label") == k).select(F.ln(F.col("s_l") + 1).alias("v"))
+            row |= {f"qq_{k}_{name}": v for name, v in (baselines.qq_deviations(part, "v") if counts[k] > 1 else dict.fromkeys(("gamma", "normal", "student"))).items()}
+    finally:
+        every.unpersist()
+        labelled.unpersist()
     kinds = ", ".join(f"{k} {'string' if k == 'file_title' else 'bigint' if k.startswith('n_') else 'double'}" for k in row)
     beta = fitted.beta if fitted else [math.nan] * (len(feature_columns) + 1)
     coefficients = spark.createDataFrame([(n, float(b), float(c)) for n, b, c in zip(["intercept", *feature_columns], beta, [plain.intercept, *plain.coefficients], strict=True)], "feature string, beta_em double, beta_lr double")
@@ -126,5 +166,17 @@ def evaluation(modelled: DataFrame, peaks: DataFrame, structured: DataFrame, fit
     return {"labelled": labelled, "metrics": spark.createDataFrame([tuple(row.values())], kinds), "coefficients": coefficients, "coefficients_sl": coefficients_sl}
 
 
+#: Keys of a model's record, by where they stand in it.
+PARAMETERS, DIAGNOSTICS = ("mu0", "sigma0", "mu1", "sigma1"), ("iters", "converged", "final_log_likelihood", "mean_p", "mean_r")
+
+
 def model_record(fitted: mixture.Mixture) -> dict:
-    return asdict(fitted)
+    """mode, beta, gaussian_params and diagnostics; warnings beside them."""
+    flat = asdict(fitted)
+    return {"mode": "em_gaussian", "beta": flat["beta"], "gaussian_params": {k: flat[k] for k in PARAMETERS}, "diagnostics": {k: flat[k] for k in DIAGNOSTICS}, "warnings": flat["warnings"]}
+
+
+def model_of_record(record: dict) -> mixture.Mixture:
+    """The model that model_record() wrote; numbers that were not finite come back as NaN."""
+    known = record["gaussian_params"] | record["diagnostics"]
+    return mixture.Mixture(beta=[math.nan if b is None else b for b in record["beta"]], warnings=list(record.get("warnings", [])), **{k: math.nan if known[k] is None else known[k] for k in (*PARAMETERS, *DIAGNOSTICS)})

@@ -5,7 +5,9 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ MAGIC, TREE_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 BED_GRAPH, VARIABLE_STEP, FIXED_STEP = 1, 2, 3
 
 
-def intervals(data: bytes | memoryview) -> Iterator[tuple[str, int, int, float]]:
-    """All intervals of a file's content, in its order."""
+def blocks(data: bytes | memoryview) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chromosome, starts, ends and values of each block of a file's content, in its order."""
     end = "<" if struct.unpack_from("<I", data)[0] == MAGIC else ">"
     if struct.unpack_from(end + "I", data)[0] != MAGIC:
         raise ValueError("not a BigWig file")
@@ -26,17 +28,16 @@ def intervals(data: bytes | memoryview) -> Iterator[tuple[str, int, int, float]]
         block = bytes(data[offset : offset + size])
         block = zlib.decompress(block) if unpacked else block
         chrom, start, _, step, span, kind, _, count = struct.unpack_from(end + "IIIIIBBH", block)
-        for k in range(count):
-            if kind == BED_GRAPH:
-                a, b, v = struct.unpack_from(end + "IIf", block, 24 + 12 * k)
-            elif kind == VARIABLE_STEP:
-                a, v = struct.unpack_from(end + "If", block, 24 + 8 * k)
-                b = a + span
-            else:
-                (v,) = struct.unpack_from(end + "f", block, 24 + 4 * k)
-                a = start + k * step
-                b = a + span
-            yield names[chrom], a, b, v
+        fields = {BED_GRAPH: "start end value", VARIABLE_STEP: "start value", FIXED_STEP: "value"}[kind].split()
+        rows = np.frombuffer(block, np.dtype([(f, end + ("f4" if f == "value" else "u4")) for f in fields]), count, 24)
+        starts = rows["start"].astype(np.int64) if "start" in fields else start + step * np.arange(count, dtype=np.int64)
+        yield names[chrom], starts, rows["end"].astype(np.int64) if "end" in fields else starts + span, rows["value"].astype(np.float64)
+
+
+def intervals(data: bytes | memoryview) -> Iterator[tuple[str, int, int, float]]:
+    """All intervals of a file's content, in its order."""
+    for chrom, starts, ends, values in blocks(data):
+        yield from zip(repeat(chrom), starts.tolist(), ends.tolist(), values.tolist(), strict=False)
 
 
 def _names(data, at: int, end: str) -> Iterator[tuple[int, str]]:
@@ -69,25 +70,15 @@ def read_bigwig(spark: SparkSession, path: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held: list[tuple] = []
-                for row in intervals(memoryview(content.as_buffer())):
-                    held.append((name, *row))
-                    if len(held) == 65_536:
-                        yield _batch(held)
-                        held = []
-                if held:
-                    yield _batch(held)
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                for chrom, starts, ends, values in blocks(memoryview(content.as_buffer())):
+                    same = [pa.repeat(pa.scalar(x), len(starts)) for x in (name.as_py(), chrom)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(starts), pa.array(ends), pa.array(values)], ["file", "chrom", "start", "end", "value"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(rows, "file string, chrom string, start bigint, end bigint, value double").where(~F.isnan("value"))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "chrom", "start", "end", "value"])
-
-
 def per_base(track: DataFrame) -> DataFrame:
     """A row (chrom, at, value) for each base of a track's intervals."""
     return track.where(F.col("end") > F.col("start")).select("chrom", F.explode(F.sequence("start", F.col("end") - 1)).alias("at"), "value")

@@ -20,27 +20,21 @@ SITES = "chrom string, pos1 bigint, strand string, inner_mean_logPWM double, out
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """contig_order, chrom, seq: the first word of each header, the record's lines joined in upper case.
 
-    Records are split by ``>`` at a line's start while reading, so files need not fit anywhere whole; text before the first header
-    is left out. Contig names that repeat are an error, as is a header without a name.
+    Records are split by ``>`` at a line's start while reading, so files need not fit anywhere whole, and no step gathers a file. Text before
+    the first header is left out. Contig names that repeat are an error, as is a header without a name.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.monotonically_increasing_id().alias("contig_order"), F.col("value"), F.input_file_name().alias("file"))
-    headed = raw.where(F.col("value").startswith(">") | ~F.col("value").startswith("\n"))
-    first = F.row_number().over(_first_of_file())
-    marked = headed.withColumn("_n", first)
-    record = F.when(F.col("_n") == 1, F.regexp_extract("value", r"(?s)(?:^|\n)>(.*)$", 1)).otherwise(F.col("value"))
-    parts = marked.select("contig_order", record.alias("r")).where(F.col("r") != "")
+    first = raw.groupBy("file").agg(F.min("contig_order").alias("contig_order")).select("contig_order", F.lit(True).alias("_first"))  # a row a file
+    marked = raw.join(first, "contig_order", "left")
+    begins = F.regexp_extract("value", r"(?s)(?:^|\n)>(.*)$", 1)  # a file's first record keeps its mark, or is the text before any
+    is_record = F.col("_first").isNull() | F.col("value").rlike(r"(?:^|\n)>")
+    parts = marked.where(is_record).select("contig_order", F.when(F.col("_first"), begins).otherwise(F.col("value")).alias("r"))
     head = F.regexp_extract("r", r"^[ \t]*([^\s]*)", 1)
     body = F.regexp_replace(F.regexp_extract("r", r"(?s)^[^\n]*\n(.*)$", 1), r"\s", "")
     named = F.when(head == "", F.raise_error(F.lit("a sequence header has no name"))).otherwise(head)
     return parts.select("contig_order", named.alias("chrom"), F.upper(body).alias("seq"))
 
 
-def _first_of_file():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("file").orderBy("contig_order")
-
-
 def check_unique_contigs(seqs: DataFrame) -> DataFrame:
     twice = seqs.groupBy("chrom").count().where("count > 1").select("chrom").limit(1).collect()
     if twice:
@@ -55,7 +49,7 @@ def parse_pwm(text: str) -> np.ndarray:
     if "U" in head and "T" in head:
         raise ValueError("a matrix has either U or T")
     head = ["T" if h == "U" else h for h in head]
-    missing = [b for b in "ACGT" if b not in head]
+    missing = [b for b in ("POS", *"ACGT") if b not in head]
     if missing:
         raise ValueError(f"the matrix lacks {', '.join(missing)}")
     p = np.array([[float(r[head.index(b)]) for b in "ACGT"] for r in rows[1:]]) + 1e-9
@@ -113,7 +107,7 @@ def discover(spark: SparkSession, pattern: str, suffix: str) -> DataFrame:
     """motif, path of the files that a glob matches: base name without suffix, sorted and distinct. File contents are not read."""
     files = spark.read.format("binaryFile").load(pattern).select("path")
     name = F.element_at(F.split("path", "/"), -1)
-    return files.where(name.endswith(suffix)).select(F.expr(f"substring({'element_at(split(path, chr(47)), -1)'}, 1, length(element_at(split(path, chr(47)), -1)) - {len(suffix)})").alias("motif"), "path").distinct().orderBy("motif")
+    return files.where(name.endswith(suffix)).select(F.left(name, F.length(name) - len(suffix)).alias("motif"), "path").distinct().orderBy("motif")
 
 
 def write_table(df: DataFrame, path: str, compress: bool = True) -> None:
@@ -126,9 +120,27 @@ def write_parquet(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
 
 
 def write_json(spark: SparkSession, record: dict, path: str) -> None:
-    """One indented JSON document, NaN and infinities as null."""
-    clean = {k: None if isinstance(v, float) and not math.isfinite(v) else v for k, v in record.items()}
-    spark.createDataFrame([(json.dumps(clean, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """One indented JSON document, NaN and infinities as null wherever they stand."""
+
+    def clean(v):
+        if isinstance(v, dict):
+            return {k: clean(x) for k, x in v.items()}
+        if isinstance(v, list | tuple):
+            return [clean(x) for x in v]
+        return None if isinstance(v, float) and not math.isfinite(v) else v
+
+    spark.createDataFrame([(json.dumps(clean(record), indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """The document that write_json() wrote."""
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def stamped(stem: str, now: datetime | None = None) -> str:

@@ -43,7 +43,9 @@ def test_local_fit_recovers_parameters():
     assert abs(m.beta[0] - 0.3) < 0.2 and abs(m.beta[1] - 1.2) < 0.25 and abs(m.mean_p - m.mean_r) < 0.0015
 
 
-def test_group_fit_agrees_with_local_fit(spark):
+@pytest.mark.parametrize("local_rows", [mixture.LOCAL_ROWS, 0])
+def test_group_fit_agrees_with_local_fit(spark, monkeypatch, local_rows):
+    monkeypatch.setattr(mixture, "LOCAL_ROWS", local_rows)
     a, b = _two_normals(1200, 4), _two_normals(900, 5)
     rows = [("a", float(s), float(x)) for s, x in zip(*a, strict=True)] + [("b", float(s), float(x)) for s, x in zip(*b, strict=True)] + [(None, 1.0, 1.0)]
     got = mixture.fit_groups(spark.createDataFrame(rows, "g string, s double, x double"), "g", "s", ["x"], steps=40)
