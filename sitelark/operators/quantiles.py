@@ -63,4 +63,4 @@ def quantile_values(df: DataFrame, column: str, points: Sequence[float]) -> list
     n = df.count()
     low = [math.floor(p * (n - 1)) for p in points]
     found = values_at(df, column, [*low, *(min(k + 1, n - 1) for k in low)], n)
-    return [a + (p * (n - 1) - k) * (b - a) for p, k, a, b in zip(points, low, found, found[len(low) :], strict=True)]
+    return [a + (p * (n - 1) - k) * (b - a) for p, k, a, b in zip(points, low, found[: len(low)], found[len(low) :], strict=True)]
