@@ -7,9 +7,8 @@
    bucket every member is tried with the bucket's smallest member only, not with all others.
 4. The collision-corrected Jaccard estimate of the registers drops candidates that are far below the threshold; the rest
    are confirmed on the full shingle sets.
-5. In buckets whose members are still in different components these are compared by their sets, cut to 32-bit hashes, in
-   blocks of bounded size. A block gives one link for each two components it joins, not all pairs, and these are
-   confirmed too: no connection is lost to the star of step 3.
+5. In buckets whose members are still in different components these are compared by their full sets, in blocks of bounded size. A
+   block gives one link for each two components it joins, not all pairs: no connection is lost to the star of step 3.
 6. Components by large-star and small-star steps.
 """
 
@@ -149,28 +148,27 @@ def _close(threshold: float):
     return close
 
 
-def _short_sets(k: int):
-    """Each text's shingle set with hashes cut to 32 bits, repeats kept."""
+def _full_sets(k: int):
+    """Each text's shingle set."""
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in blocks(batches):
             sets = shingle_sets(part.num_rows, data, offs, k)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(x >> U64(32)).astype(np.uint32).tobytes() for x in sets], pa.binary())], ["rep", "short"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "full"])
 
-    return short
+    return full
 
 
 def _across(percent: int):
     """Within a block of a bucket: a link for each two components that some pair of their members joins.
 
-    Sets are compared by their 32-bit hashes, which can only make an intersection larger; what is found is confirmed on full sets
-    afterwards. Members of the block's largest component need not be tried with each other, nor members of any one component.
+    Full sets are compared, so each link found is a confirmed one. Members of the block's largest component need not be tried with each other, nor members of any one component.
     """
 
     def across(group: pa.Table) -> pa.Table:
         rep, comp, side = (group.column(c).to_numpy() for c in ("rep", "comp", "side"))
         comp = np.unique(comp, return_inverse=True)[1]
-        lists = [np.frombuffer(x.as_py(), np.uint32) for x in group.column("short")]
+        lists = [np.frombuffer(x.as_py(), U64) for x in group.column("full")]
         size = np.array([len(x) for x in lists])
         token, owner = np.unique(np.concatenate(lists), return_inverse=True)[1], np.repeat(np.arange(len(rep)), size)
         order = np.argsort(token, kind="stable")
@@ -188,7 +186,7 @@ def _across(percent: int):
             own = own[shared]
             length = cuts[own + 1] - cuts[own]
             flat = np.repeat(cuts[own] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-            both = np.minimum(np.bincount(owner[flat], minlength=len(rep)), np.minimum(size, size[i]))
+            both = np.bincount(owner[flat], minlength=len(rep))
             hits = np.flatnonzero(against & (comp != comp[i]) & (100 * both >= percent * (size + size[i] - both)))
             for j in hits:
                 if comp[j] != comp[i]:
@@ -244,21 +242,26 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> Data
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """Links documents whose sets of k-word shingles have 100 * intersection >= percent * union, and their components.
 
-    docs: doc_id (integer, unique where not null), text; other columns are ignored. Words are ``[^\\x20\\x09-\\x0D]+`` with
+    docs: doc_id (integer), text; other columns are ignored. Words are ``[^\\x20\\x09-\\x0D]+`` with
     A-Z in lower case; a text of fewer than k words is one shingle; a null, empty or blank text has an empty set
     and is linked with nothing. Returns a row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that
     links reach) and kept (doc_id is the component's). Rows with a null doc_id are linked with nothing, get a null component and
-    are kept. Rows that share a doc_id and a text share the result. No rows in, no rows out.
+    are kept. Rows that share a doc_id are one document, with the least of their texts, and share its result. No rows in, no rows out.
     """
     threshold = percent / 100
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    known, unknown = own.where("doc_id is not null"), own.where("doc_id is null")
+    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        one = written(known.groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(unknown), "documents")
+        decided = near_duplicates(one, percent, k)
+        return decided.where("doc_id is null").unionByName(known.select("doc_id").join(decided, "doc_id"))
     sketches = written(own.mapInArrow(_sketch(k), SKETCH), "sketches")
     live = sketches.where("n > 0 and doc_id is not null")
     sets = written(live.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("regs", "doc_id").alias("regs")), "sets")
     bands = written(sets.select("rep", "regs").mapInArrow(_bands, "key bigint, rep bigint"), "bands")
     stars = bands.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a <> last").select("key", "a")
     members = written(bands.join(stars, "key"), "members")  # key, rep, a: buckets of two and more
-    texts = own.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(sketches) else own.where("doc_id is not null")
+    texts = known
     first = members.select("a", F.col("rep").alias("b")).where("a <> b").distinct()
     r = sets.select("rep", "n", "regs")
     first = (
@@ -266,30 +269,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
         .join(r.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
         .mapInArrow(_close(threshold), "a bigint, b bigint")
     )
-    links = written(_confirmed(texts, written(first, "pairs"), k, percent), "links")
+    pairs = written(first, "pairs")
+    links = written(_confirmed(texts, pairs, k, percent), "links")
     comps = connected_components(links)
     placed = members.join(comps, members["rep"] == comps["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size")).where("c1 <> c2").select("key", "size")
     rest = placed.join(split, "key").withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int"))
-    rest = written(rest.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "rest")
+    left = rest = written(rest.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "rest")
     open_ = rest.select(F.col("rep").alias("doc_id")).distinct()
-    short = texts.join(_sent_if_small(open_), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_short_sets(k), "rep bigint, short binary")
+    full = texts.join(_sent_if_small(open_), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_full_sets(k), "rep bigint, full binary")
     # in a bucket of several parts, a member meets its own part and each other part: block (i, j) with i <= j
     block = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j"), F.when(F.col("part") < j, -1).when(F.col("part") > j, 1).otherwise(0).alias("side")))
-    rest = rest.withColumn("at", F.explode(block)).select("key", "at.i", "at.j", "at.side", "rep", "comp").join(short, "rep")
-    second = written(rest.groupBy("key", "i", "j").applyInArrow(_across(percent), "a bigint, b bigint").distinct(), "pairs")
-    if second.count():
-        more = written(_confirmed(texts, second, k, percent), "links")
-        links = links.unionByName(more)
-        comps = connected_components(links)
+    rest = rest.withColumn("at", F.explode(block)).select("key", "at.i", "at.j", "at.side", "rep", "comp").join(full, "rep")
+    more = written(rest.groupBy("key", "i", "j").applyInArrow(_across(percent), "a bigint, b bigint").distinct(), "links")
+    if more.count():
+        comps = connected_components(links.unionByName(more))
+    for done in (bands, members, pairs, left, links, more):
+        dropped(done)
     by_set = sets.join(comps, sets["rep"] == comps["node"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     whole = sketches.alias("s").join(by_set.alias("c"), ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
-
-def _repeats(sketches: DataFrame) -> bool:
-    return bool(sketches.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
-
-
-__all__ = ["near_duplicates", "dropped"]
