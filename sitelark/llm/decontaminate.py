@@ -5,14 +5,16 @@ From each side the minimum k-gram hash of every window of ``WINDOW`` consecutive
 span of that length; each hit is then extended on exact word hashes and the full item windows that lie in it
 are confirmed. Items that are shorter than a window are fingerprinted whole, by their own length.
 
-The items' fingerprints go to the executors in blocks of at most ``BLOCK_WORDS`` item words, so that what is sent has a
-bound; documents are read once for each block and nothing of a document is shuffled.
+The items' fingerprints go to the executors in blocks of some ``BLOCK_WORDS`` item words, one block at a time, so that what is sent and
+held has a bound; documents are read once for each block and nothing of a document is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import dropped, written
 from .textblocks import ALNUM, LOWERED, blocks, shingle_hashes, word_hashes, words
 
 #: Words of a benchmark window: what counts as contamination.
@@ -28,6 +31,7 @@ SPAN = 10
 K, WINDOW = 5, 6
 #: Item words whose fingerprints are sent at once (about 40 bytes each).
 BLOCK_WORDS = 500_000
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # as it stands in the text, before A-Z are lower-cased
 
 
 def winnowed(grams: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
@@ -172,30 +176,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Equal items or documents are each reported. An empty table on either side gives no hits.
     """
     spark = docs.sparkSession
-    sent, held, size = [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).orderBy("i", "t").toLocalIterator():
-        held.append((row["i"], row["t"]))
-        size += len((row["t"] or "").split()) + 1
-        if size >= BLOCK_WORDS:
-            sent, held, size = [*sent, _sent(spark, held)], [], 0
-    if held or not sent:
-        sent.append(_sent(spark, held))
-    one = len(sent) == 1
-    key = docs.select(F.col("doc_id").alias("row") if one else F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("k")).alias("row"), F.col("text").alias("text"))
-    schema = T.StructType([T.StructField("row", key.schema["row"].dataType), *HITS.fields])
-    passes = [key.mapInArrow(_scan(b), schema) for b in sent]
-    if one:
-        whole = passes[0].select(F.col("row").alias("doc_id"), "n_words", "spans", "items")
-    else:  # a row for each document and block: the sparse hits meet by document
-        hits = passes[0]
-        for p in passes[1:]:
-            hits = hits.unionByName(p.where(F.col("spans").isNotNull()))
+    held = _item_blocks(benchmark)
+    first, second = next(held, []), next(held, None)
+    scanned = lambda key, sent: key.mapInArrow(_scan(sent), T.StructType([T.StructField("row", key.schema["row"].dataType), *HITS.fields]))
+    if second is None:
+        key = docs.select(F.col("doc_id").alias("row"), F.col("text").alias("text"))
+        whole = scanned(key, _sent(spark, first)).select(F.col("row").alias("doc_id"), "n_words", "spans", "items")
+    else:  # a row for each document, and one more for each block that hits it: these meet by document, under a number that is written once
+        key = written(docs.select(F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("k")).alias("row"), F.col("text").alias("text")), "numbered")
+        hits = None
+        for block in chain([first, second], held):
+            sent = _sent(spark, block)
+            found = written(scanned(key, sent).where(F.lit(hits is None) | F.col("spans").isNotNull()), "hits")
+            sent.destroy()
+            hits = found if hits is None else hits.unionByName(found)
+        dropped(key)
         whole = hits.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         whole = whole.select(F.col("row.doc_id").alias("doc_id"), "n_words", union_of_spans(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
     none = F.array().cast("array<struct<first:bigint,words:bigint>>"), F.array().cast("array<string>")
     return whole.select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce(F.filter("items", lambda i: i.isNotNull()), none[1]).alias("items"))
 
 
+def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
+    """(id, text) of items, some BLOCK_WORDS words at a time; a longer item ends its block."""
+    held, size = [], 0
+    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).orderBy("i", "t").toLocalIterator():
+        held.append((row["i"], row["t"]))
+        size += sum(1 for _ in WORD.finditer(row["t"] or "")) + 1
+        if size >= BLOCK_WORDS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _sent(spark, held):
     return spark.sparkContext.broadcast(Items([i for i, _ in held], [t for _, t in held]))
 
