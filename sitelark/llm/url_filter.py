@@ -21,6 +21,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: Standard deviations of the bound, bad rate above which a host is blocked, and limits of the estimated correlation.
 Z, LIMIT = 1.645, 0.5
 RHO = (0.0001, 0.5)
+#: A key with more than this share of a table's rows is hot; there are fewer than 1 / HOT of them.
+HOT = 1 / 2000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -40,6 +42,16 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
     return rule, verdict
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which have one row for each key. The facts of hot keys are sent (fewer than 1 / HOT rows), so that rows
+    of one key are never gathered; the others are dealt out by key."""
+    counts = written(rows.groupBy(key).count(), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where(F.col("count") > HOT * total).select(key))
+    few = rows.join(hot, key, "left_semi").join(F.broadcast(facts.join(hot, key, "left_semi")), key, how)
+    return few.unionByName(rows.join(hot, key, "left_anti").join(facts, key, how))
+
+
 def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """outcomes: host, n, bad. Posterior (mean and strength-weighted counts) for all, suffixes, domains and hosts."""
     label = F.regexp_extract("host", r"([^.]*)$", 1)
@@ -50,8 +62,8 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
     whole = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("m"))
     # each level is written, so that the next one's plan starts from its rows
     suffixes = written(_shrunk(suffixes.crossJoin(F.broadcast(whole)).withColumnRenamed("m", "prior")), "suffixes")  # whole is one row
-    domains = written(_shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix")), "domains")
-    hosts = written(_shrunk(hosts.join(domains.select("domain", F.col("mean").alias("prior")), "domain")), "hosts")
+    domains = written(_shrunk(_with_facts(domains, suffixes.select("suffix", F.col("mean").alias("prior")), "suffix")), "domains")
+    hosts = written(_shrunk(_with_facts(hosts, domains.select("domain", F.col("mean").alias("prior")), "domain")), "hosts")
     return whole, suffixes, domains, hosts
 
 
@@ -85,14 +97,14 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     known = outcomes.select(F.col("page_id").alias("page_id"), F.col("bad").cast("int").alias("bad")).where("bad is not null")
     counted = written(own.join(known, "page_id").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")), "outcomes")
     whole, suffixes, domains, hosts = reputation(counted)
-    # one row for each host that occurs, so that pages of a hot host are joined to one small row and never gathered
+    # one row for each host that occurs
     seen = own.select("host").distinct().withColumn("domain", F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1)).withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
     pick = lambda df, key, tag: df.select(key, F.col("mean").alias(f"m_{tag}"), F.col("size").alias(f"s_{tag}"))
-    judged = (
-        seen.join(pick(hosts, "host", "h"), "host", "left").join(pick(domains, "domain", "d"), "domain", "left").join(pick(suffixes, "suffix", "s"), "suffix", "left").crossJoin(F.broadcast(whole))
-    )
+    judged = written(seen.join(pick(hosts, "host", "h"), "host", "left"), "seen")
+    judged = written(_with_facts(judged, pick(domains, "domain", "d"), "domain", "left"), "seen")
+    judged = _with_facts(judged, pick(suffixes, "suffix", "s"), "suffix", "left").crossJoin(F.broadcast(whole))  # whole is one row
     mean, size = F.coalesce("m_h", "m_d", "m_s", "m"), F.coalesce("s_h", "s_d", "s_s", F.lit(0.0))
-    judged = judged.select("host", mean.alias("bad_rate"), lower_bound(mean, size).alias("bad_bound"))
+    judged = written(judged.select("host", mean.alias("bad_rate"), lower_bound(mean, size).alias("bad_bound")), "judged")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     method = F.when(F.round("bad_bound", 9) > LIMIT, "block").otherwise("allow")
-    return own.join(judged, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "bad_rate", "bad_bound")
+    return _with_facts(own, judged, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "bad_rate", "bad_bound")
