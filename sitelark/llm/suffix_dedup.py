@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 from .textblocks import U64, blocks, mixed
 
 #: Bytes of a repeated string and of the substring whose hash makes an anchor.
@@ -35,6 +35,8 @@ SPAN, GRAM = 100, 24
 WIDTH = SPAN - GRAM + 1
 #: Anchors that are held before a task sends a run, and documents whose anchors give the splitters of the ranges.
 HELD, SAMPLE = 120_000, 2000
+#: Bytes of text for each range of suffixes, at most.
+RANGE_BYTES = 32 << 20
 FIRST = -(1 << 63)
 
 
@@ -383,19 +385,21 @@ def substring_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     repeats = bool(own.groupBy("d").count().where("count > 1").limit(1).count())
     own = own.select("d", (F.xxhash64("text") if repeats else F.lit(0)).cast("long").alias("sub"), "text")
     each = own.dropDuplicates(["d", "sub"]) if repeats else own
-    parts = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     prints = each.mapInArrow(_print_runs(parts), "part int, run binary").groupBy("part").applyInArrow(_repeated_prints, PLACES)
     places = written(prints.groupBy("d", "sub").agg(F.collect_list("at").alias("places")), "places")
     chosen = each.join(places.hint("shuffle_hash"), ["d", "sub"])
     runs = chosen.mapInArrow(_suffix_runs(_splitters(each, parts)), "part int, run binary")
     spans = runs.groupBy("part").applyInArrow(_repeats, SPANS)
     spans = written(spans.groupBy("d", "sub").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    dropped(places)
     cut = own.join(spans.hint("shuffle_hash"), ["d", "sub"], "left").mapInArrow(_cut(not digest), OUT)
     return cut.select(F.when(F.col("d") == FIRST, None).otherwise(F.col("d")).alias("doc_id"), "n_bytes", "spans", F.col("kept").cast("string").alias("kept") if digest else "kept")
 
 
 def _splitters(docs: DataFrame, parts: int) -> list[bytes]:
-    """First bytes that part the anchors of at most SAMPLE documents evenly; they decide on balance, never on results."""
+    """First bytes that part the anchors of at most SAMPLE documents, or two for each part, evenly; they decide on balance, never on results."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offs in blocks(batches):
@@ -403,6 +407,6 @@ def _splitters(docs: DataFrame, parts: int) -> list[bytes]:
             at = anchors(data, offs)[0][::7].tolist()
             yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + GRAM] for a in at], pa.binary())], ["g"])
 
-    few = docs.where(F.length("text") >= SPAN).select("text").limit(SAMPLE)
+    few = docs.where(F.length("text") >= SPAN).select("text").limit(max(SAMPLE, 2 * parts))
     found = sorted({bytes(r["g"]) for r in few.mapInArrow(grams, "g binary").toLocalIterator()})
     return [found[len(found) * k // parts] for k in range(1, parts)] if len(found) > parts else []
