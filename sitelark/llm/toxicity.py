@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from .shared import written
 from .textblocks import LOWERED, U64, blocks, mixed, span_hashes, wide, word_table
 
 #: Labelled texts that the model is fitted on at most, toxic and other, taken in the order of a hash of doc_id.
 MOST_TOXIC, MOST_OTHER = 1500, 3000
+#: Bytes of text of that sample at most: labelled texts in the same order, as far as these reach.
+MOST_BYTES = 32 << 20
 BUCKETS, DIM, GRAMS = 1 << 18, 4, (3, 4, 5)
 #: Passes over the sample: EPOCHS, or more of a small one so that there are STEPS batches.
 EPOCHS, STEPS, BATCH, RATE, SCALE, SEED = 5, 600, 64, 0.5, 32.0, 5
@@ -135,11 +139,18 @@ def held_out(doc_id):
 
 
 def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of at most MOST_TOXIC and MOST_OTHER labelled rows that are not held out; null labels are left out."""
+    """i, text and toxic of at most MOST_TOXIC and MOST_OTHER labelled ids that are not held out and MOST_BYTES of text.
+
+    Null labels are left out. Of rows of docs that share an id the least text counts, so the sample is bounded whatever repeats.
+    """
     known = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("i").isNotNull() & ~held_out(F.col("i")))
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("i"), "i").limit(most) for k, most in ((1, MOST_TOXIC), (0, MOST_OTHER))]
     picked = F.broadcast(parts[0].unionByName(parts[1]).distinct())  # at most MOST_TOXIC + MOST_OTHER ids
-    return docs.select(F.col("doc_id").alias("i"), F.col("text").alias("text")).join(picked, "i").select("i", "text", "toxic")
+    found = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("text")).join(picked, "i").groupBy("i", "toxic").agg(F.min("text").alias("text"))
+    found = written(found, "sample")
+    upto = Window.orderBy(F.xxhash64("i"), "i", "toxic").rowsBetween(Window.unboundedPreceding, 0)
+    fits = found.select("i", "toxic", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto).alias("size")).where(F.col("size") <= MOST_BYTES)
+    return found.join(F.broadcast(fits.select("i", "toxic")), ["i", "toxic"]).select("i", "text", "toxic")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> SubwordSoftmax:
