@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import deleted, fresh_path, written
+from .shared import deleted, dropped, fresh_path, written
 
 #: Runs of a level that are compacted into one run of the next level: by default, and in line_dedup(); batches of documents.
 FAN_OUT, DEDUP_FAN_OUT, BATCHES = 4, 2, 6
@@ -123,6 +123,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: b
         met.where(F.col("n_before") + F.col("n_docs") >= min_docs).select("h1", "h2", F.greatest("max_before", "max_doc").alias("keeper")).write.mode("append").option("compression", "zstd").parquet(settled)
         if b < BATCHES - 1:
             runs.add_keys(met)
+        dropped(met)
     runs.forget()
     if not _exists(spark, settled):
         gone = spark.createDataFrame([], f"doc_id {kind}, sub bigint, gone array<struct<h1:bigint,h2:bigint>>")
