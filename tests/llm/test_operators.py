@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitelark.llm import bpe, components, decontaminate, line_dedup, near_dedup, pii, search, suffix_dedup, token_files, toxicity, url_filter
+from sitelark.llm import bpe, components, decontaminate, line_dedup, near_dedup, pii, search, suffix_dedup, token_files, textblocks, toxicity, url_filter
 
 from . import edge
 
@@ -91,6 +91,35 @@ def test_pii_estimates_find_the_reliable_labelers():
     assert sum(n for (k, v, s, truth), n in counts.items() if (by[k, v] > 0) == truth) / 4000 > 0.9
 
 
+def test_pii_classifier_adds_loose_spans_and_keeps_base(spark):
+    rng = random.Random(8)
+    mail = lambda k: f"please mail u{k} [at] host{k % 7} [dot] com today"
+    rows = []
+    for k in range(240):
+        strict = f"mail u{k}@host.com or call +1 389 555 {1000 + k}" if k % 3 else "no address here"
+        loose = mail(k) if k % 4 == 0 else f"call 389-555-{1000 + k} now" if k % 4 == 1 else "nothing else"
+        failed = f"order number {rng.randrange(10**13, 10**14)} and version 999.{k}.1.2" if k % 5 == 0 else ""
+        rows.append((k, f"{strict}. {loose}. {failed}"))
+    out = {r["doc_id"]: ([tuple(s) for s in r["base"]], [tuple(s) for s in r["spans"]]) for r in pii.find_personal_data(edge.frame(spark, rows)).collect()}
+    added = {i: set(spans) - set(base) for i, (base, spans) in out.items()}
+    for i, text in rows:
+        base, spans = out[i]
+        assert base == brute_pii(text) and set(base) <= set(spans) and spans == sorted(spans)
+        at = text.find(" [at]")
+        if at >= 0:
+            start = text.rfind(" ", 0, at) + 1
+            assert any(k == 0 and s == start and text[s:e].endswith("com") for s, k, e in added[i]), text
+        for s, k, e in added[i]:  # nothing of what counter cues stand before, nothing over a base span
+            assert not text[max(0, s - 14) : s].endswith(("order number ", "version ")), text[s:e]
+            assert not any(k == x[1] and x[0] < e and s < x[2] for x in base)
+
+
+def test_pii_of_a_very_long_text(spark):
+    text = "".join(f"a{k}@b.io, 10.0.{k % 300}.7 and +1 389 555 {k}; " for k in range(30_000))  # some 1.2 MB
+    r = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in r["base"]] == brute_pii(text)
+
+
 # ---- 2
 
 
@@ -197,6 +226,18 @@ def test_host_reputation_shrinks_and_blocks(spark):
     assert url_filter.judge_urls(df.drop("bad").limit(0), df.select("page_id", "bad")).collect() == []
 
 
+def test_hot_hosts_and_others_are_judged_alike(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(k, f"http://{'hot.big.com' if k % 3 == 0 else f'h{rng.randrange(40)}.d{rng.randrange(6)}.com'}/p{k}", int(rng.random() < 0.3)) for k in range(600)] + [(None, "http://hot.big.com/", 1), (5, "http://hot.big.com/", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    labels = df.select("page_id", "bad")
+    found = []
+    for hot in (1 / 2000, 0.05, 1.0):  # all, some and no keys are hot
+        monkeypatch.setattr(url_filter, "HOT", hot)
+        found.append(sorted(map(repr, ((r["page_id"], r["host"], r["path"], r["verdict"], round(r["bad_rate"], 9)) for r in url_filter.judge_urls(df.drop("bad"), labels).collect()))))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+
+
 # ---- 4
 
 
@@ -250,6 +291,16 @@ def test_near_duplicates_nulls_and_empty(spark):
     assert near_dedup.near_duplicates(edge.empty(spark), 85).collect() == []
 
 
+def test_near_duplicates_with_rows_of_one_id(spark):
+    texts = {k: edge.prose(random.Random(k), 60) for k in range(4)}
+    rows = [(1, texts[0]), (1, texts[1]), (2, min(texts[0], texts[1])), (3, texts[2]), (3, None), (4, texts[3]), (None, texts[3]), (None, texts[3])]
+    out = near_dedup.near_duplicates(edge.frame(spark, rows), 85).collect()
+    want = brute_components([(1, min(texts[0], texts[1])), (2, min(texts[0], texts[1])), (3, texts[2]), (4, texts[3])], 85)
+    assert len(out) == len(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out if r["doc_id"] is not None} == want
+    assert sum(r["doc_id"] is None and r["kept"] for r in out) == 2
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(4)
     for share in (0.2, 0.5, 0.9):
@@ -401,6 +452,42 @@ def test_toxicity_over_tables(spark):
     assert toxicity.score_toxicity(edge.empty(spark), toxicity.fit_toxicity(edge.empty(spark), labels.limit(0))).collect() == []
 
 
+def naive_score(model, text: str) -> float:
+    """Feature by feature: words and n-grams of letters with a mark at both ends."""
+    low = (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+    found = []
+    for word in re.findall(rb"[a-z\x80-\xff]+", low):
+        marked = b" " + word + b" "
+        found += [(marked[k : k + n], False) for n in (3, 4, 5) for k in range(len(marked) - n + 1)] + [(word, True)]
+    total = 0.0
+    for gram, whole in found:
+        h = textblocks.span_hashes(textblocks.wide(np.frombuffer(gram, np.uint8)), np.array([0]), np.array([len(gram)]))
+        total += float(model.weights[int((textblocks.mixed(h) if whole else h)[0]) % toxicity.BUCKETS])
+    return 1 / (1 + np.exp(-np.clip(total / (len(found) + toxicity.PRIOR) + model.bias, -40, 40)))
+
+
+def test_toxicity_scores_are_the_naive_ones(spark):
+    rng = np.random.default_rng(2)
+    model = toxicity.SubwordSoftmax(rng.normal(size=toxicity.BUCKETS).astype(np.float32) * 20, -0.3)
+    rows = [*edge.texts(), (70, "a"), (71, "Aé B1c ÀÀ"), (72, "tail of one textA"), (73, "Bhead of the next")]
+    for r in toxicity.score_toxicity(edge.frame(spark, rows), model, "p").collect():
+        assert abs(r["p"] - naive_score(model, r["text"])) < 1e-5, r["doc_id"]
+        if not r["text"]:
+            assert abs(r["p"] - 1 / (1 + np.exp(0.3))) < 1e-9
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    rows = [(k, f"text {k} " + "x" * 91) for k in range(100, 160)] + [(101, "another of the same id")] * 50
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100, 160)] * 2, "doc_id long, toxic int")
+    everything = toxicity.training_texts(edge.frame(spark, rows), labels).collect()
+    learned = [k for k in range(100, 160) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(r["i"] for r in everything) == learned
+    assert {r["text"] for r in everything if r["i"] == 101} <= {min("another of the same id", rows[1][1])}
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 1000)
+    few = toxicity.training_texts(edge.frame(spark, rows), labels).collect()
+    assert 0 < sum(len(r["text"]) for r in few) <= 1000 and {r["i"] for r in few} < set(learned)
+
+
 # ---- 8
 
 
@@ -437,6 +524,14 @@ def test_decontamination_nulls_and_empty(spark):
     assert decontaminate.decontaminate(edge.empty(spark), bench).collect() == []
 
 
+def test_decontamination_of_repeated_rows_in_several_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, f"{a} two") for k, a in enumerate(("one", "other", "one"))] + [(9, "short")], "item_id long, text string")
+    whole = decontaminate.decontaminate(edge.with_nulls(spark), bench).collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
+    assert sorted(map(repr, decontaminate.decontaminate(edge.with_nulls(spark).repartition(5), bench).collect())) == sorted(map(repr, whole))
+    assert len(whole) == edge.with_nulls(spark).count()
+
+
 # ---- 9
 
 
