@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .idpool import IdPool
 
 #: Pre-tokens whose ids a Python worker keeps; beyond that it starts anew. Characters of text split at once.
-CACHE, BLOCK_CHARS = 1_200_000, 2 << 20
+CACHE, BLOCK_CHARS = 900_000, 1 << 20
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: The pattern whose splitting classes() and split() do with tables; another pattern is left to the regex library.
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

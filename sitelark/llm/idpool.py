@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .textblocks import same_spans, span_hashes, wide
+from .textblocks import U64, same_spans, span_hashes, wide
 
 
 class IdPool:
@@ -17,7 +17,7 @@ class IdPool:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.slot_of = np.zeros(0, U64), np.zeros(0, np.int32)  # the hashes in order, and the slot of each
         self.slots = 0
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.text, self.text_used = np.zeros(1 << 18, np.uint8), 0
@@ -45,16 +45,17 @@ class IdPool:
 
         Pieces share ids only if their bytes are equal; one whose hash is another's is learned by itself and not kept.
         """
-        if len(self.place) > self.most:
+        if len(self.keys) > self.most:
             self.clear()
         view = wide(data)
         raw, size = view.base, ends - starts
         keys, first, back = np.unique(span_hashes(view, starts, ends), return_index=True, return_inverse=True)
-        keys = keys.tolist()
         odd = size != size[first][back]
         odd[~odd] = ~same_spans(view, starts[~odd], view, starts[first][back][~odd], size[~odd])
-        slot = np.array([self.place.get(k, -1) for k in keys], np.int64)
-        old = np.flatnonzero(slot >= 0)
+        place, slot = np.searchsorted(self.keys, keys), np.full(len(keys), -1, np.int64)
+        old = np.flatnonzero(place < len(self.keys))
+        old = old[self.keys[place[old]] == keys[old]]
+        slot[old] = self.slot_of[place[old]]
         alike = self.size[slot[old]] == size[first[old]]
         known = np.ndarray((len(self.text) - 7,), np.dtype("<u8"), self.text, 0, (1,))
         alike[alike] = same_spans(view, starts[first[old[alike]]], known, self.text_begin[slot[old[alike]]], size[first[old[alike]]])
@@ -64,7 +65,7 @@ class IdPool:
         for at in range(0, len(new), at_once):
             part = new[at : at + at_once]
             slot[part] = self._add(raw, starts[first[part]], size[first[part]], *learn(first[part].tolist()))
-            self.place.update(zip([keys[i] for i in part.tolist()], slot[part].tolist(), strict=True))
+        self.keys, self.slot_of = np.insert(self.keys, place[new], keys[new]), np.insert(self.slot_of, place[new], slot[new].astype(np.int32))
         where = slot[back]
         alone = np.flatnonzero(odd | strange[back])
         if len(alone):
