@@ -112,7 +112,9 @@ def discover(spark: SparkSession, pattern: str, suffix: str) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, compress: bool = True) -> None:
     """Headed tab-separated text; NaN as nan."""
-    df.write.mode("overwrite").option("header", True).option("sep", "\t").option("compression", "gzip" if compress else "none").option("nanValue", "nan").csv(path)
+    real = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    df = df.withColumns({c: F.when(F.isnan(df[c]), "nan").otherwise(df[c].cast("string")) for c in real})  # the writer itself says NaN
+    df.write.mode("overwrite").option("header", True).option("sep", "\t").option("compression", "gzip" if compress else "none").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
