@@ -291,7 +291,8 @@ def _duck_dense(c: str) -> str:
 @query(f"WITH {DUCK_POINTS}, {_duck_moments(_DENSE)}, t AS (SELECT s.site, {_duck_dense('native')} AS a, {_duck_dense('fixed')} AS b FROM sites s LEFT JOIN m ON m.site = s.site) SELECT site, round(a, 4) AS t_native, round(b, 4) AS t_fixed, round(coalesce(a * a, 0) + coalesce(b * b, 0), 3) AS s_l FROM t")
 def site_score_dense(spark, sf):
     pts = V.points(spark, sf)
-    s = sig.site_score_dense(V.sites(pts), V.signal(pts), INNER, OUTER, THRESHOLD)
+    runs = V.signal(pts).withColumns({"start": F.col("at"), "end": F.col("at") + 1})
+    s = sig.site_score_dense(V.sites(pts), runs, INNER, OUTER, THRESHOLD)
     return rounded(rounded(s, "t_native", "t_fixed", digits=4), "s_l", digits=3)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .plans import batch, pipeline
 from .sources import text
-from .sources.bigwig import per_base, read_bigwig
+from .sources.bigwig import read_bigwig
 
 
 def _signal(spark: SparkSession, path: str):
@@ -18,7 +18,7 @@ def _signal(spark: SparkSession, path: str):
     parts = path.split(",")
     if not parts[0].lower().endswith((".bw", ".bigwig")):
         return text.read_signal(spark, path), False
-    tracks = [per_base(read_bigwig(spark, p)).select("chrom", "at", F.col("value").alias("val"), F.lit(1).cast("bigint").alias("depth")) for p in parts]
+    tracks = [read_bigwig(spark, p).select("chrom", "start", "end", F.col("value").alias("val")) for p in parts]  # runs, not bases
     strands = [F.explode(F.array(F.lit("+"), F.lit("-")))] if len(parts) == 1 else [F.lit("+"), F.lit("-")]
     both = [t.withColumn("strand", s) for t, s in zip(tracks, strands, strict=True)]
     return (both[0] if len(both) == 1 else both[0].unionByName(both[1])), True

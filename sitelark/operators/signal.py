@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import point_pairs
+from .intervals import overlap_pairs, point_pairs
 
 #: Rows that each of a site's windows needs.
 THRESHOLD = 8
@@ -61,9 +61,32 @@ def site_score(sites: DataFrame, points: DataFrame, inner: int = 50, outer: int
     return m.where(full).select("site", t["native"].alias("t_native"), t["fixed"].alias("t_fixed"), (t["native"] * t["native"] + t["fixed"] * t["fixed"]).alias("s_l"))
 
 
-def site_score_dense(sites: DataFrame, points: DataFrame, inner: int = 50, outer: int = 500, threshold: int = THRESHOLD) -> DataFrame:
-    """The score from a value per base: disjoint windows, row counts as weights; every site stays, a missing contrast counts as 0."""
-    m = sites.select("site").join(window_moments(sites, points, inner, outer, dense=True), "site", "left")
+def run_moments(sites: DataFrame, runs: DataFrame, inner: int, outer: int, on: tuple[str, ...] = ("chrom", "strand")) -> DataFrame:
+    """n, mean and variance of the disjoint inner and outer windows (native and fixed) of each site from runs of equal values.
+
+    sites: site, pos and on; runs: on, start, end (half-open), cond ('native' or 'fixed'), val: each base of a run has its value. A run counts with
+    the bases that it shares with a window, so there is a row a run and site, never one a base. A window of one single value has variance 0 exactly.
+    """
+    spans = sites.select("site", "pos", *on, (F.col("pos") - outer).alias("_s"), (F.col("pos") + outer).alias("_e"))
+    live = runs.where((F.col("end") > F.col("start")) & F.col("val").isNotNull()).select(*on, F.col("start").alias("_a"), F.col("end").alias("_b"), "cond", F.col("val").cast("double").alias("val"))
+    pairs = overlap_pairs(spans, live, on, ("_s", "_e"), ("_a", "_b"), 2 * outer)
+    shared = lambda lo, hi: F.greatest(F.least(F.col("_b"), F.col("pos") + hi) - F.greatest(F.col("_a"), F.col("pos") + lo), F.lit(0))
+    within = pairs.select("site", "cond", "val", shared(-inner, inner).alias("_in"), (shared(-outer, -inner) + shared(inner, outer)).alias("_out"))
+    sums, moments = [], []
+    for cond in ("native", "fixed"):
+        for window in ("in", "out"):
+            name, here = f"{cond}_{window}", (F.col("cond") == cond) & (F.col(f"_{window}") > 0)
+            size, v = F.when(here, F.col(f"_{window}")), F.when(here, F.col("val"))
+            sums += [F.sum(size).alias(f"n_{name}"), F.sum(size * v).alias(f"_x_{name}"), F.sum(size * v * v).alias(f"_xx_{name}"), F.min(v).alias(f"_lo_{name}"), F.max(v).alias(f"_hi_{name}")]
+            n, x, xx = (F.col(f"{k}_{name}") for k in ("n", "_x", "_xx"))
+            spread = F.when(F.col(f"_lo_{name}") == F.col(f"_hi_{name}"), F.lit(0.0)).otherwise(F.greatest(xx / n - (x / n) * (x / n), F.lit(0.0)))
+            moments += [F.coalesce(n, F.lit(0)).alias(f"n_{name}"), (x / n).alias(f"mean_{name}"), F.when(n > 0, spread).alias(f"var_{name}")]
+    return within.groupBy("site").agg(*sums).select("site", *moments)
+
+
+def site_score_dense(sites: DataFrame, runs: DataFrame, inner: int = 50, outer: int = 500, threshold: int = THRESHOLD) -> DataFrame:
+    """The score from a value per base, given as runs: disjoint windows, numbers of bases as weights; every site stays, a missing contrast counts as 0."""
+    m = sites.select("site").join(run_moments(sites, runs, inner, outer), "site", "left")
 
     def t(c: str) -> Column:
         n_in, n_out = F.col(f"n_{c}_in"), F.col(f"n_{c}_out")

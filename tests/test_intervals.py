@@ -52,7 +52,7 @@ def test_contrast_threshold_and_scores(spark):
     got = signal.site_score(sites, pts, 5, 20, 2).collect()
     assert [(r["site"], r["t_native"], r["s_l"]) for r in got] == [(1, 2.0, 8.0)]
     assert signal.site_score(sites, pts, 5, 20, 3).count() == 0
-    dense = {r["site"]: (r["t_native"], r["s_l"]) for r in signal.site_score_dense(sites, pts, 5, 20, 2).collect()}
+    dense = {r["site"]: (r["t_native"], r["s_l"]) for r in signal.site_score_dense(sites, pts.withColumns({"start": F.col("at"), "end": F.col("at") + 1}), 5, 20, 2).collect()}
     assert dense == {1: (1.0, 2.0), 2: (None, 0.0)}
     w = signal.weighted_summary(pts.where("cond = 'native' and at >= 110"), ["chrom"]).first()
     assert (w["mean"], w["var"], w["w"], w["wmean"], w["wvar"]) == (1.0, 1.0, 4, 1.5, 0.75)
