@@ -1,7 +1,7 @@
 """Scoring of sequence windows with a position-weight matrix.
 
-Contigs are cut into tiles with a halo on both sides, and the tiles are dealt out anew, so that a chromosome spreads over tasks; a tile
-is scored on both strands in numpy, with prefix sums for all windows, and the tile size never changes a result. Near a contig's end a score window keeps its
+Contigs are cut into tiles with a halo on both sides, and the tiles are dealt out anew over all shuffle partitions, so that a chromosome
+spreads over tasks; a tile is scored on both strands in numpy, with prefix sums for all windows, and the tile size never changes a result. Near a contig's end a score window keeps its
 width and stays where it last fitted; GC windows are cut off there instead.
 """
 
@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+from .ranks import first_rows
+
 TILE = 1 << 18
 CODES = np.full(256, 255, np.uint8)
 for _k, _letters in enumerate((b"A", b"C", b"G", b"TU")):
@@ -123,7 +126,8 @@ def tiles(seqs: DataFrame, tile: int, halo: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(f), n)), pa.array(f), pa.array(e), pa.array(s), part], names)
 
     whole = seqs.select(F.col("chrom").cast("string").alias("chrom"), F.col("contig_order").cast("bigint").alias("contig_order"), F.col("seq").cast("string").alias("seq"))
-    return whole.mapInArrow(cut, TILES).repartition("chrom", "first")
+    # by a number of partitions: tiles are small beside the rows that they give, and adaptive plans would put them together by their own size
+    return whole.mapInArrow(cut, TILES).repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom", "first")
 
 
 def _ends(score: np.ndarray, keep: tuple[int, int], slack: float) -> np.ndarray:
@@ -137,12 +141,24 @@ def _ends(score: np.ndarray, keep: tuple[int, int], slack: float) -> np.ndarray:
     return chosen
 
 
-def scan_windows(seqs: DataFrame, weights: np.ndarray, inner: int = 50, outer: int = 500, strands: bool = True, tile: int = TILE, columns: Sequence[str] | None = None, keep: tuple[int, int] | None = None, slack: float = 0.0) -> DataFrame:
+#: Classes of inner means by which the two ends of a scan are cut out; a mean lies between the least and the greatest score of a k-mer.
+BINS = 1 << 16
+
+
+def _classes(score: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The class of each score: the same one whenever the same score is classed, and never smaller for a greater score."""
+    width = (high - low) or 1.0
+    return np.clip(np.floor((score - low) / width * BINS), 0, BINS - 1).astype(np.int64)
+
+
+def scan_windows(seqs: DataFrame, weights: np.ndarray, inner: int = 50, outer: int = 500, strands: bool = True, tile: int = TILE, columns: Sequence[str] | None = None, keep: tuple[int, int] | None = None, slack: float = 0.0, ends: tuple[int, int] | None = None, counted: bool = False) -> DataFrame:
     """Every centre of every contig with at least one valid inner k-mer, on one or both strands.
 
     seqs: chrom, seq (upper case), contig_order. weights: log ratios [L, 4]. Contigs shorter than max(2*inner+1, 2*outer+1, L) are
     skipped. pos1 is 1-based and always counted on the forward strand. columns: those of SCAN that are wanted. keep: the numbers of
     highest and lowest inner means that are wanted, of which each tile gives its own, with what is within ``slack`` of the last one.
+    counted: rows (bin, n) instead, the number of a tile's centres in each of BINS classes of inner means. ends: only centres whose class is
+    at least ends[0] or at most ends[1].
     """
     if outer <= inner:
         raise ValueError("outer must be greater than inner")
@@ -150,6 +166,7 @@ def scan_windows(seqs: DataFrame, weights: np.ndarray, inner: int = 50, outer: i
     whole = seqs.where(F.length("seq") >= max(2 * inner + 1, 2 * outer + 1, size))
     kinds = dict(c.strip().split() for c in SCAN.split(","))
     names = list(columns or kinds)
+    low, high = float(weights.min(axis=1).sum()), float(weights.max(axis=1).sum())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,12 +189,19 @@ def scan_windows(seqs: DataFrame, weights: np.ndarray, inner: int = 50, outer: i
                     kept = np.flatnonzero(x["kmer_count_inner"] > 0)
                     if keep is not None:
                         kept = kept[_ends(x["inner_mean"][kept], keep, slack)]
+                    if counted:
+                        found, n_found = np.unique(_classes(x["inner_mean"][kept], low, high), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n_found.astype(np.int64))], ["bin", "n"])
+                        continue
+                    if ends is not None:
+                        which = _classes(x["inner_mean"][kept], low, high)
+                        kept = kept[(which >= ends[0]) | (which <= ends[1])]
                     rows = pa.array(owner[kept])
                     own = {"chrom": lambda: batch.column("chrom").take(rows), "contig_order": lambda: batch.column("contig_order").take(rows), "strand": lambda: pa.repeat(pa.scalar(strand), len(kept))}  # noqa: B023
                     out = [own[c]() if c in own else pa.array(x[c][kept].astype(np.int32) if kinds[c] == "int" else x[c][kept]) for c in names]
                     yield pa.RecordBatch.from_arrays(out, names)
 
-    return tiles(whole, tile, outer + 2 * inner + size).mapInArrow(score, ", ".join(f"{c} {kinds[c]}" for c in names))
+    return tiles(whole, tile, outer + 2 * inner + size).mapInArrow(score, "bin int, n bigint" if counted else ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 TIE = ("contig_order", "pos1", "strand")
@@ -192,5 +216,34 @@ def bottom_sites(scan: DataFrame, n: int, score: str = "inner_mean") -> DataFram
     return scan.orderBy(F.asc(score), *TIE).limit(n)
 
 
+def scan_ends(seqs: DataFrame, weights: np.ndarray, inner: int, outer: int, top: int, bottom: int, strands: bool = True, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """The ``top`` highest and ``bottom`` lowest inner means over all contigs and strands, all columns, in the order of top_sites and bottom_sites.
+
+    A first pass counts the centres of each class of scores; the classes that hold the last wanted ones bound a second pass, which gives both ends at
+    once, and only these rows are sorted, in ranges. So no task ever merges the rows of others, however many are wanted and however many tie.
+    """
+    classes = scan_windows(seqs, weights, inner, outer, strands, tile, counted=True).groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()  # at most BINS rows
+
+    def cut(rows: Sequence, wanted: int, none: int) -> int:
+        seen, at = 0, none
+        for r in rows:
+            if seen >= wanted:
+                break
+            seen, at = seen + r["n"], r["bin"]
+        return at
+
+    ends = cut(classes[::-1], top, BINS), cut(classes, bottom, -1)
+    both = written(scan_windows(seqs, weights, inner, outer, strands, tile, ends=ends), "scan-ends")
+    tie = [F.col(c) for c in TIE]
+    width = (float(weights.max(axis=1).sum() - weights.min(axis=1).sum())) or 1.0
+    # the classes once more, a hair wider: only to spare each end the other's rows
+    edge = lambda b, hair: float(weights.min(axis=1).sum()) + (b + hair) * width / BINS
+    upper = both.where(F.col("inner_mean") >= edge(ends[0], -0.5)) if ends[0] > 0 else both
+    lower = both.where(F.col("inner_mean") <= edge(ends[1], 1.5)) if ends[1] < BINS - 1 else both
+    best = first_rows(upper, top, [-F.col("inner_mean"), *tie]) if top else both.where("false")
+    worst = first_rows(lower, bottom, [F.col("inner_mean"), *tie]) if bottom else both.where("false")
+    return best, worst
+
+
 def in_output_order(scan: DataFrame) -> DataFrame:
     return scan.orderBy("contig_order", "pos1", "strand")

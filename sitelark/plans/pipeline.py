@@ -29,18 +29,15 @@ def scan(seqs: DataFrame, logp: np.ndarray, inner: int = 50, outer: int = 500, t
     weights = sequence.log_ratios(logp, np.full(4, 0.25) if background is None else np.asarray(background))
     names = {"inner_mean": "inner_mean_logPWM", "outer_mean": "outer_mean_logPWM", "gc_inner_pct": "GC_inner_pct", "gc_outer_pct": "GC_outer_pct"}
 
-    def best(keep: tuple[int, int]) -> DataFrame:
-        table = sequence.scan_windows(seqs, weights, inner, outer, keep=keep)  # each task hands on its own best alone
-        return sequence.in_output_order(sequence.top_sites(table, keep[0]) if keep[0] else sequence.bottom_sites(table, keep[1])).withColumnsRenamed(names)
-
-    empty = sequence.scan_windows(seqs, weights, inner, outer).where("false").withColumnsRenamed(names)
-    return best((top, 0)) if top else empty, best((0, bottom)) if bottom else empty
+    best, worst = sequence.scan_ends(seqs, weights, inner, outer, top, bottom)
+    return tuple(sequence.in_output_order(x).withColumnsRenamed(names) for x in (best, worst))
 
 
 def accessibility(sites: DataFrame, native: DataFrame, fixed: DataFrame, inner: int = 50, outer: int = 500, threshold: int = sig.THRESHOLD, dense: bool = False) -> DataFrame:
     """Adds id, t_native, t_fixed and s_l to scanned sites (chrom, pos1, strand). native and fixed: chrom, strand, at, val, depth.
 
-    By points only sites whose four windows have threshold rows stay; dense tracks (a value per base) keep every site.
+    By points only sites whose four windows have threshold rows stay; dense tracks (chrom, strand, start, end, val: a value per base, as runs) keep
+    every site.
     """
     named = sites.withColumn("site", X.site_id(F.col("chrom"), F.col("pos1"), F.col("strand")))
     both = native.withColumn("cond", F.lit("native")).unionByName(fixed.withColumn("cond", F.lit("fixed")))

@@ -180,8 +180,10 @@ def test_sinks(spark, tmp_path):
 
 def test_tiles_of_one_contig_lie_in_many_partitions(spark):
     seqs = spark.createDataFrame([("c", 0, "ACGTTGCA" * 2500)], "chrom string, contig_order long, seq string")
-    spread = sequence.tiles(seqs, 1000, 50).groupBy(F.spark_partition_id()).count()
-    assert spread.count() > 1 and spread.agg(F.sum("count")).first()[0] == 20
+    spread = sequence.tiles(seqs, 1000, 50).select(F.spark_partition_id().alias("p"), F.length("part").alias("n")).groupBy("p").agg(F.count("n").alias("n"))  # with payload
+    assert spread.count() > 1 and spread.agg(F.sum("n")).first()[0] == 20
+    scored = sequence.scan_windows(seqs, np.log(np.full((2, 4), 0.25)), 5, 20, tile=1000).groupBy(F.spark_partition_id().alias("p")).agg(F.sum("inner_mean"))
+    assert scored.count() > 1
 
 
 def test_workers_keep_the_best_alone(spark):
@@ -194,6 +196,31 @@ def test_workers_keep_the_best_alone(spark):
     assert sequence.scan_windows(seqs, w, 5, 20, columns=("pos1", "inner_mean")).columns == ["pos1", "inner_mean"]
 
 
+@pytest.mark.parametrize(("top", "bottom"), [(7, 5), (1, 0), (0, 3), (100, 100), (100_000, 100_000), (0, 0)])
+def test_both_ends_of_a_scan(spark, top, bottom):
+    """Ties at the last wanted score (equal contigs, both strands) go by contig, position and strand; more than there is gives all."""
+    w = np.log(np.array([[0.7, 0.1, 0.1, 0.1], [0.1, 0.6, 0.2, 0.1]]))
+    seqs = spark.createDataFrame([(f"c{k}", k, s) for k, s in enumerate([*SEQS.values(), "A" * 300, "ACGT" * 60, "ACGT" * 60])], "chrom string, contig_order long, seq string")
+    whole = [tuple(r) for r in sequence.scan_windows(seqs, w, 5, 20, tile=128).collect()]
+    key = lambda r, up: (r[4] if up else -r[4], r[1], r[2], r[3])
+    best, worst = sequence.scan_ends(seqs, w, 5, 20, top, bottom, tile=128)
+    plain = lambda rows: sorted(map(repr, rows))
+    assert plain(tuple(r) for r in best.collect()) == plain(sorted(whole, key=lambda r: key(r, False))[:top])
+    assert plain(tuple(r) for r in worst.collect()) == plain(sorted(whole, key=lambda r: key(r, True))[:bottom])
+    for end in (best, worst):
+        assert "TakeOrdered" not in end._jdf.queryExecution().toString()
+
+
+def test_first_rows_of_equal_keys_and_of_none(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.col("id").alias("_row"), F.lit("x").alias("_range"))
+    rows, n = ranks.numbered(df, [F.col("k")])
+    got = rows.collect()
+    assert n == 3000 and sorted(r["row"] for r in got) == list(range(3000)) and all((r["row"] >= 1500) == (r["k"] == 1) for r in got)
+    assert rows.columns == ["k", "_row", "_range", "row"]
+    assert ranks.first_rows(df, 1700, [-F.col("k")]).groupBy("k").count().orderBy("k").collect() == [(0, 200), (1, 1500)]
+    assert ranks.first_rows(df.where("false"), 3, [F.col("k")]).count() == 0 and ranks.first_rows(df, 0, [F.col("k")]).count() == 0
+
+
 def test_overlaps_of_all_widths(spark):
     rng = np.random.default_rng(5)
     rows = lambda n, tag: [(f"k{rng.integers(2)}", int(s), int(s + rng.choice([0, 1, 30, 900, 70_000, 5_000_000])), f"{tag}{k}") for k, s in enumerate(rng.integers(-50_000, 6_000_000, n))]
