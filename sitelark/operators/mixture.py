@@ -1,8 +1,10 @@
 """Two-Gaussian mixture whose prior is a logistic function of features, fitted by expectation-maximisation.
 
-``fit_local`` runs on arrays, one model at a time. ``fit_groups`` fits any number of groups: those of at most ``LOCAL_ROWS`` rows, which
-are counted first, by fit_local in a task each; larger ones side by side, where each pass is one aggregation of sums by group over a
-cached table and only the parameters (a few numbers a group) come back to the driver, so that no large group is ever gathered.
+There is one algorithm: each step fits the logistic part to the posteriors by reweighted least squares from its last coefficients on, until these
+stand still (at most NEWTON_STEPS passes), and takes the moments of both parts. ``fit_local`` runs it on arrays, one model at a time.
+``fit_groups`` runs it for any number of groups: those of at most ``LOCAL_ROWS`` rows, which are counted first, in a task each; larger ones side
+by side, where each pass is one aggregation of sums by group over a cached table and only the parameters (a few numbers a group) come back to the
+driver, so that no large group is ever gathered. Where a group is fitted changes nothing but the order in which its sums are added.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from ..functions.expressions import normal_pdf, sigmoid
 from .quantiles import few_distinct, quantile_values
 
 EPS = 1e-10
+#: Passes of a step's least squares at most, and the relative change of coefficients at which it ends.
+NEWTON_STEPS, NEWTON_TOL = 20, 1e-6
 #: Rows of a group that one task fits by itself: about 100 bytes a row with ten features, and some five times that while it works.
 LOCAL_ROWS = 1_000_000
 FITTED_ARROW = pa.schema([("_g", pa.string()), ("beta", pa.list_(pa.float64())), *((n, pa.float64()) for n in ("mu0", "sigma0", "mu1", "sigma1")), ("iters", pa.int32()), ("converged", pa.bool_()), *((n, pa.float64()) for n in ("ll", "mp", "mr"))])
@@ -51,7 +55,7 @@ def _pdf(x: np.ndarray, mu: float, sigma: float) -> np.ndarray:
     return np.exp(-0.5 * ((x - mu) / sigma) ** 2) / (sigma * math.sqrt(2 * math.pi))
 
 
-def irls(x: np.ndarray, r: np.ndarray, steps: int = 100, tol: float = 1e-6, start: np.ndarray | None = None) -> np.ndarray:
+def irls(x: np.ndarray, r: np.ndarray, steps: int = 100, tol: float = NEWTON_TOL, start: np.ndarray | None = None) -> np.ndarray:
     """Logistic regression of fractional targets r by reweighted least squares; the first column of x is the intercept's."""
     beta = np.zeros(x.shape[1]) if start is None else start.copy()
     for _ in range(steps):
@@ -90,14 +94,14 @@ def fit_local(s: np.ndarray, features: np.ndarray, steps: int = 900, tol: float
     x = np.column_stack([np.ones(len(s)), features])
     mu0, sigma0, mu1, sigma1 = initial(s)
     n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
-    beta = irls(x, np.clip(n1 / (n0 + n1 + EPS), 0.01, 0.99), 20)
+    beta = irls(x, np.clip(n1 / (n0 + n1 + EPS), 0.01, 0.99), NEWTON_STEPS)
     before, it, converged = -math.inf, 0, False
     for it in range(1, steps + 1):
         p = _sigmoid(x @ beta)
         n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
         r = np.clip(p * n1 / ((1 - p) * n0 + p * n1 + EPS), EPS, 1 - EPS)
         try:
-            beta = irls(x, r, 20)
+            beta = irls(x, r, NEWTON_STEPS, start=beta)
         except np.linalg.LinAlgError:
             beta = beta * 0.95
         mu0, mu1 = float(((1 - r) @ s) / ((1 - r).sum() + EPS)), float((r @ s) / (r.sum() + EPS))
@@ -182,13 +186,11 @@ def log_likelihood(s: Column, p: Column, mu0: Column, sigma0: Column, mu1: Colum
     return most + F.ln(F.exp(a - most) + F.exp(b - most))
 
 
-def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps: int = 900, tol: float = 1e-5, newton_steps: int = 2) -> dict[str, Mixture]:
+def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps: int = 900, tol: float = 1e-5) -> dict[str, Mixture]:
     """One model for each value of group (null groups are left out); s is ln(score + 1).
 
-    Deviation from fit_local in groups of more than LOCAL_ROWS rows: the logistic part starts each step from its last value and takes
-    newton_steps steps, which reach the same fixed point in fewer passes. Every pass covers all such groups that have not stopped.
+    In groups of more than LOCAL_ROWS rows every pass covers all such groups that have not stopped.
     """
-    spark = df.sparkSession
     whole = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("_g"), F.col(s).cast("double").alias("_s"), *(F.col(f).cast("double").alias(f) for f in features))
     sizes = {r["_g"]: r["count"] for r in whole.groupBy("_g").count().collect()}  # a row a model
     large = [g for g, n in sizes.items() if n > LOCAL_ROWS]
@@ -204,11 +206,11 @@ def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps
         for r in small.groupBy("_g").applyInArrow(fit_one, FITTED).collect():
             models[r["_g"]] = Mixture(list(r["beta"]), r["mu0"], r["sigma0"], r["mu1"], r["sigma1"], r["iters"], r["converged"], r["ll"], r["mp"], r["mr"])
     if large:
-        models |= _fit_large(whole.where(F.col("_g").isin(large)), features, steps, tol, newton_steps)
+        models |= _fit_large(whole.where(F.col("_g").isin(large)), features, steps, tol)
     return {g: warned(m) for g, m in sorted(models.items())}
 
 
-def _fit_large(df: DataFrame, features: Sequence[str], steps: int, tol: float, newton_steps: int) -> dict[str, Mixture]:
+def _fit_large(df: DataFrame, features: Sequence[str], steps: int, tol: float) -> dict[str, Mixture]:
     """df: _g, _s and the features."""
     spark = df.sparkSession
     x = [F.lit(1.0), *(F.col(f) for f in features)]
@@ -228,20 +230,26 @@ def _fit_large(df: DataFrame, features: Sequence[str], steps: int, tol: float, n
             if not live:
                 break
             old = {g: list(models[g].beta) for g in live}
-            for k in range(20 if first else newton_steps):
-                rows = data.join(table({g: [*old[g], *models[g].beta, *(getattr(models[g], n) for n in names), start[g]["q50"]] for g in live}, [*b0, *b1, *names, "_mid"]), "_g")
+            open_, sums = set(live), {}
+            for _ in range(NEWTON_STEPS):
+                rows = data.join(table({g: [*old[g], *models[g].beta, *(getattr(models[g], n) for n in names), start[g]["q50"]] for g in open_}, [*b0, *b1, *names, "_mid"]), "_g")
                 p_old = sigmoid(sum((F.col(b) * v for b, v in zip(b0, x, strict=True)), F.lit(0.0)))
                 p_new = sigmoid(sum((F.col(b) * v for b, v in zip(b1, x, strict=True)), F.lit(0.0)))
-                base = F.lit(0.5) if first else p_old
-                r = posterior(F.col("_s"), base, *(F.col(n) for n in names))
+                n0, n1 = normal_pdf(F.col("_s"), F.col("mu0"), F.col("sigma0")), normal_pdf(F.col("_s"), F.col("mu1"), F.col("sigma1"))
+                r = n1 / (n0 + n1 + EPS) if first else posterior(F.col("_s"), p_old, *(F.col(n) for n in names))
                 r = F.least(F.greatest(r, F.lit(0.01 if first else EPS)), F.lit(0.99 if first else 1 - EPS))
-                sums = {q["_g"]: q.asDict() for q in rows.groupBy("_g").agg(*gram_sums(x, p_new, r), *moment_sums(F.col("_s") - F.col("_mid"), r)).collect()}
-                moved = 0.0
-                for g, q in sums.items():
-                    new = newton(q, models[g].beta)
-                    moved = max(moved, float(np.linalg.norm(np.array(new) - models[g].beta) / (1 + np.linalg.norm(models[g].beta))))
-                    models[g].beta = new
-                if moved < 1e-6:
+                sums |= {q["_g"]: q.asDict() for q in rows.groupBy("_g").agg(*gram_sums(x, p_new, r), *moment_sums(F.col("_s") - F.col("_mid"), r)).collect()}
+                for g in sorted(open_):
+                    now = models[g].beta
+                    try:
+                        models[g].beta = newton(sums[g], now)
+                    except np.linalg.LinAlgError:
+                        models[g].beta = [0.95 * b for b in old[g]]
+                        open_.discard(g)
+                        continue
+                    if np.linalg.norm(np.array(models[g].beta) - now) < NEWTON_TOL * (1 + np.linalg.norm(now)):
+                        open_.discard(g)
+                if not open_:
                     break
             if first:
                 first = False
