@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_digests
 from .decontaminate import decontaminate, items_digest
+from .hard_negatives import HIGH, LOW, NEGATIVES, POSITIVES, hard_negatives
 from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
 from .pii import KINDS, count_of, find_personal_data, listed
 from .search import B, K1, UNIT, top_k
+from .sharding import FACTORS, PRIME, round_keys, sharded
 from .suffix_dedup import substring_dedup
 from .token_files import token_index
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -258,6 +260,82 @@ FROM (SELECT query_id, doc_id, points, row_number() OVER (PARTITION BY query_id
 WHERE rank <= {TOP}
 """
 
+#: Rows whose vec_id is divisible by this are anchors.
+ANCHOR_STEP = 50
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % ANCHOR_STEP == 0)
+
+
+OP11_SQL = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, a.label = b.label AS same, b.rid, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % {ANCHOR_STEP} = 0
+), pos AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id) AS p FROM s WHERE same) WHERE p <= {POSITIVES}
+), neg AS (
+  SELECT pos.anchor_id, pos.vec_id AS positive_id, s.vec_id AS negative_id, pos.score AS positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY pos.arid, pos.p ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+  FROM pos JOIN s ON s.arid = pos.arid WHERE NOT s.same AND {LOW} * pos.score <= 100 * s.score AND 100 * s.score <= {HIGH} * pos.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= {NEGATIVES}
+"""
+
+SHARDS, SHARD_SEED = 16, 0
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharded(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS, SHARD_SEED, digest=True)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _crc_entry(bit: int) -> int:
+    """What a bit of the low byte adds when a CRC-32 register moves on by a byte."""
+    c = 1 << bit
+    for _ in range(8):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+def _feistel_sql() -> str:
+    """The network over x (to the base a), a subquery a round."""
+    first, second, third = FACTORS
+    out = "SELECT rid, n, a, steps, x // a AS l, x % a AS r FROM todo WHERE steps = 0 OR x >= n"
+    for key in round_keys(SHARD_SEED):
+        mixed = f"(((r * {first} + {key}) % {PRIME}) * ((r * {second} + {key}) % {PRIME}) + {key}) % {PRIME} * {third} % {PRIME}"
+        out = f"SELECT rid, n, a, steps, r AS l, (l + {mixed}) % a AS r FROM ({out})"
+    return f"SELECT rid, n, a, steps + 1 AS steps, l * a + r AS x FROM ({out})"
+
+
+_NEXT = "c >> 8"
+for _bit in range(8):
+    _NEXT = f"xor({_NEXT}, ((xor(c, x) >> {_bit}) & 1) * {_crc_entry(_bit)})"
+OP12_SQL = f"""
+WITH RECURSIVE bytes AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b
+  FROM documents
+), own AS (
+  SELECT doc_id, size, xor(CAST(4294967295 AS BIGINT), list_reduce(b, lambda c, x: {_NEXT}, CAST(4294967295 AS BIGINT))) AS text_crc32 FROM bytes
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS rid, count(*) OVER () AS n FROM own
+), todo(rid, n, a, steps, x) AS (
+  SELECT rid, n, CAST(ceil(sqrt(n)) AS BIGINT), 0, rid FROM numbered
+  UNION ALL
+  SELECT rid, n, a, steps, x FROM ({_feistel_sql()})
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % {SHARDS} AS INT) AS shard, x // {SHARDS} AS slot, CAST(NULL AS INT) AS grown_shard
+FROM numbered JOIN todo USING (rid) WHERE steps > 0 AND x < todo.n
+"""
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_token_files": op2_token_files,
@@ -269,6 +347,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
     "op10_topk_search": op10_topk_search,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_shards": op12_shards,
 }
 ORACLES = {
     "op3_url_filter": OP3_SQL,
@@ -277,4 +357,6 @@ ORACLES = {
     "op8_decontaminate": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_topk_search": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_shards": OP12_SQL,
 }

@@ -1,51 +1,7 @@
-"""Tables written between steps, in the folder that driver and executors share."""
+"""The written tables of the library, under the name that the corpus operators know."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from ..shared import deleted, dropped, fresh_path, shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set and Spark runs in one process (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="sitelark-")
-        found = _own[app]
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/sitelark/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, computed once and read back: a short lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that nothing needs any more
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def deleted(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table made by written(), once nothing reads it any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/sitelark/" in path:
-            deleted(df.sparkSession, path)
+__all__ = ["deleted", "dropped", "fresh_path", "shared_dir", "written"]
