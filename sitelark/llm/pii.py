@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import written
 
@@ -43,8 +44,11 @@ COUNTER_CUES = "version|isbn|order|invoice|serial|sha|figure|section"
 #: Code points before a span in which cues are sought; code points from which a segment may end.
 REACH, SEGMENT = 32, 2048
 LABELERS = ("form", "test", "gazetteer", "context", "edges")
-#: A segment ends before a character that no pattern has, or after a letter before a space and a letter.
-CUT = r"(?s).{%d,}?(?:(?=[^A-Za-z0-9._%%+@ ()\[\]-])|(?<=[A-Za-z])(?= [A-Za-z]))|(?s).+" % SEGMENT
+#: A segment ends before a character that no pattern has, or after a letter or digit before a space where only a letter or (after a letter) a digit
+#: follows: no pattern goes from a letter on over a space, nor from a digit over a space to a letter.
+CUT = r"(?s).{%d,}?(?:(?=[^A-Za-z0-9._%%+@ ()\[\]-])|(?<=[A-Za-z0-9])(?= [A-Za-z])|(?<=[A-Za-z])(?= [0-9]))|(?s).+" % SEGMENT
+#: Matches whose positions are summed up one after the other; those of more are summed up block by block, so that time stays linear.
+BLOCK = 64
 CANDIDATE = "array<struct<kind:int,loose:boolean,s:int,e:int,t:string,before:string,after:string>>"
 
 
@@ -56,15 +60,29 @@ def _spans(name: str, kind: str, pattern: str, gate: Column, loose: bool) -> lis
         F.arrays_zip(F.col(m).alias("t"), F.slice(F.col(g), 1, n).alias("l"), F.slice(F.col(g), 2, n).alias("r")),
         lambda x, i: F.struct(F.length(x["l"]).alias("gap"), x["t"].alias("t"), F.right(F.when(i == 0, F.concat(F.col("lead"), x["l"])).otherwise(x["l"]), F.lit(REACH)).alias("before"), F.left(x["r"], F.lit(1)).alias("after")),
     )
-    placed = F.aggregate(
-        piece,
-        F.struct(F.col("offset").alias("at"), F.array().cast(CANDIDATE).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["t"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.lit(loose).alias("loose"), (a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + F.length(x["t"])).alias("e"), x["t"], x["before"], x["after"]))).alias("out"),
-        ),
+    size = lambda x: x["gap"] + F.length(x["t"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(F.col(f"{name}_p"), b * BLOCK + 1, BLOCK))
+    sizes = F.transform(F.col(f"{name}_b"), lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + size(x)))
+    starts = F.aggregate(sizes, F.struct(F.col("offset").alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    def span(at: Column, x: Column) -> Column:
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.lit(loose).alias("loose"), (at + x["gap"]).alias("s"), (at + size(x)).alias("e"), x["t"], x["before"], x["after"])
+
+    within = lambda block, at: F.aggregate(
+        block,
+        F.struct(at.alias("at"), F.array().cast(CANDIDATE).alias("out")),
+        lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.concat(a["out"], F.array(span(a["at"], x))).alias("out")),
     )["out"]
-    return [(m, F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))), (g, F.when(F.size(m) > 0, F.split(text, pattern, -1))), (name, F.when(F.size(m) > 0, placed))]
+    placed = F.flatten(F.zip_with(F.col(f"{name}_b"), F.col(f"{name}_o"), within))
+    some = lambda c: F.when(F.size(m) > 0, c)
+    return [
+        (m, F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))),
+        (g, some(F.split(text, pattern, -1))),
+        (f"{name}_p", some(piece)),
+        (f"{name}_b", some(blocks)),
+        (f"{name}_o", some(starts)),
+        (name, some(placed)),
+    ]
 
 
 def segments(docs: DataFrame) -> DataFrame:
@@ -228,6 +246,30 @@ def _probability(c: Column, weights: list[float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def _settled(out: DataFrame) -> DataFrame:
+    """spans: base and what of extra touches no base span of its kind and, of extra, no earlier one. Sorted sweeps, so linear for any number of spans.
+
+    Extra spans are few (loose and failed forms), and so are the segments that hold any; only these come here.
+    """
+    held = out.withColumn("piece", F.monotonically_increasing_id())
+    every = F.concat(F.transform("base", lambda x: F.struct(F.lit(0).alias("own"), x.alias("x"))), F.transform("extra", lambda x: F.struct(F.lit(1).alias("own"), x.alias("x"))))
+    each = held.select("row", "doc_id", "n_segments", "piece", F.explode(every).alias("y")).select("row", "doc_id", "n_segments", "piece", "y.own", "y.x", "y.x.*")
+    rising = Window.partitionBy("piece", "kind").orderBy("start", "own", "end")
+    falling = Window.partitionBy("piece", "kind").orderBy(F.desc("start"), F.desc("own"), F.desc("end"))
+    up_to = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+    a_base = F.col("own") == 0
+    swept = each.select(
+        "*",
+        F.max(F.when(a_base, F.col("end"))).over(up_to(rising, 0)).alias("base_before"),
+        F.max(F.when(~a_base, F.col("end"))).over(up_to(rising, -1)).alias("extra_before"),
+        F.min(F.when(a_base, F.col("start"))).over(up_to(falling, 0)).alias("base_after"),
+    )
+    free = (F.coalesce("base_before", F.lit(-1)) <= F.col("start")) & (F.coalesce("extra_before", F.lit(-1)) <= F.col("start")) & (F.coalesce(F.col("base_after") >= F.col("end"), F.lit(True)))
+    listed_ = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("x"))))
+    kept = swept.groupBy("piece").agg(F.first("row").alias("row"), F.first("doc_id").alias("doc_id"), F.first("n_segments").alias("n_segments"), listed_(a_base).alias("base"), listed_(a_base | free).alias("spans"))
+    return kept.drop("piece")
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Spans of personal data in every text.
 
@@ -246,9 +288,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     base = F.array_sort(F.transform(F.filter("cands", lambda c: c["ok"]), brief))
     extra = F.array_sort(F.transform(F.filter("cands", lambda c: ~c["ok"] & (_probability(c, weights) >= 0.5)), brief))
     out = found.select("row", "doc_id", "n_segments", base.alias("base"), extra.alias("extra"))
-    touch = lambda x, y: (y["kind"] == x["kind"]) & (y["start"] < x["end"]) & (x["start"] < y["end"])
-    free = F.filter("extra", lambda x: ~F.exists("base", lambda y: touch(x, y)) & ~F.exists("extra", lambda y: touch(x, y) & (y < x)))
-    out = out.select("row", "doc_id", "n_segments", "base", F.when(F.size("extra") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", free))).alias("spans"))
+    quiet = out.where(F.size("extra") == 0).select("row", "doc_id", "n_segments", "base", F.col("base").alias("spans"))
+    out = quiet.unionByName(_settled(out.where(F.size("extra") > 0)))
     whole = out.where(F.col("n_segments") == 1).select("doc_id", "base", "spans")
     joined = out.where(F.col("n_segments") > 1).groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("base", "spans")))
     return whole.unionByName(joined.select("doc_id", "base", "spans"))
