@@ -48,19 +48,22 @@ def reverse_complement(spark, sf):
     return V.sequences(spark, sf).select("chrom", F.md5(X.reverse_complement(F.col("seq"))).alias("rc_md5"))
 
 
-def _pwm_rows(spark: SparkSession, background: bool) -> DataFrame:
-    logp = V.log_weights() if background else V.log_weights() + sequence.np.log(0.25)
-    return spark.createDataFrame([(k, b, float(logp[k][i])) for k in range(len(logp)) for i, b in enumerate("ACGT")], "k bigint, base string, v double")
+#: The matrix of the letters that contigs begin with.
+_DUCK_MATRIX = f"""WITH {DUCK_SEQS}, c AS (
+  SELECT k, base, CAST(count(*) FILTER (substr(seq, CAST(k + 1 AS BIGINT), 1) = base) AS DOUBLE) + 1e-9::DOUBLE AS n FROM seqs, (SELECT unnest(range({V.SIZE})) AS k), (VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY k, base
+), p AS (SELECT k, base, ln(n / sum(n) OVER (PARTITION BY k)) AS logp FROM c
+), q AS (SELECT base, n / sum(n) OVER () AS share FROM (SELECT base, CAST(greatest(sum(length(seq) - length(replace(seq, base, ''))), 1) AS DOUBLE) AS n FROM seqs, (VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY base))"""
 
 
-@query(f"WITH {DUCK_SEQS} SELECT k, base, round(llr + ln(CAST(0.25 AS DOUBLE)), 6) AS logp FROM w")
+@query(f"{_DUCK_MATRIX} SELECT k, base, round(logp, 6) AS logp FROM p")
 def pwm_normalize(spark, sf):
-    return rounded(_pwm_rows(spark, False).withColumnRenamed("v", "logp"), "logp")
+    return rounded(sequence.log_matrix(sequence.count_matrix(V.sequences(spark, sf), V.SIZE)), "logp")
 
 
-@query(f"WITH {DUCK_SEQS} SELECT k, base, round(llr, 6) AS llr FROM w")
+@query(f"{_DUCK_MATRIX} SELECT k, p.base, round(logp - ln(share), 6) AS llr FROM p JOIN q ON p.base = q.base")
 def pwm_llr(spark, sf):
-    return rounded(_pwm_rows(spark, True).withColumnRenamed("v", "llr"), "llr")
+    seqs = V.sequences(spark, sf)
+    return rounded(sequence.log_matrix(sequence.count_matrix(seqs, V.SIZE), sequence.base_composition(seqs)), "llr").select("k", "base", "llr")
 
 
 @query(f"WITH {DUCK_SCAN} SELECT contig_order, CAST(count(ok) AS BIGINT) AS n_kmers, CAST(sum(CAST(ok AS INT)) AS BIGINT) AS n_valid, round(sum(s), 3) AS total, round(max(CASE WHEN ok THEN s END), 6) AS best FROM kmers WHERE strand = '+' GROUP BY contig_order")
@@ -482,12 +485,64 @@ def irls_step(spark, sf):
 
 @query()
 def em_fit(spark, sf):
-    """A mixture for each return flag, all fitted side by side until they stop; rows only, held against fit_local in the tests."""
+    """A mixture for each return flag, all fitted side by side until they stop; its first steps are held against SQL, its end against numpy."""
     models = mixture.fit_groups(_scores(spark, sf), "l_returnflag", "s", ["x"])
     rows = [(g, m.mu0, m.sigma0, m.mu1, m.sigma1, m.beta, m.iters, m.converged, m.final_log_likelihood, m.mean_p, m.mean_r) for g, m in sorted(models.items())]
     return spark.createDataFrame(rows, "grp string, mu0 double, sigma0 double, mu1 double, sigma1 double, beta array<double>, iters int, converged boolean, log_likelihood double, mean_p double, mean_r double")
 
 
+#: Steps of the fit that SQL follows, and passes of least squares that it takes a step: more than any group needs.
+EM_STEPS, EM_PASSES = 4, 9
+
+
+def _duck_fit() -> str:
+    """The fit of every return flag, step by step and pass by pass."""
+    p = lambda b: f"1 / (1 + exp(-least(greatest({b}.b0 + {b}.b1 * x, -40), 40)))"
+    n0, n1 = _duck_density("m.mu0", "m.sigma0"), _duck_density("m.mu1", "m.sigma1")
+    parts = [
+        "WITH d AS (SELECT l_returnflag AS g, ln(CAST(l_extendedprice AS DOUBLE) + 1) AS s, CAST(l_quantity AS DOUBLE) / 10 AS x FROM lineitem)",
+        "mid AS (SELECT g, quantile_cont(s, 0.5) AS q50 FROM d GROUP BY g)",
+        "m0 AS MATERIALIZED (SELECT g, avg(s) FILTER (s <= q50) AS mu0, greatest(stddev_pop(s) FILTER (s <= q50), 0.1) AS sigma0, avg(s) FILTER (s > q50) AS mu1, greatest(stddev_pop(s) FILTER (s > q50), 0.1) AS sigma1 FROM d JOIN mid USING (g) GROUP BY g)",
+        "start AS (SELECT g, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM mid)",
+        f"r0 AS MATERIALIZED (SELECT d.*, least(greatest({n1} / ({n0} + {n1} + 1e-10), 0.01), 0.99) AS r FROM d JOIN m0 m ON m.g = d.g)",
+    ]
+    beta = "start"
+    for step in range(EM_STEPS + 1):
+        if step:
+            parts.append(f"r{step} AS MATERIALIZED (SELECT d.*, least(greatest({p('b')} * {n1} / ((1 - {p('b')}) * {n0} + {p('b')} * {n1} + 1e-10), 1e-10), 1 - 1e-10) AS r FROM d JOIN m{step - 1} m ON m.g = d.g JOIN {beta} b ON b.g = d.g)")
+        for k in range(EM_PASSES):
+            parts.append(f"p{step}_{k} AS MATERIALIZED (SELECT r.g, x, r, {p('b')} AS p FROM r{step} r JOIN {beta} b ON b.g = r.g)")
+            parts.append(f"g{step}_{k} AS (SELECT g, sum(greatest(p * (1 - p), 1e-9)) AS a, sum(greatest(p * (1 - p), 1e-9) * x) AS b, sum(greatest(p * (1 - p), 1e-9) * x * x) AS c, sum(r - p) AS u, sum(x * (r - p)) AS v FROM p{step}_{k} GROUP BY g)")
+            parts.append(f"b{step}_{k} AS MATERIALIZED (SELECT o.g, o.b0 + (c * u - b * v) / (a * c - b * b) AS b0, o.b1 + (a * v - b * u) / (a * c - b * b) AS b1 FROM {beta} o JOIN g{step}_{k} n ON n.g = o.g)")
+            beta = f"b{step}_{k}"
+        if step:
+            parts.append(f"u{step} AS (SELECT g, sum((1 - r) * s) / (sum(1 - r) + 1e-10) AS mu0, sum(r * s) / (sum(r) + 1e-10) AS mu1 FROM r{step} GROUP BY g)")
+            parts.append(f"m{step} AS MATERIALIZED (SELECT r.g, max(mu0) AS mu0, sqrt(greatest(sum((1 - r) * pow(s - mu0, 2)) / (sum(1 - r) + 1e-10), 1e-10)) AS sigma0, max(mu1) AS mu1, sqrt(greatest(sum(r * pow(s - mu1, 2)) / (sum(r) + 1e-10), 1e-10)) AS sigma1 FROM r{step} r JOIN u{step} u ON u.g = r.g GROUP BY r.g)")
+    last = f"SELECT d.g, s, {p('b')} AS p, {n0} AS n0, {n1} AS n1 FROM d JOIN m{EM_STEPS} m ON m.g = d.g JOIN {beta} b ON b.g = d.g"
+    ends = f"ends AS (SELECT g, sum(ln((1 - p + 1e-10) * n0 + (p + 1e-10) * n1)) AS ll, avg(p) AS mp, avg(p * n1 / ((1 - p) * n0 + p * n1 + 1e-10)) AS mr FROM ({last}) GROUP BY g)"
+    return ",\n".join([*parts, ends]) + f"""
+SELECT m.g AS grp, round(mu0, 5) AS mu0, round(sigma0, 5) AS sigma0, round(mu1, 5) AS mu1, round(sigma1, 5) AS sigma1, round(b0, 4) AS beta0, round(b1, 4) AS beta1, round(ll, 2) AS log_likelihood, round(mp, 5) AS mean_p, round(mr, 5) AS mean_r
+FROM m{EM_STEPS} m JOIN {beta} b ON b.g = m.g JOIN ends e ON e.g = m.g"""
+
+
+def _fitted(spark: SparkSession, sf: str, local_rows: int | None) -> DataFrame:
+    models = mixture.fit_groups(_scores(spark, sf), "l_returnflag", "s", ["x"], steps=EM_STEPS, tol=0.0, local_rows=local_rows)
+    rows = [(g, *(round(v, 5) for v in (m.mu0, m.sigma0, m.mu1, m.sigma1)), *(round(b, 4) for b in m.beta), round(m.final_log_likelihood, 2), round(m.mean_p, 5), round(m.mean_r, 5)) for g, m in models.items()]
+    return spark.createDataFrame(rows, "grp string, mu0 double, sigma0 double, mu1 double, sigma1 double, beta0 double, beta1 double, log_likelihood double, mean_p double, mean_r double")
+
+
+@query(_duck_fit())
+def em_fit_steps(spark, sf):
+    """The first steps of em_fit(), groups in a task each."""
+    return _fitted(spark, sf, None)
+
+
+@query(_duck_fit())
+def em_fit_spread(spark, sf):
+    """The same by sums over all tasks, as groups of any size are fitted."""
+    return _fitted(spark, sf, 0)
+
+
 @query(f"""WITH {_DUCK_FEAT}, r AS (SELECT k, q / 50 AS post, p AS cons FROM f), g AS (SELECT avg(cons) FILTER (post > 0.9) - avg(cons) FILTER (post < 0.1) AS gap FROM r)
 SELECT k, round(sum(CASE WHEN gap < 0 THEN 1 - post ELSE post END), 6) AS post FROM r, g GROUP BY k""")
 def orient_posterior(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .plans import batch, pipeline
-from .sources import text
+from .sources import genes, text
 from .sources.bigwig import read_bigwig
 
 
@@ -46,6 +46,9 @@ def parser() -> argparse.ArgumentParser:
     for a in ("sites", "exons", "regions", "expression", "phastcons", "phylop", "out"):
         s.add_argument(a)
     s.add_argument("--collapse", choices=["max"])
+    s = sub.add_parser("lay-out", help="lay conservation scores out by chromosome and start, for reads of a part")
+    s.add_argument("scores")
+    s.add_argument("out")
     s = sub.add_parser("model", help="fit the mixture")
     s.add_argument("sites")
     s.add_argument("out")
@@ -72,6 +75,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument(x)
     window(s)
     s.add_argument("--threshold", type=int, default=8)
+    s.add_argument("--variant", nargs=3, action="append", default=[], metavar=("NAME", "NATIVE", "FIXED"), help="score each motif by these tracks as well")
     s.set_defaults(suffix=".tsv.gz")
     return p
 
@@ -91,8 +95,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         scored = pipeline.accessibility(text.read_sites(spark, a.sites), native, fixed, a.inner, a.outer, a.threshold, dense)
         text.write_parquet(scored, a.out, ("chrom", "pos1", "strand"))
     elif a.stage == "annotate":
-        done = pipeline.annotation(spark.read.parquet(a.sites), spark.read.parquet(a.exons), text.read_regions(spark, a.regions), spark.read.parquet(a.expression), spark.read.parquet(a.phastcons), spark.read.parquet(a.phylop), collapse=a.collapse)
+        done = pipeline.annotation(spark.read.parquet(a.sites), genes.read_exons(spark, a.exons), text.read_regions(spark, a.regions), spark.read.parquet(a.expression), text.read_scores(spark, a.phastcons), text.read_scores(spark, a.phylop), collapse=a.collapse)
         text.write_parquet(done, a.out, ("chrom", "pos1", "strand"))
+    elif a.stage == "lay-out":
+        text.write_scores(spark.read.parquet(a.scores), a.out)
     elif a.stage == "model":
         rows, fitted = pipeline.model(spark.read.parquet(a.sites), a.features.split(","), a.score, a.mode, legacy=a.legacy)
         text.write_parquet(rows, f"{a.out}.model.parquet")
@@ -104,8 +110,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             text.write_table(tables[name].coalesce(1), f"{a.out}/{name}", compress=False)
     elif a.stage == "workflow":
         (native, dense), (fixed, _) = _signal(spark, a.native), _signal(spark, a.fixed)
-        resources = {n: spark.read.parquet(getattr(a, n)) for n in ("exons", "expression", "phastcons", "phylop")} | {"regions": text.read_regions(spark, a.regions)}
-        done = batch.workflow(spark, a.motifs, a.names, a.peaks, a.structured, native, fixed, resources, a.out, dense, a.suffix, a.peaks_suffix, a.inner, a.outer, a.threshold)
+        resources = {"exons": genes.read_exons(spark, a.exons), "expression": spark.read.parquet(a.expression), "regions": text.read_regions(spark, a.regions)}
+        resources |= {n: text.read_scores(spark, getattr(a, n)) for n in ("phastcons", "phylop")}
+        done = batch.workflow(spark, a.motifs, a.names, a.peaks, a.structured, native, fixed, resources, a.out, dense, a.suffix, a.peaks_suffix, a.inner, a.outer, a.threshold, {n: (_signal(spark, x)[0], _signal(spark, y)[0]) for n, x, y in a.variant})
         text.write_table(done.coalesce(1), f"{a.out}/status", compress=False)
     else:
         jobs = batch.jobs_table(text.discover(spark, f"{a.motifs}/*{a.suffix}", a.suffix), text.read_motif_map(spark, a.names), text.discover(spark, f"{a.peaks}/*{a.peaks_suffix}", a.peaks_suffix)).collect()

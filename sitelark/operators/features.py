@@ -96,9 +96,10 @@ def label_counts(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def oriented(df: DataFrame, posterior: str, conservation: str, flip: Sequence[str]) -> DataFrame:
-    """1 - x in the columns of flip if sites with a high posterior (> 0.9) are less conserved than those with a low one (< 0.1)."""
+def oriented(df: DataFrame, posterior: str, conservation: str, flip: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """1 - x in the columns of flip if sites with a high posterior (> 0.9) are less conserved than those with a low one (< 0.1); by: groups, each by itself."""
     p, c = F.col(posterior), F.col(conservation)
-    gap = df.agg((F.avg(F.when(p > 0.9, c)) - F.avg(F.when(p < 0.1, c))).alias("_gap"))  # one row
+    gap = df.groupBy(*by).agg((F.avg(F.when(p > 0.9, c)) - F.avg(F.when(p < 0.1, c))).alias("_gap"))  # one row, or one a group
     turn = F.coalesce(F.col("_gap") < 0, F.lit(False))
-    return df.crossJoin(F.broadcast(gap)).withColumns({x: F.when(turn, 1 - F.col(x)).otherwise(F.col(x)) for x in flip}).drop("_gap")
+    both = df.join(gap, list(by)) if by else df.crossJoin(F.broadcast(gap))
+    return both.withColumns({x: F.when(turn, 1 - F.col(x)).otherwise(F.col(x)) for x in flip}).drop("_gap")

@@ -80,8 +80,9 @@ def asof_backward(left: DataFrame, right: DataFrame, on: Sequence[str], left_at:
 
     One union, one sort by key, bin and position, one running last(): no join, and no pair is ever made. Each bin of positions begins with
     the last hit of the bins before it, which runs over a row a bin; so a chromosome spreads over its bins. Of right rows at one position the
-    greatest by the taken columns counts.
+    greatest by the taken columns counts. A null key or position finds nothing, as in any join by equality.
     """
+    right = right.dropna(subset=[*on, right_at])
     names = list(left.columns)
     hit_type = right.select(F.struct(*take)).schema[0].dataType
     none = F.lit(None).cast(hit_type)
@@ -110,8 +111,8 @@ def map_to_transcripts(sites: DataFrame, exons: DataFrame, key: str, at: str, on
     an exon keep nulls. Adds transcript_id, transcript_start (exon bases before the centre) and transcript_length.
     """
     size = F.col("exon_end") - F.col("exon_start")
-    forward = Window.partitionBy("transcript_id").orderBy("exon_start")
-    whole = Window.partitionBy("transcript_id")
+    forward = Window.partitionBy(*on, "transcript_id").orderBy("exon_start")  # an id may stand on two chromosomes
+    whole = Window.partitionBy(*on, "transcript_id")
     placed = exons.select(*on, "transcript_id", "exon_start", "exon_end", (F.sum(size).over(forward) - size).alias("_before"), F.sum(size).over(whole).alias("transcript_length"))
     centre = sites.select(key, *on, F.col(at).alias("_s"), (F.col(at) + 1).alias("_e"), F.col(at).alias("_c"))
     hits = overlap_pairs(centre, placed, on, ("_s", "_e"), ("exon_start", "exon_end"), 10_000)

@@ -186,14 +186,14 @@ def log_likelihood(s: Column, p: Column, mu0: Column, sigma0: Column, mu1: Colum
     return most + F.ln(F.exp(a - most) + F.exp(b - most))
 
 
-def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps: int = 900, tol: float = 1e-5) -> dict[str, Mixture]:
+def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps: int = 900, tol: float = 1e-5, local_rows: int | None = None) -> dict[str, Mixture]:
     """One model for each value of group (null groups are left out); s is ln(score + 1).
 
-    In groups of more than LOCAL_ROWS rows every pass covers all such groups that have not stopped.
+    In groups of more than local_rows rows (LOCAL_ROWS if None) every pass covers all such groups that have not stopped.
     """
     whole = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("_g"), F.col(s).cast("double").alias("_s"), *(F.col(f).cast("double").alias(f) for f in features))
     sizes = {r["_g"]: r["count"] for r in whole.groupBy("_g").count().collect()}  # a row a model
-    large = [g for g, n in sizes.items() if n > LOCAL_ROWS]
+    large = [g for g, n in sizes.items() if n > (LOCAL_ROWS if local_rows is None else local_rows)]
 
     def fit_one(part: pa.Table) -> pa.Table:
         x = np.column_stack([part.column(f).to_numpy() for f in features]) if features else np.zeros((part.num_rows, 0))
@@ -226,7 +226,7 @@ def _fit_large(df: DataFrame, features: Sequence[str], steps: int, tol: float) -
             return F.broadcast(spark.createDataFrame([(g, *map(float, v)) for g, v in parameters.items()], "_g string, " + ", ".join(f"{c} double" for c in columns)))
 
         b0, b1 = [f"_b{k}" for k in range(len(x))], [f"_c{k}" for k in range(len(x))]
-        for it in range(1, steps + 1):
+        for it in range(steps + 1):  # the first one only starts the logistic part
             if not live:
                 break
             old = {g: list(models[g].beta) for g in live}
@@ -266,7 +266,7 @@ def _fit_large(df: DataFrame, features: Sequence[str], steps: int, tol: float) -
             ends = rows.groupBy("_g").agg(F.sum(log_likelihood(F.col("_s"), p, *par)).alias("ll"), F.avg(p).alias("mp"), F.avg(posterior(F.col("_s"), p, *par)).alias("mr")).collect()
             for q in ends:
                 m, g = models[q["_g"]], q["_g"]
-                m.iters, m.final_log_likelihood, m.mean_p, m.mean_r = it - 1, q["ll"], q["mp"], q["mr"]
+                m.iters, m.final_log_likelihood, m.mean_p, m.mean_r = it, q["ll"], q["mp"], q["mr"]
                 if abs(q["ll"] - last[g]) < tol * (1 + abs(last[g])):
                     m.converged = it < steps
                     live.discard(g)

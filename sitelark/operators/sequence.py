@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shared import written
 from .ranks import first_rows
@@ -40,6 +41,27 @@ def base_composition(seqs: DataFrame) -> DataFrame:
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def count_matrix(seqs: DataFrame, size: int) -> DataFrame:
+    """k, base, n: how many sequences have a base at place k (0-based, below size); U counts as T, other letters not at all."""
+    at = lambda k: F.translate(F.substring("seq", k + 1, 1), "U", "T")
+    sums = [F.coalesce(F.count_if(at(k) == b), F.lit(0)).alias(f"n_{k}_{b}") for k in range(size) for b in "ACGT"]
+    rows = F.array(*(F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(b).alias("base"), F.col(f"n_{k}_{b}").alias("n")) for k in range(size) for b in "ACGT"))
+    return seqs.agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
+
+
+def log_matrix(counts: DataFrame, background: DataFrame | None = None) -> DataFrame:
+    """k, base, logp of a matrix k, base, n: each place's shares after 1e-9 is added everywhere, in natural logarithms.
+
+    With a background (base, share) also llr, the logarithm of share over background share.
+    """
+    p = F.col("n").cast("double") + 1e-9
+    logp = counts.select("k", "base", F.ln(p / F.sum(p).over(Window.partitionBy("k"))).alias("logp"))
+    if background is None:
+        return logp
+    q = background.select("base", F.col("share").alias("_q"))  # four rows
+    return logp.join(F.broadcast(q), "base").select("k", "base", "logp", (F.col("logp") - F.ln("_q")).alias("llr"))
+
+
 def log_ratios(logp: np.ndarray, background: np.ndarray) -> np.ndarray:
     """Natural-log probabilities [L, 4] minus the log of the background."""
     q = np.asarray(background, np.float64)

@@ -51,9 +51,9 @@ def window_moments(sites: DataFrame, points: DataFrame, inner: int, outer: int,
     return pairs.groupBy("site").agg(*sums)
 
 
-def site_score(sites: DataFrame, points: DataFrame, inner: int = 50, outer: int = 500, threshold: int = THRESHOLD) -> DataFrame:
+def site_score(sites: DataFrame, points: DataFrame, inner: int = 50, outer: int = 500, threshold: int = THRESHOLD, on: tuple[str, ...] = ("chrom", "strand")) -> DataFrame:
     """site, t_native, t_fixed and s_l = t_native**2 + t_fixed**2 of the sites whose four windows have threshold rows each."""
-    m = window_moments(sites, points, inner, outer)
+    m = window_moments(sites, points, inner, outer, on)
     full = F.lit(True)
     for name in ("native_in", "native_out", "fixed_in", "fixed_out"):
         full = full & (F.col(f"n_{name}") >= threshold)
@@ -84,9 +84,9 @@ def run_moments(sites: DataFrame, runs: DataFrame, inner: int, outer: int, on: t
     return within.groupBy("site").agg(*sums).select("site", *moments)
 
 
-def site_score_dense(sites: DataFrame, runs: DataFrame, inner: int = 50, outer: int = 500, threshold: int = THRESHOLD) -> DataFrame:
+def site_score_dense(sites: DataFrame, runs: DataFrame, inner: int = 50, outer: int = 500, threshold: int = THRESHOLD, on: tuple[str, ...] = ("chrom", "strand")) -> DataFrame:
     """The score from a value per base, given as runs: disjoint windows, numbers of bases as weights; every site stays, a missing contrast counts as 0."""
-    m = sites.select("site").join(run_moments(sites, runs, inner, outer), "site", "left")
+    m = sites.select("site").join(run_moments(sites, runs, inner, outer, on), "site", "left")
 
     def t(c: str) -> Column:
         n_in, n_out = F.col(f"n_{c}_in"), F.col(f"n_{c}_out")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,56 +69,91 @@ def batch_fit(spark: SparkSession, jobs: Sequence[tuple[str, str]], out: str, fe
     return spark.createDataFrame([(t, s["ok"], s.get("error"), s.get("n"), s.get("iters"), s.get("converged"), s.get("warnings")) for t, s in status.items()], STATUS)
 
 
-def batch_evaluate(spark: SparkSession, jobs: Sequence[tuple[str, str]], structured: str, out: str, feature_columns: Sequence[str] = pipeline.FEATURES, limit: float = 1.0, at_once: int = 4) -> DataFrame:
-    """Evaluates the fitted model of each (title, peaks path) of ``out`` and goes on past failures, some at a time.
+#: Names of the tables that an evaluation writes.
+LOGS = (("metadata", "metrics"), ("beta_coefficients", "coefficients"), ("beta_coefficients_s_l", "coefficients_sl"))
 
-    Writes ``out/logs/{title}_metadata`` and the two coefficient tables. Returns title, ok, error and, where it worked, the metrics row.
-    """
 
-    def one(job: tuple[str, str]) -> tuple[str, DataFrame | None, str | None]:
-        title, peaks = job
+def batch_evaluate(spark: SparkSession, jobs: Sequence[tuple[str, str]], structured: str, out: str, feature_columns: Sequence[str] = pipeline.FEATURES, limit: float = 1.0) -> DataFrame:
+    """Evaluates the fitted models of all (title, peaks path) of ``out`` in the same passes, and goes on past failures.
+
+    Writes ``out/logs/metadata`` and the two coefficient tables, a folder title=... each; titles that are not evaluated keep what they have there. A
+    model or peak file that cannot be read is a row with its error; if the common run fails, the titles are run one by one to find whose fault it is.
+    Returns title, ok, error and, where it worked, the metrics row.
+    """
+    errors: dict[str, str] = {}
+    ready: dict[str, tuple] = {}
+    for title, peaks in jobs:
 
-        def run() -> DataFrame:
+        def read(title: str = title, peaks: str = peaks) -> tuple:
             model = pipeline.model_of_record(text.read_json(spark, f"{out}/{title}.model.json"))
-            rows = spark.read.parquet(f"{out}/models/title={title}")
-            tables = pipeline.evaluation(rows, text.read_peaks(spark, peaks), spark.read.parquet(structured), model, feature_columns, limit, title=title)
-            for name, table in (("metadata", "metrics"), ("beta_coefficients", "coefficients"), ("beta_coefficients_s_l", "coefficients_sl")):
-                text.write_table(tables[table].coalesce(1), f"{out}/logs/{title}_{name}", compress=False)
-            return tables["metrics"]
-
-        return (title, *_tried(run))
-
-    with ThreadPoolExecutor(at_once) as pool:
-        done = list(pool.map(one, jobs))
-    states = spark.createDataFrame([(t, e is None, e) for t, _, e in done], "title string, ok boolean, error string")
-    tables = [m for _, m, _ in done if m is not None]
-    if not tables:
+            mark = F.lit(title).alias(pipeline.TITLE)
+            rows = spark.read.parquet(f"{out}/models/title={title}").select("*", mark)
+            return model, rows, text.read_peaks(spark, peaks).select("chrom", "strand", "start", "end", mark)
+
+        found, error = _tried(read)
+        if error:
+            errors[title] = error
+        else:
+            ready[title] = found
+
+    def run(titles: Sequence[str]) -> DataFrame:
+        rows, peaks = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (ready[t][k] for t in titles)) for k in (1, 2))
+        tables = pipeline.evaluation_groups(rows, peaks, spark.read.parquet(structured), {t: ready[t][0] for t in titles}, feature_columns, limit)
+        for name, table in LOGS:
+            log = tables[table].withColumnRenamed(pipeline.TITLE, "title")
+            text.write_table(log.coalesce(1), f"{out}/logs/{name}", compress=False, by="title")
+        return tables["metrics"].drop(pipeline.TITLE)
+
+    measured: list[DataFrame] = []
+    if ready:
+        every, error = _tried(lambda: run(list(ready)))
+        if error is None:
+            measured = [every]
+        else:
+            for title in ready:
+                one, error = _tried(lambda title=title: run([title]))
+                if error:
+                    errors[title] = error
+                else:
+                    measured.append(one)
+    states = spark.createDataFrame([(t, t not in errors, errors.get(t)) for t, _ in jobs], "title string, ok boolean, error string")
+    if not measured:
         return states
-    return states.join(reduce(DataFrame.unionByName, tables).withColumnRenamed("file_title", "title"), "title", "left")
+    return states.join(reduce(DataFrame.unionByName, measured).withColumnRenamed("file_title", "title"), "title", "left")
 
 
-def workflow(spark: SparkSession, folder: str, names: str, peaks: str, structured: str, native: DataFrame, fixed: DataFrame, resources: dict[str, DataFrame], out: str, dense: bool = False, suffix: str = ".tsv.gz", peaks_suffix: str = ".bed", inner: int = 50, outer: int = 500, threshold: int = 8) -> DataFrame:
+def workflow(spark: SparkSession, folder: str, names: str, peaks: str, structured: str, native: DataFrame, fixed: DataFrame, resources: dict[str, DataFrame], out: str, dense: bool = False, suffix: str = ".tsv.gz", peaks_suffix: str = ".bed", inner: int = 50, outer: int = 500, threshold: int = 8, variants: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
     """From scanned tables to metrics: each motif file of ``folder`` is scored, annotated, fitted and evaluated against its protein's peaks.
 
-    resources: exons, regions, expression, phastcons, phylop. Motifs whose annotated table is already in ``out`` are not made again. Returns
-    the status of each motif: that of its last step.
+    The motif is a key through one plan, so tracks and resources are read once for all motifs. resources: exons, regions, expression, phastcons, phylop.
+    variants: more pairs of tracks, by name; each motif is scored by each of them as well, under its title, an underscore and the variant's name. Titles
+    whose annotated table (a folder title=... below ``out/annotated``) is there are not made again. If the common plan fails, the motifs are run one by
+    one to find whose fault it is. Returns the status of each title: that of its last step.
     """
     found = jobs_table(text.discover(spark, f"{folder}/*{suffix}", suffix), text.read_motif_map(spark, names), text.discover(spark, f"{peaks}/*{peaks_suffix}", peaks_suffix))
-    jobs = found.collect()  # a row a motif
-    made, failed = [], []
-    for r in jobs:
-        path = f"{out}/annotated/{r['title']}"
-
-        def annotate(r=r, path=path) -> DataFrame:
-            if not text.exists(spark, f"{path}/_SUCCESS"):
-                scored = pipeline.accessibility(text.read_sites(spark, r["path"]), native, fixed, inner, outer, threshold, dense)
-                text.write_parquet(pipeline.annotation(scored, **resources), path, ("chrom", "pos1", "strand"))
-            return spark.read.parquet(path)
-
-        _, error = _tried(annotate)
-        (failed.append((r["title"], False, error)) if error else made.append((r["title"], path)))
-    fits = batch_fit(spark, made, out)
-    states = {s["title"]: s for s in fits.collect()}
-    measured = batch_evaluate(spark, [(r["title"], r["peaks_path"]) for r in jobs if r["title"] in states and states[r["title"]]["ok"]], structured, out)
-    unfit = [(t, False, s["error"]) for t, s in states.items() if not s["ok"]]
-    return measured.unionByName(spark.createDataFrame([*failed, *unfit], "title string, ok boolean, error string"), allowMissingColumns=True)
+    tracks = {"": (native, fixed)} | (variants or {})
+    titles = {(f"{r['title']}_{v}" if v else r["title"]): (r, v) for r in found.collect() for v in tracks}  # a row a motif
+    made = lambda t: text.exists(spark, f"{out}/annotated/title={t}")
+    marked = lambda k: reduce(DataFrame.unionByName, (pair[k].withColumn("variant", F.lit(v)) for v, pair in tracks.items()))
+
+    def annotate(wanted: Sequence[str]) -> DataFrame:
+        parts = [text.read_sites(spark, titles[t][0]["path"]).withColumns({"title": F.lit(t), "variant": F.lit(titles[t][1])}) for t in wanted]
+        scored = pipeline.accessibility(reduce(DataFrame.unionByName, parts), marked(0), marked(1), inner, outer, threshold, dense, ("title",), ("variant",)).drop("variant")
+        done = pipeline.annotation(scored, **resources, by=("title",))
+        order = ("title", "chrom", "pos1", "strand")
+        done.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("title").parquet(f"{out}/annotated")
+        return done
+
+    errors: dict[str, str] = {}
+    todo = [t for t in titles if not made(t)]
+    if todo and _tried(lambda: annotate(todo))[1]:
+        for t in todo:
+            _, error = _tried(lambda t=t: annotate([t]))
+            if error:
+                errors[t] = error
+    ready = [t for t in titles if t not in errors and made(t)]
+    errors |= {t: "no site has enough signal and conservation" for t in titles if t not in errors and t not in ready}
+    states = {s["title"]: s for s in batch_fit(spark, [(t, f"{out}/annotated/title={t}") for t in ready], out).collect()}
+    measured = batch_evaluate(spark, [(t, titles[t][0]["peaks_path"]) for t in ready if states[t]["ok"]], structured, out)
+    errors |= {t: s["error"] for t, s in states.items() if not s["ok"]}
+    return measured.unionByName(spark.createDataFrame([(t, False, e) for t, e in errors.items()], "title string, ok boolean, error string"), allowMissingColumns=True)

@@ -88,14 +88,27 @@ def read_peaks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PEAKS).option("sep", "\t").option("mode", "PERMISSIVE").csv(path)
 
 
+SCORES = "start bigint, end bigint, score double, chrom string"
+
+
 def read_scores(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Parquet chrom, start, end, score; a range of starts is pushed into the scan."""
-    df = spark.read.parquet(path)
+    """Parquet chrom, start, end, score, as one folder of files or as write_scores() lays it out; a range of starts is pushed into the scan."""
+    df = spark.read.schema(SCORES).parquet(path).select("chrom", "start", "end", "score")
     if start is not None:
         df = df.where(F.col("start") >= start)
     return df if end is None else df.where(F.col("start") <= end)
 
 
+def write_scores(df: DataFrame, path: str, stretch: int = 10_000_000) -> None:
+    """chrom, start, end, score laid out for reads of a part: a folder a chromosome, and in it a file for each stretch of starts, sorted.
+
+    Readers then open the chromosomes they ask for and, by the files' own statistics, the row groups of the positions they ask for.
+    """
+    bare = df.select(F.regexp_replace(F.col("chrom").cast("string"), "^chr", "").alias("chrom"), *(F.col(c).cast(k).alias(c) for c, k in (("start", "bigint"), ("end", "bigint"), ("score", "double"))))
+    placed = bare.withColumn("_stretch", F.floor(F.col("start") / stretch))
+    placed.repartition("chrom", "_stretch").sortWithinPartitions("chrom", "start").drop("_stretch").write.mode("overwrite").partitionBy("chrom").parquet(path)
+
+
 def read_motif_map(spark: SparkSession, path: str) -> DataFrame:
     """motif, rbp of a headed table; ``.`` and blank names are left out, and of several rows for a motif the last counts."""
     raw = spark.read.option("header", True).option("sep", "\t").csv(path).withColumn("_row", F.monotonically_increasing_id())
@@ -110,11 +123,12 @@ def discover(spark: SparkSession, pattern: str, suffix: str) -> DataFrame:
     return files.where(name.endswith(suffix)).select(F.left(name, F.length(name) - len(suffix)).alias("motif"), "path").distinct().orderBy("motif")
 
 
-def write_table(df: DataFrame, path: str, compress: bool = True) -> None:
-    """Headed tab-separated text; NaN as nan."""
+def write_table(df: DataFrame, path: str, compress: bool = True, by: str | None = None) -> None:
+    """Headed tab-separated text; NaN as nan. by: a column that gives a folder for each of its values, of which those that df has are replaced."""
     real = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
     df = df.withColumns({c: F.when(F.isnan(df[c]), "nan").otherwise(df[c].cast("string")) for c in real})  # the writer itself says NaN
-    df.write.mode("overwrite").option("header", True).option("sep", "\t").option("compression", "gzip" if compress else "none").csv(path)
+    writer = df.write.mode("overwrite").option("header", True).option("sep", "\t").option("compression", "gzip" if compress else "none")
+    (writer.partitionBy(by).option("partitionOverwriteMode", "dynamic") if by else writer).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:

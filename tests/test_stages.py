@@ -1,5 +1,6 @@
 """All sources and sinks, the five stages from files to files, and many models at a time, on tiny inputs made here."""
 
+import functools
 import gzip
 import json
 import math
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelark import cli
-from sitelark.operators import features, intervals, mixture, sequence
+from sitelark.operators import baselines, features, intervals, mixture, ranks, sequence
 from sitelark.plans import batch, pipeline
 from sitelark.sources import bigwig, text
 
@@ -441,7 +442,72 @@ def test_many_models_go_on_past_failures(spark, tmp_path):
     done = batch.batch_evaluate(spark, [("R_M1", str(tmp_path / "p.bed")), ("R_M2", str(tmp_path / "none.bed")), ("R_M9", str(tmp_path / "p.bed"))], str(tmp_path / "pip"), str(tmp_path / "out"))
     rows = {r["title"]: r for r in done.collect()}
     assert {t: r["ok"] for t, r in rows.items()} == {"R_M1": True, "R_M2": False, "R_M9": False} and rows["R_M1"]["auc_em"] is not None and rows["R_M2"]["auc_em"] is None
-    assert list((tmp_path / "out/logs/R_M1_metadata").glob("part-*"))
+    assert list((tmp_path / "out/logs/metadata/title=R_M1").glob("part-*"))
+
+
+def test_models_are_evaluated_in_the_same_jobs(spark):
+    """Three models at once give the rows that each gives alone, in as many jobs as one."""
+    tables, fitted, peaks = [], {}, []
+    for k, t in enumerate(("a", "b", "c")):
+        rows, bound = modelled_sites(260 + 20 * k, 60 + k)
+        modelled, fitted[t] = pipeline.model(spark.createDataFrame(rows, SITE_SCHEMA))
+        all_sites = spark.createDataFrame(rows, SITE_SCHEMA).join(modelled.select("id", "prior_p", "posterior_r"), "id", "left")
+        tables.append(spark.createDataFrame(all_sites.withColumn(pipeline.TITLE, F.lit(t)).collect(), all_sites.withColumn(pipeline.TITLE, F.lit(t)).schema))
+        peaks.append(spark.createDataFrame([("c_1", "+-"[j % 2], 1000 * (j + 1), 1000 * (j + 1) + 5, t) for j in range(len(rows)) if bound[j] and (t != "c" or j < 0)] or [("none", "+", 0, 1, t)], f"chrom string, strand string, start long, end long, {pipeline.TITLE} string"))
+    structured = spark.createDataFrame([("c_1", "+", 1, 2)], "chrom string, strand string, start long, end long")
+
+    def measured(titles, group):
+        spark.sparkContext.setJobGroup(group, group)
+        pick = [k for k, t in enumerate("abc") if t in titles]
+        join = lambda xs: functools.reduce(lambda x, y: x.unionByName(y), [xs[k] for k in pick])
+        out = pipeline.evaluation_groups(join(tables), join(peaks), structured, {t: fitted[t] for t in titles}, limit=0.8)
+        plain = {n: sorted(out[n].collect(), key=repr) for n in ("metrics", "coefficients", "coefficients_sl")}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return plain, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    every, jobs = measured("abc", "every")
+    for t in "abc":
+        alone, n = measured(t, f"alone-{t}")
+        assert jobs <= 1.25 * n + 40 or t == "c"
+        for name, rows in alone.items():
+            own = [r for r in every[name] if r[pipeline.TITLE] == t]
+            assert len(own) == len(rows) > 0
+            for r, q in zip(own, rows, strict=True):
+                for x, y in zip(r, q, strict=True):
+                    assert x == y or (isinstance(x, float) and (x != x and y != y or abs(x - y) < 1e-6 * (1 + abs(y)))), (name, r, q)
+    (c,) = [r for r in every["metrics"] if r[pipeline.TITLE] == "c"]
+    assert c["n_clip_bound_out_df"] == 0 and math.isnan(c["auc_lr"]) and c["auc_em"] is None
+
+
+def test_separable_classes_end_converged(spark):
+    rows = [("a", float(k), int(k > 20)) for k in range(40)] + [("b", float(k % 7), k % 2) for k in range(40)] + [("c", 1.0, 1)] + [("a", None, 1)]
+    fits = baselines.fit_logistic_groups(spark.createDataFrame(rows, "g string, x double, y int"), ["g"], ["x"], "y", c=1e6)
+    assert fits["a",].converged and fits["b",].converged and fits["c",].one_class and not fits["c",].converged
+    single = baselines.fit_logistic(spark.createDataFrame([(x, y) for g, x, y in rows if g == "b"], "x double, y int"), ["x"], "y", c=1e6)
+    assert abs(single.coefficients[0] - fits["b",].coefficients[0]) < 1e-9 and single.converged
+
+
+def test_distribution_fits_read_rows_a_few_times(spark):
+    """The fits of binned values are those of the rows, group by group, and the passes over the rows do not grow with the steps of a fit."""
+    rng = np.random.default_rng(2)
+    data = [("t", float(v)) for v in np.round(rng.standard_t(4, 1500) * 2 + 5, 1)] + [("g", float(v)) for v in np.round(rng.gamma(3, 2, 1200), 1)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    found = baselines.qq_deviations_groups(df.mapInArrow(seen, df.schema), "v", ["g"])
+    assert read.value <= 6 * len(data)  # facts, bins, and the numbering's count, sample and sort
+    for g in "tg":
+        alone = baselines.qq_deviations(df.where(F.col("g") == g), "v")
+        assert all(abs(found[g,][k] - alone[k]) < 1e-6 for k in alone)
+    nu, mu, sigma = baselines.fit_student(df.where("g = 't'"), "v", 200)
+    v = np.array([x for g, x in data if g == "t"])
+    w = (nu + 1) / (nu + ((v - mu) / sigma) ** 2)
+    assert abs((w * v).sum() / w.sum() - mu) < 1e-6 and abs(math.sqrt((w * (v - mu) ** 2).mean()) - sigma) < 1e-6
 
 
 def test_workflow_by_command_line(spark, files, tmp_path):
@@ -458,11 +524,29 @@ def test_workflow_by_command_line(spark, files, tmp_path):
     for r in ("R1", "R2"):
         (tmp_path / f"peaks/{r}_HeLa.bed").write_text("".join(f"{c}\t{k}\t{k + 30}\tp\t1\t{s}\t{r}\tm\tc\ts\n" for c in ("chr1", "chr2") for s in "+-" for k in range(0, 900, 60)))
     argv = [tmp_path / "flat", tmp_path / "names.tsv", tmp_path / "peaks", tmp_path / "out", d / "pip", d / "native.tsv", d / "fixed.tsv", d / "exons", d / "r.bed", d / "tpm", d / "phast", d / "phylo"]
+    run(spark, "workflow", *argv, "--inner", 5, "--outer", 20, "--variant", "kd", d / "fixed.tsv", d / "native.tsv")
+    lines = next((tmp_path / "out/status").glob("part-*")).read_text().splitlines()
+    status = {line.split("\t")[0]: line.split("\t")[1] for line in lines[1:]}
+    assert status["R1_M1"] == status["R1_M1_kd"] == "true" and set(status) == {"R1_M1", "R2_M2", "R1_M1_kd", "R2_M2_kd"}
+    table = {t: spark.read.parquet(str(tmp_path / f"out/annotated/title={t}")) for t in ("R1_M1", "R1_M1_kd")}
+    # each as if the motif and the tracks were alone
+    run(spark, "accessibility", tmp_path / "flat/M1.tsv.gz", d / "native.tsv", d / "fixed.tsv", tmp_path / "acc", "--inner", 5, "--outer", 20)
+    run(spark, "annotate", tmp_path / "acc", d / "exons", d / "r.bed", d / "tpm", d / "phast", d / "phylo", tmp_path / "ann")
+    plain = lambda df: sorted(repr(tuple(r)) for r in df.select(*sorted(c for c in df.columns)).collect())
+    assert plain(table["R1_M1"]) == plain(spark.read.parquet(str(tmp_path / "ann")))
+    swapped = table["R1_M1_kd"].withColumns({"t_native": F.col("t_fixed"), "t_fixed": F.col("t_native")}).drop("s_l")
+    assert plain(swapped) == plain(table["R1_M1"].drop("s_l")) and table["R1_M1"].count() > 0
+    when = {f: f.stat().st_mtime for f in (tmp_path / "out/annotated").glob("title=*/part-*")}
+    run(spark, "workflow", *argv, "--inner", 5, "--outer", 20)
+    assert {f: f.stat().st_mtime for f in (tmp_path / "out/annotated").glob("title=*/part-*")} == when
+    # a motif file that cannot be read takes no other with it
+    (tmp_path / "flat/M3.tsv.gz").write_bytes(b"\x1f\x8bbroken")
+    (tmp_path / "flat/M4.tsv.gz").write_bytes((tmp_path / "flat/M1.tsv.gz").read_bytes())
+    (tmp_path / "names.tsv").write_text("Motif_ID\tRBP_Name\nM1\tR1\nM2\tR2\nM3\tR1\nM4\tR1\n")
     run(spark, "workflow", *argv, "--inner", 5, "--outer", 20)
     lines = next((tmp_path / "out/status").glob("part-*")).read_text().splitlines()
     status = {line.split("\t")[0]: line.split("\t")[1] for line in lines[1:]}
-    assert status["R1_M1"] == "true" and set(status) == {"R1_M1", "R2_M2"}
-    assert list((tmp_path / "out/annotated/R1_M1").glob("part-*"))
+    assert status["R1_M3"] == "false" and status["R1_M4"] == status["R1_M1"] == "true"
 
 
 def test_running_signal_of_a_stream(spark, tmp_path):
