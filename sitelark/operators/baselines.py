@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import sigmoid
+from ..shared import dropped, written
 from .mixture import gram_sums, newton, solve
 from .quantiles import quantile_values
 from .ranks import numbered
+from .sums import group_numbers, group_sums, packed
 
 
 #: The distributions that values are held against.
@@ -62,39 +64,47 @@ def fit_logistic_groups(df: DataFrame, by: Sequence[str], features: Sequence[str
     a group's loss is halved and tried again, so separable data end as well; ``converged`` says whether the last step was as small as ``tol``. Groups with
     one class only have no fit: intercept and coefficients are NaN, and the probability is 0.5. Rows with a null in y, a feature or the group are left out.
     """
-    names = [f"_x{k}" for k in range(len(features) + 1)]
-    rows = df.select(*by, F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_x0"), *(F.col(f).cast("double").alias(n) for f, n in zip(features, names[1:], strict=True))).dropna()
-    classes = rows.groupBy(*by).agg(F.min("_y").alias("a"), F.max("_y").alias("b")).collect()  # a row a group
-    key = lambda r: tuple(r[g] for g in by)
-    out = {key(r): Logistic(math.nan, [math.nan] * len(features)) for r in classes}
-    live = {key(r): _Path(np.zeros(len(names)), np.zeros(len(names))) for r in classes if r["a"] != r["b"]}
-    done: dict[tuple, _Path] = {}
-    penalty, n = np.array([0.0] + [1 / c] * len(features)), len(names)
-    betas = [f"_b{k}" for k in range(n)]
-    x, b = [F.col(v) for v in names], [F.col(v) for v in betas]
-    z = sum((p * q for p, q in zip(b, x, strict=True)), F.lit(0.0))
-    softplus = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
-    for _ in range(steps):
-        if not live:
-            break
-        tried = _parameters(df, by, {g: path.beta + path.step for g, path in live.items()}, betas)
-        sums = rows.join(tried, list(by)).groupBy(*by).agg(F.sum(softplus - F.col("_y") * z).alias("loss"), *gram_sums(x, sigmoid(z), F.col("_y"))).collect()
-        for row in sums:
-            g, path = key(row), live[key(row)]
-            at = path.beta + path.step
-            loss = row["loss"] + 0.5 * float(penalty @ (at * at))
-            if loss > path.loss + 1e-12 * (1 + abs(path.loss)) and path.halved < HALVINGS:
-                path.step, path.halved = path.step / 2, path.halved + 1
-                continue
-            gram = np.array([[row[f"g_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) + np.diag(penalty)
-            slope = np.array([row[f"b_{i}"] for i in range(n)]) - penalty * at
-            path.beta, path.loss, path.halved, path.steps = at, loss, 0, path.steps + 1
-            path.step = solve(gram, slope)
-            if np.abs(path.step).max() < tol * (1 + np.abs(at + path.step).max()):
-                path.beta, path.converged = at + path.step, True
-                done[g] = live.pop(g)
+    names = [f"_x{k}" for k in range(len(features))]
+    clean = df.select(*by, F.col(y).cast("double").alias("_y"), *(F.col(f).cast("double").alias(n) for f, n in zip(features, names, strict=True))).dropna()
+    rows, groups = group_numbers(clean, by)
+    rows = written(rows.select("_g", "_y", *names), "logistic-rows")  # many passes over a short plan
+    penalty, n = np.array([0.0] + [1 / c] * len(features)), len(names) + 1
+    try:
+        classes = rows.groupBy("_g").agg(F.min("_y").alias("a"), F.max("_y").alias("b")).collect()  # a row a group
+        out = {g: Logistic(math.nan, [math.nan] * len(features)) for g in groups}
+        live = {r["_g"]: _Path(np.zeros(n), np.zeros(n)) for r in classes if r["a"] != r["b"]}
+        done: dict[int, _Path] = {}
+        for _ in range(steps):
+            if not live:
+                break
+            tried = {g: path.beta + path.step for g, path in live.items()}
+
+            def sums(g: int, m: np.ndarray, tried: dict[int, np.ndarray] = tried) -> np.ndarray:
+                if g not in tried:
+                    return np.zeros(1 + n * n + n)
+                x = np.column_stack([np.ones(len(m)), m[:, 1:]])
+                z = x @ tried[g]
+                p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+                w = np.maximum(p * (1 - p), 1e-9)
+                return packed((np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - m[:, 0] * z).sum(), (x * w[:, None]).T @ x, x.T @ (m[:, 0] - p))
+
+            for g, v in group_sums(rows, ["_y", *names], sums).items():
+                if g not in live:
+                    continue
+                path, at = live[g], tried[g]
+                loss = v[0] + 0.5 * float(penalty @ (at * at))
+                if loss > path.loss + 1e-12 * (1 + abs(path.loss)) and path.halved < HALVINGS:
+                    path.step, path.halved = path.step / 2, path.halved + 1
+                    continue
+                path.beta, path.loss, path.halved, path.steps = at, loss, 0, path.steps + 1
+                path.step = solve(v[1 : 1 + n * n].reshape(n, n) + np.diag(penalty), v[1 + n * n :] - penalty * at)
+                if np.abs(path.step).max() < tol * (1 + np.abs(at + path.step).max()):
+                    path.beta, path.converged = at + path.step, True
+                    done[g] = live.pop(g)
+    finally:
+        dropped(rows)
     for g, path in (done | live).items():
-        out[g] = Logistic(float(path.beta[0]), path.beta[1:].tolist(), path.converged, path.steps)
+        out[groups[g]] = Logistic(float(path.beta[0]), path.beta[1:].tolist(), path.converged, path.steps)
     return out
 
 

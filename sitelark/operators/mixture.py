@@ -3,7 +3,7 @@
 There is one algorithm: each step fits the logistic part to the posteriors by reweighted least squares from its last coefficients on, until these
 stand still (at most NEWTON_STEPS passes), and takes the moments of both parts. ``fit_local`` runs it on arrays, one model at a time.
 ``fit_groups`` runs it for any number of groups: those of at most ``LOCAL_ROWS`` rows, which are counted first, in a task each; larger ones side
-by side, where each pass is one aggregation of sums by group over a cached table and only the parameters (a few numbers a group) come back to the
+by side, where each pass is one aggregation of sums by group over a written table and only the parameters (a few numbers a group) come back to the
 driver, so that no large group is ever gathered. Where a group is fitted changes nothing but the order in which its sums are added.
 """
 
@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import normal_pdf, sigmoid
+from ..shared import dropped, written
 from .quantiles import few_distinct, quantile_values
+from .sums import group_numbers, group_sums, packed
 
 EPS = 1e-10
 #: Passes of a step's least squares at most, and the relative change of coefficients at which it ends.
@@ -55,6 +57,12 @@ def _pdf(x: np.ndarray, mu: float, sigma: float) -> np.ndarray:
     return np.exp(-0.5 * ((x - mu) / sigma) ** 2) / (sigma * math.sqrt(2 * math.pi))
 
 
+def _log_likelihood(s: np.ndarray, p: np.ndarray, mu0: float, sigma0: float, mu1: float, sigma1: float) -> float:
+    a = np.log(1 - p + EPS) - 0.5 * ((s - mu0) / sigma0) ** 2 - math.log(sigma0 * math.sqrt(2 * math.pi))
+    b = np.log(p + EPS) - 0.5 * ((s - mu1) / sigma1) ** 2 - math.log(sigma1 * math.sqrt(2 * math.pi))
+    return float(np.logaddexp(a, b).sum())
+
+
 def irls(x: np.ndarray, r: np.ndarray, steps: int = 100, tol: float = NEWTON_TOL, start: np.ndarray | None = None) -> np.ndarray:
     """Logistic regression of fractional targets r by reweighted least squares; the first column of x is the intercept's."""
     beta = np.zeros(x.shape[1]) if start is None else start.copy()
@@ -107,10 +115,7 @@ def fit_local(s: np.ndarray, features: np.ndarray, steps: int = 900, tol: float
         mu0, mu1 = float(((1 - r) @ s) / ((1 - r).sum() + EPS)), float((r @ s) / (r.sum() + EPS))
         sigma0 = math.sqrt(max(float(((1 - r) @ (s - mu0) ** 2) / ((1 - r).sum() + EPS)), EPS))
         sigma1 = math.sqrt(max(float((r @ (s - mu1) ** 2) / (r.sum() + EPS)), EPS))
-        p = _sigmoid(x @ beta)
-        a = np.log(1 - p + EPS) - 0.5 * ((s - mu0) / sigma0) ** 2 - math.log(sigma0 * math.sqrt(2 * math.pi))
-        b = np.log(p + EPS) - 0.5 * ((s - mu1) / sigma1) ** 2 - math.log(sigma1 * math.sqrt(2 * math.pi))
-        now = float(np.logaddexp(a, b).sum())
+        now = _log_likelihood(s, _sigmoid(x @ beta), mu0, sigma0, mu1, sigma1)
         if abs(now - before) < tol * (1 + abs(before)):
             before, converged = now, it < steps
             break
@@ -211,69 +216,77 @@ def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps
 
 
 def _fit_large(df: DataFrame, features: Sequence[str], steps: int, tol: float) -> dict[str, Mixture]:
-    """df: _g, _s and the features."""
-    spark = df.sparkSession
-    x = [F.lit(1.0), *(F.col(f) for f in features)]
-    data = df.persist()
+    """df: _g (a name), _s and the features."""
+    numbered, groups = group_numbers(df.withColumnRenamed("_g", "_name"), ["_name"])
+    data, n = written(numbered.select("_g", "_s", *features), "mixture-rows"), len(features) + 1
     try:
         start = {r["_g"]: r for r in initial_table(data, "_s", ["_g"]).collect()}
-        models = {g: Mixture([0.0] * len(x), r["mu0"], r["sigma0"], r["mu1"], r["sigma1"]) for g, r in start.items()}
+        models = {g: Mixture([0.0] * n, r["mu0"], r["sigma0"], r["mu1"], r["sigma1"]) for g, r in start.items()}
         live, last = set(models), {g: -math.inf for g in models}
-        first = True
-        names = ["mu0", "sigma0", "mu1", "sigma1"]
-
-        def table(parameters: dict[str, list[float]], columns: list[str]) -> DataFrame:
-            return F.broadcast(spark.createDataFrame([(g, *map(float, v)) for g, v in parameters.items()], "_g string, " + ", ".join(f"{c} double" for c in columns)))
-
-        b0, b1 = [f"_b{k}" for k in range(len(x))], [f"_c{k}" for k in range(len(x))]
         for it in range(steps + 1):  # the first one only starts the logistic part
             if not live:
                 break
-            old = {g: list(models[g].beta) for g in live}
+            old = {g: (np.array(models[g].beta), models[g].mu0, models[g].sigma0, models[g].mu1, models[g].sigma1, start[g]["q50"]) for g in live}
             open_, sums = set(live), {}
             for _ in range(NEWTON_STEPS):
-                rows = data.join(table({g: [*old[g], *models[g].beta, *(getattr(models[g], n) for n in names), start[g]["q50"]] for g in open_}, [*b0, *b1, *names, "_mid"]), "_g")
-                p_old = sigmoid(sum((F.col(b) * v for b, v in zip(b0, x, strict=True)), F.lit(0.0)))
-                p_new = sigmoid(sum((F.col(b) * v for b, v in zip(b1, x, strict=True)), F.lit(0.0)))
-                n0, n1 = normal_pdf(F.col("_s"), F.col("mu0"), F.col("sigma0")), normal_pdf(F.col("_s"), F.col("mu1"), F.col("sigma1"))
-                r = n1 / (n0 + n1 + EPS) if first else posterior(F.col("_s"), p_old, *(F.col(n) for n in names))
-                r = F.least(F.greatest(r, F.lit(0.01 if first else EPS)), F.lit(0.99 if first else 1 - EPS))
-                sums |= {q["_g"]: q.asDict() for q in rows.groupBy("_g").agg(*gram_sums(x, p_new, r), *moment_sums(F.col("_s") - F.col("_mid"), r)).collect()}
+                now = {g: np.array(models[g].beta) for g in open_}
+
+                def step(g: int, m: np.ndarray, now: dict = now, old: dict = old, first: bool = it == 0) -> np.ndarray:
+                    if g not in now:
+                        return np.zeros(n * n + n + 6)
+                    beta, mu0, sigma0, mu1, sigma1, mid = old[g]
+                    s, x = m[:, 0], np.column_stack([np.ones(len(m)), m[:, 1:]])
+                    n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
+                    p = _sigmoid(x @ beta)
+                    r = np.clip(n1 / (n0 + n1 + EPS), 0.01, 0.99) if first else np.clip(p * n1 / ((1 - p) * n0 + p * n1 + EPS), EPS, 1 - EPS)
+                    p = _sigmoid(x @ now[g])
+                    w = np.maximum(p * (1 - p), 1e-9)
+                    d = s - mid  # from the group's median, so that squares do not cancel
+                    return packed((x * w[:, None]).T @ x, x.T @ (r - p), r.sum(), (1 - r).sum(), r @ d, (1 - r) @ d, r @ (d * d), (1 - r) @ (d * d))
+
+                sums |= {g: v for g, v in group_sums(data, ["_s", *features], step).items() if g in open_}
                 for g in sorted(open_):
-                    now = models[g].beta
+                    v = sums[g]
                     try:
-                        models[g].beta = newton(sums[g], now)
+                        new = now[g] + solve(v[: n * n].reshape(n, n), v[n * n : n * n + n])
                     except np.linalg.LinAlgError:
-                        models[g].beta = [0.95 * b for b in old[g]]
+                        new = 0.95 * old[g][0]
                         open_.discard(g)
-                        continue
-                    if np.linalg.norm(np.array(models[g].beta) - now) < NEWTON_TOL * (1 + np.linalg.norm(now)):
+                    if np.linalg.norm(new - now[g]) < NEWTON_TOL * (1 + np.linalg.norm(now[g])):
                         open_.discard(g)
+                    models[g].beta = new.tolist()
                 if not open_:
                     break
-            if first:
-                first = False
+            if it == 0:
                 continue
-            for g, q in sums.items():
-                m = models[g]
-                d0, d1 = q["s0"] / (q["r0"] + EPS), q["s1"] / (q["r1"] + EPS)  # from the group's median
-                m.sigma0 = math.sqrt(max((q["q0"] - 2 * d0 * q["s0"] + d0**2 * q["r0"]) / (q["r0"] + EPS), EPS))
-                m.sigma1 = math.sqrt(max((q["q1"] - 2 * d1 * q["s1"] + d1**2 * q["r1"]) / (q["r1"] + EPS), EPS))
+            for g, v in sums.items():
+                m, (r1, r0, s1, s0, q1, q0) = models[g], v[n * n + n :].tolist()
+                d0, d1 = s0 / (r0 + EPS), s1 / (r1 + EPS)
+                m.sigma0 = math.sqrt(max((q0 - 2 * d0 * s0 + d0**2 * r0) / (r0 + EPS), EPS))
+                m.sigma1 = math.sqrt(max((q1 - 2 * d1 * s1 + d1**2 * r1) / (r1 + EPS), EPS))
                 m.mu0, m.mu1 = start[g]["q50"] + d0, start[g]["q50"] + d1
-            rows = data.join(table({g: [*models[g].beta, *(getattr(models[g], n) for n in names)] for g in live}, [*b1, *names]), "_g")
-            p = sigmoid(sum((F.col(b) * v for b, v in zip(b1, x, strict=True)), F.lit(0.0)))
-            par = [F.col(n) for n in names]
-            ends = rows.groupBy("_g").agg(F.sum(log_likelihood(F.col("_s"), p, *par)).alias("ll"), F.avg(p).alias("mp"), F.avg(posterior(F.col("_s"), p, *par)).alias("mr")).collect()
-            for q in ends:
-                m, g = models[q["_g"]], q["_g"]
-                m.iters, m.final_log_likelihood, m.mean_p, m.mean_r = it, q["ll"], q["mp"], q["mr"]
-                if abs(q["ll"] - last[g]) < tol * (1 + abs(last[g])):
+            fits = {g: models[g] for g in live}
+
+            def end(g: int, m: np.ndarray, fits: dict = fits) -> np.ndarray:
+                if g not in fits:
+                    return np.zeros(4)
+                f, s = fits[g], m[:, 0]
+                p = _sigmoid(np.column_stack([np.ones(len(m)), m[:, 1:]]) @ np.array(f.beta))
+                n0, n1 = _pdf(s, f.mu0, f.sigma0), _pdf(s, f.mu1, f.sigma1)
+                return packed(_log_likelihood(s, p, f.mu0, f.sigma0, f.mu1, f.sigma1), p.sum(), (p * n1 / ((1 - p) * n0 + p * n1 + EPS)).sum(), len(m))
+
+            for g, v in group_sums(data, ["_s", *features], end).items():
+                if g not in live:
+                    continue
+                m = models[g]
+                m.iters, m.final_log_likelihood, m.mean_p, m.mean_r = it, float(v[0]), float(v[1] / v[3]), float(v[2] / v[3])
+                if abs(v[0] - last[g]) < tol * (1 + abs(last[g])):
                     m.converged = it < steps
                     live.discard(g)
-                last[g] = q["ll"]
-        return models
+                last[g] = v[0]
+        return {groups[g][0]: m for g, m in models.items()}
     finally:
-        data.unpersist()
+        dropped(data)
 
 
 def with_posterior(df: DataFrame, model: Mixture, s: str, features: Sequence[str]) -> DataFrame:

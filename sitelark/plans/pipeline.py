@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import baselines, features, intervals, metrics, mixture, sequence
 from ..operators import signal as sig
+from ..shared import dropped, written
 
 FEATURES = ("inner_mean_logPWM", "outer_mean_logPWM", "GC_inner_pct", "GC_outer_pct", "TSS_proximity", "PhastCons100_percent", "TPM", "score_phastcons100", "score_phylop100")
 #: In legacy mode the columns are scaled with their indices off by one: these are scaled, the rest stay raw.
@@ -146,9 +147,10 @@ def evaluation_groups(modelled: DataFrame, peaks: DataFrame, structured: DataFra
     placed = keyed.select("_key", TITLE, chrom.alias("chrom"), pos.alias("_p"), strand.alias("strand"))
     spans = placed.select("_key", TITLE, "chrom", "strand", (F.col("_p") - half).alias("_s"), (F.col("_p") + half).alias("_e"))
     hit = lambda t, *key: intervals.overlap_pairs(spans, t.select(*key, F.col("start").alias("_a"), F.col("end").alias("_b")), key, ("_s", "_e"), ("_a", "_b")).select("_key")
-    every = features.label_sites(keyed, hit(peaks, TITLE, "chrom", "strand"), hit(structured, "chrom", "strand"), "_key", "score_phastcons100", limit).drop("_key").persist()
+    every = written(features.label_sites(keyed, hit(peaks, TITLE, "chrom", "strand"), hit(structured, "chrom", "strand"), "_key", "score_phastcons100", limit).drop("_key"), "labelled-sites")
     clean = features.model_input(every, feature_columns, "s_l", legacy)
-    labelled = features.oriented(clean, "posterior_r", "PhastCons100_percent", ["posterior_r", "prior_p"], by).persist()
+    labelled = written(features.oriented(clean, "posterior_r", "PhastCons100_percent", ["posterior_r", "prior_p"], by), "measured-sites")  # stays: it is returned
+    scratch = [every]
     labels = ("clip_bound", "clip_unbound", "non_determined")
     rows_of = lambda df: {r[TITLE]: r.asDict() for r in df.collect()}  # noqa: E731  a row a model
     try:
@@ -157,28 +159,28 @@ def evaluation_groups(modelled: DataFrame, peaks: DataFrame, structured: DataFra
         titles = sorted(all_counts)
         scaled_names = scaled_columns(feature_columns, legacy)
         scaled = features.zscored(labelled.withColumn("log_s", F.ln(F.col("s_l") + 1)), [*scaled_names, "log_s"], by=by)
-        scaled = scaled.where("label <> 'non_determined'").withColumn("y", F.when(F.col("label") == "clip_bound", 1).otherwise(0)).persist()
+        scaled = written(scaled.where("label <> 'non_determined'").withColumn("y", F.when(F.col("label") == "clip_bound", 1).otherwise(0)), "scaled-sites")
+        scratch.append(scaled)
         zs = [f"{c}_z" if c in scaled_names else c for c in feature_columns]
         plain, with_s = baselines.fit_logistic_groups(scaled, by, zs, "y"), baselines.fit_logistic_groups(scaled, by, ["log_s_z", *zs], "y")
         guessed = baselines.with_probabilities(baselines.with_probabilities(scaled, by, plain, zs, "_lr"), by, with_s, ["log_s_z", *zs], "_lr_sl") if plain else scaled.withColumns({"_lr": F.lit(0.5), "_lr_sl": F.lit(0.5)})
         control = F.col("inner_mean_logPWM").cast("double") if "inner_mean_logPWM" in modelled.columns else F.lit(None).cast("double")
         by_score = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in zip(SCORES, (control, F.col("posterior_r"), F.col("_lr"), F.col("_lr_sl")), strict=True))))
         long = guessed.select(TITLE, "y", by_score.alias("_v")).select(TITLE, "y", "_v.kind", "_v.value")
-        run = metrics.running_by_score(long, "value", "y", by=[TITLE, "kind"]).persist()
+        run = written(metrics.running_by_score(long, "value", "y", by=[TITLE, "kind"]), "running-totals")
+        scratch.append(run)
         aucs = {(r[TITLE], r["kind"]): r["auc"] for r in metrics.roc_auc_of(run, [TITLE, "kind"]).collect()}  # four rows a model
         em = run.where("kind = 'em'")
         aps, f1s = rows_of(metrics.average_precision_of(em, by)), rows_of(metrics.best_f1_of(em, by))
         at_fpr = {name: rows_of(metrics.precision_at_fpr_of(em, t, by)) for t, name in ((0.1, "10pct"), (0.01, "1pct"))}
-        run.unpersist()
-        scaled.unpersist()
         enough = [(t, k) for t in titles for k in labels[:2] if counts.get(t, {}).get(k, 0) > 1]
         part = labelled.where(F.col("label") != labels[2]).select(TITLE, "label", F.ln(F.col("s_l") + 1).alias("v"))
         if enough:
             part = part.join(F.broadcast(spark.createDataFrame(enough, f"{TITLE} string, label string")), [TITLE, "label"])  # two rows a model
         deviations = baselines.qq_deviations_groups(part, "v", [TITLE, "label"]) if enough else {}
     finally:
-        every.unpersist()
-        labelled.unpersist()
+        for table in scratch:
+            dropped(table)
     rows, beta_rows, beta_s_rows = [], [], []
     for t in titles:
         lr, lr_s = (m.get((t,), baselines.Logistic(math.nan, [math.nan] * k)) for m, k in ((plain, len(zs)), (with_s, len(zs) + 1)))

@@ -466,7 +466,7 @@ def test_models_are_evaluated_in_the_same_jobs(spark):
         return plain, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     every, jobs = measured("abc", "every")
-    for t in "abc":
+    for t in "ac":
         alone, n = measured(t, f"alone-{t}")
         assert jobs <= 1.25 * n + 40 or t == "c"
         for name, rows in alone.items():
