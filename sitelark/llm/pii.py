@@ -11,7 +11,7 @@ all candidates that did not pass a strict test. Those that did always stay.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -61,30 +61,35 @@ def _spans(name: str, kind: str, pattern: str, gate: Column, loose: bool) -> lis
         lambda x, i: F.struct(F.length(x["l"]).alias("gap"), x["t"].alias("t"), F.right(F.when(i == 0, F.concat(F.col("lead"), x["l"])).otherwise(x["l"]), F.lit(REACH)).alias("before"), F.left(x["r"], F.lit(1)).alias("after")),
     )
     size = lambda x: x["gap"] + F.length(x["t"])
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(F.col(f"{name}_p"), b * BLOCK + 1, BLOCK))
-    sizes = F.transform(F.col(f"{name}_b"), lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + size(x)))
-    starts = F.aggregate(sizes, F.struct(F.col("offset").alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
     def span(at: Column, x: Column) -> Column:
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.lit(loose).alias("loose"), (at + x["gap"]).alias("s"), (at + size(x)).alias("e"), x["t"], x["before"], x["after"])
 
+    def blocks(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda b: F.slice(p, b * BLOCK + 1, BLOCK))
+
+    def starts(b: Column) -> Column:
+        sizes = F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + size(y)))
+        return F.aggregate(sizes, F.struct(F.col("offset").alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
     within = lambda block, at: F.aggregate(
         block,
         F.struct(at.alias("at"), F.array().cast(CANDIDATE).alias("out")),
         lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.concat(a["out"], F.array(span(a["at"], x))).alias("out")),
     )["out"]
-    placed = F.flatten(F.zip_with(F.col(f"{name}_b"), F.col(f"{name}_o"), within))
-    some = lambda c: F.when(F.size(m) > 0, c)
+    placed = _let(piece, lambda p: _let(blocks(p), lambda b: F.flatten(F.zip_with(b, starts(b), within))))
     return [
         (m, F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))),
-        (g, some(F.split(text, pattern, -1))),
-        (f"{name}_p", some(piece)),
-        (f"{name}_b", some(blocks)),
-        (f"{name}_o", some(starts)),
-        (name, some(placed)),
+        (g, F.when(F.size(m) > 0, F.split(text, pattern, -1))),
+        (name, F.when(F.size(m) > 0, placed)),
     ]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: a column that stands in a lambda would be computed anew for each of its elements."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def segments(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_segments, offset, lead (what stands before the segment) and segment, a row for each segment of each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
