@@ -165,7 +165,8 @@ def _files(path: str) -> list[str]:
     return [f"{path.rstrip('/')}/{n}" for n in sorted(names)]
 
 
-def _reading(path: str) -> tuple[pa.NativeFile, ReadAt]:
+def reading(path: str) -> tuple[pa.NativeFile, ReadAt]:
+    """An open file, and a function that gives a range of its bytes."""
     system, inner = _filesystem(path)
     file = system.open_input_file(inner)
 
@@ -198,7 +199,7 @@ class BigWigReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for name in (f for p in self.paths for f in _files(p)):
-            file, at = _reading(name)
+            file, at = reading(name)
             with file:
                 found = leaves(at, opened(at), self.wanted)
             out += [Leaves(name, found[k : k + LEAVES]) for k in range(0, len(found), LEAVES)]
@@ -207,7 +208,7 @@ class BigWigReader(DataSourceReader):
     def read(self, partition: Leaves) -> Iterator[pa.RecordBatch]:
         if not partition.nodes:
             return
-        file, at = _reading(partition.file)
+        file, at = reading(partition.file)
         w = self.wanted
         with file:
             track = opened(at)
