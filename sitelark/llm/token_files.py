@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .idpool import IdPool
-from .shared import fresh_path, written
+from ..sources.bigwig import reading
+from .shared import deleted, fresh_path, written
 from .textblocks import LOWERED, NOT_SPACE, blocks, word_table, words
 
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
@@ -35,6 +36,10 @@ MAGIC = b"IDFRAMES"
 FRAME_ENTRY, DOC_ENTRY, TAIL = struct.Struct("<QIIQQ"), struct.Struct("<qBII"), struct.Struct("<IIBIQ8s")
 #: Ids of a frame before it is closed, and bytes of text that are tokenized at once.
 FRAME_IDS, TEXT_BYTES = 131_072, 4 << 20
+#: Bytes of text of a file, about: what the number of files is taken from.
+FILE_BYTES = 128 << 20
+#: Schemes of paths that are read by position; files under others come whole, through Spark, which FILE_BYTES bounds.
+BY_POSITION = ("file", "hdfs", "viewfs", "s3", "gs")
 #: Words and their ids that a Python worker keeps; beyond that it starts anew.
 CACHE = 1_000_000
 
@@ -202,7 +207,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str) -
     """Writes the ids of all documents, each ended by end_id, as files under path, in ascending doc_id order over all files.
 
     docs: doc_id (integer), text; other columns are ignored. Rows with a null doc_id come first; rows that share a doc_id follow
-    each other by text. A null or empty text has the end id alone. An empty table gives at most an empty file.
+    each other by a hash of their texts, so that even the rows of one doc_id may lie in several files. A file holds some FILE_BYTES of
+    text, or one longer document. A null or empty text has the end id alone. An empty table gives at most an empty file.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,37 +223,50 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str) -
         if file:
             yield pa.RecordBatch.from_arrays([pa.array(list(file.close()), pa.binary())], ["value"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("hash"))
+    ordered = own.repartitionByRange(files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     ordered.mapInArrow(rows, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("latin-1")).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str, wanted: list[int] | None = None) -> DataFrame:
     """file_no, doc_id, local_start (ids before it in its file), n_tokens, ids_crc32 of documents in the files under path.
 
-    wanted: doc_ids (their frames alone are decompressed); None: all. ids_crc32 is over ids as little-endian 32-bit integers.
+    wanted: doc_ids; None: all. Of each file the seek table and the frames of these documents are read, by position. ids_crc32 is over ids as
+    little-endian 32-bit integers.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                reader = open_bytes(content.as_buffer())
-                if reader is None:
+            for name, length, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if not length:  # what Spark writes for an empty table
                     continue
-                number = int(re.search(r"part-(\d+)", name.as_py())[1])
+                file, at = (None, None) if content.is_valid else reading(name)
+                reader = open_bytes(content.as_buffer()) if file is None else FileReader(at, length)
+                number = int(re.search(r"part-(\d+)", name)[1])
                 found = [(i, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, at, ids in reader.documents(wanted)]
+                if file is not None:
+                    file.close()
                 i, at, n, crc = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(i), pa.int32()), pa.array(i, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["file_no", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(rows, "file_no int, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint")
+    files = spark.read.format("binaryFile").load(path)
+    whole = F.col("content") if "://" in path and path.partition(":")[0] not in BY_POSITION else F.lit(None).cast("binary")
+    return files.select("path", "length", whole.alias("content")).mapInArrow(rows, "file_no int, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_index(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Writes docs as token files, reads them back, and gives doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Writes docs as token files, reads them back, and gives doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    The files serve this result alone and are deleted once they are read; write_token_files() writes files to keep.
+    """
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
     write_token_files(docs, tokenizer, end_id, path)
     found = written(read_token_files(spark, path), "token-index")
+    deleted(spark, path)
     totals = found.groupBy("file_no").agg(F.sum("n_tokens").alias("total"))  # a row for each file
     bases = totals.select("file_no", (F.sum("total").over(Window.orderBy("file_no")) - F.col("total")).alias("base"))
     return found.join(bases, "file_no").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -158,8 +158,64 @@ def test_token_files_detect_damage_and_read_ranges():
         list(token_files.open_bytes(bytes(hurt)).documents())
 
 
+def read_ranges(monkeypatch, tmp_path):
+    """Lets each task that opens a token file leave the ranges that it read in tmp_path."""
+    log, opened = str(tmp_path / "ranges"), token_files.reading
+
+    def logged(name):
+        file, at = opened(name)
+
+        def seen(offset, size):
+            with open(log, "a") as out:
+                out.write(f"{offset} {size}\n")
+            return at(offset, size)
+
+        return file, seen
+
+    monkeypatch.setattr(token_files, "reading", logged)
+    return lambda: [tuple(map(int, x.split())) for x in open(log)]
+
+
+def test_token_files_of_bounded_size_hold_every_row_in_order(spark, tmp_path, monkeypatch):
+    rows = [(k, f"one two {k}") for k in range(300)] + [(7, f"three {k}") for k in range(600)] + [(None, "four")] * 3
+    whole = token_files.token_index(edge.frame(spark, rows).coalesce(1), WORDS, 1).select("doc_id", "start", "n_tokens", "ids_crc32")
+    before = sorted(map(repr, whole.collect()))
+    monkeypatch.setattr(token_files, "FILE_BYTES", 100)
+    path = f"file://{tmp_path}/tokens"
+    token_files.write_token_files(edge.frame(spark, rows), WORDS, 1, path)
+    found = token_files.read_token_files(spark, path)
+    assert found.select("file_no").distinct().count() > 40 and found.where("doc_id = 7").select("file_no").distinct().count() > 10
+    assert sorted(map(repr, token_files.token_index(edge.frame(spark, rows), WORDS, 1).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == before
+
+
+def test_token_files_are_read_by_the_seek_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FRAME_IDS", 50)
+    path = f"file://{tmp_path}/tokens"
+    token_files.write_token_files(edge.frame(spark, [(k, "one two three four five " * 30 + str(k)) for k in range(400)]).coalesce(1), WORDS, 1, path)
+    ranges = read_ranges(monkeypatch, tmp_path)
+    assert [r["doc_id"] for r in token_files.read_token_files(spark, path, [123]).collect()] == [123]
+    files = list(tmp_path.glob("tokens/part-*"))
+    assert len(ranges()) == 2 * len(files) + 1  # tail and table of each file, and the one frame
+    assert "content" not in token_files.read_token_files(spark, path)._jdf.queryExecution().executedPlan().toString().partition("ReadSchema")[2]
+
+
+def test_token_files_under_other_schemes_come_whole(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/tokens"
+    token_files.write_token_files(edge.frame(spark, edge.texts()), WORDS, 1, path)
+    by_position = sorted(token_files.read_token_files(spark, path).collect())
+    monkeypatch.setattr(token_files, "BY_POSITION", ())
+    monkeypatch.setattr(token_files, "reading", None)
+    assert sorted(token_files.read_token_files(spark, path).collect()) == by_position
+
+
 def test_token_files_nulls_and_empty(spark):
-    assert token_files.token_index(edge.with_nulls(spark), WORDS, 1).count() == edge.with_nulls(spark).count()
+    library = token_files.WordTokenizer(WORDS).library
+    ids = lambda text: np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+    got = token_files.token_index(edge.with_nulls(spark), WORDS, 1).orderBy("start").collect()
+    want = [(r["doc_id"], zlib.crc32(ids(r["text"]).tobytes())) for r in edge.with_nulls(spark).collect()]
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["ids_crc32"])) for r in got)
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in want), key=lambda i: (i is not None, i or 0))
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
     assert token_files.token_index(edge.empty(spark), WORDS, 1).collect() == []
 
 
