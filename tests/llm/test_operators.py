@@ -580,7 +580,7 @@ def test_decontamination_nulls_and_empty(spark):
     assert decontaminate.decontaminate(edge.empty(spark), bench).collect() == []
 
 
-def test_decontamination_of_repeated_rows_in_several_blocks(spark, monkeypatch):
+def test_decontamination_of_repeated_rows_by_joins(spark, monkeypatch):
     bench = spark.createDataFrame([(k, f"{a} two") for k, a in enumerate(("one", "other", "one"))] + [(9, "short")], "item_id long, text string")
     whole = decontaminate.decontaminate(edge.with_nulls(spark), bench).collect()
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
@@ -588,6 +588,28 @@ def test_decontamination_of_repeated_rows_in_several_blocks(spark, monkeypatch):
     assert len(whole) == edge.with_nulls(spark).count()
 
 
+def test_decontamination_by_joins_reads_documents_once(spark, monkeypatch):
+    rng = random.Random(13)
+    passage = edge.prose(rng, 30)
+    rows = [(k, edge.prose(rng, 20) + " " + (passage if k % 3 == 0 else "") + " " + edge.prose(rng, 20)) for k in range(120)]
+    bench = spark.createDataFrame([(k, passage) for k in range(4)] + [(9, "light idiot river"), (10, "stone")] + [(100 + k, edge.prose(rng, 15)) for k in range(50)], "item_id long, text string")
+    sent = sorted(map(repr, decontaminate.decontaminate(edge.frame(spark, rows), bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = edge.frame(spark, rows)
+    joined = decontaminate.decontaminate(docs.mapInArrow(counted, docs.schema), bench)
+    assert sorted(map(repr, joined.collect())) == sent and read.value == len(rows)
+    # a full bitmap lets every fingerprint through: the joins alone decide
+    monkeypatch.setattr(decontaminate, "MAP_BITS", 15)
+    assert sorted(map(repr, decontaminate.decontaminate(edge.frame(spark, rows), bench).collect())) == sent
+
+
 # ---- 9
 
 
