@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import deleted, dropped, fresh_path, written
+from .shared import deleted, fresh_path, written
 
 #: Runs of a level that are compacted into one run of the next level: by default, and in line_dedup(); batches of documents.
 FAN_OUT, DEDUP_FAN_OUT, BATCHES = 4, 2, 6
@@ -40,7 +40,11 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """The levels of one store of runs, under one folder of the shared directory. Buckets make merges of runs free of shuffles."""
+    """The levels of one store of runs, under one folder of the shared directory.
+
+    A run has a file a bucket, written by the task that holds the bucket's keys. Joins of keys with runs shuffle no run, and two runs are compacted
+    bucket by bucket by a merge join; more than two at a time are shuffled. A compacted run's parts are deleted at once.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fan_out: int = FAN_OUT):
         self.spark, self.path, self.fan_out = spark, path or fresh_path(spark, "line-runs"), fan_out
@@ -48,31 +52,45 @@ class LineRuns:
         self.made: list[str] = []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _put(self, level: int, run: DataFrame) -> None:
+    def put(self, run: DataFrame, level: int = 0) -> DataFrame:
+        """Writes run, whose rows of one key stand alone and in one task, as a run of a level, and gives it back as read."""
         while len(self.levels) <= level:
             self.levels.append([])
         name = f"line_run_{uuid.uuid4().hex}"
-        run.select("h1", "h2", "n_docs", "max_doc").write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         self.made.append(name)
+        run.write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         self.levels[level].append(name)
+        return self.spark.table(name)
 
     def add(self, pairs: DataFrame) -> None:
         """Adds a batch of distinct ``(h1, h2, doc_id)``, each batch with documents of its own, as a run of its keys."""
-        self.add_keys(pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc")))
+        self.put(pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc")))
+        self.compact()
 
-    def add_keys(self, keys: DataFrame) -> None:
-        self._put(0, keys)
+    def compact(self) -> None:
+        """Puts the runs of each level that is full together to one of the next."""
         level = 0
-        while len(self.levels[level]) >= self.fan_out:
-            whole = self._merged(self.levels[level])
+        while level < len(self.levels) and len(self.levels[level]) >= self.fan_out:
+            parts = self.levels[level]
+            self.put(self._merged(parts), level + 1)
             self.levels[level] = []
-            self._put(level + 1, whole)
+            for name in parts:
+                self._drop(name)
             level += 1
 
     def _merged(self, names: list[str]) -> DataFrame:
-        whole = self.spark.read.parquet(*(f"{self.path}/{name}" for name in names))  # by path, as a union of bucketed tables need not be dealt out as they are
+        if len(names) == 2:  # bucket by bucket
+            one, other = (self.spark.table(name).select("h1", "h2", F.col("n_docs").alias(f"n_{k}"), F.col("max_doc").alias(f"max_{k}")) for k, name in enumerate(names))
+            n = F.coalesce("n_0", F.lit(0)) + F.coalesce("n_1", F.lit(0))
+            return one.hint("merge").join(other, ["h1", "h2"], "full").select("h1", "h2", n.alias("n_docs"), F.greatest("max_0", "max_1").alias("max_doc"))
+        whole = self.spark.read.parquet(*(f"{self.path}/{name}" for name in names)).select("h1", "h2", "n_docs", "max_doc")
         return whole.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        deleted(self.spark, f"{self.path}/{name}")
+        self.made.remove(name)
+
     def totals(self) -> DataFrame:
         """h1, h2, n_docs, max_doc over all runs of all levels."""
         return self._merged([name for level in self.levels for name in level])
@@ -87,8 +105,8 @@ class LineRuns:
 
     def forget(self) -> None:
         """Takes the runs off the catalogue and deletes them, once nothing reads them any more."""
-        for name in self.made:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for name in list(self.made):
+            self._drop(name)
         deleted(self.spark, self.path)
 
 
@@ -114,23 +132,26 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: b
     arrivals = spark.read.schema(f"doc_id {kind}, sub bigint, h1 bigint, h2 bigint, batch int").parquet(folder)
     runs = LineRuns(spark, fan_out=DEDUP_FAN_OUT)
     settled = f"{fresh_path(spark, 'line-settled')}"
-    for b in range(BATCHES):
-        if not _exists(spark, f"{folder}/batch={b}"):
-            continue
-        # rows may share a doc_id: distinct by document first, which spreads a common line, then counted before the shuffle by line
-        keys = arrivals.where(F.col("batch") == b).select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        met = written(runs.met(keys).where(F.col("n_before") < min_docs), "line-batch")
-        met.where(F.col("n_before") + F.col("n_docs") >= min_docs).select("h1", "h2", F.greatest("max_before", "max_doc").alias("keeper")).write.mode("append").option("compression", "zstd").parquet(settled)
-        if b < BATCHES - 1:
-            runs.add_keys(met)
-        dropped(met)
-    runs.forget()
+    try:
+        for b in range(BATCHES):
+            if not _exists(spark, f"{folder}/batch={b}"):
+                continue
+            # rows may share a doc_id: distinct by document first, which spreads a common line, then counted before the shuffle by line
+            keys = arrivals.where(F.col("batch") == b).select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+            met = runs.put(runs.met(keys).where(F.col("n_before") < min_docs))
+            met.where(F.col("n_before") + F.col("n_docs") >= min_docs).select("h1", "h2", F.greatest("max_before", "max_doc").alias("keeper")).write.mode("append").option("compression", "zstd").parquet(settled)
+            if b < BATCHES - 1:
+                runs.compact()
+    finally:
+        runs.forget()
     if not _exists(spark, settled):
         gone = spark.createDataFrame([], f"doc_id {kind}, sub bigint, gone array<struct<h1:bigint,h2:bigint>>")
     else:
         found = spark.read.schema(f"h1 bigint, h2 bigint, keeper {kind}").parquet(settled)
         hits = arrivals.join(found, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        gone = hits.groupBy("doc_id", "sub").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+        gone = written(hits.groupBy("doc_id", "sub").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")), "line-gone")
+    deleted(spark, folder)
+    deleted(spark, settled)
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.sub") == F.col("g.sub"))
     joined = own.alias("d").join(gone.hint("shuffle_hash").alias("g"), same, "left").select("d.*", F.col("g.gone"))
     lines = F.split("text", "\n", -1)

@@ -15,6 +15,7 @@ import tiktoken
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -634,7 +635,9 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_nulls_and_empty(spark):
-    assert line_dedup.line_dedup(edge.with_nulls(spark), carry=True).count() == edge.with_nulls(spark).count()
+    got = line_dedup.line_dedup(edge.with_nulls(spark), carry=True).select("doc_id", "text", "n_lines", "n_dropped").collect()
+    want = brute_lines(edge.texts())
+    assert sorted(map(repr, got)) == sorted(map(repr, [Row(doc_id=i, text=t, n_lines=n, n_dropped=d) for i, (t, n, d) in [*want.items(), (None, ("one two", 1, 0)), (None, ("", 1, 0)), (8, ("one two", 1, 0))]]))
     assert line_dedup.line_dedup(edge.empty(spark)).collect() == []
 
 
@@ -693,6 +696,42 @@ def test_line_runs_compact_by_levels(spark):
     assert totals == {(1, 1): (9, 8)} | {(2, b): (1, b) for b in range(9)}
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_line_runs_have_a_file_a_bucket_and_merge_without_a_shuffle(spark):
+    runs = line_dedup.LineRuns(spark, fan_out=2)
+    batch = lambda b: spark.range(2000).repartition(3).select(F.col("id").alias("h1"), (F.col("id") % (b + 2)).alias("h2"), F.lit(b).cast("long").alias("doc_id"))
+    for b in range(5):
+        runs.add(batch(b))
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    for name in (name for level in runs.levels for name in level):
+        assert len(spark.table(name).inputFiles()) == runs.buckets
+    assert exchanges(runs._merged([runs.levels[0][0], runs.levels[2][0]])) == 0
+    keys = spark.table(runs.levels[0][0])
+    assert exchanges(runs.met(keys)) == 0
+    got = {(r["h1"], r["h2"]): (r["n_docs"], r["max_doc"]) for r in runs.totals().collect()}
+    want = defaultdict(list)
+    for b in range(5):
+        for k in range(2000):
+            want[k, k % (b + 2)].append(b)
+    assert runs.totals().count() == len(got) and got == {k: (len(v), max(v)) for k, v in want.items()}
+    runs.forget()
+    assert runs.made == [] and not line_dedup._exists(spark, runs.path)
+
+
+def test_line_dedup_leaves_no_tables_when_a_step_fails(spark, monkeypatch):
+    def broken(self):
+        raise RuntimeError("lost")
+
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(line_dedup.LineRuns, "compact", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        line_dedup.line_dedup(edge.frame(spark))
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 # ---- 10
 
 
