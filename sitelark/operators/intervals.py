@@ -7,12 +7,14 @@ shares several bins is taken in the last of their first bins only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import covering
+
 #: Bins that an interval is copied to at most; each level's bins are STEP times as wide as those of the level below.
 MOST_BINS, STEP = 64, 8
 
@@ -59,6 +61,17 @@ def point_pairs(left: DataFrame, points: DataFrame, on: Sequence[str], span: tup
     return a.join(b, [*on, "_bin"]).where((F.col(point) >= s) & (F.col(point) < e)).drop("_bin")
 
 
+def overlap_facts(left: DataFrame, right: DataFrame, on: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], any_of: Mapping[str, Column], most: Mapping[str, Column] | None = None, width: int = 1000) -> DataFrame:
+    """left with what overlaps each row: n, how many rows of right; any_of: whether a condition on right holds for one of them; most: the greatest value of an
+    expression of both spans. Like spans are put together on either side before pairs are made. Rows that overlap nothing are left out.
+    """
+    here, most = [*on, *left_span], dict(most or {})
+    spans = right.groupBy(*on, *right_span).agg(F.count(F.lit(1)).alias("_n"), *(F.bool_or(c).alias(f"_f_{n}") for n, c in any_of.items()))
+    pairs = overlap_pairs(left.select(*here).distinct(), spans, on, left_span, right_span, width)
+    facts = pairs.groupBy(*here).agg(F.sum("_n").alias("n"), *(F.bool_or(f"_f_{n}").alias(n) for n in any_of), *(F.max(c).alias(n) for n, c in most.items()))
+    return left.join(facts, here)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], how: str = "inner", key: Sequence[str] = (), width: int = 1000) -> DataFrame:
     """inner, left, semi or anti overlap join. All but inner need ``key``: columns that tell the rows of left apart."""
     if how not in ("inner", "left", "semi", "anti"):
@@ -67,12 +80,15 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_span
         return overlap_pairs(left, right, on, left_span, right_span, width)
     if not key:
         raise ValueError(f"a {how} overlap join needs the key of the left side")
-    small = left.select(*dict.fromkeys([*key, *on, *left_span]))
-    pairs = overlap_pairs(small, right, on, left_span, right_span, width)
-    if how == "left":
-        extra = [c for c in right.columns if c not in on]
-        return left.join(pairs.select(*key, *extra), list(key), "left").select(*left.columns, *extra)
-    return left.join(pairs.select(*key).distinct(), list(key), "left_semi" if how == "semi" else "left_anti").select(*left.columns)
+    # which spans overlap anything is asked of the distinct ones on both sides
+    here, there = [*on, *left_span], [*on, *right_span]
+    hit = overlap_pairs(left.select(*here).distinct(), right.select(*there).distinct(), on, left_span, right_span, width).select(*here).distinct()
+    if how != "left":
+        return left.join(hit, here, "left_semi" if how == "semi" else "left_anti").select(*left.columns)
+    # pairs are made once and go on as they are; rows without any are added
+    pairs, extra = overlap_pairs(left, right, on, left_span, right_span, width), [c for c in right.columns if c not in on]
+    lone = left.join(hit, here, "left_anti").select(*left.columns, *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra))
+    return pairs.select(*left.columns, *extra).unionByName(lone)
 
 
 def asof_backward(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str, take: Sequence[str], width: int = 1 << 16) -> DataFrame:
@@ -114,10 +130,14 @@ def map_to_transcripts(sites: DataFrame, exons: DataFrame, key: str, at: str, on
     forward = Window.partitionBy(*on, "transcript_id").orderBy("exon_start")  # an id may stand on two chromosomes
     whole = Window.partitionBy(*on, "transcript_id")
     placed = exons.select(*on, "transcript_id", "exon_start", "exon_end", (F.sum(size).over(forward) - size).alias("_before"), F.sum(size).over(whole).alias("transcript_length"))
-    centre = sites.select(key, *on, F.col(at).alias("_s"), (F.col(at) + 1).alias("_e"), F.col(at).alias("_c"))
-    hits = overlap_pairs(centre, placed, on, ("_s", "_e"), ("exon_start", "exon_end"), 10_000)
-    inside = F.col("_before") + F.col("_c") - F.col("exon_start")
-    offset = F.when(F.col("strand") == "-", F.col("transcript_length") - 1 - inside).otherwise(inside) if "strand" in on else inside
-    best = hits.groupBy(key).agg(F.min(F.struct((-F.col("transcript_length")).alias("a"), F.col("transcript_id").alias("b"), offset.alias("c"))).alias("_t"))
-    found = best.select(key, F.col("_t.b").alias("transcript_id"), F.col("_t.c").alias("transcript_start"), (-F.col("_t.a")).alias("transcript_length"))
-    return sites.join(found, key, "left")
+    # an offset is this number plus the centre, or the length less one less that sum
+    shift = F.col("_before") - F.col("exon_start")
+    turned = F.col("strand") == "-" if "strand" in on else F.lit(False)
+    first = F.struct((-F.col("transcript_length")).alias("a"), F.col("transcript_id").alias("b"), F.when(turned, -shift).otherwise(shift).alias("c"))
+    # only the first of all exons over a place counts, so each piece of an exon keeps its first and no pair of site and exon is made
+    best = covering(sites, placed.withColumn("_t", first), on, at, ("exon_start", "exon_end"), least=["_t"])
+    length = -F.col("_t.a")
+    offset = F.when(turned, length - 1 - F.col(at) + F.col("_t.c")).otherwise(F.col("_t.c") + F.col(at))
+    own = {c: f"_at{k}" for k, c in enumerate((*on, at))}
+    found = best.select(*(F.col(c).alias(n) for c, n in own.items()), F.col("_t.b").alias("transcript_id"), offset.alias("transcript_start"), length.alias("transcript_length"))
+    return sites.join(found, [F.col(c) == F.col(n) for c, n in own.items()], "left").drop(*own.values())
