@@ -2,7 +2,7 @@
 
 There is one algorithm: each step fits the logistic part to the posteriors by reweighted least squares from its last coefficients on, until these
 stand still (at most NEWTON_STEPS passes), and takes the moments of both parts. ``fit_local`` runs it on arrays, one model at a time.
-``fit_groups`` runs it for any number of groups: those of at most ``LOCAL_ROWS`` rows, which are counted first, in a task each; larger ones side
+``fit_groups`` runs it for any number of groups: those of at most ``LOCAL_ROWS`` distinct rows, which are counted first, in a task each; larger ones side
 by side, where each pass is one aggregation of sums by group over a written table and only the parameters (a few numbers a group) come back to the
 driver, so that no large group is ever gathered. Where a group is fitted changes nothing but the order in which its sums are added.
 """
@@ -57,19 +57,19 @@ def _pdf(x: np.ndarray, mu: float, sigma: float) -> np.ndarray:
     return np.exp(-0.5 * ((x - mu) / sigma) ** 2) / (sigma * math.sqrt(2 * math.pi))
 
 
-def _log_likelihood(s: np.ndarray, p: np.ndarray, mu0: float, sigma0: float, mu1: float, sigma1: float) -> float:
+def _log_likelihood(s: np.ndarray, p: np.ndarray, mu0: float, sigma0: float, mu1: float, sigma1: float, times: np.ndarray | float = 1.0) -> float:
     a = np.log(1 - p + EPS) - 0.5 * ((s - mu0) / sigma0) ** 2 - math.log(sigma0 * math.sqrt(2 * math.pi))
     b = np.log(p + EPS) - 0.5 * ((s - mu1) / sigma1) ** 2 - math.log(sigma1 * math.sqrt(2 * math.pi))
-    return float(np.logaddexp(a, b).sum())
+    return float((times * np.logaddexp(a, b)).sum())
 
 
-def irls(x: np.ndarray, r: np.ndarray, steps: int = 100, tol: float = NEWTON_TOL, start: np.ndarray | None = None) -> np.ndarray:
-    """Logistic regression of fractional targets r by reweighted least squares; the first column of x is the intercept's."""
+def irls(x: np.ndarray, r: np.ndarray, steps: int = 100, tol: float = NEWTON_TOL, start: np.ndarray | None = None, times: np.ndarray | float = 1.0) -> np.ndarray:
+    """Logistic regression of fractional targets r by reweighted least squares; the first column of x is the intercept's. times: how often a row counts."""
     beta = np.zeros(x.shape[1]) if start is None else start.copy()
     for _ in range(steps):
         p = _sigmoid(x @ beta)
-        w = np.maximum(p * (1 - p), 1e-9)
-        gram, right = (x * w[:, None]).T @ x, x.T @ (w * (x @ beta) + (r - p))
+        w = times * np.maximum(p * (1 - p), 1e-9)
+        gram, right = (x * w[:, None]).T @ x, x.T @ (w * (x @ beta) + times * (r - p))
         new = solve(gram, right)
         done = np.linalg.norm(new - beta) < tol * (1 + np.linalg.norm(beta))
         beta = new
@@ -85,37 +85,47 @@ def solve(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
         return np.linalg.solve(gram + 1e-6 * np.eye(len(gram)), right)
 
 
-def initial(s: np.ndarray) -> tuple[float, float, float, float]:
-    """Means and deviations (ddof 0, at least 0.1) of the halves up to and above the median."""
-    low = s <= np.percentile(s, 50)
+def initial(s: np.ndarray, times: np.ndarray | None = None) -> tuple[float, float, float, float]:
+    """Means and deviations (ddof 0, at least 0.1) of the halves up to and above the median. times: how often a row counts."""
+    times = np.ones(len(s), np.int64) if times is None else times
+    order = np.argsort(s, kind="stable")
+    ends, last = np.cumsum(times[order]), int(times.sum()) - 1
+    low, high = (float(s[order[np.searchsorted(ends, k, "right")]]) for k in (last // 2, (last + 1) // 2))
+    below = s <= low + 0.5 * (high - low)
 
-    def moments(x: np.ndarray, other: float) -> tuple[float, float]:
-        return (float(x.mean()), max(float(x.std()), 0.1)) if len(x) else (other, 0.1)
+    def moments(part: np.ndarray, other: float) -> tuple[float, float]:
+        x, n = s[part], times[part]
+        if not len(x):
+            return other, 0.1
+        mean = float((n @ x) / n.sum())
+        return mean, max(math.sqrt(float(n @ (x - mean) ** 2) / float(n.sum())), 0.1)
 
-    mu0, sigma0 = moments(s[low], float(s.mean()))
-    mu1, sigma1 = moments(s[~low], mu0)
+    mu0, sigma0 = moments(below, float((times @ s) / times.sum()))
+    mu1, sigma1 = moments(~below, mu0)
     return mu0, sigma0, mu1, sigma1
 
 
-def fit_local(s: np.ndarray, features: np.ndarray, steps: int = 900, tol: float = 1e-5) -> tuple[Mixture, np.ndarray, np.ndarray]:
-    """The fit of one table: s is ln(score + 1), features has no intercept column. Also returns prior and posterior of each row."""
+def fit_local(s: np.ndarray, features: np.ndarray, steps: int = 900, tol: float = 1e-5, times: np.ndarray | None = None) -> tuple[Mixture, np.ndarray, np.ndarray]:
+    """The fit of one table: s is ln(score + 1), features has no intercept column; times: how often a row counts. Also returns prior and posterior of each row."""
     x = np.column_stack([np.ones(len(s)), features])
-    mu0, sigma0, mu1, sigma1 = initial(s)
+    mu0, sigma0, mu1, sigma1 = initial(s, times)
+    times = np.ones(len(s)) if times is None else times.astype(np.float64)
     n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
-    beta = irls(x, np.clip(n1 / (n0 + n1 + EPS), 0.01, 0.99), NEWTON_STEPS)
+    beta = irls(x, np.clip(n1 / (n0 + n1 + EPS), 0.01, 0.99), NEWTON_STEPS, times=times)
     before, it, converged = -math.inf, 0, False
     for it in range(1, steps + 1):
         p = _sigmoid(x @ beta)
         n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
         r = np.clip(p * n1 / ((1 - p) * n0 + p * n1 + EPS), EPS, 1 - EPS)
         try:
-            beta = irls(x, r, NEWTON_STEPS, start=beta)
+            beta = irls(x, r, NEWTON_STEPS, start=beta, times=times)
         except np.linalg.LinAlgError:
             beta = beta * 0.95
-        mu0, mu1 = float(((1 - r) @ s) / ((1 - r).sum() + EPS)), float((r @ s) / (r.sum() + EPS))
-        sigma0 = math.sqrt(max(float(((1 - r) @ (s - mu0) ** 2) / ((1 - r).sum() + EPS)), EPS))
-        sigma1 = math.sqrt(max(float((r @ (s - mu1) ** 2) / (r.sum() + EPS)), EPS))
-        now = _log_likelihood(s, _sigmoid(x @ beta), mu0, sigma0, mu1, sigma1)
+        r0, r1 = times * (1 - r), times * r
+        mu0, mu1 = float((r0 @ s) / (r0.sum() + EPS)), float((r1 @ s) / (r1.sum() + EPS))
+        sigma0 = math.sqrt(max(float((r0 @ (s - mu0) ** 2) / (r0.sum() + EPS)), EPS))
+        sigma1 = math.sqrt(max(float((r1 @ (s - mu1) ** 2) / (r1.sum() + EPS)), EPS))
+        now = _log_likelihood(s, _sigmoid(x @ beta), mu0, sigma0, mu1, sigma1, times)
         if abs(now - before) < tol * (1 + abs(before)):
             before, converged = now, it < steps
             break
@@ -123,7 +133,8 @@ def fit_local(s: np.ndarray, features: np.ndarray, steps: int = 900, tol: float
     p = _sigmoid(x @ beta)
     n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
     r = p * n1 / ((1 - p) * n0 + p * n1 + EPS)
-    model = Mixture(beta.tolist(), mu0, sigma0, mu1, sigma1, it, converged, before, float(p.mean()), float(r.mean()))
+    whole = times.sum()
+    model = Mixture(beta.tolist(), mu0, sigma0, mu1, sigma1, it, converged, before, float((times @ p) / whole), float((times @ r) / whole))
     return warned(model), p, r
 
 
@@ -134,25 +145,38 @@ def warned(model: Mixture) -> Mixture:
     return model
 
 
-def initial_table(df: DataFrame, s: str, group: Sequence[str] = ()) -> DataFrame:
-    """Exact median, and mean and deviation of the halves, by group."""
+def counted(df: DataFrame, *columns: str) -> DataFrame:
+    """The distinct rows of these columns with _times, how often each occurs."""
+    return df.select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
+
+
+def initial_table(df: DataFrame, s: str, group: Sequence[str] = (), times: str | None = None) -> DataFrame:
+    """Exact median, and mean and deviation of the halves, by group. times: how often a row counts."""
+    n = F.col(times) if times else F.lit(1)
     if not group:
-        found = quantile_values(df, s, [0.5])
+        found = quantile_values(df, s, [0.5], times)
         both = df.withColumn("q50", F.lit(found[0] if found else None).cast("double"))
     elif few_distinct(df, s, group):
-        both = df.join(F.broadcast(df.groupBy(*group).agg(F.percentile(s, 0.5).alias("q50"))), list(group))
+        both = df.join(F.broadcast(df.groupBy(*group).agg(F.percentile(s, 0.5, n).alias("q50"))), list(group))
     else:  # a group at a time; there are as many groups as models
         keys = [tuple(r) for r in df.select(*group).distinct().collect()]
         mine = lambda k: df.where(reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(v) for g, v in zip(group, k, strict=True))))
-        medians = df.sparkSession.createDataFrame([(*k, *(quantile_values(mine(k), s, [0.5]) or [None])) for k in keys], df.select(*group).withColumn("q50", F.lit(0.0)).schema)
+        medians = df.sparkSession.createDataFrame([(*k, *(quantile_values(mine(k), s, [0.5], times) or [None])) for k in keys], df.select(*group).withColumn("q50", F.lit(0.0)).schema)
         both = df.join(F.broadcast(medians), list(group))
-    low, high = F.when(F.col(s) <= F.col("q50"), F.col(s)), F.when(F.col(s) > F.col("q50"), F.col(s))
-    return both.groupBy(*group).agg(
-        F.max("q50").alias("q50"),
-        F.avg(low).alias("mu0"),
-        F.greatest(F.stddev_pop(low), F.lit(0.1)).alias("sigma0"),
-        F.coalesce(F.avg(high), F.avg(low)).alias("mu1"),
-        F.greatest(F.coalesce(F.stddev_pop(high), F.lit(0.1)), F.lit(0.1)).alias("sigma1"),
+    # from the median, so that squares do not cancel
+    d = F.col(s) - F.col("q50")
+    halves = {"0": F.col(s) <= F.col("q50"), "1": F.col(s) > F.col("q50")}
+    sums = [F.sum(F.when(c, x)).alias(f"_{k}{h}") for h, c in halves.items() for k, x in (("n", n), ("d", n * d), ("q", n * d * d))]
+    mean = {h: F.col("q50") + F.col(f"_d{h}") / F.col(f"_n{h}") for h in halves}
+    sigma = {h: F.sqrt(F.greatest(F.col(f"_q{h}") / F.col(f"_n{h}") - F.pow(F.col(f"_d{h}") / F.col(f"_n{h}"), 2), F.lit(0.0))) for h in halves}
+    whole = both.groupBy(*group).agg(F.max("q50").alias("q50"), *sums)
+    return whole.select(
+        *group,
+        "q50",
+        mean["0"].alias("mu0"),
+        F.greatest(sigma["0"], F.lit(0.1)).alias("sigma0"),
+        F.coalesce(mean["1"], mean["0"]).alias("mu1"),
+        F.greatest(F.coalesce(sigma["1"], F.lit(0.1)), F.lit(0.1)).alias("sigma1"),
     )
 
 
@@ -178,9 +202,10 @@ def newton(row: dict, beta: list[float]) -> list[float]:
     return (np.array(beta) + solve(gram, np.array([row[f"b_{i}"] for i in range(n)]))).tolist()
 
 
-def moment_sums(s: Column, r: Column) -> list[Column]:
-    """Sums for means and variances of both parts; s should be centred, so that squares do not cancel."""
-    return [F.sum(r).alias("r1"), F.sum(1 - r).alias("r0"), F.sum(r * s).alias("s1"), F.sum((1 - r) * s).alias("s0"), F.sum(r * s * s).alias("q1"), F.sum((1 - r) * s * s).alias("q0")]
+def moment_sums(s: Column, r: Column, times: Column | None = None) -> list[Column]:
+    """Sums for means and variances of both parts; s should be centred, so that squares do not cancel. times: how often a row counts."""
+    a, b = (r, 1 - r) if times is None else (times * r, times * (1 - r))
+    return [F.sum(a).alias("r1"), F.sum(b).alias("r0"), F.sum(a * s).alias("s1"), F.sum(b * s).alias("s0"), F.sum(a * s * s).alias("q1"), F.sum(b * s * s).alias("q0")]
 
 
 def log_likelihood(s: Column, p: Column, mu0: Column, sigma0: Column, mu1: Column, sigma1: Column) -> Column:
@@ -194,15 +219,24 @@ def log_likelihood(s: Column, p: Column, mu0: Column, sigma0: Column, mu1: Colum
 def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps: int = 900, tol: float = 1e-5, local_rows: int | None = None) -> dict[str, Mixture]:
     """One model for each value of group (null groups are left out); s is ln(score + 1).
 
-    In groups of more than local_rows rows (LOCAL_ROWS if None) every pass covers all such groups that have not stopped.
+    Equal rows are counted and written once, and every pass reads the distinct ones. In groups of more than local_rows distinct rows (LOCAL_ROWS if None)
+    every pass covers all such groups that have not stopped.
     """
     whole = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("_g"), F.col(s).cast("double").alias("_s"), *(F.col(f).cast("double").alias(f) for f in features))
+    whole = written(counted(whole, "_g", "_s", *features), "mixture-counted")
+    try:
+        return _fit_counted(whole, features, steps, tol, local_rows)
+    finally:
+        dropped(whole)
+
+
+def _fit_counted(whole: DataFrame, features: Sequence[str], steps: int, tol: float, local_rows: int | None) -> dict[str, Mixture]:
     sizes = {r["_g"]: r["count"] for r in whole.groupBy("_g").count().collect()}  # a row a model
     large = [g for g, n in sizes.items() if n > (LOCAL_ROWS if local_rows is None else local_rows)]
 
     def fit_one(part: pa.Table) -> pa.Table:
         x = np.column_stack([part.column(f).to_numpy() for f in features]) if features else np.zeros((part.num_rows, 0))
-        m, _, _ = fit_local(part.column("_s").to_numpy(), x, steps, tol)
+        m, _, _ = fit_local(part.column("_s").to_numpy(), x, steps, tol, part.column("_times").to_numpy())
         return pa.Table.from_pylist([{"_g": part.column("_g")[0].as_py(), "beta": m.beta, **{n: getattr(m, n) for n in ("mu0", "sigma0", "mu1", "sigma1", "iters", "converged")}, "ll": m.final_log_likelihood, "mp": m.mean_p, "mr": m.mean_r}], schema=FITTED_ARROW)
 
     models: dict[str, Mixture] = {}
@@ -216,11 +250,11 @@ def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps
 
 
 def _fit_large(df: DataFrame, features: Sequence[str], steps: int, tol: float) -> dict[str, Mixture]:
-    """df: _g (a name), _s and the features."""
+    """df: _g (a name), _s, the features and _times."""
     numbered, groups = group_numbers(df.withColumnRenamed("_g", "_name"), ["_name"])
-    data, n = written(numbered.select("_g", "_s", *features), "mixture-rows"), len(features) + 1
+    data, n = written(numbered.select("_g", "_s", *features, "_times"), "mixture-rows"), len(features) + 1
     try:
-        start = {r["_g"]: r for r in initial_table(data, "_s", ["_g"]).collect()}
+        start = {r["_g"]: r for r in initial_table(data, "_s", ["_g"], "_times").collect()}
         models = {g: Mixture([0.0] * n, r["mu0"], r["sigma0"], r["mu1"], r["sigma1"]) for g, r in start.items()}
         live, last = set(models), {g: -math.inf for g in models}
         for it in range(steps + 1):  # the first one only starts the logistic part
@@ -235,16 +269,16 @@ def _fit_large(df: DataFrame, features: Sequence[str], steps: int, tol: float) -
                     if g not in now:
                         return np.zeros(n * n + n + 6)
                     beta, mu0, sigma0, mu1, sigma1, mid = old[g]
-                    s, x = m[:, 0], np.column_stack([np.ones(len(m)), m[:, 1:]])
+                    s, x, times = m[:, 0], np.column_stack([np.ones(len(m)), m[:, 1:-1]]), m[:, -1]
                     n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
                     p = _sigmoid(x @ beta)
                     r = np.clip(n1 / (n0 + n1 + EPS), 0.01, 0.99) if first else np.clip(p * n1 / ((1 - p) * n0 + p * n1 + EPS), EPS, 1 - EPS)
                     p = _sigmoid(x @ now[g])
-                    w = np.maximum(p * (1 - p), 1e-9)
-                    d = s - mid  # from the group's median, so that squares do not cancel
-                    return packed((x * w[:, None]).T @ x, x.T @ (r - p), r.sum(), (1 - r).sum(), r @ d, (1 - r) @ d, r @ (d * d), (1 - r) @ (d * d))
+                    w = times * np.maximum(p * (1 - p), 1e-9)
+                    d, r0, r1 = s - mid, times * (1 - r), times * r  # from the group's median, so that squares do not cancel
+                    return packed((x * w[:, None]).T @ x, x.T @ (times * (r - p)), r1.sum(), r0.sum(), r1 @ d, r0 @ d, r1 @ (d * d), r0 @ (d * d))
 
-                sums |= {g: v for g, v in group_sums(data, ["_s", *features], step).items() if g in open_}
+                sums |= {g: v for g, v in group_sums(data, ["_s", *features, "_times"], step).items() if g in open_}
                 for g in sorted(open_):
                     v = sums[g]
                     try:
@@ -270,12 +304,12 @@ def _fit_large(df: DataFrame, features: Sequence[str], steps: int, tol: float) -
             def end(g: int, m: np.ndarray, fits: dict = fits) -> np.ndarray:
                 if g not in fits:
                     return np.zeros(4)
-                f, s = fits[g], m[:, 0]
-                p = _sigmoid(np.column_stack([np.ones(len(m)), m[:, 1:]]) @ np.array(f.beta))
+                f, s, times = fits[g], m[:, 0], m[:, -1]
+                p = _sigmoid(np.column_stack([np.ones(len(m)), m[:, 1:-1]]) @ np.array(f.beta))
                 n0, n1 = _pdf(s, f.mu0, f.sigma0), _pdf(s, f.mu1, f.sigma1)
-                return packed(_log_likelihood(s, p, f.mu0, f.sigma0, f.mu1, f.sigma1), p.sum(), (p * n1 / ((1 - p) * n0 + p * n1 + EPS)).sum(), len(m))
+                return packed(_log_likelihood(s, p, f.mu0, f.sigma0, f.mu1, f.sigma1, times), times @ p, times @ (p * n1 / ((1 - p) * n0 + p * n1 + EPS)), times.sum())
 
-            for g, v in group_sums(data, ["_s", *features], end).items():
+            for g, v in group_sums(data, ["_s", *features, "_times"], end).items():
                 if g not in live:
                     continue
                 m = models[g]

@@ -23,7 +23,7 @@ def group_numbers(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[tup
 def group_sums(rows: DataFrame, columns: Sequence[str], f: Callable[[int, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
     """The sum over each group's rows of f(group, matrix of columns), a vector of one length.
 
-    rows: _g (int) and columns (double, no nulls). f sees the rows of a group a batch at a time; a task hands on one vector for each of its groups, and these
+    rows: _g (int) and columns (numbers, no nulls). f sees the rows of a group a batch at a time; a task hands on one vector for each of its groups, and these
     are added by group, so no group is gathered and what is shuffled does not grow with the rows of a task.
     """
 

@@ -140,3 +140,30 @@ def test_quantiles_by_brackets_are_exact(spark, monkeypatch):
     grouped = df.where("v is not null").withColumn("g", df["v"] > 0)
     got = {r["g"]: r["q50"] for r in mixture.initial_table(grouped.where("not isnan(v)"), "v", ["g"]).collect()}
     assert abs(got[True] - np.median(values[values > 0])) < 1e-12
+
+
+@pytest.mark.parametrize("local_rows", [mixture.LOCAL_ROWS, 0])
+def test_repeated_rows_are_fitted_once(spark, monkeypatch, local_rows):
+    """Every row three times and some more often: the fit of all rows, from passes that see each distinct row once."""
+    monkeypatch.setattr(mixture, "LOCAL_ROWS", local_rows)
+    s, x = _two_normals(400, 8)
+    often = np.random.default_rng(1).integers(3, 7, 400)
+    want, _, _ = mixture.fit_local(np.repeat(s, often), np.repeat(x, often)[:, None], 6, 0.0)
+    seen, sizes = mixture.counted, []
+    monkeypatch.setattr(mixture, "counted", lambda df, *c: (out := seen(df, *c), sizes.append(out.count()))[0])
+    got = mixture.fit_groups(spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(np.repeat(s, often), np.repeat(x, often), strict=True)], "g string, s double, x double"), "g", "s", ["x"], 6, 0.0)["a"]
+    assert sizes == [400]
+    for k in ("mu0", "mu1", "sigma0", "sigma1", "mean_p", "mean_r", "final_log_likelihood"):
+        assert np.isclose(getattr(got, k), getattr(want, k), rtol=1e-6)
+    assert np.allclose(got.beta, want.beta, rtol=1e-4)
+
+
+def test_quantiles_of_counted_values(spark, monkeypatch):
+    from sitelark.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "MOST_LEFT", 60)
+    rng = np.random.default_rng(2)
+    v, n = rng.normal(size=700), rng.integers(1, 9, 700)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(v, n, strict=True)], "v double, n long")
+    points = [0.0, 0.1, 0.5, 0.77, 1.0]
+    assert np.allclose(quantiles.quantile_values(df, "v", points, "n"), np.quantile(np.repeat(v, n), points), rtol=1e-12)
