@@ -1,14 +1,16 @@
 """Hard negatives by a two-dimensional block matrix multiply.
 
-Rows are cut into shards and their components into chunks. An anchor shard meets every row shard once a chunk (each block is sent to
-the tiles of its grid row or column, which spreads them over all tasks); the product of two blocks is a partial tile of int64 scores, partial tiles
-of one place are shuffled and added, and of each whole tile only the best of every anchor go on. A first pass over shards of equal labels finds the
-positives; a second one over all shards finds, in the window that each positive's score opens, the best rows of other labels. Nothing is
-approximate, no task holds more than two blocks or the partial tiles of one place, and nothing but shard counts goes through the driver.
+Rows are cut into shards. An anchor shard meets every row shard in one place of a grid (each block is sent to the places of its grid row or
+column, which spreads them over all tasks); there the products of their chunks of components are added up to the tile of int64 scores, as SUMMA does, and only
+the best of every anchor go on: no score is ever shuffled. A first pass over shards of equal labels finds the positives; a second one over all shards finds,
+in the window that each positive's score opens, the best rows of other labels. Nothing is approximate, no task holds more than two blocks and their tile, and
+nothing but shard counts goes through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,15 +19,14 @@ from pyspark.sql.window import Window
 
 from .shared import dropped, written
 
-#: Anchors and rows of a block, components of a chunk, groups that labels are dealt into for the first pass; partial tiles of one place
-#: that blocks of this size may have (with more, blocks have fewer rows).
-ANCHORS, ROWS, CHUNK, GROUPS, PARTS = 256, 2048, 32, 64, 8
+#: Anchors and rows of a block of vectors of at most COMPONENTS components (longer ones have smaller blocks), components of a chunk, groups that labels are
+#: dealt into for the first pass. A row is sent once for every ANCHORS anchors, an anchor once for every ROWS rows.
+ANCHORS, ROWS, COMPONENTS, CHUNK, GROUPS = 1024, 2048, 256, 32, 64
 #: Positives of an anchor, negatives of a positive, and the window of a negative's score in percent of the positive's.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 3, 50, 95
 #: Sums of products below this are exact in double precision.
 EXACT = 1 << 53
 
-PARTIAL = "i int, j int, arid bigint, alabel bigint, bounds array<bigint>, scores array<bigint>, rids array<bigint>, ids array<bigint>, labels array<bigint>"
 POSITIVE = "arid bigint, vec_id bigint, score bigint"
 NEGATIVE = "arid bigint, p int, vec_id bigint, score bigint"
 
@@ -61,48 +62,14 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _lists(m: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
-
-
-def _multiplied(width: int):
-    """Two blocks to the rows of their partial tile; the first chunk's first row also names the tile's columns."""
-
-    def multiply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = [x.split()[0] for x in PARTIAL.split(", ")]
-        kinds = pa.schema([(n, {"i": pa.int32(), "j": pa.int32()}.get(n, pa.int64() if n in ("arid", "alabel") else pa.list_(pa.int64()))) for n in names])
-        if not left.num_rows or not right.num_rows:
-            return kinds.empty_table()
-        left, right = left.sort_by("rid"), right.sort_by("b_rid")
-        tile = product(_matrix(left["part"], width), _matrix(right["b_part"], width))
-        n, first = left.num_rows, key[2].as_py() == 0
-
-        def head(column: str) -> pa.Array:
-            once = [right[column].to_pylist()] if first else [None]
-            return pa.array(once + [None] * (n - 1), pa.list_(pa.int64()))
-
-        same = [pa.array(np.full(n, k.as_py(), np.int32)) for k in key[:2]]
-        columns = [*same, left["rid"], left["label"], left["bounds"], _lists(tile), head("b_rid"), head("b_id"), head("b_label")]
-        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=kinds)
-
-    return multiply
-
-
-def _added(tile: pa.Table) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Adds the partial tiles of one place: anchors, their bounds and labels, columns' rids, ids and labels, scores."""
-    rid = tile["arid"].to_numpy()
-    anchors, row = np.unique(rid, return_inverse=True)
-    first = np.zeros(len(anchors), np.int64)
-    first[row[::-1]] = np.arange(len(rid))[::-1]
-    head = next(k for k, x in enumerate(tile["rids"].is_valid().to_pylist()) if x)
-    rids, ids, labels = (np.array(tile[c][head].as_py(), np.int64) for c in ("rids", "ids", "labels"))
-    scores = np.zeros((len(anchors), len(rids)), np.int64)
-    at = 0
-    for piece in tile["scores"].chunks:
-        np.add.at(scores, row[at : at + len(piece)], piece.flatten().to_numpy().reshape(len(piece), len(rids)))
-        at += len(piece)
-    bounds = tile["bounds"].take(pa.array(first)).to_pylist()
-    return anchors, bounds, tile["alabel"].to_numpy()[first], rids, ids, labels, scores
+def _tile(left: pa.Table, right: pa.Table, width: int) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The whole tile of an anchor block and a row block, added up chunk by chunk where it stands: anchors, their bounds and labels, rows' rids, ids and labels, scores."""
+    longest = max((int(np.diff(t[c].combine_chunks().offsets.to_numpy()).max(initial=0)) for t, c in ((left, "q"), (right, "b_q"))), default=0)
+    a, b = _matrix(left["q"], longest), _matrix(right["b_q"], longest)
+    scores = np.zeros((len(a), len(b)), np.int64)
+    for k in range(0, longest, width):
+        scores += product(a[:, k : k + width], b[:, k : k + width])
+    return (left["rid"].to_numpy(), left["bounds"].to_pylist(), left["label"].to_numpy(), *(right[c].to_numpy() for c in ("b_rid", "b_id", "b_label")), scores)
 
 
 def _table(schema: str, rows: dict[str, list[np.ndarray]]) -> pa.Table:
@@ -110,9 +77,11 @@ def _table(schema: str, rows: dict[str, list[np.ndarray]]) -> pa.Table:
     return pa.table({n: np.concatenate([np.zeros(0, kinds[k]), *(x.astype(kinds[k]) for x in rows[n])]).astype(kinds[k]) for n, k in (c.split() for c in schema.split(", "))})
 
 
-def _best_positives(most: int):
-    def reduce(tile: pa.Table) -> pa.Table:
-        anchors, _, own, rids, ids, labels, scores = _added(tile)
+def _best_positives(width: int, most: int):
+    def reduce(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table(POSITIVE, {"arid": [], "vec_id": [], "score": []})
+        anchors, _, own, rids, ids, labels, scores = _tile(left, right, width)
         out: dict[str, list] = {"arid": [], "vec_id": [], "score": []}
         for k, arid in enumerate(anchors):
             at = np.flatnonzero((labels == own[k]) & (rids != arid))
@@ -129,9 +98,11 @@ def _best_positives(most: int):
     return reduce
 
 
-def _best_negatives(most: int, low: int, high: int):
-    def reduce(tile: pa.Table) -> pa.Table:
-        anchors, bounds, own, _, ids, labels, scores = _added(tile)
+def _best_negatives(width: int, most: int, low: int, high: int):
+    def reduce(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table(NEGATIVE, {"arid": [], "p": [], "vec_id": [], "score": []})
+        anchors, bounds, own, _, ids, labels, scores = _tile(left, right, width)
         out: dict[str, list] = {"arid": [], "p": [], "vec_id": [], "score": []}
         for k, arid in enumerate(anchors):
             windows = [(-(-low * p // 100), high * p // 100) for p in bounds[k]]  # whole scores: least and greatest
@@ -174,15 +145,12 @@ def _within(shards: list[int]) -> Column:
     return F.when(pick(shards) > 0, F.sequence(pick(starts), pick(starts) + pick(shards) - 1))
 
 
-def _tiles(anchors: DataFrame, rows: DataFrame, of_anchor: Column, of_row: Column, chunk: int, chunks: int) -> DataFrame:
-    """Partial tiles of all places: anchor blocks go to the row shards of_anchor, row blocks to the anchor shards of_row."""
-    parts = lambda q: F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda k: F.struct(k.alias("k"), F.slice(q, k * chunk + 1, chunk).alias("part")))
-    cut = lambda df, own, other, to: df.select(F.col("shard").alias(own), F.explode(to).alias(other), *(c for c in df.columns if c not in ("shard", "g")))
-    split = lambda df: df.select("*", F.explode(parts(F.col("q"))).alias("_c")).select(*(c for c in df.columns if c != "q"), "_c.k", "_c.part")
-    a = split(cut(anchors, "i", "j", of_anchor)).select("i", "j", "k", "rid", "label", "bounds", "part")
+def _tiles(anchors: DataFrame, rows: DataFrame, of_anchor: Column, of_row: Column, best: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """The best of every tile: anchor blocks go to the row shards of_anchor, row blocks to the anchor shards of_row."""
+    a = anchors.select(F.col("shard").alias("i"), F.explode(of_anchor).alias("j"), "rid", "label", "bounds", "q")
     # names of their own: anchors are among the rows, and a cogroup would take their columns for the same
-    b = split(cut(rows, "j", "i", of_row)).select("i", "j", "k", F.col("rid").alias("b_rid"), F.col("vec_id").alias("b_id"), F.col("label").alias("b_label"), F.col("part").alias("b_part"))
-    return a.groupBy("i", "j", "k").cogroup(b.groupBy("i", "j", "k")).applyInArrow(_multiplied(chunk), PARTIAL)
+    b = rows.select(F.col("shard").alias("j"), F.explode(of_row).alias("i"), F.col("rid").alias("b_rid"), F.col("vec_id").alias("b_id"), F.col("label").alias("b_label"), F.col("q").alias("b_q"))
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(best, schema)
 
 
 def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, chunk: int = CHUNK, anchor_rows: int = ANCHORS, block_rows: int = ROWS) -> DataFrame:
@@ -196,24 +164,23 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = POSIT
     window, give no row; so does an empty table. Scores must fit 63 bits.
     """
     rows = written(quantised(vectors).withColumn("g", F.pmod(F.hash("label"), F.lit(GROUPS))), "vectors")
-    facts = rows.agg(F.max(F.size("q")).alias("size")).first()
-    chunks = max(1, -(-(facts["size"] or 0) // chunk))
+    longest = rows.agg(F.max(F.size("q"))).first()[0] or 0
+    block_rows, anchor_rows = (max(1, n * COMPONENTS // max(longest, COMPONENTS)) for n in (block_rows, anchor_rows))  # longer vectors: smaller blocks
     chosen = rows.where(is_anchor)
-    row_shards, anchor_shards = _counted(rows, max(1, block_rows * PARTS // max(chunks, PARTS))), _counted(chosen, anchor_rows)
+    row_shards, anchor_shards = _counted(rows, block_rows), _counted(chosen, anchor_rows)
     empty = rows.sparkSession.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
     if not sum(anchor_shards):
         return empty
     every, anchors = _dealt(rows, row_shards), _dealt(chosen, anchor_shards)
     none = F.array().cast("array<bigint>")
-    first = _tiles(anchors.withColumn("bounds", none), every, _within(row_shards), _within(anchor_shards), chunk, chunks)
-    found = first.groupBy("i", "j").applyInArrow(_best_positives(positives), POSITIVE)
+    found = _tiles(anchors.withColumn("bounds", none), every, _within(row_shards), _within(anchor_shards), _best_positives(chunk, positives), POSITIVE)
     ranked = lambda df, n, *key: df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= n)
     best = written(ranked(found, positives, "arid"), "positives")
     windows = best.groupBy("arid").agg(F.array_sort(F.collect_list(F.struct("rank", "score")))["score"].alias("bounds"))  # at most ``positives`` rows each
     opened = anchors.join(windows, anchors["rid"] == windows["arid"]).drop("arid")
     everywhere = lambda shards: F.sequence(F.lit(0), F.lit(sum(shards) - 1))
-    second = _tiles(opened, every, everywhere(row_shards), everywhere(anchor_shards), chunk, chunks)
-    hits = ranked(second.groupBy("i", "j").applyInArrow(_best_negatives(negatives, low, high), NEGATIVE), negatives, "arid", "p")
+    second = _tiles(opened, every, everywhere(row_shards), everywhere(anchor_shards), _best_negatives(chunk, negatives, low, high), NEGATIVE)
+    hits = ranked(second, negatives, "arid", "p")
     named = chosen.select(F.col("rid").alias("arid"), F.col("vec_id").alias("anchor_id"))
     of = best.select("arid", (F.col("rank") - 1).alias("p"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     joined = hits.select("arid", "p", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")).join(of, ["arid", "p"]).join(named, "arid")

@@ -72,3 +72,21 @@ def test_a_product_is_exact_in_either_form():
     for most in (300, 1 << 20, 1 << 29):
         a, b = rng.integers(-most, most, (7, 5)), rng.integers(-most, most, (9, 5))
         assert product(a, b).tolist() == [[sum(int(x) * int(y) for x, y in zip(r, s)) for s in b] for r in a]
+
+
+def test_no_score_is_shuffled(spark, monkeypatch):
+    """Tiles are added up and cut down to their best where they are made, so only one step takes blocks to what it returns."""
+    from sitelark.llm import hard_negatives as module
+
+    made, tiles = [], module._tiles
+
+    def kept(*a):
+        out = tiles(*a)
+        made.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(module, "_tiles", kept)
+    rows = vectors(4, 400, 12)
+    assert mined(spark, rows, chunk=5) == brute(rows)
+    assert [columns for columns, _ in made] == [["arid", "vec_id", "score"], ["arid", "p", "vec_id", "score"]]
+    assert made[0][1] <= 8 * 5  # each of the 8 anchors gives at most five rows of its one tile, not one a row of the table
