@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +20,8 @@ from ..shared import written
 from .ranks import first_rows
 
 TILE = 1 << 18
+#: Bases of short contigs that are scored at once: some 200 bytes a base while it works.
+GROUP = 1 << 16
 CODES = np.full(256, 255, np.uint8)
 for _k, _letters in enumerate((b"A", b"C", b"G", b"TU")):
     for _b in _letters:
@@ -86,14 +89,15 @@ def scan_tile(codes: np.ndarray, at: int, first: int, last: int, n: int, weights
     return scan_centres(codes, np.arange(first, last), -at, n, weights, inner, outer)
 
 
-def scan_centres(codes: np.ndarray, i: np.ndarray, off: np.ndarray | int, n: np.ndarray | int, weights: np.ndarray, inner: int, outer: int) -> dict[str, np.ndarray]:
+def scan_centres(codes: np.ndarray, i: np.ndarray, off: np.ndarray | int, n: np.ndarray | int, weights: np.ndarray, inner: int, outer: int, wanted: Sequence[str] | None = None) -> dict[str, np.ndarray]:
     """All windows of the centres i (0-based in their contigs of n bases), where base b of a centre's contig stands at codes[off + b].
 
-    Parts of many contigs may stand behind each other in codes: no window leaves its contig.
+    Parts of many contigs may stand behind each other in codes: no window leaves its contig. wanted: columns that are needed; pos1 and kmer_count_inner always are.
     """
     size = len(weights)
+    needs = lambda *names: wanted is None or any(c in wanted for c in names)
     score, valid = kmer_scores(codes, weights)
-    sums, counts, gc = (np.r_[0, np.cumsum(x)] for x in (score, valid, (codes == 1) | (codes == 2)))
+    sums, counts = (np.r_[0, np.cumsum(x)] for x in (score, valid))
 
     def over(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end = start + off, end + 1 + off
@@ -103,11 +107,20 @@ def scan_centres(codes: np.ndarray, i: np.ndarray, off: np.ndarray | int, n: np.
     w_in, w_out = 2 * inner - size + 2, outer - inner - size + 1
     held = np.minimum(i, n - 1 - inner)
     sum_in, n_in = over(np.maximum(held - inner, 0), held + inner - size + 1) if w_in > 0 else none
-    end = np.maximum(i - inner - size, 0)
-    left = over(np.maximum(end - w_out + 1, 0), end) if w_out > 0 else none
-    held = np.minimum(i, n - 1 - outer)
-    right = over(held + inner + 1, held + outer - size + 1) if w_out > 0 else none
-    sum_out, n_out = left[0] + right[0], left[1] + right[1]
+    out = {"pos1": i + 1, "kmer_count_inner": n_in}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if needs("inner_mean"):
+            out["inner_mean"] = np.where(n_in > 0, sum_in / n_in, np.nan)
+        if needs("outer_mean", "kmer_count_outer"):
+            end = np.maximum(i - inner - size, 0)
+            left = over(np.maximum(end - w_out + 1, 0), end) if w_out > 0 else none
+            held = np.minimum(i, n - 1 - outer)
+            right = over(held + inner + 1, held + outer - size + 1) if w_out > 0 else none
+            sum_out, n_out = left[0] + right[0], left[1] + right[1]
+            out |= {"outer_mean": np.where(n_out > 0, sum_out / n_out, np.nan), "kmer_count_outer": n_out}
+    if not needs("gc_inner_pct", "gc_outer_pct"):
+        return out
+    gc = np.r_[0, np.cumsum((codes == 1) | (codes == 2))]
 
     def bases(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end = np.clip(start, 0, n), np.clip(end, 0, n)
@@ -117,15 +130,8 @@ def scan_centres(codes: np.ndarray, i: np.ndarray, off: np.ndarray | int, n: np.
     g_left, l_left = bases(i - outer, i - inner)
     g_right, l_right = bases(i + inner + 1, i + outer + 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return {
-            "pos1": i + 1,
-            "inner_mean": np.where(n_in > 0, sum_in / n_in, np.nan),
-            "outer_mean": np.where(n_out > 0, sum_out / n_out, np.nan),
-            "gc_inner_pct": g_in * 100.0 / l_in,
-            "gc_outer_pct": np.where(l_left + l_right > 0, (g_left + g_right) * 100.0 / (l_left + l_right), np.nan),
-            "kmer_count_inner": n_in,
-            "kmer_count_outer": n_out,
-        }
+        around = np.where(l_left + l_right > 0, (g_left + g_right) * 100.0 / (l_left + l_right), np.nan)
+        return out | {"gc_inner_pct": g_in * 100.0 / l_in, "gc_outer_pct": around}
 
 
 TILES = "chrom string, contig_order bigint, n bigint, first bigint, last bigint, start bigint, part string"
@@ -188,25 +194,26 @@ def scan_windows(seqs: DataFrame, weights: np.ndarray, inner: int = 50, outer: i
     whole = seqs.where(F.length("seq") >= max(2 * inner + 1, 2 * outer + 1, size))
     kinds = dict(c.strip().split() for c in SCAN.split(","))
     names = list(columns or kinds)
+    needed = [*names, *(["inner_mean"] if counted or keep is not None or ends is not None else [])]
     low, high = float(weights.min(axis=1).sum()), float(weights.max(axis=1).sum())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, first, last, start = (batch.column(c).to_numpy() for c in ("n", "first", "last", "start"))
-            parts = [CODES[np.frombuffer(x.encode("latin-1", "replace"), np.uint8)] for x in batch.column("part").to_pylist()]
-            groups = np.cumsum([len(x) for x in parts]) // tile if parts else np.zeros(0, np.int64)
-            for g in np.unique(groups):  # short contigs are scored together
+            groups = np.cumsum(pc.binary_length(batch.column("part")).to_numpy()) // min(tile, GROUP)
+            for g in np.unique(groups):  # short contigs are scored together; no more than a group is ever unpacked
                 at = np.flatnonzero(groups == g)
-                codes = np.concatenate([parts[k] for k in at])
-                length, count = np.array([len(parts[k]) for k in at]), last[at] - first[at]
+                parts = [CODES[np.frombuffer(x.encode("latin-1", "replace"), np.uint8)] for x in batch.column("part").slice(at[0], len(at)).to_pylist()]
+                codes = np.concatenate(parts)
+                length, count = np.array([len(x) for x in parts]), last[at] - first[at]
                 before, owner = np.cumsum(length) - length, np.repeat(at, count)
                 ahead = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
                 for strand in "+-" if strands else "+":
                     if strand == "+":
-                        x = scan_centres(codes, first[owner] + ahead, np.repeat(before - start[at], count), n[owner], weights, inner, outer)
+                        x = scan_centres(codes, first[owner] + ahead, np.repeat(before - start[at], count), n[owner], weights, inner, outer, needed)
                     else:
                         turned = len(codes) - before - length - (n[at] - start[at] - length)
-                        x = scan_centres(PAIRED[codes[::-1]], n[owner] - last[owner] + ahead, np.repeat(turned, count), n[owner], weights, inner, outer)
+                        x = scan_centres(PAIRED[codes[::-1]], n[owner] - last[owner] + ahead, np.repeat(turned, count), n[owner], weights, inner, outer, needed)
                         x["pos1"] = n[owner] - x["pos1"] + 1
                     kept = np.flatnonzero(x["kmer_count_inner"] > 0)
                     if keep is not None:

@@ -89,3 +89,21 @@ def test_matrix_background_and_fasta(spark, tmp_path):
     text.check_unique_contigs(seqs)
     with pytest.raises(ValueError):
         text.check_unique_contigs(seqs.union(seqs))
+
+
+def test_only_wanted_windows_and_bounded_groups(monkeypatch, spark):
+    """Columns that are not wanted are not worked out, the others stay as they are, and a batch of short contigs is unpacked group by group."""
+    from sitelark.operators import sequence as module
+
+    rng = np.random.default_rng(12)
+    codes, i, w = rng.integers(0, 4, 300).astype(np.uint8), np.arange(300), rng.normal(size=(3, 4))
+    every = module.scan_centres(codes, i, 0, 300, w, 5, 20)
+    for wanted in (["kmer_count_inner"], ["outer_mean"], ["gc_outer_pct", "inner_mean"]):
+        some = module.scan_centres(codes, i, 0, 300, w, 5, 20, wanted)
+        assert set(wanted) <= set(some) < set(every) and all(np.array_equal(some[c], every[c], equal_nan=True) for c in some)
+    seqs = spark.createDataFrame([(str(k), k, "".join(rng.choice(list("ACGTN"), 50 + k))) for k in range(40)], "chrom string, contig_order long, seq string")
+    scanned = lambda: {(r["contig_order"], r["pos1"], r["strand"]): np.array(r[4:], float) for r in module.scan_windows(seqs, w, 5, 20).collect()}
+    whole = scanned()
+    monkeypatch.setattr(module, "GROUP", 120)
+    parts = scanned()
+    assert set(parts) == set(whole) and all(np.allclose(parts[k], whole[k], rtol=1e-12, atol=1e-12, equal_nan=True) for k in whole)
