@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import zstandard
@@ -767,6 +768,43 @@ def test_top_k(spark, monkeypatch, shard, terms):
     assert sorted(map(tuple, got)) == brute_search(rows, queries, 4)
 
 
+def test_top_k_rounds(spark, monkeypatch):
+    """Few shards are one round; floors of earlier rounds lose nothing; the setting of the tasks' size is put back."""
+    rng = random.Random(31)
+    rows = [(k, edge.prose(rng, rng.randrange(1, 60))) for k in range(400)] + [(400 + k, edge.prose(random.Random(k % 3), 30)) for k in range(60)]
+    queries, tags = [(i, t) for i, t in rows if i % 20 == 0], []
+    monkeypatch.setattr(search, "written", lambda df, tag, written=search.written: tags.append(tag) or written(df, tag))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want, asked = brute_search(rows, queries, 4), spark.createDataFrame(queries, "query_id long, text string")
+    assert sorted(map(tuple, search.top_k(edge.frame(spark, rows).repartition(4), asked, 4).collect())) == want
+    assert tags.count("found") == 1
+    for name, value in {"GROWTH": 2, "SHARD_DOCS": 7, "STRIDE": 2, "AT_ONCE": 5, "MOST_USED": 1 / 4}.items():
+        monkeypatch.setattr(search, name, value)
+    assert sorted(map(tuple, search.top_k(edge.frame(spark, rows).repartition(9), asked, 4).collect())) == want
+    assert tags.count("found") == 5  # 2, 2, 4 shards and the ninth
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_shard_keeps_walked_lists_apart():
+    """Entries of long lists stand in the dense rows only; the k best above a floor, and without one, are exact."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 40) if x < 5000) for _ in range(600)]
+    batch = pa.record_batch({"doc_id": pa.array(range(600), pa.int64()), "text": pa.array(texts)})
+    [packed] = [b.column(3)[0].as_py() for b in search._shards(iter([batch]))]
+    _, _, terms, cuts, _, _ = search._unpacked(packed)
+    df = np.diff(cuts)
+    block = search.QueryBlock([(1, terms.tobytes(), np.log1p((600 - df + 0.5) / (df + 0.5)).tobytes())], 10, 40.0)
+    shard = search.Shard(packed, block)
+    assert len(shard.doc) == len(shard.add) == df[df < search.LONG * 600].sum() and len(shard.dense) == (df >= search.LONG * 600).sum()
+    queries = [np.sort(rng.choice(len(terms), 30, replace=False)).astype(np.int32) for _ in range(20)]
+    whole = [shard._walked(q[shard.row[q] < 0]) + shard.dense[shard.row[q][shard.row[q] >= 0]].sum(axis=0, dtype=np.float64) for q in queries]
+    for floors in (np.zeros(20), np.array([np.sort(w)[-3] for w in whole])):
+        for w, f, (found, score) in zip(whole, floors, shard.top(queries, 10, floors), strict=True):
+            least = max(f, 1.0, np.sort(w)[-10])
+            order = np.lexsort((shard.ids, -w[:600]))
+            assert found.tolist() == [d for d in order if w[d] >= least][:10] and np.array_equal(score, w[found])
+
+
 def test_top_k_nulls_and_empty(spark):
     queries = spark.createDataFrame([(1, "one"), (None, "one"), (3, None), (4, "absentword")], "query_id long, text string")
     assert [tuple(r)[:3] for r in search.top_k(edge.with_nulls(spark), queries, 1).collect()] == [(1, 1, None)]
