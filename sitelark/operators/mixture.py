@@ -5,14 +5,18 @@ stand still (at most NEWTON_STEPS passes), and takes the moments of both parts.
 ``fit_groups`` runs it for any number of groups: those of at most ``LOCAL_ROWS`` distinct rows, which are counted first, in a task each; larger ones side
 by side, where each pass is one aggregation of sums by group over a written table and only the parameters (a few numbers a group) come back to the
 driver, so that no large group is ever gathered. Where a group is fitted changes nothing but the order in which its sums are added.
+
+The logistic part sees the posteriors only through their sums by distinct vector of features. Where these are few, least squares run on the vectors, and a step
+is one pass over the rows, however many passes least squares take; large groups with at most ``MOST_VECTORS`` are laid out by vector for that.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,10 @@ EPS = 1e-10
 NEWTON_STEPS, NEWTON_TOL = 20, 1e-6
 #: Rows of a group that one task fits by itself: about 100 bytes a row with ten features, and some five times that while it works.
 LOCAL_ROWS = 1_000_000
+#: Distinct vectors of features up to which a large group is laid out by them (a few numbers of each come to the driver), and rows to a vector for that.
+MOST_VECTORS, VECTOR_ROWS = 4096, 64
+#: Rows that a task lays out at once, values of a piece, and the bits of a value by which ranks are found in a pass, and values that come to the driver for them.
+LAID_ROWS, PIECE, RANK_BITS, MOST_LEFT = 1 << 20, 1 << 13, 12, 100_000
 FITTED_ARROW = pa.schema([("_g", pa.string()), ("beta", pa.list_(pa.float64())), *((n, pa.float64()) for n in ("mu0", "sigma0", "mu1", "sigma1")), ("iters", pa.int32()), ("converged", pa.bool_()), *((n, pa.float64()) for n in ("ll", "mp", "mr"))])
 FITTED = "_g string, beta array<double>, mu0 double, sigma0 double, mu1 double, sigma1 double, iters int, converged boolean, ll double, mp double, mr double"
 
@@ -58,6 +66,10 @@ def _pdf(x: np.ndarray, mu: float, sigma: float) -> np.ndarray:
 
 
 def _log_likelihood(s: np.ndarray, p: np.ndarray, mu0: float, sigma0: float, mu1: float, sigma1: float, times: np.ndarray | float = 1.0) -> float:
+    both = (1 - p + EPS) * _pdf(s, mu0, sigma0) + (p + EPS) * _pdf(s, mu1, sigma1)
+    if len(both) and both.min() > 1e-290:
+        return float((times * np.log(both)).sum())
+    # densities that small lose digits
     a = np.log(1 - p + EPS) - 0.5 * ((s - mu0) / sigma0) ** 2 - math.log(sigma0 * math.sqrt(2 * math.pi))
     b = np.log(p + EPS) - 0.5 * ((s - mu1) / sigma1) ** 2 - math.log(sigma1 * math.sqrt(2 * math.pi))
     return float((times * np.logaddexp(a, b)).sum())
@@ -107,30 +119,40 @@ def initial(s: np.ndarray, times: np.ndarray | None = None) -> tuple[float, floa
 
 def fit_local(s: np.ndarray, features: np.ndarray, steps: int = 900, tol: float = 1e-5, times: np.ndarray | None = None) -> tuple[Mixture, np.ndarray, np.ndarray]:
     """The fit of one table: s is ln(score + 1), features has no intercept column; times: how often a row counts. Also returns prior and posterior of each row."""
-    x = np.column_stack([np.ones(len(s)), features])
     mu0, sigma0, mu1, sigma1 = initial(s, times)
     times = np.ones(len(s)) if times is None else times.astype(np.float64)
+    distinct, of = np.unique(features, axis=0, return_inverse=True) if features.shape[1] else (features[:1], np.zeros(len(s), np.int64))
+    few, of = len(distinct) <= len(s) / 2, of.ravel()
+    x = np.column_stack([np.ones(len(distinct)), distinct]) if few else np.column_stack([np.ones(len(s)), features])
+    often = np.bincount(of, times) if few else times
+
+    def logistic(r: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        return irls(x, np.bincount(of, times * r) / often if few else r, NEWTON_STEPS, start=start, times=often)
+
+    def prior(beta: np.ndarray) -> np.ndarray:
+        return _sigmoid(x @ beta)[of] if few else _sigmoid(x @ beta)
+
     n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
-    beta = irls(x, np.clip(n1 / (n0 + n1 + EPS), 0.01, 0.99), NEWTON_STEPS, times=times)
+    beta = logistic(np.clip(n1 / (n0 + n1 + EPS), 0.01, 0.99))
     before, it, converged = -math.inf, 0, False
     for it in range(1, steps + 1):
-        p = _sigmoid(x @ beta)
+        p = prior(beta)
         n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
         r = np.clip(p * n1 / ((1 - p) * n0 + p * n1 + EPS), EPS, 1 - EPS)
         try:
-            beta = irls(x, r, NEWTON_STEPS, start=beta, times=times)
+            beta = logistic(r, beta)
         except np.linalg.LinAlgError:
             beta = beta * 0.95
         r0, r1 = times * (1 - r), times * r
         mu0, mu1 = float((r0 @ s) / (r0.sum() + EPS)), float((r1 @ s) / (r1.sum() + EPS))
         sigma0 = math.sqrt(max(float((r0 @ (s - mu0) ** 2) / (r0.sum() + EPS)), EPS))
         sigma1 = math.sqrt(max(float((r1 @ (s - mu1) ** 2) / (r1.sum() + EPS)), EPS))
-        now = _log_likelihood(s, _sigmoid(x @ beta), mu0, sigma0, mu1, sigma1, times)
+        now = _log_likelihood(s, prior(beta), mu0, sigma0, mu1, sigma1, times)
         if abs(now - before) < tol * (1 + abs(before)):
             before, converged = now, it < steps
             break
         before = now
-    p = _sigmoid(x @ beta)
+    p = prior(beta)
     n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
     r = p * n1 / ((1 - p) * n0 + p * n1 + EPS)
     whole = times.sum()
@@ -219,20 +241,35 @@ def log_likelihood(s: Column, p: Column, mu0: Column, sigma0: Column, mu1: Colum
 def fit_groups(df: DataFrame, group: str, s: str, features: Sequence[str], steps: int = 900, tol: float = 1e-5, local_rows: int | None = None) -> dict[str, Mixture]:
     """One model for each value of group (null groups are left out); s is ln(score + 1).
 
-    Equal rows are counted and written once, and every pass reads the distinct ones. In groups of more than local_rows distinct rows (LOCAL_ROWS if None)
-    every pass covers all such groups that have not stopped.
+    Groups with few vectors of features and more distinct rows than that are laid out as they are, so that no row is shuffled. Of the others equal rows are counted and written once, and
+    every pass reads the distinct ones. In groups of more than local_rows distinct rows (LOCAL_ROWS if None) every pass covers all such groups that have not stopped.
     """
     whole = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("_g"), F.col(s).cast("double").alias("_s"), *(F.col(f).cast("double").alias(f) for f in features))
-    whole = written(counted(whole, "_g", "_s", *features), "mixture-counted")
-    try:
-        return _fit_counted(whole, features, steps, tol, local_rows)
-    finally:
-        dropped(whole)
+    most = LOCAL_ROWS if local_rows is None else local_rows
+    sizes = {r["_g"]: r["count"] for r in whole.groupBy("_g").count().collect()}  # a row a model
+    some = [g for g, n in sizes.items() if n > 0.8 * most]
+    laid = _few_vectors(whole.where(F.col("_g").isin(some)), features, sum(sizes[g] for g in some), 0.8 * most) if some else []
+    models = _fit_laid(whole.where(F.col("_g").isin(laid)), features, steps, tol) if laid else {}
+    if len(laid) < len(sizes):
+        rest = written(counted(whole.where(~F.col("_g").isin(laid)) if laid else whole, "_g", "_s", *features), "mixture-counted")
+        try:
+            models |= _fit_counted(rest, features, steps, tol, most)
+        finally:
+            dropped(rest)
+    return {g: warned(m) for g, m in sorted(models.items())}
+
 
+def _few_vectors(whole: DataFrame, features: Sequence[str], n: int, least: float) -> list[str]:
+    """Groups of more than least distinct rows and at most MOST_VECTORS vectors of features, as one class of the distinct rows by hash tells: this decides on the way only, never on a result."""
+    classes = max(n // 200_000, 1)
+    mine = whole.where(F.pmod(F.xxhash64("_s", *features), F.lit(classes)) == 0).distinct().groupBy("_g")
+    vectors = F.count_distinct(F.xxhash64(*features)) if features else F.lit(1)
+    return [r["_g"] for r in mine.agg(F.count(F.lit(1)).alias("d"), vectors.alias("v")).collect() if r["d"] * classes > least and r["v"] <= min(MOST_VECTORS, r["d"] * classes / VECTOR_ROWS)]
 
-def _fit_counted(whole: DataFrame, features: Sequence[str], steps: int, tol: float, local_rows: int | None) -> dict[str, Mixture]:
+
+def _fit_counted(whole: DataFrame, features: Sequence[str], steps: int, tol: float, local_rows: int) -> dict[str, Mixture]:
     sizes = {r["_g"]: r["count"] for r in whole.groupBy("_g").count().collect()}  # a row a model
-    large = [g for g, n in sizes.items() if n > (LOCAL_ROWS if local_rows is None else local_rows)]
+    large = [g for g, n in sizes.items() if n > local_rows]
 
     def fit_one(part: pa.Table) -> pa.Table:
         x = np.column_stack([part.column(f).to_numpy() for f in features]) if features else np.zeros((part.num_rows, 0))
@@ -246,7 +283,193 @@ def _fit_counted(whole: DataFrame, features: Sequence[str], steps: int, tol: flo
             models[r["_g"]] = Mixture(list(r["beta"]), r["mu0"], r["sigma0"], r["mu1"], r["sigma1"], r["iters"], r["converged"], r["ll"], r["mp"], r["mr"])
     if large:
         models |= _fit_large(whole.where(F.col("_g").isin(large)), features, steps, tol)
-    return {g: warned(m) for g, m in sorted(models.items())}
+    return models
+
+
+#: A piece: the values of some rows of one group and vector of features, as doubles.
+LAID = pa.schema([("_g", pa.string()), ("x", pa.binary()), ("s", pa.binary())])
+
+
+def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts rows of _g, _s and features into pieces, some LAID_ROWS at a time."""
+
+    def pieces(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(held)
+        code, columns = np.zeros(part.num_rows, np.int64), [part.column(k).combine_chunks().dictionary_encode() for k in (0, *range(2, part.num_columns))]
+        for c in columns:
+            code = code * (len(c.dictionary) + 1) + c.indices.fill_null(len(c.dictionary)).to_numpy()
+            code = pa.array(code).dictionary_encode().indices.to_numpy().astype(np.int64)  # stays below the number of rows
+        order = np.argsort(code.astype(np.uint16) if code.max() < 1 << 16 else code, kind="stable")  # 16 bits: a radix sort
+        code, s = code[order], part.column(1).to_numpy()[order]
+        cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(s)]
+        heads = part.take(pa.array(order[cuts[:-1]]))
+        x = np.array([heads.column(k).to_numpy() for k in range(2, part.num_columns)], np.float64).reshape(part.num_columns - 2, len(cuts) - 1)
+        out = [(g, x[:, i].tobytes(), s[k : min(k + PIECE, b)].tobytes()) for i, (g, (a, b)) in enumerate(zip(heads.column(0).to_pylist(), pairwise(cuts), strict=True)) for k in range(a, b, PIECE)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), LAID, strict=True)], schema=LAID)
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= LAID_ROWS:
+            yield pieces(held)
+            held, n = [], 0
+    if n:
+        yield pieces(held)
+
+
+Sums = Callable[[int, np.ndarray], Iterator[tuple[int, int, np.ndarray]]]
+
+
+def _piece_sums(pieces: DataFrame, numbers: dict[tuple[str, bytes], int], f: Sums, width: int) -> dict[tuple[int, int], np.ndarray]:
+    """The sums over all pieces of the vectors that f(number of group and features, values) gives, each with two keys.
+
+    Vectors longer than width are handed on by entry, those that are not 0: the second key is then that of the vector times its length and the place in it.
+    """
+    names = [f"c{k}" for k in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for g, x, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for a, b, add in f(numbers[g, x], np.frombuffer(held.as_buffer())):
+                    total[a, b] = total[a, b] + add if (a, b) in total else add
+        long = [(a, b, v) for (a, b), v in total.items() if len(v) > width]
+        total = {k: v for k, v in total.items() if len(v) <= width} | {(a, b * len(v) + k): v[k : k + 1] for a, b, v in long for k in np.flatnonzero(v).tolist()}
+        if total:
+            a, b = zip(*total, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), *map(pa.array, np.array(list(total.values()), np.float64).T)], ["a", "b", *names])
+
+    found = pieces.mapInArrow(run, "a int, b bigint, " + ", ".join(f"{c} double" for c in names)).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in names))
+    return {(r[0], r[1]): np.array(r[2:]) for r in found.collect()}
+
+
+def _in_order(s: np.ndarray) -> np.ndarray:
+    """Whole numbers that are ordered as these values are."""
+    bits = s.view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _in_value(order: int) -> float:
+    bits = np.array([order], np.uint64) ^ np.uint64(1 << 63)
+    return float((bits.view(np.int64) ^ ((bits.view(np.int64) >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)[0])
+
+
+def _medians(sums: Callable[[Sums, int], dict[tuple[int, int], np.ndarray]], group: np.ndarray) -> dict[int, float]:
+    """The exact median of each group: its two middle ranks are followed down by RANK_BITS of the values at a time, all of them once few are left."""
+    shift, wanted, before = 64 - RANK_BITS, {}, None  # by group: for both ranks the leading bits and the rank among the values that have them
+    while True:
+
+        def count(v: int, s: np.ndarray, shift: int = shift, before: int | None = before, wanted: dict = wanted) -> Iterator[tuple[int, int, np.ndarray]]:
+            g, x = int(group[v]), _in_order(s[~np.isnan(s)])
+            for lead in {k for k, _ in wanted.get(g, [(0, 0)])}:
+                inside = x if before is None else x[x >> np.uint64(before) == np.uint64(lead)]
+                if shift:
+                    yield g, lead, np.bincount((inside >> np.uint64(shift) & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64), minlength=1 << RANK_BITS)
+                else:
+                    for k, n in zip(*np.unique(inside, return_counts=True), strict=True):
+                        yield g, int(k.astype(np.int64)), np.array([n])
+
+        counts: dict[int, dict[int, int]] = {}
+        for (g, k), n in sums(count, 1).items():
+            counts.setdefault(g, {})[k % (1 << 64)] = int(n[0])
+        most = 0
+        for g, found in counts.items():
+            if before is None:
+                n = sum(found.values())
+                wanted[g] = [(0, (n - 1) // 2), (0, n // 2)]
+            new = []
+            for lead, rank in wanted[g]:
+                for k in sorted(found):
+                    if before is not None and k >> (before - shift) != lead:
+                        continue
+                    if rank < found[k]:
+                        most = max(most, found[k])
+                        new.append((k, rank))
+                        break
+                    rank -= found[k]
+            wanted[g] = new
+        if not shift:
+            values = {g: [_in_value(k) for k, _ in w] for g, w in wanted.items()}
+            return {g: low + 0.5 * (high - low) for g, (low, high) in values.items()}
+        wanted, before, shift = dict(wanted), shift, 0 if most <= MOST_LEFT or shift <= RANK_BITS else shift - RANK_BITS
+
+
+def _fit_laid(df: DataFrame, features: Sequence[str], steps: int, tol: float) -> dict[str, Mixture]:
+    """df: _g (a name), _s and the features, of few distinct vectors. A step is one pass, which also tells the likelihood that the step before has reached."""
+    data = written(df.select("_g", "_s", *features).mapInArrow(_lay, "_g string, x binary, s binary"), "mixture-laid", "none")
+    try:
+        found = sorted((r["_g"], bytes(r["x"]), r["n"]) for r in data.groupBy("_g", "x").agg((F.sum(F.octet_length("s")) / 8).alias("n")).collect())  # about MOST_VECTORS a group
+        names, numbers = sorted({g for g, *_ in found}), {(g, b): k for k, (g, b, _) in enumerate(found)}
+        group, often = np.array([names.index(g) for g, *_ in found]), np.array([n for *_, n in found])
+        x = np.column_stack([np.ones(len(found)), np.array([np.frombuffer(b) for _, b, _ in found]).reshape(len(found), len(features))])
+        of = {g: np.flatnonzero(group == g) for g in range(len(names))}
+        mid = {g: math.nan for g in of} | _medians(lambda f, width: _piece_sums(data, numbers, f, width), group)
+
+        def halves(v: int, s: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+            d = s - mid[int(group[v])]
+            for h, part in enumerate((d[~(d > 0)], d[d > 0])):
+                yield int(group[v]), h, np.array([len(part), part.sum(), (part * part).sum()])
+
+        part, models = _piece_sums(data, numbers, halves, 3), {}
+        for g in of:
+            (n0, d0, q0), (n1, d1, q1) = part[g, 0], part[g, 1]
+            low = mid[g] + d0 / n0, max(math.sqrt(max(q0 / n0 - (d0 / n0) ** 2, 0.0)), 0.1)
+            high = (mid[g] + d1 / n1, max(math.sqrt(max(q1 / n1 - (d1 / n1) ** 2, 0.0)), 0.1)) if n1 else (low[0], 0.1)
+            models[g] = Mixture([0.0] * x.shape[1], *map(float, (*low, *high)))
+
+        def passed(live: set[int], first: bool = False) -> dict[int, np.ndarray]:
+            """By group, a row a vector: sums of a step's moments, of the likelihood and of posteriors at the parameters as they are."""
+            prior = np.zeros(len(found))
+            for g in live:
+                prior[of[g]] = _sigmoid(x[of[g]] @ np.array(models[g].beta))
+            fits = {g: (m.mu0, m.sigma0, m.mu1, m.sigma1, mid[g]) for g, m in models.items() if g in live}
+
+            def step(v: int, s: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+                if int(group[v]) not in fits:
+                    return
+                (mu0, sigma0, mu1, sigma1, middle), p = fits[int(group[v])], float(prior[v])
+                n0, n1 = _pdf(s, mu0, sigma0), _pdf(s, mu1, sigma1)
+                if first:
+                    r, ll = n1 / (n0 + n1 + EPS), 0.0
+                else:
+                    r, both = p * n1 / ((1 - p) * n0 + p * n1 + EPS), (1 - p + EPS) * n0 + (p + EPS) * n1
+                    ll = float(np.log(both).sum()) if both.min() > 1e-290 else _log_likelihood(s, np.float64(p), mu0, sigma0, mu1, sigma1)
+                r1 = np.clip(r, *((0.01, 0.99) if first else (EPS, 1 - EPS)))
+                d, r0 = s - middle, 1 - r1  # from the group's median, so that squares do not cancel
+                dd = d * d
+                yield v, 0, np.array([r1.sum(), r0.sum(), r1 @ d, r0 @ d, r1 @ dd, r0 @ dd, ll, r.sum()])
+
+            sums = _piece_sums(data, numbers, step, 8)
+            return {g: np.array([sums[int(v), 0] for v in of[g]]) for g in live}
+
+        for g, v in passed(set(models), True).items():
+            models[g].beta = irls(x[of[g]], v[:, 0] / often[of[g]], NEWTON_STEPS, times=often[of[g]]).tolist()
+        live, last = set(models), {g: -math.inf for g in models}
+        for it in range(steps + 1):
+            if not live:
+                break
+            for g, v in passed(live).items():
+                m, here, n, (r1, r0, s1, s0, q1, q0, ll, mr) = models[g], x[of[g]], often[of[g]], v.sum(axis=0).tolist()
+                m.mean_p, m.mean_r = float(n @ _sigmoid(here @ np.array(m.beta)) / n.sum()), mr / float(n.sum())
+                if it:
+                    still = abs(ll - last[g]) < tol * (1 + abs(last[g]))
+                    m.iters, m.final_log_likelihood, m.converged, last[g] = it, ll, still and it < steps, ll
+                    if still or it == steps:
+                        live.discard(g)
+                        continue
+                try:
+                    m.beta = irls(here, v[:, 0] / n, NEWTON_STEPS, start=np.array(m.beta), times=n).tolist()
+                except np.linalg.LinAlgError:
+                    m.beta = [0.95 * b for b in m.beta]
+                d0, d1 = s0 / (r0 + EPS), s1 / (r1 + EPS)
+                m.sigma0 = math.sqrt(max((q0 - 2 * d0 * s0 + d0**2 * r0) / (r0 + EPS), EPS))
+                m.sigma1 = math.sqrt(max((q1 - 2 * d1 * s1 + d1**2 * r1) / (r1 + EPS), EPS))
+                m.mu0, m.mu1 = mid[g] + d0, mid[g] + d1
+        return {names[g]: m for g, m in models.items()}
+    finally:
+        dropped(data)
 
 
 def _fit_large(df: DataFrame, features: Sequence[str], steps: int, tol: float) -> dict[str, Mixture]:

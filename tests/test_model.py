@@ -158,6 +158,29 @@ def test_repeated_rows_are_fitted_once(spark, monkeypatch, local_rows):
     assert np.allclose(got.beta, want.beta, rtol=1e-4)
 
 
+def test_few_vectors_of_features_take_one_pass_a_step(spark, monkeypatch):
+    """Large groups whose features repeat: nothing is counted or shuffled by row, least squares take no pass, and the fit is that of one table."""
+    rng = np.random.default_rng(3)
+    s, x = _two_normals(3000, 8)
+    x, y = rng.integers(0, 4, 3000) / 2, rng.integers(0, 3, 3000) * 1.0
+    s = np.round(s, 2) - 2  # ties, both signs, zeros
+    monkeypatch.setattr(mixture, "counted", None)
+    monkeypatch.setattr(mixture, "group_sums", None)
+    monkeypatch.setattr(mixture, "MOST_LEFT", 20)
+    monkeypatch.setattr(mixture, "PIECE", 50)
+    seen, passes = mixture._piece_sums, []
+    monkeypatch.setattr(mixture, "_piece_sums", lambda *a: (passes.append(a[3]), seen(*a))[1])
+    rows = [(g, float(a), float(b), float(c)) for g, m in (("a", 3000), ("b", 1001)) for a, b, c in zip(s[:m], x[:m], y[:m], strict=True)]
+    got = mixture.fit_groups(spark.createDataFrame(rows, "g string, s double, x double, y double"), "g", "s", ["x", "y"], 5, 0.0, local_rows=0)
+    assert passes.count(8) == 5 + 2
+    for g, m in (("a", 3000), ("b", 1001)):
+        want, _, _ = mixture.fit_local(s[:m], np.column_stack([x, y])[:m], 5, 0.0)
+        assert got[g].iters == want.iters == 5 and not got[g].converged
+        for k in ("mu0", "mu1", "sigma0", "sigma1", "mean_p", "mean_r", "final_log_likelihood"):
+            assert np.isclose(getattr(got[g], k), getattr(want, k), rtol=1e-9)
+        assert np.allclose(got[g].beta, want.beta, rtol=1e-6)
+
+
 def test_quantiles_of_counted_values(spark, monkeypatch):
     from sitelark.operators import quantiles
 
