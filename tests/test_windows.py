@@ -39,6 +39,37 @@ def test_windows_equal_brute_force(spark, inner, outer):
                 assert np.isclose(row[f"total_{cond}"], sum(x[4] for x in known)) and np.isclose(row[f"wmean_{cond}"], sum(x[4] * x[5] for x in known) / sum(x[5] for x in flanks))
 
 
+def test_rounded_summary_has_the_digits_of_rows_added_in_order(spark, monkeypatch):
+    """Ties of the rounding, where the order of adding decides: only places near one make pairs, and their digits are those of the rows as they come."""
+    rng = random.Random(2)
+    points = [("a", "+", rng.randrange(400), rng.choice([None, *(k / 100 for k in range(9000))]), rng.choice([1, 2, 4, 8]), k) for k in range(1500)]
+    sites = [(k, "a", "+", rng.randrange(-20, 420)) for k in range(300)]
+    seen, opened = signal.point_pairs, []
+    monkeypatch.setattr(signal, "point_pairs", lambda left, *a: (opened.append(left.count()), seen(left, *a))[1])
+    s, p = spark.createDataFrame(sites, SITES), spark.createDataFrame(points, "chrom string, strand string, at long, val double, depth long, id long")
+    got = {r["site"]: r for r in signal.rounded_summary(s, p, (-4, 4), {"mean": 7, "var": 6, "wmean": 7, "wvar": 6}, "id", threshold=2).collect()}
+    places, found = {}, 0
+    for site, _, _, pos in sites:
+        near = [x for x in points if pos - 4 <= x[2] < pos + 4]
+        assert (len(near) >= 2) == (site in got)
+        if len(near) < 2:
+            continue
+        k = mean = dd = total = x = xx = 0.0
+        for _, _, _, v, w, _ in near:  # one after the other, as an aggregation does
+            if v is not None:
+                k, old = k + 1, mean
+                mean += (v - old) / k
+                dd, total, x, xx = dd + (v - old) * (v - mean), total + v, x + v * w, xx + w * v * v
+        w = float(sum(x[4] for x in near))
+        want = {"mean": (total / k, 7), "var": (dd / k, 6), "wmean": (x / w, 7), "wvar": (xx / w - (x / w) * (x / w), 6)}
+        ties = {c: abs(v * 10**d % 1 - 0.5) < 1e-4 for c, (v, d) in want.items()}
+        found += any(ties.values())
+        places[pos] = any(ties.values())
+        assert (got[site]["n"], got[site]["w"]) == (len(near), w)
+        assert all(got[site][c] == np.floor(v * 10.0**d + 0.5) / 10.0**d for c, (v, d) in want.items())
+    assert found and sum(places.values()) <= opened[0] < len(places) / 2
+
+
 def test_places_covered_by_spans(spark):
     rng = random.Random(4)
     spans = [(rng.choice("ab"), s := rng.randrange(-300, 300), s + rng.choice([0, 1, 2, 7, 64, 255]), rng.randrange(9)) for _ in range(200)]
