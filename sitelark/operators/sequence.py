@@ -7,7 +7,7 @@ width and stays where it last fitted; GC windows are cut off there instead.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -75,12 +75,12 @@ def kmer_scores(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.
     """Score (single precision, as double) and validity of each k-mer start; a k-mer with a letter that is no base scores 0."""
     size = len(weights)
     n = max(0, len(codes) - size + 1)
-    score, valid = np.zeros(n), np.ones(n, bool)
+    score, valid, base = np.zeros(n), np.ones(n, bool), codes < 4
     for k in range(size):
-        c = codes[k : k + n]
-        good = c < 4
-        valid &= good
-        score += np.where(good, weights[k][np.minimum(c, 3)], 0.0)
+        of = np.zeros(256)
+        of[:4] = weights[k]
+        valid &= base[k : k + n]
+        score += of.take(codes[k : k + n])
     return np.where(valid, score, 0.0).astype(np.float32).astype(np.float64), valid
 
 
@@ -94,10 +94,47 @@ def scan_centres(codes: np.ndarray, i: np.ndarray, off: np.ndarray | int, n: np.
 
     Parts of many contigs may stand behind each other in codes: no window leaves its contig. wanted: columns that are needed; pos1 and kmer_count_inner always are.
     """
-    size = len(weights)
-    needs = lambda *names: wanted is None or any(c in wanted for c in names)
     score, valid = kmer_scores(codes, weights)
-    sums, counts = (np.r_[0, np.cumsum(x)] for x in (score, valid))
+    prefix = [np.concatenate([np.zeros(1, t), np.cumsum(x, dtype=t)]) for x, t in ((score, np.float64), (valid, np.int64), ((codes == 1) | (codes == 2), np.int64))]
+    if outer < inner or 2 * inner - len(weights) + 2 <= 0 or outer - inner - len(weights) + 1 <= 0 or len(codes) < 2 * outer + 1:
+        return _centres_anywhere(prefix, i, off, n, len(weights), inner, outer, wanted)
+    # where no window meets an end, each is one difference at a fixed distance; the centres near ends are done one by one
+    out = _centres_inside(prefix, np.clip(i + off - outer, 0, len(codes) - 2 * outer - 1), len(weights), inner, outer, wanted)
+    edge = np.flatnonzero((i < outer) | (i > n - 1 - outer))
+    if len(edge):
+        near = _centres_anywhere(prefix, i[edge], off if np.ndim(off) == 0 else off[edge], n if np.ndim(n) == 0 else n[edge], len(weights), inner, outer, wanted)
+        for c, v in near.items():
+            if c != "pos1":
+                out[c][edge] = v
+    return {"pos1": i + 1} | out
+
+
+def _centres_inside(prefix: list[np.ndarray], at: np.ndarray, size: int, inner: int, outer: int, wanted: Sequence[str] | None) -> dict[str, np.ndarray]:
+    """All windows of centres whose contigs reach over outer bases on both sides; at: where their outer windows begin."""
+    needs = lambda *names: wanted is None or any(c in wanted for c in names)
+    sums, counts, gc = prefix
+    places, w_in, w_out = len(gc) - 2 * outer - 1, 2 * inner - size + 2, outer - inner - size + 1
+
+    def over(x: np.ndarray, first: int, width: int) -> np.ndarray:
+        return x[first + width : first + width + places] - x[first : first + places]
+
+    n_in = over(counts, outer - inner, w_in)
+    out = {"kmer_count_inner": n_in}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if needs("inner_mean"):
+            out["inner_mean"] = np.where(n_in > 0, over(sums, outer - inner, w_in) / n_in, np.nan)
+        if needs("outer_mean", "kmer_count_outer"):
+            sum_out, n_out = (over(x, 0, w_out) + over(x, outer + inner + 1, w_out) for x in (sums, counts))
+            out |= {"outer_mean": np.where(n_out > 0, sum_out / n_out, np.nan), "kmer_count_outer": n_out}
+        if needs("gc_inner_pct", "gc_outer_pct"):
+            flanks = over(gc, 0, outer - inner) + over(gc, outer + inner + 1, outer - inner)
+            out |= {"gc_inner_pct": over(gc, outer - inner, 2 * inner + 1) * 100.0 / (2 * inner + 1), "gc_outer_pct": flanks * 100.0 / (2 * (outer - inner))}
+    return {c: v.take(at) for c, v in out.items()}
+
+
+def _centres_anywhere(prefix: list[np.ndarray], i: np.ndarray, off: np.ndarray | int, n: np.ndarray | int, size: int, inner: int, outer: int, wanted: Sequence[str] | None) -> dict[str, np.ndarray]:
+    needs = lambda *names: wanted is None or any(c in wanted for c in names)
+    sums, counts, gc = prefix
 
     def over(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end = start + off, end + 1 + off
@@ -120,7 +157,6 @@ def scan_centres(codes: np.ndarray, i: np.ndarray, off: np.ndarray | int, n: np.
             out |= {"outer_mean": np.where(n_out > 0, sum_out / n_out, np.nan), "kmer_count_outer": n_out}
     if not needs("gc_inner_pct", "gc_outer_pct"):
         return out
-    gc = np.r_[0, np.cumsum((codes == 1) | (codes == 2))]
 
     def bases(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end = np.clip(start, 0, n), np.clip(end, 0, n)
@@ -179,14 +215,27 @@ def _classes(score: np.ndarray, low: float, high: float) -> np.ndarray:
     return np.clip(np.floor((score - low) / width * BINS), 0, BINS - 1).astype(np.int64)
 
 
-def scan_windows(seqs: DataFrame, weights: np.ndarray, inner: int = 50, outer: int = 500, strands: bool = True, tile: int = TILE, columns: Sequence[str] | None = None, keep: tuple[int, int] | None = None, slack: float = 0.0, ends: tuple[int, int] | None = None, counted: bool = False) -> DataFrame:
+def _weighted(pos: np.ndarray, values: np.ndarray, scale: float, first: np.ndarray) -> list[int]:
+    """The sums of positions times values (scaled and rounded, half away from 0; 0 for one that is no number) from each of these rows up to the next."""
+    if values.dtype.kind == "f":
+        scaled = np.where(np.isnan(values), 0.0, values) * scale
+        values = np.trunc(scaled).astype(np.int64)
+        rest = scaled - values
+        values += (rest >= 0.5).astype(np.int64) - (rest <= -0.5)
+    if float(pos.max()) * max(float(values.max()), -float(values.min()), 1.0) * len(pos) >= 2.0**63:  # beyond 64 bits: exactly, and an error where a sum does not fit
+        return np.add.reduceat(pos.astype(object) * values.astype(object), first).tolist()
+    return np.add.reduceat(pos * values, first).tolist()
+
+
+def scan_windows(seqs: DataFrame, weights: np.ndarray, inner: int = 50, outer: int = 500, strands: bool = True, tile: int = TILE, columns: Sequence[str] | None = None, keep: tuple[int, int] | None = None, slack: float = 0.0, ends: tuple[int, int] | None = None, counted: bool = False, weighted: Mapping[str, tuple[str, float]] | None = None) -> DataFrame:
     """Every centre of every contig with at least one valid inner k-mer, on one or both strands.
 
     seqs: chrom, seq (upper case), contig_order. weights: log ratios [L, 4]. Contigs shorter than max(2*inner+1, 2*outer+1, L) are
     skipped. pos1 is 1-based and always counted on the forward strand. columns: those of SCAN that are wanted. keep: the numbers of
     highest and lowest inner means that are wanted, of which each tile gives its own, with what is within ``slack`` of the last one.
     counted: rows (bin, n) instead, the number of a tile's centres in each of BINS classes of inner means. ends: only centres whose class is
-    at least ends[0] or at most ends[1].
+    at least ends[0] or at most ends[1]. weighted: rows (contig_order, strand, names) instead, one a tile and strand with any centre: for each name the sum
+    over its centres of pos1 times a column, multiplied by a scale and rounded; no row a centre leaves the scan.
     """
     if outer <= inner:
         raise ValueError("outer must be greater than inner")
@@ -194,12 +243,13 @@ def scan_windows(seqs: DataFrame, weights: np.ndarray, inner: int = 50, outer: i
     whole = seqs.where(F.length("seq") >= max(2 * inner + 1, 2 * outer + 1, size))
     kinds = dict(c.strip().split() for c in SCAN.split(","))
     names = list(columns or kinds)
-    needed = [*names, *(["inner_mean"] if counted or keep is not None or ends is not None else [])]
+    needed = [*([c for c, _ in weighted.values()] if weighted else names), *(["inner_mean"] if counted or keep is not None or ends is not None else [])]
     low, high = float(weights.min(axis=1).sum()), float(weights.max(axis=1).sum())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, first, last, start = (batch.column(c).to_numpy() for c in ("n", "first", "last", "start"))
+            mixed: list[tuple] = []
             groups = np.cumsum(pc.binary_length(batch.column("part")).to_numpy()) // min(tile, GROUP)
             for g in np.unique(groups):  # short contigs are scored together; no more than a group is ever unpacked
                 at = np.flatnonzero(groups == g)
@@ -225,12 +275,23 @@ def scan_windows(seqs: DataFrame, weights: np.ndarray, inner: int = 50, outer: i
                     if ends is not None:
                         which = _classes(x["inner_mean"][kept], low, high)
                         kept = kept[(which >= ends[0]) | (which <= ends[1])]
+                    if weighted is not None:
+                        if len(kept):
+                            mine = owner[kept]
+                            begin = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+                            pos = x["pos1"][kept]
+                            contigs = batch.column("contig_order").take(pa.array(mine[begin])).to_pylist()
+                            mixed += zip(contigs, [strand] * len(begin), *(_weighted(pos, x[c][kept], scale, begin) for c, scale in weighted.values()), strict=True)
+                        continue
                     rows = pa.array(owner[kept])
                     own = {"chrom": lambda: batch.column("chrom").take(rows), "contig_order": lambda: batch.column("contig_order").take(rows), "strand": lambda: pa.repeat(pa.scalar(strand), len(kept))}  # noqa: B023
                     out = [own[c]() if c in own else pa.array(x[c][kept].astype(np.int32) if kinds[c] == "int" else x[c][kept]) for c in names]
                     yield pa.RecordBatch.from_arrays(out, names)
+            if mixed:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 1 else pa.int64()) for k, c in enumerate(zip(*mixed, strict=True))], ["contig_order", "strand", *weighted])
 
-    return tiles(whole, tile, outer + 2 * inner + size).mapInArrow(score, "bin int, n bigint" if counted else ", ".join(f"{c} {kinds[c]}" for c in names))
+    schema = "bin int, n bigint" if counted else ", ".join(f"{c} {kinds[c]}" for c in names) if weighted is None else ", ".join(["contig_order bigint", "strand string", *(f"{c} bigint" for c in weighted)])
+    return tiles(whole, tile, outer + 2 * inner + size).mapInArrow(score, schema)
 
 
 TIE = ("contig_order", "pos1", "strand")

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -107,3 +109,26 @@ def test_only_wanted_windows_and_bounded_groups(monkeypatch, spark):
     monkeypatch.setattr(module, "GROUP", 120)
     parts = scanned()
     assert set(parts) == set(whole) and all(np.allclose(parts[k], whole[k], rtol=1e-12, atol=1e-12, equal_nan=True) for k in whole)
+
+
+def test_weighted_sums_of_a_scan_are_those_of_its_rows(spark):
+    """Sums by tile: the same as from a row a centre, for contigs of one and of many tiles, without contig_order, with letters that are no base; a row a tile and strand leaves the scan."""
+    rng = random.Random(12)
+    seqs = spark.createDataFrame([(str(k), None if k == 3 else k, "".join(rng.choices("ACGTN", (9, 3, 3, 9, k % 3), k=n))) for k, n in enumerate((700, 41, 40, 90, 300, 50, 1))] + [("x", 9, "N" * 80)], "chrom string, contig_order long, seq string")
+    mix = {"a": ("inner_mean", 10_000.0), "b": ("outer_mean", 10_000.0), "c": ("kmer_count_inner", 1.0), "d": ("gc_outer_pct", 1000.0)}
+    tiles = q.scan_windows(seqs, W, 5, 20, tile=64, weighted=mix).collect()
+    assert len(tiles) <= 2 * (11 + 1 + 2 + 5 + 1)
+    got, want = {}, {}
+    for r in tiles:
+        for c in mix:
+            got[r["contig_order"], r["strand"], c] = got.get((r["contig_order"], r["strand"], c), 0) + r[c]
+    for r in q.scan_windows(seqs, W, 5, 20, tile=64).collect():
+        for name, (c, scale) in mix.items():
+            v = 0.0 if r[c] is None or r[c] != r[c] else r[c] * scale
+            want[r["contig_order"], r["strand"], name] = want.get((r["contig_order"], r["strand"], name), 0) + r["pos1"] * int(np.trunc(v) + (np.sign(v) if abs(v - np.trunc(v)) >= 0.5 else 0))
+    assert got == want
+
+
+def test_weighted_sums_beyond_64_bits_are_exact():
+    assert q._weighted(np.array([1 << 40, 2]), np.array([1 << 30, 3]), 1.0, np.array([0])) == [(1 << 70) + 6]
+    assert q._weighted(np.array([1, 1, 2, 3]), np.array([0.25, -0.25, 0.05, np.nan]), 10.0, np.array([0, 2])) == [0, 2]
